@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfgraph.graph import Graph, edge_id
@@ -199,23 +199,14 @@ def assert_unique(df: DataFrame, keys: list[str]) -> None:
 
 
 def publish(df: DataFrame, path: str, version: int) -> str:
-    """Write a table version; an interrupted write can simply be repeated."""
-    out = f"{path}/version={version:012d}"
+    """Write one version of a table; an interrupted write can simply be repeated."""
+    out = version_path(path, version)
     df.write.mode("overwrite").parquet(out)
     return out
 
 
-def latest(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest completely written version of a table, or None."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop_path):
-        return None
-    done = [
-        str(s.getPath()) for s in fs.listStatus(hadoop_path)
-        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-    ]
-    return spark.read.parquet(max(done)) if done else None
+def version_path(path: str, version: int) -> str:
+    return f"{path}/version={version:012d}"
 
 
 def export_with_metadata(df: DataFrame, path: str, **facts) -> None:
