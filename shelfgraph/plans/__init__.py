@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["graph_queries", "source_queries", "column_queries"]
+MODULES = ["graph_queries", "source_queries", "column_queries", "build_queries", "vector_queries"]
 
 
 def all_queries():

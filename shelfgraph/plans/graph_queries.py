@@ -117,16 +117,16 @@ named AS (SELECT id, type, label FROM nodes WHERE contains(lower(label), 'a') OR
 both_ends AS (
   SELECT src, dst, type, src AS here, dst AS other FROM edges WHERE src IN (SELECT id FROM named)
   UNION ALL SELECT src, dst, type, dst, src FROM edges WHERE dst IN (SELECT id FROM named)),
-some AS (SELECT * FROM both_ends ORDER BY sha256(src || chr(1) || type || chr(1) || dst), here LIMIT 50)"""
+few AS (SELECT * FROM both_ends ORDER BY sha256(src || chr(1) || type || chr(1) || dst), here LIMIT 50)"""
 
 
 @query("q5_name_search_nodes", with_sql(
-    GRAPH_SQL, _LEGACY, select="SELECT id, type, label FROM nodes WHERE id IN (SELECT id FROM named UNION SELECT other FROM some)"))
+    GRAPH_SQL, _LEGACY, select="SELECT id, type, label FROM nodes WHERE id IN (SELECT id FROM named UNION SELECT other FROM few)"))
 def q5_nodes(spark, sf):
     return S.name_search(catalogue(spark, sf), "a").node_rows()
 
 
-@query("q5_name_search_edges", with_sql(GRAPH_SQL, _LEGACY, select="SELECT DISTINCT src, dst, lower(type) AS type FROM some"))
+@query("q5_name_search_edges", with_sql(GRAPH_SQL, _LEGACY, select="SELECT DISTINCT src, dst, lower(type) AS type FROM few"))
 def q5_edges(spark, sf):
     return S.name_search(catalogue(spark, sf), "a").edge_rows()
 
