@@ -20,18 +20,32 @@ def infer_type(labels) -> Column:
     return expr.otherwise(F.lower(F.coalesce(F.get(ls, F.lit(0)), F.lit("unknown"))))
 
 
-def derive_label(type_, title_name=None, english_name=None, title=None, id_=None, name=None) -> Column:
-    """Display label: first filled field for the type, else the type's default."""
-    none = F.lit(None).cast("string")
-    tn, en, ti, i, na = (none if x is None else col(x).cast("string") for x in (title_name, english_name, title, id_, name))
-    t = col(type_)
-    return (
-        F.when(t == "work", F.coalesce(first_filled(tn, en, ti, i), F.lit("Work")))
-        .when(t == "author", F.coalesce(first_filled(na, en), F.lit("Author")))
-        .when(t == "magazine", F.coalesce(first_filled(na, ti), F.lit("Magazine")))
-        .when(t == "publisher", F.coalesce(first_filled(na), F.lit("Publisher")))
-        .otherwise(F.coalesce(first_filled(na, ti), F.lit("Node")))
-    )
+# Label fields of each node type in order of preference, and the label when none is filled (fixed values).
+LABELS = {
+    "work": (("title_name", "english_name", "title", "id"), "Work"),
+    "author": (("name", "english_name"), "Author"),
+    "magazine": (("name", "title"), "Magazine"),
+    "publisher": (("name",), "Publisher"),
+    "other": (("name", "title"), "Node"),
+}
+
+
+def derive_label(type_, **fields) -> Column:
+    """Display label: the first filled field of the type, else the type's default.
+
+    ``type_`` is one node type as text, or a Column of types; ``fields`` are the columns at hand.
+    """
+    def label(kind: str) -> Column:
+        names, default = LABELS[kind]
+        found = [fields[n] for n in names if n in fields]
+        return F.coalesce(first_filled(*[col(c).cast("string") for c in found]), F.lit(default)) if found else F.lit(default)
+
+    if isinstance(type_, str):
+        return label(type_ if type_ in LABELS else "other")
+    expr = F.when(type_ == "work", label("work"))
+    for kind in ("author", "magazine", "publisher"):
+        expr = expr.when(type_ == kind, label(kind))
+    return expr.otherwise(label("other"))
 
 
 def mentions(keyword: str, genres=None, genre=None) -> Column:

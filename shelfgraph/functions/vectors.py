@@ -45,7 +45,7 @@ def fit(v, dims: int) -> Column:
 
 
 def hash_embedding(text, dims: int = 1536) -> Column:
-    """Deterministic vector of a text from the hex digits of six SHA-256 digests, used in a cycle."""
+    """Deterministic vector of a text from the hex digits of six SHA-256 digests, used in a cycle; null for null."""
     digits = F.concat(*[F.sha2(F.concat(col(text), F.lit(str(i))), 256) for i in range(6)])
 
     def component(i: Column) -> Column:
@@ -53,7 +53,7 @@ def hash_embedding(text, dims: int = 1536) -> Column:
         value = (F.instr(F.lit("0123456789abcdef"), digit) - 1) / F.lit(15.0)
         return value - 0.5 + ((i % 100) / F.lit(10000.0) - 0.005)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), component)
+    return F.when(col(text).isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), component))
 
 
 def embedding_text(title, genre) -> Column:

@@ -34,6 +34,12 @@ class Graph:
 
     nodes: DataFrame
     edges: DataFrame
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Free the intermediate rows a search kept for reuse (they spill, and are recomputed when lost)."""
+        for df in self.held:
+            df.unpersist()
 
     def of_type(self, type_: str) -> DataFrame:
         return self.nodes.filter(F.col("type") == type_)

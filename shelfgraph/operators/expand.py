@@ -40,18 +40,17 @@ def expand(graph: Graph, seeds: DataFrame, limit: int, with_publishers: bool = T
 
     ``seeds`` are node rows, at most ``limit``; node ids in ``graph`` are unique.
     """
-    touching = incident_edges(graph.edges, seeds, limit)
-    edges = touching.drop("end", "other")
-    found = touching.select(F.col("other").alias("id"))
+    edges = incident_edges(graph.edges, seeds, limit).drop("end", "other")
     if with_publishers:
-        hop = publisher_hop(graph.edges, seeds, limit)
-        edges = edges.unionByName(hop)
-        found = found.unionByName(hop.select(F.col("dst").alias("id")))
+        edges = edges.unionByName(publisher_hop(graph.edges, seeds, limit))
+    # Both result tables read the found edges, so they are kept; they spill to disk when large.
+    edges = edges.dropDuplicates(["id"]).persist()
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     neighbours = (
-        graph.nodes.join(found.distinct(), "id", "left_semi")
-        .join(small(seeds.select("id"), limit), "id", "left_anti")
+        graph.nodes.join(ends, "id", "left_semi").join(small(seeds.select("id"), limit), "id", "left_anti")
     )
-    return Graph(seeds.unionByName(neighbours, allowMissingColumns=True), edges.dropDuplicates(["id"]))
+    nodes = seeds.unionByName(neighbours, allowMissingColumns=True)
+    return Graph(nodes, edges, held=(seeds, edges))
 
 
 def assemble(node_parts: list[DataFrame], edge_parts: list[DataFrame]) -> Graph:

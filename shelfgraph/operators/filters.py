@@ -50,7 +50,7 @@ def drop_content(graph: Graph, keyword: str) -> Graph:
     edges = graph.edges
     for end in ("src", "dst"):
         edges = edges.join(gone.select(F.col("id").alias(end)), end, "left_anti")
-    return Graph(graph.nodes.filter(~flagged), edges.select(*graph.edges.columns))
+    return Graph(graph.nodes.filter(~flagged), edges.select(*graph.edges.columns), graph.held)
 
 
 def without_genre(works: DataFrame, genre: str) -> DataFrame:

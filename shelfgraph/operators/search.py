@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfgraph.functions.nodes import mentions
 from shelfgraph.functions.text import contains_ci
 from shelfgraph.functions.titles import levenshtein_similarity, search_tokens
 from shelfgraph.graph import Graph, empty_like
@@ -19,6 +20,7 @@ MODES = ("ranked", "fulltext", "simple")
 LANGUAGES = (JAPANESE, ENGLISH)
 INDEXED = ("title_name", "english_name", "japanese_name", "title")
 EXCLUDED = "hentai"
+TOKENS = "_tokens"
 
 # BM25 parameters (Robertson et al.).
 K1 = 1.2
@@ -74,6 +76,11 @@ def _boost(token: Column, terms: list[tuple[str, int]]) -> Column:
     return F.when(token.isin(exact), F.lit(1.0)).otherwise(near)
 
 
+def with_tokens(works: DataFrame) -> DataFrame:
+    """Works with their search tokens as a column. Store it with the works, and searches only read it."""
+    return works.withColumn(TOKENS, search_tokens(*INDEXED))
+
+
 def fulltext_scores(works: DataFrame, term: str | None, language: str = ENGLISH) -> DataFrame:
     """Works with a BM25 ``score`` over their title columns.
 
@@ -87,35 +94,30 @@ def fulltext_scores(works: DataFrame, term: str | None, language: str = ENGLISH)
         return eligible.withColumn("score", F.lit(1.0))
 
     def with_hits(df: DataFrame) -> DataFrame:
-        tokens = df.withColumn("_tokens", search_tokens(*INDEXED))
-        return tokens.withColumn("_len", F.size("_tokens")).withColumn(
-            "_hits", F.filter("_tokens", lambda t: _matches(t, terms))
-        ).drop("_tokens")
-
-    indexed = with_hits(works.select(*INDEXED))
-    corpus = indexed.agg(F.count("*").alias("n"), F.avg("_len").alias("avg_len"))
-    per_word = (
-        indexed.filter(F.size("_hits") > 0)
-        .select(F.explode(F.array_distinct("_hits")).alias("word"))
-        .groupBy("word").agg(F.count("*").alias("df"))
+        tokens = df if TOKENS in df.columns else with_tokens(df)
+        return tokens.withColumn("_len", F.size(TOKENS)).withColumn(
+            "_hits", F.filter(TOKENS, lambda t: _matches(t, terms))
+        ).drop(TOKENS)
+
+    # One pass over the corpus: each work counts once under every word it hits, and once under "",
+    # which is no token. The partial counts leave each task as a handful of rows.
+    indexed = with_hits(works.select(*[c for c in (*INDEXED, TOKENS) if c in works.columns]))
+    counts = (
+        indexed.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct("_hits"))).alias("word"), "_len")
+        .groupBy("word").agg(F.count("*").alias("df"), F.sum("_len").alias("tokens"))
     )
-    df_map = per_word.agg(F.map_from_entries(F.collect_list(F.struct("word", "df"))).alias("m"))
+    stats = counts.agg(F.map_from_entries(F.collect_list(F.struct("word", F.struct("df", "tokens")))).alias("m")).scalar()
 
     def word_score(w: Column) -> Column:
         tf = F.size(F.filter("_hits", lambda t: t == w)).cast("double")
-        seen = F.try_element_at("_df", w)
-        idf = F.log(1 + (F.col("_n") - seen + 0.5) / (seen + 0.5))
-        norm = tf + K1 * (1 - B + B * F.col("_len") / F.col("_avg_len"))
-        return _boost(w, terms) * idf * tf * (K1 + 1) / norm
-
-    scored = (
-        with_hits(eligible).filter(F.size("_hits") > 0)
-        .withColumn("_n", corpus.select("n").scalar())
-        .withColumn("_avg_len", corpus.select("avg_len").scalar())
-        .withColumn("_df", df_map.scalar())
-    )
+        seen, docs = F.try_element_at("_stats", w)["df"], F.try_element_at("_stats", F.lit(""))["df"]
+        mean = F.try_element_at("_stats", F.lit(""))["tokens"] / docs
+        idf = F.log(1 + (docs - seen + 0.5) / (seen + 0.5))
+        return _boost(w, terms) * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / mean))
+
+    scored = with_hits(eligible).filter(F.size("_hits") > 0).withColumn("_stats", stats)
     total = F.aggregate(F.array_sort(F.array_distinct("_hits")), F.lit(0.0), lambda s, w: s + word_score(w))
-    return scored.withColumn("score", total).drop("_len", "_hits", "_n", "_avg_len", "_df")
+    return scored.withColumn("score", total).drop("_len", "_hits", "_stats")
 
 
 def _scaled(hits: DataFrame) -> DataFrame:
@@ -147,31 +149,39 @@ def ranked_hits(works: DataFrame, term: str | None, limit: int, language: str =
     )
 
 
-def search(graph: Graph, term: str | None, limit: int = 50, language: str = ENGLISH, mode: str = "simple",
-           exclude: str | None = EXCLUDED) -> Graph:
-    """Matching works with their neighbourhood; works of the excluded content leave after the limit."""
+def hits_of(graph: Graph, term: str | None, limit: int, language: str, mode: str) -> DataFrame:
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
     works = graph.of_type("work")
     if not term or mode == "simple":
-        hits = simple_hits(works, term or None, limit, language)
-    elif mode == "fulltext":
-        hits = fulltext_hits(works, term, limit, language)
-    else:
-        hits = ranked_hits(works, term, limit, language)
+        return simple_hits(works, term or None, limit, language)
+    return (fulltext_hits if mode == "fulltext" else ranked_hits)(works, term, limit, language)
+
+
+def _around(graph: Graph, hits: DataFrame, limit: int, exclude: str | None) -> Graph:
     found = expand(graph, hits, limit)
     return drop_content(found, exclude) if exclude else found
 
 
+def search(graph: Graph, term: str | None, limit: int = 50, language: str = ENGLISH, mode: str = "simple",
+           exclude: str | None = EXCLUDED) -> Graph:
+    """Matching works with their neighbourhood; works of the excluded content leave after the limit."""
+    return _around(graph, hits_of(graph, term, limit, language, mode), limit, exclude)
+
+
 def cascade(graph: Graph, term: str | None, limit: int = 3, languages=LANGUAGES, exclude: str | None = EXCLUDED) -> Graph:
     """First non-empty search over languages, each by ranked, full text, then substring.
 
-    Each stage asks only whether it has a node; later stages are not planned once one has.
+    A stage is asked for its few hits only; the neighbourhood is planned for the stage that answers.
+    A stage whose hits are all excluded still answers if it leaves neighbours behind.
     """
     for language in languages:
         for mode in MODES:
-            found = search(graph, term, limit, language, mode, exclude)
-            if not found.nodes.isEmpty():
+            hits = hits_of(graph, term, limit, language, mode).persist()
+            if hits.isEmpty():
+                continue
+            found = _around(graph, hits, limit, exclude)
+            if not exclude or not hits.filter(~mentions(exclude, "genres", "genre")).isEmpty() or not found.nodes.isEmpty():
                 return found
     return empty_like(graph)
 

@@ -50,7 +50,7 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         F.concat(F.lit("work:"), key).alias("id"),
         F.lit("work").alias("type"),
-        derive_label(F.lit("work"), title_name="p_name", id_=key).alias("label"),
+        derive_label("work", title_name="p_name", id=key).alias("label"),
         key.alias("work_id"),
         F.col("p_name").alias("title_name"),
         F.concat_ws(" ", F.lower("p_type"), "p_name").alias("english_name"),
@@ -77,7 +77,7 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _named(df: DataFrame, type_: str, key: str, name: str) -> DataFrame:
     return df.select(
         F.concat(F.lit(type_ + ":"), F.col(key).cast("string")).alias("id"), F.lit(type_).alias("type"),
-        derive_label(F.lit(type_), name=name).alias("label"), F.col(name).alias("name"),
+        derive_label(type_, name=name).alias("label"), F.col(name).alias("name"),
     )
 
 

@@ -11,7 +11,7 @@ from shelfgraph.plans import source_binding as B
 from shelfgraph.plans.binding import CREDITS_SQL, EDGES_SQL, GRAPH_SQL, WORKS_SQL, catalogue, with_sql, works
 from shelfgraph.plans.graph_queries import _NEW_EDGES, customer_edges
 from shelfgraph.plans.registry import query, table
-from shelfgraph.session import work_dir
+from shelfgraph.session import staged, work_dir
 from shelfgraph.sources import api_json, cells, jsonld
 from shelfgraph.streaming import incremental as I
 
@@ -115,7 +115,8 @@ def j5(spark, sf):
 @query("a7_work_magazines", with_sql(_BOOKS, _SERIES, select="SELECT DISTINCT work_key, n_name AS magazine FROM books UNION SELECT work_key, magazine FROM matched"))
 def a7(spark, sf):
     keys, magazines = _series(spark, sf)
-    return Bu.work_magazine_names(_books(spark, sf), keys, magazines, _work_keys(spark, sf))
+    books = staged(_books(spark, sf).select("work_key", "description", "ord"), "books")
+    return Bu.work_magazine_names(books, keys, magazines, books.groupBy("work_key").agg(F.min("ord").alias("ord")))
 
 
 @query("a8_inverted_index", "SELECT DISTINCT w AS name, 'work:' || p_partkey AS id FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part)")
@@ -541,7 +542,7 @@ ids AS (SELECT work_key, 'work:' || id AS id FROM grouped)"""
   UNION ALL SELECT DISTINCT 'publisher:' || lower(p), 'publisher', p FROM (SELECT n_name AS p FROM books UNION SELECT r_name FROM region JOIN nation ON n_regionkey = r_regionkey)
   UNION ALL SELECT 'magazine:' || lower(n_name), 'magazine', n_name FROM nation"""))
 def r15_nodes(spark, sf):
-    return Bu.build_graph(B.typed(spark, sf), B.brand_lookup(spark, sf)).node_rows()
+    return Bu.build_graph(staged(B.typed(spark, sf), "items"), B.brand_lookup(spark, sf)).node_rows()
 
 
 @query("r15_build_edges", with_sql(_BOOKS, _SERIES, _R15, select="""
@@ -550,7 +551,7 @@ def r15_nodes(spark, sf):
     FROM (SELECT work_key, n_name AS magazine FROM books UNION SELECT work_key, magazine FROM matched) m JOIN ids i USING (work_key) WHERE m.magazine IN (SELECT n_name FROM nation)
   UNION ALL SELECT 'magazine:' || lower(n_name), 'publisher:' || lower(r_name), 'PUBLISHED_BY' FROM nation JOIN region ON n_regionkey = r_regionkey"""))
 def r15_edges(spark, sf):
-    return Bu.build_graph(B.typed(spark, sf), B.brand_lookup(spark, sf)).edge_rows()
+    return Bu.build_graph(staged(B.typed(spark, sf), "items"), B.brand_lookup(spark, sf)).edge_rows()
 
 
 @query("r16_media_edges", """

@@ -271,13 +271,13 @@ def n28(spark, sf):
 def n29(spark, sf):
     size = F.col("p_size")
     w = _part(spark, sf).select(
-        F.concat(F.lit("work:"), "p_partkey").alias("id"),
-        Nd.derive_label(F.lit("work"), F.when(size > 25, F.col("p_name")).otherwise("  "), F.when(size > 15, F.lower("p_type")), F.lit(None).cast("string"),
-                        F.when(size > 5, F.col("p_partkey").cast("string"))).alias("label"))
+        F.concat(F.lit("work:"), "p_partkey").alias("id"), F.lit("work").alias("type"),
+        F.when(size > 25, F.col("p_name")).otherwise("  ").alias("title_name"), F.when(size > 15, F.lower("p_type")).alias("english_name"),
+        F.when(size > 5, F.col("p_partkey").cast("string")).alias("key"))
     a = _supplier(spark, sf).select(
-        F.concat(F.lit("author:"), "s_suppkey").alias("id"),
-        Nd.derive_label(F.lit("author"), name=F.when(F.col("s_acctbal") >= 0, F.col("s_name"))).alias("label"))
-    return w.unionByName(a)
+        F.concat(F.lit("author:"), "s_suppkey").alias("id"), F.lit("author").alias("type"), F.when(F.col("s_acctbal") >= 0, F.col("s_name")).alias("name"))
+    both = w.unionByName(a, allowMissingColumns=True)
+    return both.select("id", Nd.derive_label(F.col("type"), title_name="title_name", english_name="english_name", id="key", name="name").alias("label"))
 
 
 @query("n30_content_test", "SELECT p_partkey, p_type = 'PROMO' AS listed, p_type = 'PROMO' AS text, p_type = 'PROMO' AS mapped FROM part")

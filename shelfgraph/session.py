@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "shelfgraph", master: str | None = None, **conf: str) -> SparkSession:
@@ -40,3 +40,10 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="shelfgraph-")
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
+
+
+def staged(df: DataFrame, purpose: str) -> DataFrame:
+    """The frame written to a table and read back: for an expensive input that several steps read."""
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
