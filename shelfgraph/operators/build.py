@@ -14,9 +14,13 @@ from shelfgraph.operators.upsert import merge_edges
 
 
 def with_work_keys(books: DataFrame) -> DataFrame:
-    """Books ``(name, volume, ...)`` with ``work_title`` and ``work_key``; books without a title are dropped."""
-    keyed = books.withColumn("work_title", Ti.work_title("name", "volume")).withColumn("work_key", F.upper("work_title"))
-    return keyed.filter(F.coalesce("work_key", F.lit("")) != "")
+    """Books ``(name, volume, ...)`` with ``work_title`` and ``work_key``; books without a title are dropped.
+
+    The title is exploded out of an array of none or one, so it is computed once; a filter on it would
+    be pushed down and compute it twice.
+    """
+    titles = F.filter(F.array(Ti.work_title("name", "volume")), lambda t: F.coalesce(t, F.lit("")) != "")
+    return books.withColumn("work_title", F.explode(titles)).withColumn("work_key", F.upper("work_title"))
 
 
 def group_works(books: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from shelfgraph.plans import source_binding as B
 from shelfgraph.plans.binding import CREDITS_SQL, EDGES_SQL, GRAPH_SQL, WORKS_SQL, catalogue, with_sql, works
 from shelfgraph.plans.graph_queries import _NEW_EDGES, customer_edges
 from shelfgraph.plans.registry import query, table
-from shelfgraph.session import staged, work_dir
+from shelfgraph.session import spread, staged, work_dir
 from shelfgraph.sources import api_json, cells, jsonld
 from shelfgraph.streaming import incremental as I
 
@@ -126,7 +126,8 @@ def a8(spark, sf):
 
 def _volumes(spark, sf):
     """Lines as volumes: the title ends in the line number, some rows carry a count already."""
-    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"))
+    rows = lines.join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return rows.select(
         F.concat_ws("-", F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")).alias("id"),
         F.when(F.col("l_returnflag") == "R", F.concat_ws(" ", "p_name", F.lit("extra"))).otherwise(

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfgraph.plans.registry import table
-from shelfgraph.sources.jsonld import graph_texts, items_of, typed_items
+from shelfgraph.session import spread
+from shelfgraph.sources.jsonld import items_of, typed_items
 
 
 def _shaped(flag, value):
@@ -35,8 +36,10 @@ def _text(key: str, value):
 
 
 def book_texts(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate")
     rows = (
-        table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        spread(lines).join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     )
@@ -78,7 +81,7 @@ def magazine_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
     texts = book_texts(spark, sf).unionByName(series_texts(spark, sf)).unionByName(magazine_texts(spark, sf))
-    return items_of(graph_texts(texts))
+    return items_of(texts)
 
 
 def typed(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,15 +89,15 @@ def typed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def typed_books(spark: SparkSession, sf: str) -> DataFrame:
-    return typed_items(items_of(graph_texts(book_texts(spark, sf))))
+    return typed_items(items_of(book_texts(spark, sf)))
 
 
 def typed_series(spark: SparkSession, sf: str) -> DataFrame:
-    return typed_items(items_of(graph_texts(series_texts(spark, sf))))
+    return typed_items(items_of(series_texts(spark, sf)))
 
 
 def typed_magazines(spark: SparkSession, sf: str) -> DataFrame:
-    return typed_items(items_of(graph_texts(magazine_texts(spark, sf))))
+    return typed_items(items_of(magazine_texts(spark, sf)))
 
 
 def brand_lookup(spark: SparkSession, sf: str) -> DataFrame:

@@ -156,7 +156,7 @@ def s13(spark, sf):
 
 @query("s14_title_probe", with_sql(_BOOK, select="SELECT 'book:' || file AS id FROM book WHERE contains(upper(p_name), 'ANVIL')"))
 def s14(spark, sf):
-    books = jsonld.items_of(jsonld.graph_texts(B.book_texts(spark, sf)))
+    books = jsonld.items_of(B.book_texts(spark, sf))
     return jsonld.name_probe(books, "anvil").select(jsonld.field("item", "@id", "string").alias("id"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfgraph.functions.text import col, strip
+from shelfgraph.session import spread
 
 # Vocabulary of the dumps (fixed values).
 BOOK = ("class:MangaBook", "マンガ単行本")
@@ -17,27 +18,19 @@ MAGAZINE_MARK = "Magazine"
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """All ``@graph`` items of the files at ``path`` as (file, pos, item).
 
-    One JSON document cannot be split, so a file is one task. Write the result to Parquet once and
-    work from there; that also spreads the items of a large file over the cluster.
+    One JSON document cannot be split, so a file is one task that only cuts it into items; the items
+    are then dealt to all cores for parsing. Text that is no JSON gives a null item. Write the result
+    to Parquet once and work from there.
     """
     docs = spark.read.schema("`@graph` array<string>").option("multiLine", True).json(path)
-    return items_of(docs.select(F.col("_metadata.file_path").alias("file"), F.col("@graph").alias("graph")))
+    texts = docs.select(F.col("_metadata.file_path").alias("file"), F.posexplode("@graph").alias("pos", "text"))
+    return spread(texts).select("file", "pos", F.try_parse_json("text").alias("item"))
 
 
-def items_of(docs: DataFrame) -> DataFrame:
-    """Items of ``docs(file, graph array<string>)``; text that is no JSON gives a null item.
-
-    A filter on the parsed item here would be pushed below the projection and parse every item twice.
-    """
-    return docs.select("file", F.posexplode("graph").alias("pos", "text")).select(
-        "file", "pos", F.try_parse_json("text").alias("item")
-    )
-
-
-def graph_texts(texts: DataFrame, column: str = "text") -> DataFrame:
-    """Documents held as text rows ``(file, text)`` in the form ``items_of`` takes."""
-    parsed = F.from_json(column, "`@graph` array<string>")
-    return texts.select("file", F.coalesce(parsed["@graph"], F.array().cast("array<string>")).alias("graph"))
+def items_of(texts: DataFrame) -> DataFrame:
+    """The same for documents held as rows ``(file, text)``: one parse per document."""
+    graph = F.try_variant_get(F.try_parse_json("text"), "$['@graph']", "array<variant>")
+    return texts.select("file", F.posexplode(graph).alias("pos", "item"))
 
 
 def field(item, key: str, type_: str = "variant") -> Column:
