@@ -9,6 +9,8 @@ from shelfgraph.functions.names import normalize_publisher
 from shelfgraph.functions.text import col, first_filled
 
 EMBEDDING_PREFIX = "embedding"
+# Source mark of delivered nodes (fixed value).
+STORE_SOURCE = "neo4j"
 
 
 def infer_type(labels) -> Column:
@@ -84,7 +86,7 @@ def _or(df: DataFrame, name: str, default) -> Column:
     return F.coalesce(F.col(name), F.lit(default)) if name in df.columns else F.lit(default)
 
 
-def output_works(df: DataFrame, source: str = "neo4j") -> DataFrame:
+def output_works(df: DataFrame, source: str = STORE_SOURCE) -> DataFrame:
     """Work rows in the delivery form: defaults filled, a series shown as volume 1, clean publishers."""
     series = _or(df, "is_series", False)
     volume = _or(df, "volume", "")

@@ -27,6 +27,9 @@ RECORD = (
     f"related_manga:{_RELATED},related_anime:{_RELATED},recommendations:array<struct<node:{_NODE}>>>"
 )
 ENVELOPE = f"struct<node:{RECORD},ranking:struct<rank:bigint>>"
+# Source marks written on the rows (fixed values).
+API_SOURCE = "myanimelist_api"
+API_SITE = "https://myanimelist.net"
 # Columns that become edges and leave the node row.
 LINKS = ["author_roles", "related_manga", "related_anime", "recommendations"]
 
@@ -106,8 +109,8 @@ def manga_works(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("node.id").isNotNull()).select(
         key.alias("id"), *_common(), F.col("node.num_volumes").alias("volumes"), F.col("node.num_chapters").alias("chapters"),
         F.transform(roles, lambda a: a["name"]).alias("authors"), roles.alias("author_roles"),
-        _names_of_nodes("node.serialization").alias("serialization"), F.lit("myanimelist_api").alias("source"),
-        F.concat(F.lit("https://myanimelist.net/manga/"), key).alias("source_link"),
+        _names_of_nodes("node.serialization").alias("serialization"), F.lit(API_SOURCE).alias("source"),
+        F.concat(F.lit(API_SITE + "/manga/"), key).alias("source_link"),
     )
 
 
@@ -125,7 +128,7 @@ def anime_works(parsed: DataFrame) -> DataFrame:
         season.alias("start_season"), F.col("node.broadcast.day_of_the_week").alias("broadcast"),
         F.col("node.source").alias("source"), F.col("node.average_episode_duration").alias("duration"),
         F.col("node.rating").alias("age_rating"), _names("node.studios").alias("studios"),
-        F.lit("myanimelist_api").alias("data_source"), F.concat(F.lit("https://myanimelist.net/anime/"), key).alias("source_link"),
+        F.lit(API_SOURCE).alias("data_source"), F.concat(F.lit(API_SITE + "/anime/"), key).alias("source_link"),
     )
 
 
