@@ -43,8 +43,9 @@ def expand(graph: Graph, seeds: DataFrame, limit: int, with_publishers: bool = T
     edges = incident_edges(graph.edges, seeds, limit).drop("end", "other")
     if with_publishers:
         edges = edges.unionByName(publisher_hop(graph.edges, seeds, limit))
-    # Both result tables read the found edges, so they are kept; they spill to disk when large.
-    edges = edges.dropDuplicates(["id"]).persist()
+    # Copies of an edge are equal in every column, and distinct is a hash aggregate where picking a
+    # row per id would sort. Both result tables read the found edges, so they are kept; they spill.
+    edges = edges.distinct().persist()
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     neighbours = (
         graph.nodes.join(ends, "id", "left_semi").join(small(seeds.select("id"), limit), "id", "left_anti")

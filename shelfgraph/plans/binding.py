@@ -20,23 +20,28 @@ from shelfgraph.plans.registry import table
 AS_OF_YEAR = 2001
 
 
+_DAY_BITS = 20
+
+
 def work_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per part: lines, distinct orders, and the two ship dates that bound its period.
 
     Two levels, first per (part, order): the distinct count needs no second pass over the lines, and
-    a part with very many lines is already combined when its rows meet.
+    a part with very many lines is already combined when its rows meet. Price and day travel as one
+    whole number, cents above and day below, which keeps both levels hash aggregates.
     """
-    rank = F.struct("l_extendedprice", "l_shipdate")
-    per_order = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_orderkey").agg(
-        F.count("*").alias("n"), F.min(rank).alias("lo"), F.max(rank).alias("hi")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    rank = F.shiftleft(cents, _DAY_BITS) + F.unix_date(F.to_date("l_shipdate"))
+    per_order = (
+        table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", rank.alias("rank"))
+        .groupBy("l_partkey", "l_orderkey").agg(F.count("*").alias("n"), F.min("rank").alias("lo"), F.max("rank").alias("hi"))
     )
     per_part = per_order.groupBy("l_partkey").agg(
         F.sum("n").alias("members"), F.count("*").alias("total_volumes"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
     )
+    day = lambda c: F.date_from_unix_date(F.col(c).bitwiseAND((1 << _DAY_BITS) - 1).cast("int"))
     return per_part.select(
-        "l_partkey", "members", "total_volumes",
-        F.least("lo.l_shipdate", "hi.l_shipdate").alias("_start"),
-        F.greatest("lo.l_shipdate", "hi.l_shipdate").alias("_end"),
+        "l_partkey", "members", "total_volumes", F.least(day("lo"), day("hi")).alias("_start"), F.greatest(day("lo"), day("hi")).alias("_end")
     )
 
 
