@@ -14,7 +14,7 @@ from shelfgraph.functions.names import entity_id
 from shelfgraph.functions.nodes import publication_year
 from shelfgraph.functions.text import contains_ci, strip
 from shelfgraph.graph import Graph
-from shelfgraph.operators.limits import first_per_key, top_rows
+from shelfgraph.operators.limits import first_per_key, seeds_of
 
 # Fixed values.
 URI_TYPES = [("author", ("creator", "author")), ("work", ("work",)), ("magazine", ("magazine", "periodical"))]
@@ -39,11 +39,11 @@ def catalogue_rows(works: DataFrame, credits: DataFrame) -> DataFrame:
 
 
 def rows_by_title(rows: DataFrame, term: str, limit: int) -> DataFrame:
-    return top_rows(rows.filter(contains_ci("title", term)), limit, F.col("uri"), F.col("creator_uri"))
+    return seeds_of(rows.filter(contains_ci("title", term)), limit, F.col("uri"), F.col("creator_uri"))
 
 
 def rows_by_creator(rows: DataFrame, name: str, limit: int) -> DataFrame:
-    return top_rows(rows.filter(contains_ci("creator_name", name)), limit, F.col("uri"), F.col("creator_uri"))
+    return seeds_of(rows.filter(contains_ci("creator_name", name)), limit, F.col("uri"), F.col("creator_uri"))
 
 
 def _nodes(rows: DataFrame, type_: str, id_: str, label: Column, **props) -> DataFrame:
@@ -109,7 +109,7 @@ def rows_by_magazine(rows: DataFrame, magazine: str | None, year: str | None, li
         kept = kept.filter(contains_ci("magazine_name", magazine))
     if year:
         kept = kept.filter(publication_year("published_date") == year)
-    return top_rows(kept, limit, F.col("uri"), F.col("creator_uri"), F.col("magazine_uri"))
+    return seeds_of(kept, limit, F.col("uri"), F.col("creator_uri"), F.col("magazine_uri"))
 
 
 def magazine_relationships(rows: DataFrame) -> Graph:
@@ -157,11 +157,12 @@ def search_with_related(rows: DataFrame, term: str, limit: int, overlapping: Dat
     """Title search with the works that overlap its period; for a nearly empty result, works of given titles.
 
     ``overlapping`` are catalogue rows of the overlap lookup. The size test runs one job that stops
-    after a few nodes.
+    after a few nodes. The overlapping rows are kept, since nodes, edges and the test all read them.
     """
-    graph = append_related(works_and_authors(rows_by_title(rows, term, limit)), overlapping, "overlap_period")
+    near = overlapping.persist()
+    graph = append_related(works_and_authors(rows_by_title(rows, term, limit)), near, "overlap_period")
     if len(graph.nodes.select("id").take(FEW_NODES + 1)) <= FEW_NODES:
         for title in fallback_titles:
             if title.lower() not in term.lower():
                 graph = append_related(graph, rows_by_title(rows, title, 2), "same_publisher")
-    return graph
+    return Graph(graph.nodes, graph.edges, held=(near,))

@@ -109,12 +109,15 @@ def j4(spark, sf):
 
 @query("j5_series_contained", with_sql(_BOOKS, _SERIES, select="SELECT series_id, work_key FROM matched WHERE match = 'contained'"))
 def j5(spark, sf):
-    return L.match_series(_series(spark, sf)[0], _work_keys(spark, sf)).filter("match = 'contained'").select("series_id", "work_key")
+    works_, series = staged(_work_keys(spark, sf), "keys"), staged(_series(spark, sf)[0], "series")
+    return L.match_series(series, works_).filter("match = 'contained'").select("series_id", "work_key")
 
 
 @query("a7_work_magazines", with_sql(_BOOKS, _SERIES, select="SELECT DISTINCT work_key, n_name AS magazine FROM books UNION SELECT work_key, magazine FROM matched"))
 def a7(spark, sf):
-    keys, magazines = _series(spark, sf)
+    rows = staged(Bu.series_rows(B.typed_series(spark, sf)).select("id", "names", "brands"), "series")
+    magazines = Bu.series_brands(rows, B.brand_lookup(spark, sf))
+    keys = Bu.series_keys(rows, magazines)
     books = staged(_books(spark, sf).select("work_key", "description", "ord"), "books")
     return Bu.work_magazine_names(books, keys, magazines, books.groupBy("work_key").agg(F.min("ord").alias("ord")))
 
@@ -507,13 +510,12 @@ def k11(spark, sf):
 
 
 def _media(spark, sf):
-    """Manga rows of all parts and anime rows of all customers as one work table."""
+    """Every part once as a manga row and once as an anime row, parsed from its record and stored."""
     manga = api_json.manga_works(api_json.parse_records(B.api_records(spark, sf)))
     anime = api_json.anime_works(api_json.parse_records(B.api_records(spark, sf)))
     cols = ["id", "related_manga", "related_anime"]
-    return (
-        manga.select(*cols, "authors", "serialization").unionByName(anime.select(*cols, "studios"), allowMissingColumns=True)
-    )
+    both = manga.select(*cols, "authors", "serialization").unionByName(anime.select(*cols, "studios"), allowMissingColumns=True)
+    return staged(both, "media")
 
 
 @query("r13_related_works", """
