@@ -45,14 +45,9 @@ def work_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = lambda c: F.date_format(c, "MMM dd, yyyy")
+def _titles() -> list:
     key = F.col("p_partkey").cast("string")
-    rows = (
-        table(spark, sf_dir, "part")
-        .join(work_stats(spark, sf_dir), F.col("p_partkey") == F.col("l_partkey"), "left").drop("l_partkey")
-    )
-    return rows.select(
+    return [
         F.concat(F.lit("work:"), key).alias("id"),
         F.lit("work").alias("type"),
         derive_label("work", title_name="p_name", id=key).alias("label"),
@@ -66,6 +61,23 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_type").alias("genre"),
         F.array("p_brand").alias("demographic"),
         F.split("p_name", " ").alias("themes"),
+        F.when(F.col("p_retailprice") >= 950, F.concat(F.lit("978"), key)).alias("isbn"),
+        F.when(F.col("p_type") == "PROMO", F.concat(F.lit("http://covers/"), key)).alias("cover_image_url"),
+        F.lower("p_brand").alias("media_type"),
+    ]
+
+
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works with the columns a part itself gives, for queries that need no counts or periods."""
+    return table(spark, sf_dir, "part").select(*_titles())
+
+
+def works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works with counts and periods from the lines."""
+    day = lambda c: F.date_format(c, "MMM dd, yyyy")
+    rows = table(spark, sf_dir, "part").join(work_stats(spark, sf_dir), F.col("p_partkey") == F.col("l_partkey"), "left")
+    return rows.select(
+        *_titles(),
         F.coalesce("members", F.lit(0)).alias("members"),
         F.coalesce("total_volumes", F.lit(0)).cast("int").alias("total_volumes"),
         F.concat(day("_start"), F.lit(" to "), day("_end")).alias("publishing_date"),
@@ -73,9 +85,6 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("_end", "yyyy-MM-dd").alias("last_published"),
         F.year("_start").alias("first_year"),
         F.year("_end").alias("last_year"),
-        F.when(F.col("p_retailprice") >= 950, F.concat(F.lit("978"), key)).alias("isbn"),
-        F.when(F.col("p_type") == "PROMO", F.concat(F.lit("http://covers/"), key)).alias("cover_image_url"),
-        F.lower("p_brand").alias("media_type"),
     )
 
 
@@ -127,12 +136,21 @@ def catalogue(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(nodes(spark, sf_dir), edges(spark, sf_dir))
 
 
-def embedded_works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Works with their vector; the stored array is left as it is."""
-    vectors = table(spark, sf_dir, "embeddings").select(
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, embedding_title_en): the embeddings in a table of their own, as a scan of ids and vectors needs them."""
+    return table(spark, sf_dir, "embeddings").select(
         F.concat(F.lit("work:"), F.col("vec_id").cast("string")).alias("id"), F.col("embedding").alias("embedding_title_en")
     )
-    return works(spark, sf_dir).join(vectors, "id", "left")
+
+
+def embedded_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works with their vector, null where there is none."""
+    return titles(spark, sf_dir).join(vectors(spark, sf_dir), "id", "left")
+
+
+def embedded_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with counts and periods."""
+    return works(spark, sf_dir).join(vectors(spark, sf_dir), "id", "left")
 
 
 def credits(spark: SparkSession, sf_dir: str) -> DataFrame:

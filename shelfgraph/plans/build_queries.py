@@ -8,7 +8,7 @@ from shelfgraph.functions import names as N
 from shelfgraph.graph import Graph
 from shelfgraph.operators import build as Bu, linkage as L, quality as Q, upsert as U
 from shelfgraph.plans import source_binding as B
-from shelfgraph.plans.binding import CREDITS_SQL, EDGES_SQL, GRAPH_SQL, WORKS_SQL, catalogue, with_sql, works
+from shelfgraph.plans.binding import CREDITS_SQL, EDGES_SQL, GRAPH_SQL, WORKS_SQL, catalogue, titles, with_sql
 from shelfgraph.plans.graph_queries import _NEW_EDGES, customer_edges
 from shelfgraph.plans.registry import query, table
 from shelfgraph.session import spread, staged, work_dir
@@ -124,7 +124,7 @@ def a7(spark, sf):
 
 @query("a8_inverted_index", "SELECT DISTINCT w AS name, 'work:' || p_partkey AS id FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part)")
 def a8(spark, sf):
-    return Bu.inverted_index(works(spark, sf), "id", "themes")
+    return Bu.inverted_index(titles(spark, sf), "id", "themes")
 
 
 def _volumes(spark, sf):
@@ -311,7 +311,7 @@ def a19_special(spark, sf):
 
 @query("a19_duplicate_series", "SELECT p_name AS title_name, count(*) AS rows FROM part GROUP BY p_name HAVING count(*) > 1")
 def a19_series(spark, sf):
-    return U.duplicate_keys(works(spark, sf), ["title_name"])
+    return U.duplicate_keys(titles(spark, sf), ["title_name"])
 
 
 # Linkage ----------------------------------------------------------------------------------------
@@ -422,14 +422,14 @@ _LINKS = {"demographic": ("author", "CREATED_BY"), "themes": ("magazine", "PUBLI
   SELECT DISTINCT 'work:' || p_partkey AS src, 'author:' || p_brand AS dst, 'CREATED_BY' AS type FROM part
   UNION SELECT 'work:' || p_partkey, 'magazine:' || unnest(string_split(p_name, ' ')), 'PUBLISHED_IN' FROM part""")
 def k5_edges(spark, sf):
-    return U.link_lists(works(spark, sf), "id", _LINKS).edge_rows()
+    return U.link_lists(titles(spark, sf), "id", _LINKS).edge_rows()
 
 
 @query("k5_link_list_nodes", """
   SELECT 'work:' || p_partkey AS id, 'work' AS type FROM part UNION SELECT 'author:' || p_brand, 'author' FROM part
   UNION SELECT 'magazine:' || unnest(string_split(p_name, ' ')), 'magazine' FROM part""")
 def k5_nodes(spark, sf):
-    return U.link_lists(works(spark, sf), "id", _LINKS).nodes.select("id", "type")
+    return U.link_lists(titles(spark, sf), "id", _LINKS).nodes.select("id", "type")
 
 
 @query("k6_delete_nodes", with_sql(EDGES_SQL, select="SELECT src, dst, type FROM edges WHERE type IN ('CREATED_BY', 'RELATED_TO')"))
@@ -444,7 +444,7 @@ def k6_edges(spark, sf):
 
 @query("k7_affected_rows", with_sql(WORKS_SQL, select="SELECT count(*) FILTER (WHERE isbn IS NOT NULL OR cover_image_url IS NOT NULL) AS affected FROM works"))
 def k7(spark, sf):
-    return U.rows_with_any(works(spark, sf), ["isbn", "cover_image_url"])
+    return U.rows_with_any(titles(spark, sf), ["isbn", "cover_image_url"])
 
 
 @query("k7_drop_properties", "SELECT c_custkey, c_name, c_nationkey FROM customer")

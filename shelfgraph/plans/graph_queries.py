@@ -9,7 +9,7 @@ from shelfgraph.operators import expand as X, filters as Fi, related as R, searc
 from shelfgraph.operators.limits import first_per_key, top_rows
 from shelfgraph.operators.upsert import dangling_edges
 from shelfgraph.plans.binding import (
-    AS_OF_YEAR, CREDITS_SQL, EDGES_SQL, EXPAND_SQL, GRAPH_SQL, NODES_SQL, WORKS_SQL, catalogue, credits, with_sql, works,
+    AS_OF_YEAR, CREDITS_SQL, EDGES_SQL, EXPAND_SQL, GRAPH_SQL, NODES_SQL, WORKS_SQL, catalogue, credits, titles, with_sql, works,
 )
 from shelfgraph.plans.registry import query, table
 
@@ -59,14 +59,14 @@ pool AS (SELECT id, score / max(score) OVER () AS score FROM best)"""
 
 @query("q2_fulltext_hits", with_sql(WORKS_SQL, _bm25(["red", "rinq"], "rinq", 50), select="SELECT id, round(score, 6) AS score FROM pool"))
 def q2_hits(spark, sf):
-    hits = S.fulltext_hits(works(spark, sf), "red rinq", 50)
+    hits = S.fulltext_hits(titles(spark, sf), "red rinq", 50)
     return hits.select("id", F.round("score", 6).alias("score"))
 
 
 @query("q2_fulltext_scores_japanese", with_sql(
     WORKS_SQL, _bm25(["redrinq"], "redrinq", 100, "japanese_name <> ''"), select="SELECT id, round(score, 6) AS score FROM scored"))
 def q2_scores(spark, sf):
-    return S.fulltext_scores(works(spark, sf), "redrinq", Fi.JAPANESE).select("id", F.round("score", 6).alias("score"))
+    return S.fulltext_scores(titles(spark, sf), "redrinq", Fi.JAPANESE).select("id", F.round("score", 6).alias("score"))
 
 
 @query("q2_fulltext_graph_nodes", with_sql(
@@ -84,7 +84,7 @@ ranked AS (SELECT id, final_score FROM rescored WHERE final_score >= 0.45 ORDER
 
 @query("q3_ranked_hits", with_sql(WORKS_SQL, _RANKED, select="SELECT id, round(final_score, 6) AS final_score FROM ranked"))
 def q3_hits(spark, sf):
-    hits = S.ranked_hits(works(spark, sf), "red rinq", 50)
+    hits = S.ranked_hits(titles(spark, sf), "red rinq", 50)
     return hits.select("id", F.round("final_score", 6).alias("final_score"))
 
 
@@ -346,7 +346,7 @@ def j12(spark, sf):
   SELECT id, 'english' AS language FROM works WHERE contains(lower(title_name), 'ring') OR contains(lower(english_name), 'ring')
   UNION ALL SELECT id, 'japanese' FROM works WHERE contains(lower(japanese_name), 'dring') OR contains(lower(title_name), 'dring')"""))
 def f1(spark, sf):
-    w = works(spark, sf)
+    w = titles(spark, sf)
     en = w.filter(Fi.title_matches("RING")).select("id", F.lit("english").alias("language"))
     return en.unionByName(w.filter(Fi.title_matches("dRing", Fi.JAPANESE)).select("id", F.lit("japanese").alias("language")))
 
@@ -378,7 +378,7 @@ def f4_edges(spark, sf):
 
 @query("f5_exact_genre", "SELECT 'work:' || p_partkey AS id FROM part WHERE p_type <> 'PROMO'")
 def f5(spark, sf):
-    return Fi.without_genre(works(spark, sf), "PROMO").select("id")
+    return Fi.without_genre(titles(spark, sf), "PROMO").select("id")
 
 
 @query("f6_min_volumes", with_sql(WORKS_SQL, select="SELECT id, total_volumes FROM works WHERE total_volumes >= 30"))
@@ -393,7 +393,7 @@ def f6_none(spark, sf):
 
 @query("f7_needing_covers", with_sql(WORKS_SQL, select="SELECT id, isbn FROM works WHERE isbn IS NOT NULL AND cover_image_url IS NULL ORDER BY id LIMIT 100"))
 def f7(spark, sf):
-    return top_rows(Fi.needing_covers(works(spark, sf)), 100, F.col("id")).select("id", "isbn")
+    return top_rows(Fi.needing_covers(titles(spark, sf)), 100, F.col("id")).select("id", "isbn")
 
 
 # Top-k -----------------------------------------------------------------------------------------
@@ -406,7 +406,7 @@ def w1(spark, sf):
 
 @query("w2_title_order", with_sql(WORKS_SQL, select="SELECT id, label FROM works ORDER BY lower(title_name), id LIMIT 50"))
 def w2(spark, sf):
-    return top_rows(works(spark, sf), 50, *S.by_title()).select("id", "label")
+    return top_rows(titles(spark, sf), 50, *S.by_title()).select("id", "label")
 
 
 @query("w3_reference_order", with_sql(WORKS_SQL, _scores("work:7"), select=f"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfgraph.operators.tabular import catalogue_rows, rows_by_title
 from shelfgraph.plans import source_binding as B
-from shelfgraph.plans.binding import CREDITS_SQL, GRAPH_SQL, WORKS_SQL, catalogue, credits, with_sql, works
+from shelfgraph.plans.binding import CREDITS_SQL, GRAPH_SQL, WORKS_SQL, catalogue, credits, titles, with_sql, works
 from shelfgraph.plans.registry import query, table
 from shelfgraph.sources import api_json, catalogue as C, cells, jsonld, lookups
 
@@ -127,13 +127,13 @@ def s10(spark, sf):
 
 @query("s11_title_filter", "SELECT 'work:' || p_partkey AS id, p_name AS title_name FROM part WHERE contains(lower(p_name), 'ring')")
 def s11(spark, sf):
-    return C.works_titled(works(spark, sf), "RING", title="title_name").select("id", "title_name")
+    return C.works_titled(titles(spark, sf), "RING", title="title_name").select("id", "title_name")
 
 
 @query("s12_keyset_page", """
   SELECT 'work:' || p_partkey AS id FROM part WHERE 'work:' || p_partkey > 'work:15' AND p_size > 25 ORDER BY id LIMIT 100""")
 def s12(spark, sf):
-    lacking = C.unfinished(works(spark, sf), ["japanese_name"])
+    lacking = C.unfinished(titles(spark, sf), ["japanese_name"])
     return C.page(lacking, "id", "work:15", 100).select("id")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfgraph.functions import vectors as V
 from shelfgraph.operators import quality as Q, search as S, vector as Ve
 from shelfgraph.operators.limits import top_rows
-from shelfgraph.plans.binding import CREDITS_SQL, EXPAND_SQL, GRAPH_SQL, WORKS_SQL, catalogue, credits, embedded_works, with_sql, works
+from shelfgraph.plans.binding import CREDITS_SQL, EXPAND_SQL, GRAPH_SQL, WORKS_SQL, catalogue, credits, embedded_titles, embedded_works, vectors, with_sql, works
 from shelfgraph.plans.registry import query, table
 from shelfgraph.session import spread
 
@@ -32,7 +32,7 @@ def query_vector(spark, sf, dims=None):
 
 
 def vector_works(spark, sf):
-    return embedded_works(spark, sf).withColumn(DESCRIPTION, F.slice(TITLE, 1, 16))
+    return embedded_titles(spark, sf).withColumn(DESCRIPTION, F.slice(TITLE, 1, 16))
 
 
 @query("v1_similar_graph_nodes", with_sql(
@@ -43,14 +43,14 @@ def v1(spark, sf):
 
 @query("v1_similarity_scores", with_sql(_COS, select="SELECT id, round(s, 6) AS similarity_score FROM sims"))
 def v1_scores(spark, sf):
-    return Ve.scored(embedded_works(spark, sf), query_vector(spark, sf), TITLE).select("id", F.round("similarity_score", 6).alias("similarity_score"))
+    return Ve.scored(vectors(spark, sf), query_vector(spark, sf), TITLE).select("id", F.round("similarity_score", 6).alias("similarity_score"))
 
 
 @query("v2_similar_works", with_sql(WORKS_SQL, _COS, select="""
   SELECT s.id, title_name AS title_en, round(s, 6) AS similarity_score FROM sims s JOIN works w ON w.id = s.id
   WHERE s >= 0.1 AND genre <> 'PROMO' ORDER BY round(s, 9) DESC, s.id LIMIT 30"""))
 def v2(spark, sf):
-    hits = Ve.similar_works(embedded_works(spark, sf), query_vector(spark, sf), TITLE, 30, 0.1, "PROMO")
+    hits = Ve.similar_works(embedded_titles(spark, sf), query_vector(spark, sf), TITLE, 30, 0.1, "PROMO")
     return hits.select("id", "title_en", F.round("similarity_score", 6).alias("similarity_score"))
 
 
@@ -58,7 +58,7 @@ def v2(spark, sf):
   SELECT t.id, round(t.s, 6) AS similarity_score FROM (SELECT id, s FROM sims ORDER BY round(s, 9) DESC, id LIMIT 30) t JOIN works w ON w.id = t.id
   WHERE s >= 0.2 AND genre <> 'PROMO' ORDER BY round(s, 9) DESC, t.id LIMIT 10"""))
 def v2_post(spark, sf):
-    hits = Ve.similar_works(embedded_works(spark, sf), query_vector(spark, sf), TITLE, 10, 0.2, "PROMO", mode="postfilter")
+    hits = Ve.similar_works(embedded_titles(spark, sf), query_vector(spark, sf), TITLE, 10, 0.2, "PROMO", mode="postfilter")
     return hits.select("id", F.round("similarity_score", 6).alias("similarity_score"))
 
 
@@ -82,21 +82,21 @@ def v3(spark, sf):
 @query("v3_multi_column_lists", with_sql(_COS, select="""
   SELECT id, round(s, 6) AS similarity_score FROM sims WHERE s >= 0.1 ORDER BY round(s, 9) DESC, id LIMIT 20"""))
 def v3_lists(spark, sf):
-    w = embedded_works(spark, sf).withColumn("embedding_title_ja", F.col(TITLE))
+    w = embedded_titles(spark, sf).withColumn("embedding_title_ja", F.col(TITLE))
     hits = Ve.similar_works_multi(w, query_vector(spark, sf), [TITLE, "embedding_title_ja", "unknown"], 20, 0.1, None)
     return hits.select("id", F.round("similarity_score", 6).alias("similarity_score"))
 
 
 @query("v4_nearest_to_work", with_sql(_COS, select="SELECT id, round(s, 6) AS similarity_score FROM sims ORDER BY round(s, 9) DESC, id LIMIT 10"))
 def v4(spark, sf):
-    hits = Ve.nearest_to_work(embedded_works(spark, sf), f"work:{_QUERY}", TITLE, 10)
+    hits = Ve.nearest_to_work(vectors(spark, sf), f"work:{_QUERY}", TITLE, 10)
     return hits.select("id", F.round("similarity_score", 6).alias("similarity_score"))
 
 
 @query("v5_similar_titles", with_sql(WORKS_SQL, _COS, select="""
   SELECT title_name AS title, round(s, 6) AS similarity_score FROM sims s JOIN works w ON w.id = s.id WHERE s >= 0.3 ORDER BY round(s, 9) DESC, s.id LIMIT 5"""))
 def v5(spark, sf):
-    hits = Ve.similar_titles(embedded_works(spark, sf), query_vector(spark, sf), TITLE, 5, 0.3)
+    hits = Ve.similar_titles(embedded_titles(spark, sf), query_vector(spark, sf), TITLE, 5, 0.3)
     return hits.select("title", F.round("similarity_score", 6).alias("similarity_score"))
 
 
@@ -104,7 +104,7 @@ _HITS = "hits AS (SELECT id, s FROM sims WHERE s >= 0.2 ORDER BY round(s, 9) DES
 
 
 def _hits(spark, sf):
-    return Ve.nearest(embedded_works(spark, sf), query_vector(spark, sf), TITLE, 15, 0.2, None).drop(TITLE)
+    return Ve.nearest(embedded_titles(spark, sf), query_vector(spark, sf), TITLE, 15, 0.2, None).drop(TITLE)
 
 
 @query("v6_fuzzy_vector_nodes", with_sql(WORKS_SQL, CREDITS_SQL, _COS, _HITS, select="""
@@ -121,7 +121,7 @@ def r10(spark, sf):
 
 @query("v7_vector_search", with_sql(_COS, select="SELECT id, round((1 + s) / 2, 6) AS similarity_score FROM sims ORDER BY round((1 + s) / 2, 9) DESC, id LIMIT 10"))
 def v7(spark, sf):
-    hits = Ve.scored(embedded_works(spark, sf), query_vector(spark, sf), TITLE, unit=True)
+    hits = Ve.scored(vectors(spark, sf), query_vector(spark, sf), TITLE, unit=True)
     return top_rows(hits, 10, *Ve.by_similarity()).select("id", F.round("similarity_score", 6).alias("similarity_score"))
 
 
@@ -132,7 +132,7 @@ b AS (SELECT coalesce(t.id, v.id) AS id, CASE WHEN s IS NULL THEN 0.7 WHEN t.id
     select="SELECT id, round(score, 6) AS search_score FROM b ORDER BY round(score, 9) DESC, id LIMIT 50"))
 def v8(spark, sf):
     text = S.simple_hits(works(spark, sf), "red", 25)
-    near = Ve.nearest(embedded_works(spark, sf), query_vector(spark, sf), TITLE, 25, None, None)
+    near = Ve.nearest(vectors(spark, sf), query_vector(spark, sf), TITLE, 25, None, None)
     return Ve.hybrid(text, near, 50).select("id", F.round("search_score", 6).alias("search_score"))
 
 
@@ -180,7 +180,7 @@ def v12(spark, sf):
   SELECT id, coalesce(japanese_name, title_name) AS source_text, CASE WHEN japanese_name IS NULL THEN 'title_name' ELSE 'japanese_name' END AS source
   FROM works WHERE p_partkey NOT IN (SELECT vec_id FROM embeddings)"""))
 def v13(spark, sf):
-    return Ve.missing_embedding(embedded_works(spark, sf), TITLE).select("id", "source_text", "source")
+    return Ve.missing_embedding(embedded_titles(spark, sf), TITLE).select("id", "source_text", "source")
 
 
 @query("v14_embedding_text", "SELECT p_partkey, p_name || CASE WHEN p_size > 25 THEN ' ' || p_type ELSE '' END AS text FROM part")
@@ -190,7 +190,7 @@ def v14(spark, sf):
 
 
 def _backfilled(spark, sf):
-    return Ve.backfill_embeddings(embedded_works(spark, sf), TITLE, 8, "title_name", "genre")
+    return Ve.backfill_embeddings(embedded_titles(spark, sf), TITLE, 8, "title_name", "genre")
 
 
 @query("v15_backfill", with_sql(
