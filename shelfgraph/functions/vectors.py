@@ -26,6 +26,15 @@ def cosine(a, b) -> Column:
     return F.when(F.size(col(a)) == F.size(col(b)), F.try_divide(dot(a, b), lengths))
 
 
+def cosine_to(v, query: list[float]) -> Column:
+    """Cosine similarity to a fixed vector, whose length is divided out beforehand."""
+    length = sum(float(x) ** 2 for x in query) ** 0.5
+    if length == 0:
+        return F.lit(None).cast("double")
+    along = dot(v, vector_literal(x / length for x in query))
+    return F.when(F.size(col(v)) == len(query), F.try_divide(along, F.sqrt(dot(v, v))))
+
+
 def unit_score(cos: Column) -> Column:
     """Cosine mapped to 0..1."""
     return (1 + cos) / 2
@@ -46,14 +55,17 @@ def fit(v, dims: int) -> Column:
 
 def hash_embedding(text, dims: int = 1536) -> Column:
     """Deterministic vector of a text from the hex digits of six SHA-256 digests, used in a cycle; null for null."""
-    digits = F.concat(*[F.sha2(F.concat(col(text), F.lit(str(i))), 256) for i in range(6)])
+    digests = F.concat(*[F.sha2(F.concat(col(text), F.lit(str(i))), 256) for i in range(6)])
+
+    def vector(digits: Column) -> Column:
+        def component(i: Column) -> Column:
+            value = (F.instr(F.lit("0123456789abcdef"), F.substring(digits, i % 384 + 1, F.lit(1))) - 1) / F.lit(15.0)
+            return value - 0.5 + ((i % 100) / F.lit(10000.0) - 0.005)
 
-    def component(i: Column) -> Column:
-        digit = F.substring(digits, i % 384 + 1, F.lit(1))
-        value = (F.instr(F.lit("0123456789abcdef"), digit) - 1) / F.lit(15.0)
-        return value - 0.5 + ((i % 100) / F.lit(10000.0) - 0.005)
+        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), component)
 
-    return F.when(col(text).isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), component))
+    # The digests are a lambda argument, so each text is hashed once and not once per component.
+    return F.when(col(text).isNotNull(), F.get(F.transform(F.array(digests), vector), F.lit(0)))
 
 
 def embedding_text(title, genre) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from shelfgraph.functions.names import entity_id
 from shelfgraph.functions.text import col
-from shelfgraph.functions.vectors import cosine, embedding_text, fit, hash_embedding, unit_score, vector_literal
+from shelfgraph.functions.vectors import cosine, cosine_to, embedding_text, fit, hash_embedding, unit_score
 from shelfgraph.graph import CREATED_BY, Graph, edge_id
 from shelfgraph.operators.expand import expand
 from shelfgraph.operators.filters import without_genre
@@ -36,8 +36,7 @@ def _check(column: str) -> str:
 
 def scored(works: DataFrame, query: Column | list[float], column: str, unit: bool = False) -> DataFrame:
     """Rows having the embedding, with ``similarity_score``: one scan of ids and vectors, no shuffle."""
-    q = vector_literal(query) if isinstance(query, list) else query
-    similarity = cosine(column, q)
+    similarity = cosine_to(column, query) if isinstance(query, list) else cosine(column, query)
     return (
         works.filter(F.col(column).isNotNull())
         .withColumn("similarity_score", unit_score(similarity) if unit else similarity)
