@@ -137,8 +137,9 @@ def catalogue(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, embedding_title_en): the embeddings in a table of their own, as a scan of ids and vectors needs them."""
-    return table(spark, sf_dir, "embeddings").select(
+    """(id, embedding_title_en) of the works that have one: a scan of ids and vectors needs no more."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vec_id"))
+    return table(spark, sf_dir, "embeddings").join(part, "vec_id", "left_semi").select(
         F.concat(F.lit("work:"), F.col("vec_id").cast("string")).alias("id"), F.col("embedding").alias("embedding_title_en")
     )
 

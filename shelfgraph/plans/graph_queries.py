@@ -143,7 +143,7 @@ hit AS (SELECT w.id, w.label FROM works w JOIN edges e ON e.src = w.id WHERE e.t
 
 
 @query("q7_author_works_nodes", with_sql(
-    GRAPH_SQL, _AUTHOR, select="SELECT id, 'work' AS type, label FROM hit UNION ALL SELECT id, type, label FROM nodes WHERE id = 'author:3'"))
+    GRAPH_SQL, _AUTHOR, select="SELECT id, 'work' AS type, label FROM hit UNION ALL SELECT id, type, label FROM nodes WHERE id = 'author:3' AND EXISTS (SELECT 1 FROM hit)"))
 def q7_nodes(spark, sf):
     return R.author_works(catalogue(spark, sf), "author:3", 25).node_rows()
 
@@ -171,7 +171,7 @@ _RANK = "demo_score DESC, themes_score DESC, themes_ratio DESC, date_jaccard DES
 
 @query("q8_magazine_works", with_sql(
     GRAPH_SQL, "hit AS (SELECT w.id, w.label FROM works w JOIN edges e ON e.src = w.id WHERE e.type = 'PUBLISHED_IN' AND e.dst = 'magazine:4' ORDER BY lower(title_name), w.id LIMIT 25)",
-    select="SELECT id, 'work' AS type, label FROM hit UNION ALL SELECT id, type, label FROM nodes WHERE id = 'magazine:4'"))
+    select="SELECT id, 'work' AS type, label FROM hit UNION ALL SELECT id, type, label FROM nodes WHERE id = 'magazine:4' AND EXISTS (SELECT 1 FROM hit)"))
 def q8_plain(spark, sf):
     return R.magazine_works(catalogue(spark, sf), "magazine:4", 25).node_rows()
 
@@ -615,8 +615,8 @@ def r9_fallback(spark, sf):
 a AS (SELECT w.id FROM works w JOIN edges e ON e.src = w.id WHERE e.type = 'CREATED_BY' AND e.dst = 'author:3' ORDER BY lower(title_name), w.id LIMIT 5),
 m AS (SELECT s.id FROM scored s JOIN edges e ON e.src = s.id WHERE e.type = 'PUBLISHED_IN' AND e.dst = 'magazine:4' ORDER BY {_RANK.replace('id', 's.id')} LIMIT 5),
 p AS (SELECT n.id FROM nodes n JOIN edges e ON e.src = n.id WHERE e.type = 'PUBLISHED_BY' AND e.dst = 'publisher:2' ORDER BY lower(label), n.id LIMIT 3)""",
-    select="""SELECT id, 'author_graph' AS part FROM a UNION ALL SELECT 'author:3', 'author_graph' UNION ALL SELECT id, 'magazine_graph' FROM m UNION ALL SELECT 'magazine:4', 'magazine_graph'
-      UNION ALL SELECT id, 'publisher_graph' FROM p UNION ALL SELECT 'publisher:2', 'publisher_graph'"""))
+    select="""SELECT id, 'author_graph' AS part FROM a UNION ALL SELECT DISTINCT 'author:3', 'author_graph' FROM a UNION ALL SELECT id, 'magazine_graph' FROM m
+      UNION ALL SELECT DISTINCT 'magazine:4', 'magazine_graph' FROM m UNION ALL SELECT id, 'publisher_graph' FROM p UNION ALL SELECT DISTINCT 'publisher:2', 'publisher_graph' FROM p"""))
 def r11(spark, sf):
     parts = R.related_graphs(catalogue(spark, sf), "author:3", "magazine:4", "publisher:2", reference_id="work:7", as_of_year=AS_OF_YEAR)
     return R.tag_parts(parts)[0].select("id", "part")
