@@ -24,11 +24,14 @@ def incident_edges(edges: DataFrame, ids: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def publisher_hop(edges: DataFrame, ids: DataFrame, limit: int) -> DataFrame:
-    """PUBLISHED_BY edges of the magazines the works ``ids(id)`` appear in."""
+def publisher_hop(edges: DataFrame, ids: DataFrame, limit: int, known: DataFrame | None = None) -> DataFrame:
+    """PUBLISHED_BY edges of the magazines the works ``ids(id)`` appear in.
+
+    ``known`` are edges already found at these works; with them the edges are not searched again.
+    """
     wanted = small(ids.select(F.col("id").alias("src")), limit)
     magazines = (
-        edges.filter(F.col("type") == PUBLISHED_IN).join(wanted, "src", "left_semi").select("dst").distinct()
+        (edges if known is None else known).filter(F.col("type") == PUBLISHED_IN).join(wanted, "src", "left_semi").select("dst").distinct()
     )
     return edges.filter(F.col("type") == PUBLISHED_BY).join(
         magazines.select(F.col("dst").alias("src")), "src", "left_semi"
@@ -40,18 +43,20 @@ def expand(graph: Graph, seeds: DataFrame, limit: int, with_publishers: bool = T
 
     ``seeds`` are node rows, at most ``limit``; node ids in ``graph`` are unique.
     """
-    edges = incident_edges(graph.edges, seeds, limit).drop("end", "other")
-    if with_publishers:
-        edges = edges.unionByName(publisher_hop(graph.edges, seeds, limit))
     # Copies of an edge are equal in every column, and distinct is a hash aggregate where picking a
-    # row per id would sort. Both result tables read the found edges, so they are kept; they spill.
-    edges = edges.distinct().persist()
+    # row per id would sort. The found edges are kept, since the hop and both result tables read them;
+    # they spill to disk when large.
+    touching = incident_edges(graph.edges, seeds, limit).drop("end", "other").distinct().persist()
+    edges = touching
+    if with_publishers:
+        hop = publisher_hop(graph.edges, seeds, limit, known=touching)
+        edges = touching.unionByName(hop).distinct()
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     neighbours = (
         graph.nodes.join(ends, "id", "left_semi").join(small(seeds.select("id"), limit), "id", "left_anti")
     )
     nodes = seeds.unionByName(neighbours, allowMissingColumns=True)
-    return Graph(nodes, edges, held=(seeds, edges))
+    return Graph(nodes, edges, held=(seeds, touching))
 
 
 def assemble(node_parts: list[DataFrame], edge_parts: list[DataFrame]) -> Graph:
