@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,15 +29,11 @@ def get_spark(app: str = "shelfgraph", master: str | None = None, **conf: str) -
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder for tables a job must write, under the shared ``spark.checkpoint.dir``.
+    """A fresh folder for files a job must write, under the shared ``spark.checkpoint.dir``.
 
-    Only a local-mode session that names no such folder falls back to a temporary one.
+    A session that names no such folder uses its warehouse, which a cluster points at shared storage too.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="shelfgraph-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
 
 

@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from shelfgraph.plans import all_queries
 from tests.compare import duck, run_duck, run_spark
 from tests.conftest import SF
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = all_queries().QUERIES, all_queries().ORACLES
 
 
 @pytest.fixture(scope="module")
