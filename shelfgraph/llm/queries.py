@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfgraph.llm import curriculum, exact_dedup, host_rules, quality_model, token_files, warc_zip
+from shelfgraph.llm import curriculum, exact_dedup, host_rules, quality_model, sentence_pieces, token_files, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,12 @@ FROM failed LEFT JOIN verdicts USING (source)""")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = host_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select(F.col("id").alias("doc_id"), *host_rules.COUNTS, "base_failed", "kept")
+
+
+@query("op10_sentence_pieces")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = sentence_pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    found = sentence_pieces.round_trip(table(spark, sf_dir, "documents"), pieces)
+    return found.select(F.col("id").alias("doc_id"), F.col("n_ids").alias("n_tokens"), "ids_crc32", "n_chars_back", "restored")

@@ -139,12 +139,11 @@ class WordEncoder:
         """A word of plain lower-case letters needs no normalising and is one piece: the library's model alone does."""
         return [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))]
 
-    def _encode_words(self, words: list[str]) -> list[list[int]]:
-        if not self.plain:
-            return self._by_library(words)
-        easy = [_PLAIN.fullmatch(w) is not None for w in words]
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        easy = [self.plain and _PLAIN.fullmatch(w) is not None for w in words]
         rest = iter(self._by_library([w for w, e in zip(words, easy, strict=True) if not e]))
-        return [self._by_model(w) if e else next(rest) for w, e in zip(words, easy, strict=True)]
+        got = [self._by_model(w) if e else next(rest) for w, e in zip(words, easy, strict=True)]
+        return np.array([i for g in got for i in g], np.int64), np.array([len(g) for g in got], np.int64)
 
     def _cuts(self, data: np.ndarray, offsets: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         """Where words begin and end."""

@@ -10,7 +10,7 @@ import numpy as np
 class WordCache:
     """Ids by 64-bit word key, in sorted arrays. It starts afresh after ``most`` distinct words, so its size is bounded."""
 
-    def __init__(self, encode_words: Callable[[list[str]], list], most: int = 1_000_000):
+    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000):
         self.encode_words, self.most = encode_words, most
         self._clear()
 
@@ -28,12 +28,11 @@ class WordCache:
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == distinct[inside]
         if not known.all():
-            got = self.encode_words(text_of(first[~known]))
-            sizes = np.array([len(g) for g in got], np.int64)
+            got, sizes = self.encode_words(text_of(first[~known]))
             base = len(self.starts) - 1
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for g in got for i in g), np.int32, int(sizes.sum()))])
-            self.slots = np.insert(self.slots, at[~known], base + np.arange(len(got)))
+            self.ids = np.concatenate([self.ids, got.astype(np.int32)])
+            self.slots = np.insert(self.slots, at[~known], base + np.arange(len(sizes)))
             self.keys = np.insert(self.keys, at[~known], distinct[~known])
             at = np.searchsorted(self.keys, distinct)
         slot = self.slots[at][back]
