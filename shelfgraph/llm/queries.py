@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfgraph.llm import curriculum, exact_dedup, host_rules, quality_model, sentence_pieces, token_files, warc_zip
+from shelfgraph.llm import curriculum, exact_dedup, host_rules, jaccard_join, quality_model, sentence_pieces, token_files, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +114,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = sentence_pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
     found = sentence_pieces.round_trip(table(spark, sf_dir, "documents"), pieces)
     return found.select(F.col("id").alias("doc_id"), F.col("n_ids").alias("n_tokens"), "ids_crc32", "n_chars_back", "restored")
+
+
+@query("op6_jaccard_join")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"), k=3, percent=90)
+    return jaccard_join.component_ids(groups).withColumnRenamed("id", "doc_id")
