@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfgraph.llm import curriculum, exact_dedup, host_rules, jaccard_join, quality_model, sentence_pieces, token_files, warc_zip
+from shelfgraph.llm import curriculum, exact_dedup, host_rules, jaccard_join, quality_model, sentence_pieces, suffix_dedup, token_files, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_suffix_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removals(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query("op2_token_files")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
