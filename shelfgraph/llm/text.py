@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _U = np.uint64
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -34,7 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) <= n:
-        size = max(n + 1, 2 * CHUNK_BYTES)
+        size = max(n + 1, 4 * CHUNK_BYTES)
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             table = np.full(size, base, _U)
             table[0] = 1

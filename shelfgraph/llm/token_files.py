@@ -38,7 +38,7 @@ from shelfgraph.session import staged
 MAGIC = b"IDS+EF01"
 HEADER = struct.Struct("<8sIQQQq")
 END_ID = 1
-FILE_IDS = 8_000_000
+FILE_IDS = 4_000_000
 BLOCK = 512  # bits a rank of the directory covers
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -195,7 +195,7 @@ def write_file(uri: str, ids: np.ndarray, sizes: np.ndarray, doc_ids: np.ndarray
         out.write(HEADER.pack(MAGIC, width, len(sizes), n_null, len(ids), low))
         out.write(EliasFano.encode(np.concatenate([[0], np.cumsum(sizes)])).to_bytes())
         out.write(EliasFano.encode((doc_ids.astype(np.int64) - low)).to_bytes())
-        out.write(ids.astype(f"<u{width}").tobytes())
+        out.write(np.ascontiguousarray(ids, f"<u{width}"))
 
 
 class TokenFile:
@@ -258,7 +258,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, file_ids: int):
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for chunk in chunks(texts):
                 ids, sizes = encoder.encode(chunk)
-                held.append((np.insert(ids, np.cumsum(sizes), end_id), sizes + 1))
+                held.append((np.insert(ids, np.cumsum(sizes), end_id).astype(f"<u{width}"), sizes + 1))
                 names.extend(doc_ids[chunk.first:chunk.first + chunk.n])
                 if sum(len(h[0]) for h in held) >= file_ids:
                     yield flush()

@@ -10,7 +10,7 @@ import numpy as np
 class WordCache:
     """Ids by 64-bit word key, in sorted arrays. It starts afresh after ``most`` distinct words, so its size is bounded."""
 
-    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000):
+    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 250_000):
         self.encode_words, self.most = encode_words, most
         self._clear()
 
