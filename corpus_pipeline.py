@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfgraph.llm import curriculum, exact_dedup, quality_model
+from shelfgraph.llm import curriculum, exact_dedup, jaccard_join, quality_model, sentence_pieces
 from shelfgraph.llm.queries import table
 from shelfgraph.session import work_dir
 
@@ -19,12 +19,27 @@ def one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+def one_of_near_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by word 5-grams at a Jaccard similarity of 0.8 or more: the one with the smallest id."""
+    return jaccard_join.drop_near_duplicates(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training mix: documents in training order, repeated as their source's target asks."""
     return curriculum.training_order(docs)
 
 
-STAGES = [("quality classifier", good_documents), ("exact dedup", one_of_equals), ("mixing sources", mixed)]
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row of the mix as SentencePiece ids, with the check that decoding them gives its text."""
+    import public_tokenizers
+
+    pieces = sentence_pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    found = sentence_pieces.round_trip(docs, pieces, with_ids=True)
+    return found.selectExpr("id AS doc_id", "n_ids AS n_tokens", "ids_crc32", "restored", "ids")
+
+
+STAGES = [("quality classifier", good_documents), ("exact dedup", one_of_equals), ("n-gram Jaccard join", one_of_near_equals),
+          ("mixing sources", mixed), ("SentencePiece encoding", encoded)]
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfgraph.llm import curriculum, exact_dedup, host_rules, jaccard_join, quality_model, sentence_pieces, suffix_dedup, token_files, warc_zip
+from shelfgraph.llm import curriculum, exact_dedup, host_rules, jaccard_join, license_scan, quality_model, sentence_pieces, suffix_dedup, token_files, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,6 +121,33 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n_ids").alias("n_tokens"), "ids_crc32", "n_chars_back", "restored")
 
 
+def _quoted(text: str) -> str:
+    return "'" + text + "'"
+
+
+@query("op5_license_scan", r"""
+WITH templates AS (SELECT * FROM (VALUES """ + ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in license_scan.TEMPLATES.items()) + r""") AS v(licence, body)),
+tw AS (SELECT licence, regexp_extract_all(lower(body), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM templates),
+tp AS (SELECT licence, ws, unnest(range(1, len(ws))) AS i FROM tw),
+tg AS (SELECT licence, ws[i] || ' ' || ws[i + 1] AS g, count(*) AS n FROM tp GROUP BY ALL),
+ts AS (SELECT licence, sum(n) AS size FROM tg GROUP BY licence),
+docs AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+lw AS (SELECT doc_id, k, regexp_extract_all(lower(l), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS k FROM docs)),
+worded AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS island FROM lw WHERE len(ws) > 0),
+units AS (SELECT doc_id, 'line' AS unit, k AS first_line, k AS last_line, ws FROM worded
+    UNION ALL SELECT doc_id, 'block', min(k), max(k), flatten(list(ws ORDER BY k)) FROM worded GROUP BY doc_id, island HAVING count(*) > 1
+    UNION ALL SELECT doc_id, 'text', min(k), max(k), flatten(list(ws ORDER BY k)) FROM worded GROUP BY doc_id HAVING count(DISTINCT island) > 1),
+up AS (SELECT doc_id, unit, first_line, last_line, ws, unnest(range(1, len(ws))) AS i FROM units WHERE len(ws) > 1),
+ug AS (SELECT doc_id, unit, first_line, last_line, len(ws) - 1 AS size, ws[i] || ' ' || ws[i + 1] AS g, count(*) AS n FROM up GROUP BY ALL),
+shared AS (SELECT doc_id, unit, first_line, last_line, ug.size, licence, sum(least(ug.n, tg.n)) AS n FROM ug JOIN tg USING (g) GROUP BY ALL),
+scored AS (SELECT *, 2 * shared.n / (shared.size + ts.size) AS score FROM shared JOIN ts USING (licence))
+SELECT doc_id, unit, first_line::INT AS first_line, last_line::INT AS last_line, licence, round(score, 6) AS score FROM scored WHERE score >= 0.7
+QUALIFY row_number() OVER (PARTITION BY doc_id, unit, first_line, last_line ORDER BY score DESC, licence) = 1""".replace("\\\\", "\\"))
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id").withColumn("score", F.round("score", 6))
+
+
 @query("op6_jaccard_join")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"), k=3, percent=90)

@@ -467,8 +467,8 @@ def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
     return encoded.select("id", "ids").mapInArrow(run, f"id {kind}, n_ids long, text string")
 
 
-def round_trip(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_ids, ids_crc32, n_chars_back, restored): encode and decode in one pass over the texts, and compare.
+def round_trip(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(id, n_ids, ids_crc32, n_chars_back, restored [, ids]): encode and decode in one pass over the texts, and compare.
 
     ``restored`` allows for the one thing decoding cannot tell: U+2581 in a text comes back as a blank.
     """
@@ -488,6 +488,8 @@ def round_trip(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col
                     pa.array([zlib.crc32(wide[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])], pa.int64()),
                     pa.array([len(t) for t in texts], pa.int64()),
                     pa.array([t.encode() == raw[a:b].replace(_BLANK_BYTES, b" ") for t, a, b in zip(texts, at, at[1:])]),
-                ], ["id", "n_ids", "ids_crc32", "n_chars_back", "restored"])
+                    *([pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))] if with_ids else []),
+                ], ["id", "n_ids", "ids_crc32", "n_chars_back", "restored", *(["ids"] if with_ids else [])])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_ids long, ids_crc32 long, n_chars_back long, restored boolean")
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, n_ids long, ids_crc32 long, n_chars_back long, restored boolean" + ", ids array<int>" * with_ids)

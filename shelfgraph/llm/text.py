@@ -94,13 +94,13 @@ class Words(NamedTuple):
     first: np.ndarray    # n + 1 values: the words of row r are first[r] .. first[r + 1] - 1
 
 
-def words(chunk: Chunk) -> Words:
-    """The words of each row; none reaches over the end of its row."""
+def words(chunk: Chunk, outside: np.ndarray = BLANK) -> Words:
+    """The words of each row: runs of bytes that are not ``outside``; none reaches over the end of its row."""
     data, offsets = chunk.data, chunk.offsets
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(none, none, none, np.zeros(chunk.n + 1, np.int64))
-    solid = ~BLANK[data]
+    solid = ~outside[data]
     starts, ends = solid.copy(), solid.copy()
     starts[1:] &= ~solid[:-1]
     ends[:-1] &= ~solid[1:]
