@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -180,9 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score_function(model: Trees):
     """A column function that scores texts in their place, so that the other columns of a row stay as they are."""
     @F.pandas_udf("double")
-    def score(texts: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
-
+    def score(texts: pd.Series) -> pd.Series:
         parts = [model.scores(statistics(c)) for c in chunks(pa.array(texts, pa.string()))]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 

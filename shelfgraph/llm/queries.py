@@ -122,7 +122,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _quoted(text: str) -> str:
-    return "'" + text + "'"
+    return "'" + text.replace("'", "''") + "'"
 
 
 @query("op5_license_scan", r"""
@@ -142,7 +142,7 @@ ug AS (SELECT doc_id, unit, first_line, last_line, len(ws) - 1 AS size, ws[i] ||
 shared AS (SELECT doc_id, unit, first_line, last_line, ug.size, licence, sum(least(ug.n, tg.n)) AS n FROM ug JOIN tg USING (g) GROUP BY ALL),
 scored AS (SELECT *, 2 * shared.n / (shared.size + ts.size) AS score FROM shared JOIN ts USING (licence))
 SELECT doc_id, unit, first_line::INT AS first_line, last_line::INT AS last_line, licence, round(score, 6) AS score FROM scored WHERE score >= 0.7
-QUALIFY row_number() OVER (PARTITION BY doc_id, unit, first_line, last_line ORDER BY score DESC, licence) = 1""".replace("\\\\", "\\"))
+QUALIFY row_number() OVER (PARTITION BY doc_id, unit, first_line, last_line ORDER BY score DESC, licence) = 1""")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents"))
     return found.withColumnRenamed("id", "doc_id").withColumn("score", F.round("score", 6))
