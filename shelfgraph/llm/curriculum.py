@@ -64,7 +64,7 @@ def due_time(part: Column, knots: Column) -> Column:
     a, b = F.element_at(knots, piece), F.element_at(knots, piece + 1)
     left = F.greatest(F.lit(0.0), due - F.element_at(sums, piece))
     # a x + (b - a) x^2 / 2 = left, in the form that also holds for b = a
-    x = 2 * left / (a + F.sqrt(F.greatest(F.lit(0.0), a * a + 2 * (b - a) * left)))
+    x = F.try_divide(2 * left, a + F.sqrt(F.greatest(F.lit(0.0), a * a + 2 * (b - a) * left)))
     return (piece - 1 + F.least(F.lit(1.0), F.coalesce(x, F.lit(0.0)))) / steps
 
 

@@ -4,7 +4,8 @@
 2. Classes that can be linked are brought together by signatures: two sets of similarity t differ in at most d keys (d follows
    from their sizes), so if the key space is cut into more than d parts, some parts are equal in both. A signature is the hash of
    a part. Sizes are cut into ranges by the ratio t; a set takes part in its own range and the one below. Components of "shares a
-   signature" are blocks: no link leaves a block, and texts that merely share a passage rarely share a part.
+   signature" are blocks: no link leaves a block, and texts that merely share a passage rarely share a part. A signature
+   leaves each Arrow batch once, so one that very many texts share is a few rows by the time it is shuffled.
 3. Inside a block, a T-occurrence search joins the sets: the inverted lists of a set's keys are split by length, the short ones
    are merged and counted, and sets that may still reach the required overlap are probed in the long ones (DivideSkip). Every pair in a
    block that reaches the overlap is counted; only the edges of a spanning forest leave a task.
@@ -110,29 +111,52 @@ class Signatures:
         return np.concatenate(out) if out else np.zeros(0, _U)
 
 
-_SCHEMA = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("name", pa.binary()), ("signatures", pa.list_(pa.int64()))])
+_SCHEMA = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("name", pa.binary()),
+                     ("signatures", pa.list_(pa.int64())), ("near", pa.list_(pa.int64()))])
+
+
+def _lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
+    """The values of each of n rows; they come in row order."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]), pa.int32()), pa.array(values.view(np.int64)))
+
+
+def _once(found: list[np.ndarray], nodes: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
+    """Each signature for the first row of a batch that has it; the others get that row's node as a neighbour instead."""
+    n = len(found)
+    flat, owner = np.concatenate([*found, np.zeros(0, _U)]), np.repeat(np.arange(n), [len(f) for f in found])
+    order = np.argsort(flat, kind="stable")
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[order][1:] != flat[order][:-1]
+    keep = np.zeros(len(flat), bool)
+    keep[order[new]] = True
+    first = owner[order[new]][np.cumsum(new) - 1]
+    row, other = owner[order[~new]], nodes[first[~new]]
+    by_row = np.lexsort((other, row))
+    row, other = row[by_row], other[by_row]
+    distinct = np.ones(len(row), bool)
+    distinct[1:] = (row[1:] != row[:-1]) | (other[1:] != other[:-1])
+    return _lists(owner[keep], flat[keep], n), _lists(row[distinct], other[distinct], n)
 
 
 def _set_rows(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signatures, seen = Signatures(percent), set()
         for batch in batches:
+            names, sizes, found = [], [], []
             for chunk in chunks(batch.column(2)):
                 sets, first = shingle_sets(chunk, k)
-                mixed, names = mix(sets), set_names(sets, first)
-                cut, found = first.tolist(), []
-                for name, a, b in zip(names, cut, cut[1:]):
+                mixed, cut = mix(sets), first.tolist()
+                for name, a, b in zip(set_names(sets, first), cut, cut[1:]):
                     new = name not in seen  # copies met again in this task need no signatures
                     seen.add(name)
+                    names.append(name)
                     found.append(signatures.of(sets[a:b], mixed[a:b]) if new else np.zeros(0, _U))
+                sizes.append(np.diff(first))
                 if len(seen) > SEEN:
                     seen.clear()
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(f) for f in found)]), pa.int32()),
-                                                 pa.array(np.concatenate([*found, np.zeros(0, _U)]).view(np.int64)))
-                yield pa.record_batch([
-                    batch.column(0).slice(chunk.first, chunk.n), batch.column(1).slice(chunk.first, chunk.n), pa.array(np.diff(first)),
-                    pa.array([int.from_bytes(x[:8], "little", signed=True) for x in names], pa.int64()), pa.array(names, pa.binary()), lists,
-                ], schema=_SCHEMA)
+            nodes = np.array([int.from_bytes(x[:8], "little", signed=True) for x in names], np.int64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.concatenate([*sizes, np.zeros(0, np.int64)])), pa.array(nodes),
+                                   pa.array(names, pa.binary()), *_once(found, nodes)], schema=_SCHEMA)
 
     return run
 
@@ -275,10 +299,12 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("text_key"), "text")
-    sets = staged(rows.mapInArrow(_set_rows(k, percent), "id long, text_key long, n_shingles long, node long, name binary, signatures array<long>"), "shingle-sets")
+    kinds = "id long, text_key long, n_shingles long, node long, name binary, signatures array<long>, near array<long>"
+    sets = staged(rows.mapInArrow(_set_rows(k, percent), kinds), "shingle-sets")
     named = sets.select("node", F.explode("signatures").alias("signature"))
-    shared = named.groupBy("signature").agg(F.min("node").alias("a"), F.max("node").alias("top")).filter("a < top").select(F.col("signature").alias("s"), "a")
-    pairs = named.join(shared, F.col("signature") == F.col("s")).filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+    least = F.min("node").over(Window.partitionBy("signature").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    pairs = named.withColumn("a", least).filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+    pairs = pairs.union(sets.select(F.explode("near").alias("a"), F.col("node").alias("b")))
     blocks = components(pairs, "blocks").select(F.col("node").alias("member"), F.col("component").alias("block"))
 
     classes = sets.filter("n_shingles > 0").groupBy("name").agg(
