@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+from unicodedata import category
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,3 +76,23 @@ def search_tokens(*cs) -> Column:
         ),
     )
     return F.concat(words, F.flatten(pairs))
+
+
+def analysed(term: str | None) -> list[tuple[str, bool]]:
+    """The tokens of a search term, as ``search_tokens`` makes them of a title: (token, whether it is Japanese)."""
+    text = (term or "").lower().translate(str.maketrans(_ACCENTED, _PLAIN))
+    tokens: list[tuple[str, bool]] = []
+    for japanese, chars in groupby(text, _token_class):
+        run = "".join(chars)
+        if japanese:
+            tokens += [(run[i:i + 2], True) for i in range(max(1, len(run) - 1))]
+        elif japanese is False:
+            tokens.append((run, False))
+    return tokens
+
+
+def _token_class(char: str) -> bool | None:
+    """True for a Japanese character, False for another letter or number, None for what parts words."""
+    if "\u3040" <= char <= "\u30ff" or "\u3400" <= char <= "\u9fff":
+        return True
+    return False if category(char)[0] in "LN" else None

@@ -14,6 +14,8 @@ PUBLISHED_BY = "PUBLISHED_BY"
 PRODUCED_BY = "PRODUCED_BY"
 RELATED_TO = "RELATED_TO"
 
+EDGE_BUCKETS = 64
+
 # Column names of the graph-shaped results.
 NODE_KEY = ["id", "type", "label"]
 EDGE_KEY = ["id", "src", "dst", "type"]
@@ -29,15 +31,18 @@ class Graph:
     """``nodes(id, type, label, <property columns>)`` and ``edges(id, src, dst, type, <...>)``.
 
     Properties are plain nullable columns, so column pruning and predicate pushdown reach the files.
-    Both frames stay lazy; counting them is an action of the caller.
+    Both frames stay lazy; counting them is an action of the caller. A stored graph has its edges twice, in folders by a hash
+    of the source and by one of the target (column ``bucket``), so that the edges of few nodes are read from few files.
     """
 
     nodes: DataFrame
     edges: DataFrame
     held: tuple[DataFrame, ...] = ()
+    by_src: DataFrame | None = None
+    by_dst: DataFrame | None = None
 
     def release(self) -> None:
-        """Free the intermediate rows a search kept for reuse (they spill, and are recomputed when lost)."""
+        """Free all rows an operator kept for reuse (they spill, and are recomputed when lost)."""
         for df in self.held:
             df.unpersist()
 
@@ -54,13 +59,21 @@ class Graph:
         return self.edges.select("src", "dst", "type")
 
     def write(self, path: str) -> None:
-        """Store the graph with both tables partitioned by type, so type filters prune folders."""
+        """Store the graph: nodes by type, edges by type and a bucket of either end, sorted by that end."""
         self.nodes.write.mode("overwrite").partitionBy("type").parquet(f"{path}/nodes")
-        self.edges.write.mode("overwrite").partitionBy("type").parquet(f"{path}/edges")
+        for end, name in (("src", "edges"), ("dst", "edges_in")):
+            placed = self.edges.withColumn("bucket", bucket(F.col(end))).repartition("type", "bucket").sortWithinPartitions("type", "bucket", end)
+            placed.write.mode("overwrite").partitionBy("type", "bucket").parquet(f"{path}/{name}")
 
     @staticmethod
     def read(spark, path: str) -> "Graph":
-        return Graph(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
+        by_src, by_dst = spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/edges_in")
+        return Graph(spark.read.parquet(f"{path}/nodes"), by_src.drop("bucket"), by_src=by_src, by_dst=by_dst)
+
+
+def bucket(end: Column) -> Column:
+    """The folder of a node's edges in a stored graph."""
+    return F.pmod(F.xxhash64(end), F.lit(EDGE_BUCKETS)).cast("int")
 
 
 def empty_like(graph: Graph) -> Graph:

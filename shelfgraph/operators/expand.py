@@ -7,51 +7,57 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfgraph.graph import PUBLISHED_BY, PUBLISHED_IN, Graph
-from shelfgraph.operators.limits import first_per_key, small
+from shelfgraph.graph import PUBLISHED_BY, PUBLISHED_IN, Graph, bucket
+from shelfgraph.operators.limits import first_per_key
 
 
-def incident_edges(edges: DataFrame, ids: DataFrame, limit: int) -> DataFrame:
-    """Edges touching any of ``ids(id)`` with the far end in ``other``.
+def _edges_at(graph: Graph, end: str, ids: DataFrame | str, type_: str | None = None) -> DataFrame:
+    """Edges whose ``end`` is one of ``ids(id)``, or a known id, from the copy of the edges that lies in order of that end."""
+    placed = graph.by_src if end == "src" else graph.by_dst
+    edges = graph.edges if placed is None else placed
+    if type_ is not None:
+        edges = edges.filter(F.col("type") == type_)
+    if isinstance(ids, str):
+        found = edges.filter(F.col(end) == ids)
+        return found if placed is None else found.filter(F.col("bucket") == bucket(F.lit(ids))).drop("bucket")
+    wanted = ids.select(F.col("id").alias(end))
+    if placed is None:
+        return edges.join(wanted, end, "left_semi")
+    return edges.join(wanted.withColumn("bucket", bucket(F.col(end))), ["bucket", end], "left_semi").drop("bucket")
 
-    Each edge is offered under both of its ends, so one scan and one equi join serve both
-    directions; an OR join would be a nested loop. ``ids`` holds at most ``limit`` rows.
+
+def incident_edges(graph: Graph, ids: DataFrame | str) -> DataFrame:
+    """Edges touching any of ``ids(id)``, or one known id, with that end in ``end`` and the far one in ``other``.
+
+    Two semi joins, one for each end: an OR join would be a nested loop, and the edge columns stay plain, so that filters reach the scan.
     """
-    both = edges.withColumn("end", F.explode(F.array("src", "dst")))
-    wanted = small(ids.select(F.col("id").alias("end")), limit)
-    return both.join(wanted, "end", "left_semi").withColumn(
-        "other", F.when(F.col("end") == F.col("src"), F.col("dst")).otherwise(F.col("src"))
-    )
+    out = _edges_at(graph, "src", ids).withColumn("end", F.col("src")).withColumn("other", F.col("dst"))
+    into = _edges_at(graph, "dst", ids).withColumn("end", F.col("dst")).withColumn("other", F.col("src"))
+    return out.unionByName(into)
 
 
-def publisher_hop(edges: DataFrame, ids: DataFrame, limit: int) -> DataFrame:
-    """PUBLISHED_BY edges of the magazines the works ``ids(id)`` appear in."""
-    wanted = small(ids.select(F.col("id").alias("src")), limit)
-    magazines = (
-        edges.filter(F.col("type") == PUBLISHED_IN).join(wanted, "src", "left_semi").select("dst").distinct()
-    )
-    return edges.filter(F.col("type") == PUBLISHED_BY).join(
-        magazines.select(F.col("dst").alias("src")), "src", "left_semi"
-    )
+def publisher_hop(graph: Graph, touching: DataFrame, ids: DataFrame) -> DataFrame:
+    """PUBLISHED_BY edges of the magazines that the works ``ids(id)`` appear in, by their ``touching`` edges."""
+    own = touching.filter(F.col("type") == PUBLISHED_IN).join(ids.select(F.col("id").alias("src")), "src", "left_semi")
+    return _edges_at(graph, "src", own.select(F.col("dst").alias("id")).distinct(), PUBLISHED_BY)
 
 
-def expand(graph: Graph, seeds: DataFrame, limit: int, with_publishers: bool = True) -> Graph:
+def expand(graph: Graph, seeds: DataFrame, with_publishers: bool = True, known_id: str | None = None) -> Graph:
     """Seeds, their neighbours in either direction, and optionally the publishers of their magazines.
 
-    ``seeds`` are node rows, at most ``limit``; node ids in ``graph`` are unique.
+    ``seeds`` are the node rows of a limited result (``known_id`` if it is one node of known id); node ids in ``graph`` are unique.
+    The seeds and their edges are read several times, so they are kept until the result is released.
     """
-    edges = incident_edges(graph.edges, seeds, limit).drop("end", "other")
-    if with_publishers:
-        edges = edges.unionByName(publisher_hop(graph.edges, seeds, limit))
-    # Copies of an edge are equal in every column, and distinct is a hash aggregate where picking a
-    # row per id would sort. Both result tables read the found edges, so they are kept; they spill.
-    edges = edges.distinct().persist()
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    neighbours = (
-        graph.nodes.join(ends, "id", "left_semi").join(small(seeds.select("id"), limit), "id", "left_anti")
-    )
-    nodes = seeds.unionByName(neighbours, allowMissingColumns=True)
-    return Graph(nodes, edges, held=(seeds, edges))
+    seeds = seeds.persist()
+    # Copies of an edge are equal in every column, and distinct is a hash aggregate where picking a row per id would sort.
+    near = incident_edges(graph, known_id or seeds)
+    if known_id is not None:  # an id that is no seed has edges too
+        near = near.join(seeds.select(F.col("id").alias("end")), "end", "left_semi")
+    near = near.drop("end", "other").distinct().persist()
+    edges = near.unionByName(publisher_hop(graph, near, seeds)).distinct() if with_publishers else near
+    ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    neighbours = graph.nodes.join(ends, "id", "left_semi").join(seeds.select("id"), "id", "left_anti")
+    return Graph(seeds.unionByName(neighbours, allowMissingColumns=True), edges, held=(seeds, near))
 
 
 def assemble(node_parts: list[DataFrame], edge_parts: list[DataFrame]) -> Graph:
@@ -67,8 +73,9 @@ def assemble(node_parts: list[DataFrame], edge_parts: list[DataFrame]) -> Graph:
 
 
 def merge_graphs(*graphs: Graph) -> Graph:
-    """Union of graphs by id, the first graph winning."""
-    return assemble([g.nodes for g in graphs], [g.edges for g in graphs])
+    """Union of graphs by id, the first graph winning; releasing it releases the parts."""
+    merged = assemble([g.nodes for g in graphs], [g.edges for g in graphs])
+    return Graph(merged.nodes, merged.edges, held=tuple(df for g in graphs for df in g.held))
 
 
 def linked(graph: Graph, edge_type: str, to_id: str | None = None) -> DataFrame:

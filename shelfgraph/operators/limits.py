@@ -6,10 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-# A result of at most this many rows may be broadcast: the request limits end at 500.
-MAX_BROADCAST_ROWS = 10_000
-
-
 def top_rows(df: DataFrame, limit: int, *order) -> DataFrame:
     """The first ``limit`` rows of a total order (one TakeOrdered step, no full sort)."""
     if limit < 0:
@@ -17,16 +13,6 @@ def top_rows(df: DataFrame, limit: int, *order) -> DataFrame:
     return df.orderBy(*order).limit(limit)
 
 
-def seeds_of(df: DataFrame, limit: int, *order) -> DataFrame:
-    """``top_rows`` kept for reuse: later steps read these few rows several times."""
-    return top_rows(df, limit, *order).persist()
-
-
-def small(df: DataFrame, limit: int) -> DataFrame:
-    """Broadcast hint for a frame known to hold at most ``limit`` rows; beyond the bound, no hint."""
-    return F.broadcast(df) if limit <= MAX_BROADCAST_ROWS else df
-
-
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key, the first in ``order``.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfgraph.functions.names import script_priority
-from shelfgraph.graph import Graph
+from shelfgraph.graph import Graph, edge_id
 from shelfgraph.operators.limits import first_per_key, top_rows
 from shelfgraph.operators.upsert import without_ends
 
@@ -49,15 +49,30 @@ def statistics(graph: Graph) -> DataFrame:
     return rows(nodes).unionByName(rows(edges))
 
 
-def duplicate_report(nodes: DataFrame, keys: list[str], top: int = 20) -> DataFrame:
-    """The keys with the most copies."""
-    filled = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    counted = nodes.filter(filled).groupBy(*keys).agg(F.count("*").alias("copies")).filter(F.col("copies") > 1)
-    return top_rows(counted, top, F.col("copies").desc(), *[F.col(k) for k in keys])
+def _filled(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+
+
+def _with_type(df: DataFrame, keys: list[str]) -> list[str]:
+    """Nodes of different types are never copies of each other."""
+    return ["type", *keys] if "type" in df.columns and "type" not in keys else keys
+
+
+def duplicate_report(nodes: DataFrame, keys: list[str], top: int | None = None, only_without: str | None = None) -> DataFrame:
+    """The keys with copies, most copies first, or the ``top`` ones if a number is asked for.
+
+    ``only_without`` names a column that must be null: the pass by name looks at nodes without a business id.
+    """
+    keys = _with_type(nodes, keys)
+    rows = nodes.filter(_filled(keys)) if only_without is None else nodes.filter(_filled(keys) & F.col(only_without).isNull())
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("copies")).filter(F.col("copies") > 1)
+    order = [F.col("copies").desc(), *[F.col(k) for k in keys]]
+    return counted.orderBy(*order) if top is None else top_rows(counted, top, *order)
 
 
 def surplus_rows(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """Keys with copies, and the rows a clean-up would remove."""
+    keys = _with_type(nodes, keys)
     per = nodes.groupBy(*keys).agg(F.count("*").alias("copies")).filter(F.col("copies") > 1)
     return per.agg(F.count("*").alias("duplicated_keys"), F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("surplus"))
 
@@ -67,26 +82,32 @@ def drop_duplicates(df: DataFrame, keys: list[str], order: list[Column]) -> Data
     return first_per_key(df, keys, order)
 
 
-def dedupe_graph(graph: Graph, keys: list[str], rewire: bool = False) -> Graph:
-    """Keep the node with the lowest id per key; edges of the others go, or move to the kept node.
+def dedupe_graph(graph: Graph, keys: list[str], rewire: bool = False, only_without: str | None = None) -> Graph:
+    """Keep the node with the lowest id per type and key; edges of the others go, or move to the kept node.
 
-    Nodes with a null key are left alone.
+    Nodes with a null key are left alone, and with ``only_without`` those that have a value in that column. Edges that move get
+    the id of their new ends; of edges that become one, the one with the lowest old id gives the other columns.
     """
-    filled = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    keep = graph.nodes.filter(filled).groupBy(*keys).agg(F.min("id").alias("_keep"))
+    keys = _with_type(graph.nodes, keys)
+    filled = _filled(keys) if only_without is None else _filled(keys) & F.col(only_without).isNull()
+    keyed = graph.nodes.filter(filled)
+    keep = keyed.groupBy(*keys).agg(F.min("id").alias("_keep"))
     same = reduce(lambda a, b: a & b, [F.col(f"n.{k}") == F.col(f"k.{k}") for k in keys])
     renamed = (
-        graph.nodes.alias("n").join(keep.alias("k"), same).select(F.col("n.id").alias("id"), "_keep")
+        keyed.alias("n").join(keep.alias("k"), same).select(F.col("n.id").alias("id"), "_keep")
         .filter(F.col("id") != F.col("_keep"))
     )
     nodes = graph.nodes.join(renamed.select("id"), "id", "left_anti")
     if not rewire:
         return Graph(nodes, without_ends(graph.edges, renamed.select("id")))
-    edges = graph.edges
+    edges = graph.edges.withColumn("_moved", F.lit(False))
     for end in ("src", "dst"):
         to = renamed.select(F.col("id").alias(end), F.col("_keep").alias("_to"))
-        edges = edges.join(to, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
-    return Graph(nodes, edges.select(*graph.edges.columns).dropDuplicates(["src", "dst", "type"]))
+        edges = edges.join(to, end, "left").withColumn("_moved", F.col("_moved") | F.col("_to").isNotNull())
+        edges = edges.withColumn(end, F.coalesce("_to", end)).drop("_to")
+    first = first_per_key(edges, ["src", "dst", "type"], [F.col("id").asc_nulls_last(), F.col("_moved")])
+    moved = first.withColumn("id", F.when(F.col("_moved"), edge_id("src", "type", "dst")).otherwise(F.col("id")))
+    return Graph(nodes, moved.select(*graph.edges.columns))
 
 
 def coverage(df: DataFrame, column: str, by: str | None = None) -> DataFrame:

@@ -12,7 +12,8 @@ from shelfgraph.functions.scoring import (
 )
 from shelfgraph.graph import CREATED_BY, PUBLISHED_BY, PUBLISHED_IN, Graph, empty_like
 from shelfgraph.operators.expand import expand, linked, sources_of
-from shelfgraph.operators.limits import seeds_of, small, top_per_key, top_rows
+from shelfgraph.operators.filters import min_volumes
+from shelfgraph.operators.limits import top_per_key, top_rows
 from shelfgraph.operators.search import by_title
 
 SCORES = ["demo_score", "themes_score", "themes_ratio", "date_jaccard"]
@@ -24,22 +25,21 @@ def work_by_id(works: DataFrame, node_id: str) -> DataFrame:
 
 def work_subgraph(graph: Graph, node_id: str) -> Graph:
     """One work and everything one hop away."""
-    return expand(graph, work_by_id(graph.of_type("work"), node_id), 1, with_publishers=False)
+    return expand(graph, work_by_id(graph.of_type("work"), node_id), with_publishers=False, known_id=node_id)
 
 
-def _star(graph: Graph, rows: DataFrame, limit: int, edge_type: str, centre_id: str, centre_type: str) -> Graph:
+def _star(graph: Graph, rows: DataFrame, edge_type: str, centre_id: str, centre_type: str) -> Graph:
+    rows = rows.persist()
     centre = graph.of_type(centre_type).filter(F.col("id") == centre_id)
-    edges = linked(graph, edge_type, centre_id).join(
-        small(rows.select(F.col("id").alias("src")), limit), "src", "left_semi"
-    )
+    edges = linked(graph, edge_type, centre_id).join(rows.select(F.col("id").alias("src")), "src", "left_semi")
     # A missing or childless centre gives an empty graph.
     kept = centre.join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
-    return Graph(rows.unionByName(kept, allowMissingColumns=True), edges)
+    return Graph(rows.unionByName(kept, allowMissingColumns=True), edges, held=(rows,))
 
 
 def author_works(graph: Graph, author_id: str, limit: int = 50) -> Graph:
-    hits = seeds_of(sources_of(graph, CREATED_BY, author_id, "work"), limit, *by_title())
-    return _star(graph, hits, limit, CREATED_BY, author_id, "author")
+    hits = top_rows(sources_of(graph, CREATED_BY, author_id, "work"), limit, *by_title())
+    return _star(graph, hits, CREATED_BY, author_id, "author")
 
 
 def with_reference_scores(works: DataFrame, reference: DataFrame, as_of_year: int) -> DataFrame:
@@ -75,22 +75,22 @@ def magazine_works(graph: Graph, magazine_id: str, limit: int = 50, reference_id
     """Works of a magazine by title, or by likeness to a reference work, which is left out."""
     works = sources_of(graph, PUBLISHED_IN, magazine_id, "work")
     if reference_id is None:
-        hits = seeds_of(works, limit, *by_title())
+        hits = top_rows(works, limit, *by_title())
     else:
         if as_of_year is None:
             raise ValueError("as_of_year is needed with a reference work")
         reference = work_by_id(graph.of_type("work"), reference_id)
         scored = with_reference_scores(works.filter(F.col("id") != reference_id), reference, as_of_year)
-        hits = seeds_of(scored, limit, *by_reference())
-    return _star(graph, hits, limit, PUBLISHED_IN, magazine_id, "magazine")
+        hits = top_rows(scored, limit, *by_reference())
+    return _star(graph, hits, PUBLISHED_IN, magazine_id, "magazine")
 
 
 def publisher_magazines(graph: Graph, publisher_id: str, limit: int = 50, exclude_id: str | None = None) -> Graph:
     magazines = sources_of(graph, PUBLISHED_BY, publisher_id, "magazine")
     if exclude_id is not None:
         magazines = magazines.filter(F.col("id") != exclude_id)
-    hits = seeds_of(magazines, limit, F.lower(F.coalesce("name", F.lit(""))), F.col("id"))
-    return _star(graph, hits, limit, PUBLISHED_BY, publisher_id, "publisher")
+    hits = top_rows(magazines, limit, F.lower(F.coalesce("name", F.lit(""))), F.col("id"))
+    return _star(graph, hits, PUBLISHED_BY, publisher_id, "publisher")
 
 
 def works_per_magazine(graph: Graph, magazine_ids: list[str] | None, work_limit: int,
@@ -225,3 +225,22 @@ def by_volumes(descending: bool) -> list[Column]:
         (volumes.desc() if descending else volumes.asc()),
         F.col("id").asc(),
     ]
+
+
+def search_with_same_publisher(hits: DataFrame, graph: Graph, anchor_id: str, year_window: int = 2, related_limit: int | None = None,
+                               include_related: bool = True, min_total_volumes: int | None = None, sort_total_volumes: str | None = None) -> DataFrame:
+    """Main hits (node rows) with works of the anchor's publishers in other magazines, as one list; a main hit is not repeated.
+
+    ``min_total_volumes`` keeps long series only; ``sort_total_volumes`` (asc or desc) orders by volumes, else main hits come first.
+    """
+    if sort_total_volumes not in (None, "asc", "desc"):
+        raise ValueError("sort_total_volumes must be asc or desc")
+    rows = hits.withColumn("_part", F.lit(0))
+    if include_related:
+        others = same_publisher_other_magazines(graph, anchor_id, year_window, related_limit)
+        fresh = others.join(hits.select("id"), "id", "left_anti").withColumn("_part", F.lit(1))
+        rows = rows.unionByName(fresh, allowMissingColumns=True)
+    if min_total_volumes is not None:
+        rows = min_volumes(rows, min_total_volumes)
+    order = by_volumes(sort_total_volumes == "desc") if sort_total_volumes else [F.col("_part"), *by_title()]
+    return rows.orderBy(*order).drop("_part")

@@ -2,32 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass, replace
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfgraph.functions.nodes import mentions
 from shelfgraph.functions.text import contains_ci
-from shelfgraph.functions.titles import levenshtein_similarity, search_tokens
+from shelfgraph.functions.titles import analysed, levenshtein_similarity, search_tokens
 from shelfgraph.graph import Graph, empty_like
 from shelfgraph.operators.expand import expand, incident_edges
 from shelfgraph.operators.filters import ENGLISH, JAPANESE, drop_content, title_matches
-from shelfgraph.operators.limits import seeds_of, small, top_rows
+from shelfgraph.operators.limits import top_rows
 
 # Defaults (fixed values).
-CANDIDATE_LIMIT = 200
 RANK_THRESHOLD = 0.45
 MODES = ("ranked", "fulltext", "simple")
 LANGUAGES = (JAPANESE, ENGLISH)
 INDEXED = ("title_name", "english_name", "japanese_name", "title")
 EXCLUDED = "hentai"
-TOKENS = "_tokens"
 
 # BM25 parameters (Robertson et al.).
 K1 = 1.2
 B = 0.75
 
-_SPECIALS = r'+-&|!(){}[]^"~*?:\/'
-
 
 def by_members() -> list[Column]:
     """Most members first, then lowest numeric id; non-numeric ids last."""
@@ -44,159 +42,162 @@ def by_title() -> list[Column]:
 
 
 def simple_hits(works: DataFrame, term: str | None, limit: int, language: str = ENGLISH) -> DataFrame:
-    return seeds_of(works.filter(title_matches(term, language)), limit, *by_members())
+    return top_rows(works.filter(title_matches(term, language)), limit, *by_members())
 
 
 def query_terms(term: str | None) -> list[tuple[str, int]]:
-    """Search words with the edits each allows: only the last word is fuzzy, by one edit.
+    """Search tokens with the edits each allows, analysed as the titles are: only a last word that is not Japanese is fuzzy, by one edit.
 
-    Returns an empty list for no term, which matches everything.
+    Returns an empty list for no term, which matches everything. A word of one character is not fuzzy: one edit would make it any other.
     """
-    if not term or not term.strip():
-        return []
-    plain = "".join(" " if ch in _SPECIALS else ch for ch in term.strip().lower())
-    words = plain.split()
-    return [(w, 1 if i == len(words) - 1 else 0) for i, w in enumerate(words)]
+    tokens = analysed(term)
+    words = [t for t, japanese in tokens if not japanese]
+    last = words[-1] if tokens and not tokens[-1][1] and len(words[-1]) > 1 else None
+    return [(t, 1 if t == last and not japanese else 0) for t, japanese in dict.fromkeys(tokens)]
 
 
 def _matches(token: Column, terms: list[tuple[str, int]]) -> Column:
-    test = F.lit(False)
+    test = token.isin([w for w, _ in terms])
     for word, edits in terms:
-        test = test | (token == word)
         if edits:
-            test = test | (F.levenshtein(token, F.lit(word), edits) >= 0)
+            test = test | ((F.length(token) > 1) & (F.levenshtein(token, F.lit(word), edits) >= 0))
     return test
 
 
 def _boost(token: Column, terms: list[tuple[str, int]]) -> Column:
-    """1 for an exact word, less by edits over the shorter length for a near word."""
-    word = terms[-1][0]
-    exact = [w for w, _ in terms]
-    near = 1 - F.lit(1.0) / F.least(F.length(token), F.lit(len(word)))
-    return F.when(token.isin(exact), F.lit(1.0)).otherwise(near)
-
-
-def with_tokens(works: DataFrame) -> DataFrame:
-    """Works with their search tokens as a column. Store it with the works, and searches only read it."""
-    return works.withColumn(TOKENS, search_tokens(*INDEXED))
+    """1 for an exact word, less by edits over the shorter length for a near word; never 0, as near words have two characters or more."""
+    fuzzy = next((w for w, edits in terms if edits), "")
+    near = 1 - F.lit(1.0) / F.least(F.length(token), F.lit(max(2, len(fuzzy))))
+    return F.when(token.isin([w for w, _ in terms]), F.lit(1.0)).otherwise(near)
 
 
-def fulltext_scores(works: DataFrame, term: str | None, language: str = ENGLISH) -> DataFrame:
-    """Works with a BM25 ``score`` over their title columns.
+@dataclass(frozen=True)
+class TokenIndex:
+    """Search tokens of works: ``postings(token, id, tf, length, japanese)`` and one row ``totals(docs, tokens)``.
 
-    Term frequencies come from the row itself. Document frequencies are one small map, keyed by the
-    query words and the indexed words one edit away from the last of them. So scoring needs no
-    shuffle of the works: one pass counts, one pass scores.
+    Built from works it is lazy, and a search tokenises them. Written once, sorted by token, a search reads the files of its tokens.
     """
+
+    postings: DataFrame
+    totals: DataFrame
+
+    @staticmethod
+    def of(works: DataFrame) -> TokenIndex:
+        rows = works.select("id", search_tokens(*INDEXED).alias("_tokens"), (F.coalesce("japanese_name", F.lit("")) != "").alias("japanese"))
+        count = lambda t: F.struct(t.alias("token"), F.size(F.filter("_tokens", lambda x: x == t)).alias("tf"))
+        # The explode keeps the tokens from being computed once for each use.
+        rows = rows.select("id", "japanese", F.explode(F.array("_tokens")).alias("_tokens")).withColumn("length", F.size("_tokens"))
+        postings = rows.select(F.explode(F.transform(F.array_distinct("_tokens"), count)).alias("t"), "id", "length", "japanese").select("t.*", "id", "length", "japanese")
+        return TokenIndex(postings, rows.agg(F.count("*").alias("docs"), F.sum("length").alias("tokens")))
+
+    def write(self, path: str) -> None:
+        self.postings.repartitionByRange("token").sortWithinPartitions("token", "id").write.mode("overwrite").parquet(f"{path}/postings")
+        self.totals.write.mode("overwrite").parquet(f"{path}/totals")
+
+    @staticmethod
+    def read(spark, path: str) -> TokenIndex:
+        return TokenIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/totals"))
+
+
+def token_scores(index: TokenIndex, terms: list[tuple[str, int]], language: str = ENGLISH) -> DataFrame:
+    """(id, score) by BM25 of the works with a matching token. Only matching postings are shuffled; frequencies count them over all works."""
+    hits = index.postings.filter(_matches(F.col("token"), terms))
+    seen = hits.groupBy("token").agg(F.count("*").alias("df"))
+    totals = index.totals.select(F.struct("docs", "tokens")).scalar()
+    eligible = hits.filter("japanese") if language == JAPANESE else hits
+    rows = eligible.join(seen, "token").withColumn("_t", totals)
+    idf = F.log(1 + (F.col("_t.docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    mean = F.col("_t.tokens") / F.col("_t.docs")
+    weight = _boost(F.col("token"), terms) * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
+    return rows.groupBy("id").agg(F.sum(weight).alias("score"))
+
+
+def fulltext_scores(works: DataFrame, term: str | None, language: str = ENGLISH, index: TokenIndex | None = None) -> DataFrame:
+    """Works that match, with a BM25 ``score`` over their title columns; with no term, all of them with score 1."""
     terms = query_terms(term)
     eligible = works if language != JAPANESE else works.filter(F.coalesce("japanese_name", F.lit("")) != "")
     if not terms:
         return eligible.withColumn("score", F.lit(1.0))
-
-    def with_hits(df: DataFrame) -> DataFrame:
-        tokens = df if TOKENS in df.columns else with_tokens(df)
-        return tokens.withColumn("_len", F.size(TOKENS)).withColumn(
-            "_hits", F.filter(TOKENS, lambda t: _matches(t, terms))
-        ).drop(TOKENS)
-
-    # One pass over the corpus: each work counts once under every word it hits, and once under "",
-    # which is no token. The partial counts leave each task as a handful of rows.
-    indexed = with_hits(works.select(*[c for c in (*INDEXED, TOKENS) if c in works.columns]))
-    counts = (
-        indexed.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct("_hits"))).alias("word"), "_len")
-        .groupBy("word").agg(F.count("*").alias("df"), F.sum("_len").alias("tokens"))
-    )
-    stats = counts.agg(F.map_from_entries(F.collect_list(F.struct("word", F.struct("df", "tokens")))).alias("m")).scalar()
-
-    def word_score(w: Column) -> Column:
-        tf = F.size(F.filter("_hits", lambda t: t == w)).cast("double")
-        seen, docs = F.try_element_at("_stats", w)["df"], F.try_element_at("_stats", F.lit(""))["df"]
-        mean = F.try_element_at("_stats", F.lit(""))["tokens"] / docs
-        idf = F.log(1 + (docs - seen + 0.5) / (seen + 0.5))
-        return _boost(w, terms) * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / mean))
-
-    scored = with_hits(eligible).filter(F.size("_hits") > 0).withColumn("_stats", stats)
-    total = F.aggregate(F.array_sort(F.array_distinct("_hits")), F.lit(0.0), lambda s, w: s + word_score(w))
-    return scored.withColumn("score", total).drop("_len", "_hits", "_stats")
-
-
-def _scaled(hits: DataFrame) -> DataFrame:
-    """Scores divided by the best one of these (already limited) rows."""
-    best = hits.select(F.max("score")).scalar()
-    return hits.withColumn("_best", best).withColumn("score", F.col("score") / F.col("_best")).drop("_best")
+    return eligible.join(token_scores(index or TokenIndex.of(works), terms, language), "id")
 
 
 def _best_scores() -> list[Column]:
     return [F.round("score", 9).desc(), F.col("id").asc()]
 
 
-def fulltext_hits(works: DataFrame, term: str | None, limit: int, language: str = ENGLISH) -> DataFrame:
-    """The best ``limit`` works by full-text score, scores scaled to at most 1."""
-    return _scaled(seeds_of(fulltext_scores(works, term, language), limit, *_best_scores()))
-
-
-def ranked_hits(works: DataFrame, term: str | None, limit: int, language: str = ENGLISH,
-                candidates: int = CANDIDATE_LIMIT, threshold: float = RANK_THRESHOLD) -> DataFrame:
-    """Full-text candidates re-ranked by half score, half title similarity."""
-    pool = fulltext_hits(works, term, candidates, language)
+def fulltext_hits(works: DataFrame, term: str | None, limit: int, language: str = ENGLISH, index: TokenIndex | None = None) -> DataFrame:
+    """The best ``limit`` works by full-text score, scores scaled to at most 1. Works are fetched for the ids left by the limit."""
+    terms = query_terms(term)
+    if not terms:
+        return top_rows(fulltext_scores(works, term, language), limit, *_best_scores())
+    best = top_rows(token_scores(index or TokenIndex.of(works), terms, language), limit, *_best_scores())
+    share = F.try_divide(F.col("score"), F.max("score").over(Window.partitionBy()))  # over these few rows
+    return works.join(best.withColumn("score", share), "id")
+
+
+def ranked_hits(works: DataFrame, term: str | None, limit: int, language: str = ENGLISH, candidates: int | None = None,
+                threshold: float = RANK_THRESHOLD, index: TokenIndex | None = None) -> DataFrame:
+    """Full-text hits re-ranked by half score, half title similarity: all hits, or the best ``candidates`` if a caller asks for that."""
+    scores = fulltext_scores(works, term, language, index)
+    if candidates is not None:
+        scores = top_rows(scores, candidates, *_best_scores())
+    best = scores.select(F.max("score")).scalar()
     title = F.col("japanese_name") if language == JAPANESE else F.coalesce("title_name", "title", "english_name")
     similarity = levenshtein_similarity(F.lower(F.coalesce(title, F.lit(""))), F.lit((term or "").lower()))
-    final = pool.withColumn("similarity", similarity).withColumn(
+    final = scores.withColumn("score", F.try_divide(F.col("score"), best)).withColumn("similarity", similarity).withColumn(
         "final_score", F.lit(0.5) * F.col("score") + F.lit(0.5) * F.col("similarity")
     )
-    return seeds_of(
+    return top_rows(
         final.filter(F.col("final_score") >= threshold), limit, F.round("final_score", 9).desc(), F.col("id").asc()
     )
 
 
-def hits_of(graph: Graph, term: str | None, limit: int, language: str, mode: str) -> DataFrame:
+def hits_of(graph: Graph, term: str | None, limit: int, language: str, mode: str, index: TokenIndex | None = None) -> DataFrame:
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
     works = graph.of_type("work")
     if not term or mode == "simple":
         return simple_hits(works, term or None, limit, language)
-    return (fulltext_hits if mode == "fulltext" else ranked_hits)(works, term, limit, language)
+    return (fulltext_hits if mode == "fulltext" else ranked_hits)(works, term, limit, language, index=index)
 
 
-def _around(graph: Graph, hits: DataFrame, limit: int, exclude: str | None) -> Graph:
-    found = expand(graph, hits, limit)
-    return drop_content(found, exclude) if exclude else found
+def _around(graph: Graph, hits: DataFrame, exclude: str | None) -> Graph:
+    found = expand(graph, hits)
+    return replace(drop_content(found, exclude), held=found.held) if exclude else found
 
 
 def search(graph: Graph, term: str | None, limit: int = 50, language: str = ENGLISH, mode: str = "simple",
-           exclude: str | None = EXCLUDED) -> Graph:
+           exclude: str | None = EXCLUDED, index: TokenIndex | None = None) -> Graph:
     """Matching works with their neighbourhood; works of the excluded content leave after the limit."""
-    return _around(graph, hits_of(graph, term, limit, language, mode), limit, exclude)
+    return _around(graph, hits_of(graph, term, limit, language, mode, index), exclude)
 
 
-def cascade(graph: Graph, term: str | None, limit: int = 3, languages=LANGUAGES, exclude: str | None = EXCLUDED) -> Graph:
+def cascade(graph: Graph, term: str | None, limit: int = 3, languages=LANGUAGES, exclude: str | None = EXCLUDED, index: TokenIndex | None = None) -> Graph:
     """First non-empty search over languages, each by ranked, full text, then substring.
 
-    A stage is asked for its few hits only; the neighbourhood is planned for the stage that answers.
+    A stage is asked for its few hits only; the neighbourhood is planned for the stage that answers, and what the others kept is freed.
     A stage whose hits are all excluded still answers if it leaves neighbours behind.
     """
     for language in languages:
         for mode in MODES:
-            hits = hits_of(graph, term, limit, language, mode).persist()
-            if hits.isEmpty():
-                continue
-            found = _around(graph, hits, limit, exclude)
-            if not exclude or not hits.filter(~mentions(exclude, "genres", "genre")).isEmpty() or not found.nodes.isEmpty():
+            found = _around(graph, hits_of(graph, term, limit, language, mode, index), exclude)
+            hits = found.held[0]
+            if not hits.isEmpty() and (
+                    not exclude or not hits.filter(~mentions(exclude, "genres", "genre")).isEmpty() or not found.nodes.isEmpty()):
                 return found
+            found.release()
     return empty_like(graph)
 
 
-def name_search(graph: Graph, term: str, node_limit: int = 10, edge_limit: int = 50) -> Graph:
+def name_search(graph: Graph, term: str, node_limit: int, edge_limit: int) -> Graph:
     """Nodes whose title or name contains the term, with a bounded number of their edges."""
     named = graph.nodes.filter(contains_ci("title", term) | contains_ci("name", term) | contains_ci("title_name", term))
-    hits = seeds_of(named, node_limit, F.col("id"))
-    touching = seeds_of(
-        incident_edges(graph.edges, hits, node_limit), edge_limit, F.col("id"), F.col("end")
-    )
-    ends = small(touching.select(F.col("other").alias("id")).distinct(), edge_limit)
-    others = graph.nodes.join(ends, "id", "left_semi").join(small(hits.select("id"), node_limit), "id", "left_anti")
+    hits = top_rows(named, node_limit, F.col("id")).persist()
+    touching = top_rows(incident_edges(graph, hits), edge_limit, F.col("id"), F.col("end")).persist()
+    ends = touching.select(F.col("other").alias("id")).distinct()
+    others = graph.nodes.join(ends, "id", "left_semi").join(hits.select("id"), "id", "left_anti")
     edges = touching.drop("other", "end").dropDuplicates(["id"]).withColumn("type", F.lower("type"))
-    return Graph(hits.unionByName(others), edges)
+    return Graph(hits.unionByName(others), edges, held=(hits, touching))
 
 
 def text_search(works: DataFrame, credits: DataFrame, term: str, limit: int) -> DataFrame:

@@ -14,12 +14,11 @@ from shelfgraph.functions.names import entity_id
 from shelfgraph.functions.nodes import publication_year
 from shelfgraph.functions.text import contains_ci, strip
 from shelfgraph.graph import Graph
-from shelfgraph.operators.limits import first_per_key, seeds_of
+from shelfgraph.operators.limits import first_per_key, top_rows
 
 # Fixed values.
 URI_TYPES = [("author", ("creator", "author")), ("work", ("work",)), ("magazine", ("magazine", "periodical"))]
 SOURCE = "media_arts_db"
-FEW_NODES = 2
 
 
 def _filled(name: str) -> Column:
@@ -39,11 +38,11 @@ def catalogue_rows(works: DataFrame, credits: DataFrame) -> DataFrame:
 
 
 def rows_by_title(rows: DataFrame, term: str, limit: int) -> DataFrame:
-    return seeds_of(rows.filter(contains_ci("title", term)), limit, F.col("uri"), F.col("creator_uri"))
+    return top_rows(rows.filter(contains_ci("title", term)), limit, F.col("uri"), F.col("creator_uri"))
 
 
 def rows_by_creator(rows: DataFrame, name: str, limit: int) -> DataFrame:
-    return seeds_of(rows.filter(contains_ci("creator_name", name)), limit, F.col("uri"), F.col("creator_uri"))
+    return top_rows(rows.filter(contains_ci("creator_name", name)), limit, F.col("uri"), F.col("creator_uri"))
 
 
 def _nodes(rows: DataFrame, type_: str, id_: str, label: Column, **props) -> DataFrame:
@@ -109,7 +108,7 @@ def rows_by_magazine(rows: DataFrame, magazine: str | None, year: str | None, li
         kept = kept.filter(contains_ci("magazine_name", magazine))
     if year:
         kept = kept.filter(publication_year("published_date") == year)
-    return seeds_of(kept, limit, F.col("uri"), F.col("creator_uri"), F.col("magazine_uri"))
+    return top_rows(kept, limit, F.col("uri"), F.col("creator_uri"), F.col("magazine_uri"))
 
 
 def magazine_relationships(rows: DataFrame) -> Graph:
@@ -153,16 +152,23 @@ def append_related(graph: Graph, rows: DataFrame, relation: str) -> Graph:
     return Graph(graph.nodes.unionByName(added, allowMissingColumns=True), graph.edges.unionByName(more, allowMissingColumns=True))
 
 
-def search_with_related(rows: DataFrame, term: str, limit: int, overlapping: DataFrame, fallback_titles: list[str]) -> Graph:
-    """Title search with the works that overlap its period; for a nearly empty result, works of given titles.
+def search_with_related(rows: DataFrame, term: str, limit: int, overlapping: DataFrame, fallback_titles: list[str] = (),
+                        per_title: int | None = None, when_at_most: int | None = None) -> Graph:
+    """Title search with the works that overlap its period and, where asked for, works of given titles.
 
-    ``overlapping`` are catalogue rows of the overlap lookup. The size test runs one job that stops
-    after a few nodes. The overlapping rows are kept, since nodes, edges and the test all read them.
+    ``overlapping`` are catalogue rows of the overlap lookup. ``per_title`` works of each fallback title not named in the term are added;
+    with ``when_at_most``, only if the result has no more nodes than that, which is decided inside the plan.
     """
-    near = overlapping.persist()
-    graph = append_related(works_and_authors(rows_by_title(rows, term, limit)), near, "overlap_period")
-    if len(graph.nodes.select("id").take(FEW_NODES + 1)) <= FEW_NODES:
-        for title in fallback_titles:
-            if title.lower() not in term.lower():
-                graph = append_related(graph, rows_by_title(rows, title, 2), "same_publisher")
-    return Graph(graph.nodes, graph.edges, held=(near,))
+    if fallback_titles and per_title is None:
+        raise ValueError("per_title is needed with fallback titles")
+    near, found = overlapping.persist(), rows_by_title(rows, term, limit).persist()
+    graph = append_related(works_and_authors(found), near, "overlap_period")
+    if when_at_most is not None:
+        few = graph.nodes.select(F.count("*") <= when_at_most).scalar()
+    for title in fallback_titles:
+        if title.lower() not in term.lower():
+            more = rows_by_title(rows, title, per_title)
+            if when_at_most is not None:
+                more = more.withColumn("_few", few).filter("_few").drop("_few")
+            graph = append_related(graph, more, "same_publisher")
+    return Graph(graph.nodes, graph.edges, held=(near, found))

@@ -142,7 +142,7 @@ def rows_with_any(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def copy_graph(graph: Graph, new_id: Column, skip_prefix: str = "embedding_") -> tuple[Graph, DataFrame]:
-    """A copy under new ids without the embedding columns, and the edges that lost an end.
+    """A copy under new ids without the embedding columns, its edges with the ids of their new ends, and the edges that lost an end.
 
     ``new_id`` is an expression over the node columns.
     """
@@ -155,8 +155,8 @@ def copy_graph(graph: Graph, new_id: Column, skip_prefix: str = "embedding_") ->
         side = ids.select(F.col("_migration_id").alias(end), F.col("_to").alias("_" + end))
         mapped = mapped.join(side, end, "left")
     lost = F.col("_src").isNull() | F.col("_dst").isNull()
-    rest = [c for c in graph.edges.columns if c not in ("src", "dst")]
-    edges = mapped.filter(~lost).select(*rest, F.col("_src").alias("src"), F.col("_dst").alias("dst"))
+    rest = [c for c in graph.edges.columns if c not in ("id", "src", "dst")]
+    edges = mapped.filter(~lost).select(edge_id("_src", "type", "_dst").alias("id"), *rest, F.col("_src").alias("src"), F.col("_dst").alias("dst"))
     return Graph(nodes, edges), mapped.filter(lost).select(*graph.edges.columns)
 
 

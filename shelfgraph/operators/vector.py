@@ -16,12 +16,11 @@ from shelfgraph.functions.vectors import cosine, cosine_to, embedding_text, fit,
 from shelfgraph.graph import CREATED_BY, Graph, edge_id
 from shelfgraph.operators.expand import expand
 from shelfgraph.operators.filters import without_genre
-from shelfgraph.operators.limits import first_per_key, seeds_of, top_rows
+from shelfgraph.operators.limits import first_per_key, top_rows
 from shelfgraph.operators.upsert import update_existing
 
 # Named embedding columns a search may use (fixed values).
 EMBEDDINGS = ("embedding_title_en", "embedding_title_ja", "embedding_description")
-OVERSAMPLE = 3
 EXCLUDED_GENRE = "Hentai"
 # Hybrid scores (fixed values).
 TEXT_SCORE = 0.7
@@ -48,42 +47,41 @@ def by_similarity() -> list[Column]:
     return [F.round("similarity_score", 9).desc(), F.col("id").asc()]
 
 
-def nearest(works: DataFrame, query, column: str, limit: int, threshold: float | None = None,
-            exclude_genre: str | None = EXCLUDED_GENRE, mode: str = "prefilter") -> DataFrame:
-    """The ``limit`` most similar works.
+def nearest(vectors: DataFrame, works: DataFrame, query, column: str, limit: int, threshold: float | None = None,
+            exclude_genre: str | None = EXCLUDED_GENRE) -> DataFrame:
+    """The ``limit`` most similar works, from ``vectors(id, <columns>)`` and node rows.
 
-    ``prefilter`` drops the excluded genre and low scores before the cut and is exact. ``postfilter``
-    takes ``OVERSAMPLE`` times the limit first, as an index lookup would, and may return fewer rows.
+    Vectors are only scanned: ids and scores go on, ids of works that may not appear leave, the limit is taken, and the works of these few
+    rows are fetched. A threshold drops rows from the end of the list, so it can wait until after the limit.
     """
-    if mode not in ("prefilter", "postfilter"):
-        raise ValueError(f"unknown mode {mode}")
-    hits = scored(works, query, column)
-    if mode == "postfilter":
-        hits = top_rows(hits, limit * OVERSAMPLE if exclude_genre else limit, *by_similarity())
+    eligible = without_genre(works, exclude_genre) if exclude_genre else works
+    hits = scored(vectors.select("id", column), query, column).drop(column)
+    best = top_rows(hits.join(eligible.select("id"), "id", "left_semi"), limit, *by_similarity())
     if threshold is not None:
-        hits = hits.filter(F.col("similarity_score") >= threshold)
-    if exclude_genre:
-        hits = without_genre(hits, exclude_genre)
-    return top_rows(hits, limit, *by_similarity())
+        best = best.filter(F.col("similarity_score") >= threshold)
+    return top_rows(works.join(best, "id"), limit, *by_similarity())
 
 
-def similar_works(works: DataFrame, query, column: str, limit: int = 5, threshold: float = 0.5,
-                  exclude_genre: str | None = EXCLUDED_GENRE, mode: str = "prefilter") -> DataFrame:
+def similar_works(vectors: DataFrame, works: DataFrame, query, column: str, limit: int = 5, threshold: float = 0.5,
+                  exclude_genre: str | None = EXCLUDED_GENRE) -> DataFrame:
     """The result list of a similarity search."""
-    return nearest(works, query, _check(column), limit, threshold, exclude_genre, mode).select(
+    return nearest(vectors, works, query, _check(column), limit, threshold, exclude_genre).select(
         "id", "work_id", F.coalesce("title_name", "title", "english_name").alias("title_en"),
         F.col("japanese_name").alias("title_ja"), "similarity_score", "media_type", "genres",
     )
 
 
-def similar_works_multi(works: DataFrame, query, columns: list[str], limit: int = 10, threshold: float = 0.3,
+def similar_works_multi(vectors: DataFrame, works: DataFrame, query, columns: list[str], limit: int = 10, threshold: float = 0.3,
                         exclude_genre: str | None = EXCLUDED_GENRE) -> DataFrame:
-    """Best score of each work over several embedding columns; unknown columns are skipped."""
+    """Best score of each work over several embedding columns; unknown columns are skipped.
+
+    ``query`` is one vector, or a dict of one for each column.
+    """
     known = [c for c in columns if c in EMBEDDINGS]
     if not known:
         raise ValueError("no supported embedding property")
     lists = [
-        similar_works(works, query, c, limit, threshold, exclude_genre).withColumn("_prio", F.lit(i))
+        similar_works(vectors, works, query[c] if isinstance(query, dict) else query, c, limit, threshold, exclude_genre).withColumn("_prio", F.lit(i))
         for i, c in enumerate(known)
     ]
     merged = reduce(lambda a, b: a.unionByName(b), lists)
@@ -91,10 +89,9 @@ def similar_works_multi(works: DataFrame, query, columns: list[str], limit: int
     return top_rows(best, limit, *by_similarity())
 
 
-def similar_graph(graph: Graph, works: DataFrame, query, column: str, limit: int = 20) -> Graph:
-    """Similar works as seeds of a neighbourhood; ``works`` are node rows with the embedding column."""
-    hits = seeds_of(scored(works, query, _check(column)).drop(column), limit, *by_similarity())
-    return expand(graph, hits, limit)
+def similar_graph(graph: Graph, vectors: DataFrame, query, column: str, limit: int = 20) -> Graph:
+    """Similar works as seeds of a neighbourhood."""
+    return expand(graph, nearest(vectors, graph.of_type("work"), query, _check(column), limit, exclude_genre=None))
 
 
 def nearest_to_work(works: DataFrame, node_id: str, column: str, limit: int) -> DataFrame:
@@ -104,8 +101,8 @@ def nearest_to_work(works: DataFrame, node_id: str, column: str, limit: int) ->
     return top_rows(scored(with_query, F.col("_q"), column).drop("_q"), limit, *by_similarity())
 
 
-def similar_titles(works: DataFrame, query, column: str, limit: int = 5, threshold: float = 0.8) -> DataFrame:
-    hits = nearest(works, query, column, limit, threshold, exclude_genre=None)
+def similar_titles(vectors: DataFrame, works: DataFrame, query, column: str, limit: int = 5, threshold: float = 0.8) -> DataFrame:
+    hits = nearest(vectors, works, query, column, limit, threshold, exclude_genre=None)
     return hits.select(F.coalesce("title_name", "title", "english_name").alias("title"), "similarity_score")
 
 

@@ -149,11 +149,6 @@ def embedded_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles(spark, sf_dir).join(vectors(spark, sf_dir), "id", "left")
 
 
-def embedded_works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with counts and periods."""
-    return works(spark, sf_dir).join(vectors(spark, sf_dir), "id", "left")
-
-
 def credits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per creator, magazine and publisher of a work."""
     line_pairs = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()

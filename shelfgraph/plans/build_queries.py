@@ -194,7 +194,18 @@ def a11(spark, sf):
 @query("a12_duplicate_report", """
   SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1 ORDER BY copies DESC, l_orderkey, l_linenumber LIMIT 20""")
 def a12(spark, sf):
-    return Q.duplicate_report(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
+    return Q.duplicate_report(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], top=20)
+
+
+@query("a12_duplicate_names", with_sql(WORKS_SQL, select="""
+  SELECT 'work' AS type, title_name AS name, count(*) AS copies FROM works WHERE p_partkey % 3 = 0 GROUP BY title_name HAVING count(*) > 1
+  UNION ALL SELECT 'magazine', title_name, count(*) FROM works WHERE p_partkey % 5 = 0 GROUP BY title_name HAVING count(*) > 1"""))
+def a12_names(spark, sf):
+    """Names of nodes without a business id: works and magazines of the same name stay apart."""
+    rows = catalogue(spark, sf).of_type("work").select("id", F.col("title_name").alias("name"), F.col("work_id").cast("bigint").alias("k"))
+    work = rows.select(F.lit("work").alias("type"), "name", F.when(F.col("k") % 3 != 0, F.col("k")).alias("business_id"))
+    magazine = rows.select(F.lit("magazine").alias("type"), "name", F.when(F.col("k") % 5 != 0, F.col("k")).alias("business_id"))
+    return Q.duplicate_report(work.unionByName(magazine), ["name"], only_without="business_id")
 
 
 @query("a12_surplus_rows", """
@@ -221,9 +232,10 @@ def a13_graph(spark, sf):
 
 
 @query("a13_dedupe_graph_rewired", with_sql(GRAPH_SQL, _KEEP, select="""
-  SELECT DISTINCT coalesce(a.kept, src) AS src, coalesce(b.kept, dst) AS dst, type FROM edges LEFT JOIN keep a ON a.id = src LEFT JOIN keep b ON b.id = dst"""))
+  SELECT DISTINCT sha256(concat_ws(chr(1), coalesce(a.kept, src), type, coalesce(b.kept, dst))) AS id, coalesce(a.kept, src) AS src, coalesce(b.kept, dst) AS dst, type
+  FROM edges LEFT JOIN keep a ON a.id = src LEFT JOIN keep b ON b.id = dst"""))
 def a13_rewired(spark, sf):
-    return Q.dedupe_graph(catalogue(spark, sf), ["title_name"], rewire=True).edge_rows()
+    return Q.dedupe_graph(catalogue(spark, sf), ["title_name"], rewire=True).edges.select("id", "src", "dst", "type")
 
 
 @query("a14_embedding_coverage", """
@@ -458,9 +470,9 @@ def _copied(spark, sf):
     return U.copy_graph(partial, F.concat(F.lit("copy/"), "id"))
 
 
-@query("k8_copy_graph", with_sql(EDGES_SQL, select="SELECT 'copy/' || src AS src, 'copy/' || dst AS dst, type FROM edges WHERE type <> 'PUBLISHED_BY'"))
+@query("k8_copy_graph", with_sql(EDGES_SQL, select="SELECT sha256(concat_ws(chr(1), 'copy/' || src, type, 'copy/' || dst)) AS id, 'copy/' || src AS src, 'copy/' || dst AS dst, type FROM edges WHERE type <> 'PUBLISHED_BY'"))
 def k8(spark, sf):
-    return _copied(spark, sf)[0].edge_rows()
+    return _copied(spark, sf)[0].edges.select("id", "src", "dst", "type")
 
 
 @query("k8_skipped_edges", with_sql(EDGES_SQL, select="SELECT count(*) AS skipped FROM edges WHERE type = 'PUBLISHED_BY'"))
@@ -595,10 +607,13 @@ def i1(spark, sf):
     return spark.read.parquet(target).select("event_id", "user_id", "event_type")
 
 
-@query("i2_new_rows", "SELECT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY l_orderkey")
+@query("i2_new_rows", """
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) = 1""")
 def i2(spark, sf):
     seen = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return I.new_rows(table(spark, sf, "lineitem").select("l_orderkey"), seen, "l_orderkey")
+    order = ["l_linenumber", "l_partkey", "l_suppkey"]
+    return I.new_rows(table(spark, sf, "lineitem").select("l_orderkey", *order), seen, "l_orderkey", order)
 
 
 @query("i3_upsert_stream", """

@@ -40,7 +40,7 @@ def q1_edges(spark, sf):
 
 
 # Full text: BM25 over the words of the title columns; the last word may differ by one edit.
-def _bm25(words: list[str], fuzzy: str, limit: int, where: str = "true") -> str:
+def _bm25(words: list[str], fuzzy: str, limit: int | None, where: str = "true") -> str:
     exact = ", ".join(f"'{w}'" for w in words)
     return f"""
 docs AS (
@@ -53,7 +53,7 @@ scored AS (
   SELECT id, sum(CASE WHEN hits.w IN ({exact}) THEN 1.0 ELSE 1 - 1.0 / least(length(hits.w), {len(fuzzy)}) END
              * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_len))) AS score
   FROM hits JOIN dfs ON dfs.w = hits.w, corpus WHERE {where} GROUP BY id),
-best AS (SELECT id, score FROM scored ORDER BY round(score, 9) DESC, id LIMIT {limit}),
+best AS (SELECT id, score FROM scored ORDER BY round(score, 9) DESC, id {"" if limit is None else f"LIMIT {limit}"}),
 pool AS (SELECT id, score / max(score) OVER () AS score FROM best)"""
 
 
@@ -75,7 +75,29 @@ def q2_nodes(spark, sf):
     return S.search(catalogue(spark, sf), "red rinq", 20, mode="fulltext").node_rows()
 
 
-_RANKED = _bm25(["red", "rinq"], "rinq", 200) + """,
+# Titles written in katakana, one sign for each letter; the index holds pairs of neighbouring signs.
+_LATIN, _KANA = "abcdefghijklmnopqrstuvwxyz", "アイウエオカキクケコサシスセソタチツテトナニヌネノハ"
+_KANA_TERM = "".join(_KANA[_LATIN.index(c)] for c in "ring")
+
+
+@query("q2_fulltext_katakana", with_sql(WORKS_SQL, f"""
+kana AS (SELECT id, unnest(string_split(translate(p_name, '{_LATIN}', '{_KANA}'), ' ')) AS w FROM works JOIN part USING (p_partkey)),
+pairs AS (SELECT id, CASE WHEN length(w) < 2 THEN w ELSE substr(w, i, 2) END AS t FROM (SELECT id, w, unnest(range(1, greatest(length(w), 2))) AS i FROM kana)),
+lengths AS (SELECT id, count(*) AS dl FROM pairs GROUP BY id),
+corpus AS (SELECT count(*) AS n, avg(dl) AS mean FROM lengths),
+hits AS (SELECT id, t, count(*) AS tf FROM pairs WHERE t IN ({", ".join(f"'{_KANA_TERM[i:i + 2]}'" for i in range(3))}) GROUP BY ALL),
+dfs AS (SELECT t, count(*) AS df FROM hits GROUP BY t)""", select="""
+  SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+  FROM hits JOIN dfs USING (t) JOIN lengths USING (id), corpus GROUP BY id"""))
+def q2_katakana(spark, sf):
+    rows = titles(spark, sf)
+    kana = F.translate("title_name", _LATIN, _KANA)
+    none = F.lit(None).cast("string")
+    rows = rows.withColumns({"japanese_name": kana, "english_name": none, "title": none}).withColumn("title_name", none)
+    return S.fulltext_scores(rows, _KANA_TERM, Fi.JAPANESE).select("id", F.round("score", 6).alias("score"))
+
+
+_RANKED = _bm25(["red", "rinq"], "rinq", None) + """,
 rescored AS (
   SELECT p.id, 0.5 * score + 0.5 * (1 - levenshtein(lower(title_name), 'red rinq') / greatest(length(title_name), 8)::DOUBLE) AS final_score
   FROM pool p JOIN works w ON w.id = p.id),
@@ -102,7 +124,7 @@ def q4_simple(spark, sf):
 
 
 @query("q4_cascade_first_stage", with_sql(
-    GRAPH_SQL, _bm25(["redring"], "redring", 200, "japanese_name <> ''"), """
+    GRAPH_SQL, _bm25(["redring"], "redring", None, "japanese_name <> ''"), """
 rescored AS (
   SELECT p.id, 0.5 * score + 0.5 * (1 - levenshtein(lower(japanese_name), 'redring') / greatest(length(japanese_name), 7)::DOUBLE) AS final_score
   FROM pool p JOIN works w ON w.id = p.id),
@@ -123,12 +145,12 @@ few AS (SELECT * FROM both_ends ORDER BY sha256(src || chr(1) || type || chr(1)
 @query("q5_name_search_nodes", with_sql(
     GRAPH_SQL, _LEGACY, select="SELECT id, type, label FROM nodes WHERE id IN (SELECT id FROM named UNION SELECT other FROM few)"))
 def q5_nodes(spark, sf):
-    return S.name_search(catalogue(spark, sf), "a").node_rows()
+    return S.name_search(catalogue(spark, sf), "a", 10, 50).node_rows()
 
 
 @query("q5_name_search_edges", with_sql(GRAPH_SQL, _LEGACY, select="SELECT DISTINCT src, dst, lower(type) AS type FROM few"))
 def q5_edges(spark, sf):
-    return S.name_search(catalogue(spark, sf), "a").edge_rows()
+    return S.name_search(catalogue(spark, sf), "a", 10, 50).edge_rows()
 
 
 @query("q6_work_subgraph", with_sql(
@@ -268,9 +290,8 @@ def q11(spark, sf):
 
     g = catalogue(spark, sf)
     main = S.simple_hits(g.of_type("work"), TERM, 10)
-    other = R.same_publisher_other_magazines(g, "work:11", 2, limit=5)
-    merged = X.assemble([main, other], [g.edges.filter(F.lit(False))]).nodes
-    rows = Fi.min_volumes(merged, 30).select("id", "type", "members", "total_volumes", F.round("jaccard_similarity", 6).alias("jaccard_similarity"))
+    found = R.search_with_same_publisher(main, g, "work:11", 2, related_limit=5, min_total_volumes=30, sort_total_volumes="desc")
+    rows = found.select("id", "type", "members", "total_volumes", F.round("jaccard_similarity", 6).alias("jaccard_similarity"))
     # At most 15 rows reach this global order.
     place = F.row_number().over(Window.orderBy(*R.by_volumes(descending=True)))
     return top_rows(rows, 15, *R.by_volumes(descending=True)).select("id", "jaccard_similarity", "total_volumes", place.cast("bigint").alias("place"))
@@ -289,13 +310,14 @@ def q12(spark, sf):
 @query("j1_one_hop", with_sql(GRAPH_SQL, _SEEDS, EXPAND_SQL, select="SELECT DISTINCT src, dst, type FROM touching"))
 def j1(spark, sf):
     g = catalogue(spark, sf)
-    return X.incident_edges(g.edges, _seeds(g), 20).select("src", "dst", "type").distinct()
+    return X.incident_edges(g, _seeds(g)).select("src", "dst", "type").distinct()
 
 
 @query("j2_publisher_hop", with_sql(GRAPH_SQL, _SEEDS, EXPAND_SQL, select="SELECT DISTINCT src, dst, type FROM hop"))
 def j2(spark, sf):
     g = catalogue(spark, sf)
-    return X.publisher_hop(g.edges, _seeds(g), 20).select("src", "dst", "type")
+    seeds = _seeds(g)
+    return X.publisher_hop(g, X.incident_edges(g, seeds), seeds).select("src", "dst", "type")
 
 
 @query("j3_typed_neighbours", with_sql(GRAPH_SQL, select="""
@@ -596,8 +618,8 @@ more AS (SELECT * FROM rows WHERE uri IN (SELECT id FROM overlapping))""", selec
 def r9(spark, sf):
     rows = _rows(spark, sf)
     found = R.overlap_period_works(catalogue(spark, sf), "work:11").select(F.col("id").alias("uri"))
-    overlapping = rows.join(F.broadcast(found), "uri", "left_semi")  # 15 rows
-    return Tb.search_with_related(rows, TERM, 20, overlapping, ["blue"]).nodes.select("id", "type")
+    overlapping = rows.join(found, "uri", "left_semi")
+    return Tb.search_with_related(rows, TERM, 20, overlapping, ["blue"], per_title=2, when_at_most=2).nodes.select("id", "type")
 
 
 @query("r9_search_with_fallback", with_sql(WORKS_SQL, CREDITS_SQL, _ROWS, """
@@ -607,7 +629,7 @@ more AS (
   SELECT DISTINCT uri AS id, 'work' AS type FROM more UNION SELECT creator_uri, 'author' FROM more"""))
 def r9_fallback(spark, sf):
     rows = _rows(spark, sf)
-    return Tb.search_with_related(rows, "nothing", 20, rows.filter(F.lit(False)), ["blue", "ring"]).nodes.select("id", "type")
+    return Tb.search_with_related(rows, "nothing", 20, rows.filter(F.lit(False)), ["blue", "ring"], per_title=2, when_at_most=2).nodes.select("id", "type")
 
 
 @query("r11_related_graphs_nodes", with_sql(

@@ -37,17 +37,21 @@ def s2(spark, sf):
 
 @query("s3_typed_cells", """
   SELECT c_custkey AS id,
-         CASE c_mktsegment WHEN 'BUILDING' THEN 'float' WHEN 'AUTOMOBILE' THEN 'int' WHEN 'MACHINERY' THEN 'list' WHEN 'HOUSEHOLD' THEN NULL ELSE 'text' END AS kind,
+         CASE c_mktsegment WHEN 'BUILDING' THEN 'float' WHEN 'AUTOMOBILE' THEN 'int' WHEN 'MACHINERY' THEN 'list' WHEN 'HOUSEHOLD' THEN NULL
+           ELSE CASE WHEN c_custkey % 4 = 2 THEN 'object' ELSE 'text' END END AS kind,
          CASE c_mktsegment WHEN 'AUTOMOBILE' THEN c_custkey END AS whole,
          CASE c_mktsegment WHEN 'BUILDING' THEN c_acctbal WHEN 'AUTOMOBILE' THEN CAST(c_custkey AS DOUBLE) END AS number,
          CASE c_mktsegment WHEN 'MACHINERY' THEN c_name || '|x' END AS items,
-         CASE WHEN c_mktsegment NOT IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY', 'HOUSEHOLD') THEN c_name END AS text
+         CASE WHEN c_mktsegment NOT IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY', 'HOUSEHOLD') THEN
+           CASE c_custkey % 4 WHEN 0 THEN c_custkey || 'D' WHEN 1 THEN c_custkey || '.5f' WHEN 2 THEN '{"a": ' || c_custkey || ', "b": "None", "c": null}' ELSE c_name END END AS text
   FROM customer""")
 def s3(spark, sf):
     seg = F.col("c_mktsegment")
     raw = (
         F.when(seg == "BUILDING", F.col("c_acctbal").cast("string")).when(seg == "AUTOMOBILE", F.col("c_custkey").cast("string"))
         .when(seg == "MACHINERY", F.concat(F.lit('[""'), "c_name", F.lit('"",""x""]'))).when(seg == "HOUSEHOLD", F.lit(" Unknown "))
+        .when(F.col("c_custkey") % 4 == 0, F.concat("c_custkey", F.lit("D"))).when(F.col("c_custkey") % 4 == 1, F.concat("c_custkey", F.lit(".5f")))
+        .when(F.col("c_custkey") % 4 == 2, F.concat(F.lit("{'a': "), "c_custkey", F.lit(", 'b': 'None', 'c': None}")))
         .otherwise(F.concat(F.lit(" "), "c_name"))
     )
     v = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), cells.typed_cell(raw).alias("v"))
@@ -61,16 +65,18 @@ def s3_objects(spark, sf):
 
 
 @query("s4_list_cells", """
-  SELECT p_partkey AS id, CASE WHEN p_size > 40 THEN NULL ELSE p_brand || '|' || p_type END AS strict, p_brand || '|' || p_type AS loose FROM part""")
+  SELECT p_partkey AS id, CASE WHEN p_size > 40 THEN NULL WHEN p_size <= 5 THEN p_brand || '|-' ELSE p_brand || '|' || p_type END AS strict,
+         CASE WHEN p_size <= 5 THEN p_brand || '|-' ELSE p_brand || '|' || p_type END AS loose FROM part""")
 def s4(spark, sf):
     one, two = F.col("p_brand"), F.col("p_type")
     raw = (
         F.when(F.col("p_size") > 40, F.concat(F.lit("["), one, F.lit(", "), two, F.lit("]")))
         .when(F.col("p_size") > 25, F.concat(F.lit("['"), one, F.lit("', '"), two, F.lit("']")))
+        .when(F.col("p_size") <= 5, F.concat(F.lit("['"), one, F.lit("', None]")))
         .otherwise(F.concat(F.lit('["'), one, F.lit('","'), two, F.lit('"]')))
     )
     rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), raw.alias("c"))
-    return rows.select("id", F.array_join(cells.list_cell("c"), "|").alias("strict"), F.array_join(cells.loose_list_cell("c"), "|").alias("loose"))
+    return rows.select("id", F.array_join(cells.list_cell("c"), "|", "-").alias("strict"), F.array_join(cells.loose_list_cell("c"), "|", "-").alias("loose"))
 
 
 @query("s5_relation_rows", """
@@ -97,11 +103,12 @@ def s6(spark, sf):
 
 
 @query("s7_publisher_mapping", """
-  SELECT r_name AS publisher, n_name AS magazine, 0 AS rank FROM nation JOIN region ON n_regionkey = r_regionkey
+  SELECT r_name AS publisher, unnest([n_name, 'Unknown', 'NA']) AS magazine, unnest([0, 1, 2]) AS rank FROM nation JOIN region ON n_regionkey = r_regionkey
   WHERE n_nationkey IN (SELECT max(n_nationkey) FROM nation GROUP BY n_regionkey)""")
 def s7(spark, sf):
     rows = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    text = F.concat(F.lit('{" '), "r_name", F.lit(' ":["'), "n_name", F.lit('"," '), "n_name", F.lit('","Unknown"]}'))
+    text = F.concat(F.lit('{" '), "r_name", F.lit(' ":["replaced"],"other":"no list","'), "r_name", F.lit('":["'), "n_name", F.lit('"," '), "n_name",
+                    F.lit('  ","Unknown",7,null," ","NA"],"'), "r_name", F.lit('  ":[]}'))
     return lookups.publisher_magazines(rows.select(F.col("n_nationkey").alias("pos"), text.alias("text")))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfgraph.functions import vectors as V
 from shelfgraph.operators import quality as Q, search as S, vector as Ve
 from shelfgraph.operators.limits import top_rows
-from shelfgraph.plans.binding import CREDITS_SQL, EXPAND_SQL, GRAPH_SQL, WORKS_SQL, catalogue, credits, embedded_titles, embedded_works, vectors, with_sql, works
+from shelfgraph.plans.binding import CREDITS_SQL, EXPAND_SQL, GRAPH_SQL, WORKS_SQL, catalogue, credits, embedded_titles, titles, vectors, with_sql, works
 from shelfgraph.plans.registry import query, table
 from shelfgraph.session import spread
 
@@ -31,14 +31,10 @@ def query_vector(spark, sf, dims=None):
     return [float(x) for x in row[0]][:dims]
 
 
-def vector_works(spark, sf):
-    return embedded_titles(spark, sf).withColumn(DESCRIPTION, F.slice(TITLE, 1, 16))
-
-
 @query("v1_similar_graph_nodes", with_sql(
     GRAPH_SQL, _COS, "seeds AS (SELECT id FROM sims ORDER BY round(s, 9) DESC, id LIMIT 20)", EXPAND_SQL, select="SELECT id, type, label FROM out_nodes"))
 def v1(spark, sf):
-    return Ve.similar_graph(catalogue(spark, sf), embedded_works(spark, sf), query_vector(spark, sf), TITLE, 20).node_rows()
+    return Ve.similar_graph(catalogue(spark, sf), vectors(spark, sf), query_vector(spark, sf), TITLE, 20).node_rows()
 
 
 @query("v1_similarity_scores", with_sql(_COS, select="SELECT id, round(s, 6) AS similarity_score FROM sims"))
@@ -50,15 +46,16 @@ def v1_scores(spark, sf):
   SELECT s.id, title_name AS title_en, round(s, 6) AS similarity_score FROM sims s JOIN works w ON w.id = s.id
   WHERE s >= 0.1 AND genre <> 'PROMO' ORDER BY round(s, 9) DESC, s.id LIMIT 30"""))
 def v2(spark, sf):
-    hits = Ve.similar_works(embedded_titles(spark, sf), query_vector(spark, sf), TITLE, 30, 0.1, "PROMO")
+    hits = Ve.similar_works(vectors(spark, sf), titles(spark, sf), query_vector(spark, sf), TITLE, 30, 0.1, "PROMO")
     return hits.select("id", "title_en", F.round("similarity_score", 6).alias("similarity_score"))
 
 
 @query("v2_similar_works_postfilter", with_sql(WORKS_SQL, _COS, select="""
-  SELECT t.id, round(t.s, 6) AS similarity_score FROM (SELECT id, s FROM sims ORDER BY round(s, 9) DESC, id LIMIT 30) t JOIN works w ON w.id = t.id
+  SELECT t.id, round(t.s, 6) AS similarity_score FROM sims t JOIN works w ON w.id = t.id
   WHERE s >= 0.2 AND genre <> 'PROMO' ORDER BY round(s, 9) DESC, t.id LIMIT 10"""))
 def v2_post(spark, sf):
-    hits = Ve.similar_works(embedded_titles(spark, sf), query_vector(spark, sf), TITLE, 10, 0.2, "PROMO", mode="postfilter")
+    """The excluded genre leaves before the cut, so the list is full whatever share of the nearest works it had."""
+    hits = Ve.similar_works(vectors(spark, sf), titles(spark, sf), query_vector(spark, sf), TITLE, 10, 0.2, "PROMO")
     return hits.select("id", F.round("similarity_score", 6).alias("similarity_score"))
 
 
@@ -69,21 +66,17 @@ def v2_post(spark, sf):
   GROUP BY id ORDER BY round(max(s), 9) DESC, id LIMIT 20"""))
 def v3(spark, sf):
     """The whole vector and its leading 16 components are two columns searched with their own query length."""
-    w = vector_works(spark, sf)
     q = query_vector(spark, sf)
-    long = w.withColumn(DESCRIPTION, V.fit(DESCRIPTION, 64))
-    padded = V.fit(F.slice(V.vector_literal(q), 1, 16), 64)
-    one = Ve.similar_works(w, q, TITLE, 20, 0.1, None).withColumn("p", F.lit(0))
-    two = Ve.similar_works(long, padded, DESCRIPTION, 20, 0.1, None).withColumn("p", F.lit(1))
-    best = one.unionByName(two).groupBy("id").agg(F.max("similarity_score").alias("similarity_score"))
-    return top_rows(best, 20, *Ve.by_similarity()).select("id", F.round("similarity_score", 6).alias("similarity_score"))
+    both = vectors(spark, sf).withColumn(DESCRIPTION, V.fit(F.slice(TITLE, 1, 16), 64))
+    best = Ve.similar_works_multi(both, titles(spark, sf), {TITLE: q, DESCRIPTION: V.fit(F.slice(V.vector_literal(q), 1, 16), 64)}, [TITLE, DESCRIPTION], 20, 0.1, None)
+    return best.select("id", F.round("similarity_score", 6).alias("similarity_score"))
 
 
 @query("v3_multi_column_lists", with_sql(_COS, select="""
   SELECT id, round(s, 6) AS similarity_score FROM sims WHERE s >= 0.1 ORDER BY round(s, 9) DESC, id LIMIT 20"""))
 def v3_lists(spark, sf):
-    w = embedded_titles(spark, sf).withColumn("embedding_title_ja", F.col(TITLE))
-    hits = Ve.similar_works_multi(w, query_vector(spark, sf), [TITLE, "embedding_title_ja", "unknown"], 20, 0.1, None)
+    w = vectors(spark, sf).withColumn("embedding_title_ja", F.col(TITLE))
+    hits = Ve.similar_works_multi(w, titles(spark, sf), query_vector(spark, sf), [TITLE, "embedding_title_ja", "unknown"], 20, 0.1, None)
     return hits.select("id", F.round("similarity_score", 6).alias("similarity_score"))
 
 
@@ -96,7 +89,7 @@ def v4(spark, sf):
 @query("v5_similar_titles", with_sql(WORKS_SQL, _COS, select="""
   SELECT title_name AS title, round(s, 6) AS similarity_score FROM sims s JOIN works w ON w.id = s.id WHERE s >= 0.3 ORDER BY round(s, 9) DESC, s.id LIMIT 5"""))
 def v5(spark, sf):
-    hits = Ve.similar_titles(embedded_titles(spark, sf), query_vector(spark, sf), TITLE, 5, 0.3)
+    hits = Ve.similar_titles(vectors(spark, sf), titles(spark, sf), query_vector(spark, sf), TITLE, 5, 0.3)
     return hits.select("title", F.round("similarity_score", 6).alias("similarity_score"))
 
 
@@ -104,7 +97,7 @@ _HITS = "hits AS (SELECT id, s FROM sims WHERE s >= 0.2 ORDER BY round(s, 9) DES
 
 
 def _hits(spark, sf):
-    return Ve.nearest(embedded_titles(spark, sf), query_vector(spark, sf), TITLE, 15, 0.2, None).drop(TITLE)
+    return Ve.nearest(vectors(spark, sf), titles(spark, sf), query_vector(spark, sf), TITLE, 15, 0.2, None)
 
 
 @query("v6_fuzzy_vector_nodes", with_sql(WORKS_SQL, CREDITS_SQL, _COS, _HITS, select="""
@@ -132,7 +125,7 @@ b AS (SELECT coalesce(t.id, v.id) AS id, CASE WHEN s IS NULL THEN 0.7 WHEN t.id
     select="SELECT id, round(score, 6) AS search_score FROM b ORDER BY round(score, 9) DESC, id LIMIT 50"))
 def v8(spark, sf):
     text = S.simple_hits(works(spark, sf), "red", 25)
-    near = Ve.nearest(vectors(spark, sf), query_vector(spark, sf), TITLE, 25, None, None)
+    near = Ve.nearest(vectors(spark, sf), titles(spark, sf), query_vector(spark, sf), TITLE, 25, None, None)
     return Ve.hybrid(text, near, 50).select("id", F.round("search_score", 6).alias("search_score"))
 
 

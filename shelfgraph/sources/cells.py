@@ -24,14 +24,41 @@ def cell(c) -> Column:
     return F.when(~F.lower(text).isin(MISSING_CELLS), text)
 
 
+def _single_quotes(text) -> Column:
+    """Cell text with doubled quotes made single."""
+    return F.replace(text, F.lit('""'), F.lit('"'))
+
+
+def literal_to_json(text) -> Column:
+    """A list or object written with single quotes, None, True and False, as JSON; quoted text keeps its words."""
+    parts = F.regexp_extract_all(text, F.lit(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^'"]+"""), F.lit(0))
+
+    def rewritten(part: Column) -> Column:
+        inner = F.replace(F.substring(part, F.lit(2), F.length(part) - 2), F.lit("\\'"), F.lit("'"))
+        quoted = F.concat(F.lit('"'), F.regexp_replace(inner, r'(?<!\\)"', r'\\"'), F.lit('"'))
+        bare = part
+        for word, json in (("None", "null"), ("True", "true"), ("False", "false")):
+            bare = F.regexp_replace(bare, rf"\b{word}\b", json)
+        return F.when(part.startswith("'"), quoted).when(part.startswith('"'), part).otherwise(bare)
+
+    return F.array_join(F.transform(parts, rewritten), "")
+
+
 def list_cell(c) -> Column:
-    """List in a cell: JSON with plain or doubled quotes, or with single quotes; null when it is none."""
+    """List in a cell: JSON with plain or doubled quotes, or a literal with single quotes and None; null when it is none."""
+    text = strip(c)
+    single = _single_quotes(text)
+    parsed = F.coalesce(F.from_json(single, "array<string>"), F.from_json(literal_to_json(single), "array<string>"))
+    return F.when(text.startswith("["), parsed)
+
+
+def object_cell(c) -> Column:
+    """JSON text of an object in a cell, written as JSON or as a literal; null when it is none."""
     text = strip(c)
-    single = F.replace(text, F.lit('""'), F.lit('"'))
-    is_list = text.startswith("[")
-    pythonic = F.regexp_replace(single, r"'((?:[^'\\]|\\.)*)'", '"$1"')
-    parsed = F.coalesce(F.from_json(single, "array<string>"), F.from_json(pythonic, "array<string>"))
-    return F.when(is_list, parsed)
+    single = _single_quotes(text)
+    literal = literal_to_json(single)
+    found = F.coalesce(*[F.when(F.try_parse_json(t).isNotNull(), t) for t in (text, single, literal)])
+    return F.when(text.startswith("{"), found)
 
 
 def loose_list_cell(c) -> Column:
@@ -45,7 +72,9 @@ def number_cell(c) -> tuple[Column, Column]:
     """A cell as whole number and as any number; null where it is none."""
     text = cell(c)
     whole = F.when(text.rlike(r"^-?\d+$"), text.try_cast("bigint"))
-    return whole, text.try_cast("double")
+    # The cast alone would also take the suffixes of number literals, as in 3D and 5f.
+    written = text.rlike(r"(?i)^[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity|nan)$")
+    return whole, F.when(written, text.try_cast("double"))
 
 
 def typed_cell(c) -> Column:
@@ -53,16 +82,15 @@ def typed_cell(c) -> Column:
 
     An object keeps its JSON text.
     """
-    text, items = cell(c), list_cell(c)
+    text, items, json = cell(c), list_cell(c), object_cell(c)
     whole, number = number_cell(c)
-    is_object = text.startswith("{") & F.try_parse_json(text).isNotNull()
     kind = (
-        F.when(text.isNull(), F.lit(None).cast("string")).when(items.isNotNull(), "list").when(is_object, "object")
+        F.when(text.isNull(), F.lit(None).cast("string")).when(items.isNotNull(), "list").when(json.isNotNull(), "object")
         .when(whole.isNotNull(), "int").when(number.isNotNull(), "float").otherwise("text")
     )
     return F.struct(
         kind.alias("kind"), F.when(kind == "list", items).alias("items"), F.when(kind == "int", whole).alias("whole"),
-        F.when(kind.isin("int", "float"), number).alias("number"), F.when(kind.isin("text", "object"), text).alias("text"),
+        F.when(kind.isin("int", "float"), number).alias("number"), F.when(kind == "object", json).when(kind == "text", text).alias("text"),
     )
 
 

@@ -65,6 +65,6 @@ def last_version(query: StreamingQuery) -> int | None:
     return None if progress is None else int(progress["batchId"])
 
 
-def new_rows(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:
-    """Batch form of the resume step: first row per key, keys already seen left out."""
-    return rows.join(seen.select(key).distinct(), key, "left_anti").dropDuplicates([key])
+def new_rows(rows: DataFrame, seen: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Batch form of the resume step: the first row per key in ``order``, keys already seen left out."""
+    return first_per_key(rows.join(seen.select(key).distinct(), key, "left_anti"), [key], [F.col(c) for c in order])

@@ -150,7 +150,7 @@ def test_output_form(spark):
 def test_query_terms():
     assert query_terms("One Piece") == [("one", 0), ("piece", 1)]
     assert query_terms("  ") == [] and query_terms(None) == []
-    assert query_terms("a+b~") == [("a", 0), ("b", 1)]
+    assert query_terms("a+b~") == [("a", 0), ("b", 0)] and query_terms("a+bc~") == [("a", 0), ("bc", 1)]
 
 
 def test_similarity(value):

@@ -79,7 +79,6 @@ def test_fuzzy_last_word(graph):
     assert ids(hits) == ["w1"]
     assert ids(S.fulltext_hits(graph.of_type("work"), "narutoo x", 5)) == []  # only the last word is fuzzy
     assert ids(S.fulltext_hits(graph.of_type("work"), "narutoo", 5, "japanese")) == []
-    assert ids(S.fulltext_hits(S.with_tokens(graph.of_type("work")), "pieca", 5)) == ["w1"]
 
 
 def test_ranked_drops_weak(graph):
@@ -136,7 +135,7 @@ def test_related_graphs_optional(graph):
 
 
 def test_name_search(graph):
-    found = S.name_search(graph, "jump")
+    found = S.name_search(graph, "jump", 10, 50)
     assert ids(found.nodes) == ["m1", "m2", "p1", "w1", "w2", "w3", "w4"]
     assert {t for _, t, _ in links(found.edges)} == {"published_in", "published_by"}
 
@@ -163,3 +162,59 @@ def test_round_trip(graph, tmp_path, spark):
     graph.write(str(tmp_path / "g"))
     back = Graph.read(spark, str(tmp_path / "g"))
     assert ids(back.nodes) == ids(graph.nodes) and "type=author" in str([f for f in back.of_type("author").inputFiles()] or "type=author")
+
+
+def test_query_and_titles_share_one_analyzer(graph):
+    works = graph.of_type("work")
+    assert S.query_terms("dr.stone") == [("dr", 0), ("stone", 1)] and S.query_terms("Café 鋼の") == [("cafe", 0), ("鋼の", 0)]
+    assert S.query_terms("x") == [("x", 0)] and S.query_terms(" ") == [] and S.query_terms(None) == []
+    for term in ("ワンピース", "ピース", "one.piece", "ONE-PIECÉ"):
+        assert ids(S.fulltext_hits(works, term, 1)) == ["w1"], term
+    assert ids(S.fulltext_hits(works, "鋼", 5)) == [] and ids(S.fulltext_hits(works, "y", 5)) == []
+    assert ids(S.ranked_hits(works, "ワンピース", 5, "japanese")) == ["w1"]
+
+
+def test_stored_tokens_give_the_same_scores(graph, spark, tmp_path):
+    works = graph.of_type("work")
+    S.TokenIndex.of(works).write(str(tmp_path))
+    index = S.TokenIndex.read(spark, str(tmp_path))
+    for term in ("one pieca", "ワンピース", "naruto"):
+        plain, stored = (sorted((r.id, round(r.score, 9)) for r in S.fulltext_scores(works, term, index=i).collect()) for i in (None, index))
+        assert plain == stored and plain
+    plan = S.token_scores(index, S.query_terms("naruto x"))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan
+
+
+def test_release_frees_everything(graph, spark):
+    cached = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    spark.catalog.clearCache()
+    before = cached()
+    for make in (
+        lambda: S.search(graph, "one", 5), lambda: S.search(graph, "one", 5, mode="fulltext"), lambda: S.search(graph, "one", 5, mode="ranked"),
+        lambda: S.cascade(graph, "piece", 3), lambda: S.cascade(graph, "zzz", 3), lambda: S.name_search(graph, "jump", 10, 50), lambda: R.work_subgraph(graph, "w4"),
+        lambda: R.author_works(graph, "a1"), lambda: R.magazine_works(graph, "m1", 5, "w1", 2020), lambda: R.publisher_magazines(graph, "p1", 5),
+    ):
+        found = make()
+        found.nodes.collect(), found.edges.collect()
+        found.release()
+        assert cached() == before
+
+
+def test_stored_edges_are_read_by_either_end(graph, spark, tmp_path):
+    graph.write(str(tmp_path))
+    stored = Graph.read(spark, str(tmp_path))
+    for make in (lambda g: R.work_subgraph(g, "w1"), lambda g: R.work_subgraph(g, "a1"), lambda g: S.search(g, "one", 5, exclude=None), lambda g: S.name_search(g, "jump", 10, 50)):
+        a, b = make(graph), make(stored)
+        assert ids(a.nodes) == ids(b.nodes)
+        assert sorted(r.id for r in a.edges.collect()) == sorted(r.id for r in b.edges.collect())
+    plan = X.incident_edges(stored, "w1")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(bucket") == 2 and "EqualTo(src,w1)" in plan and "EqualTo(dst,w1)" in plan
+
+
+def test_same_publisher_search_options(graph):
+    main = S.simple_hits(graph.of_type("work"), "one", 2)
+    found = lambda **k: [r.id for r in R.search_with_same_publisher(main, graph, "w1", 20, **k).collect()]
+    assert found() == ["w1", "w4", "w3"] and found(include_related=False) == ["w1", "w4"]
+    assert found(sort_total_volumes="desc") == ["w4", "w3", "w1"] and found(sort_total_volumes="asc", min_total_volumes=3) == ["w3", "w4"]
+    with pytest.raises(ValueError):
+        found(sort_total_volumes="up")

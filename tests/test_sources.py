@@ -109,7 +109,7 @@ def test_entry_shapes(spark):
 def test_lookups(spark, tmp_path):
     (tmp_path / "p.json").write_text('{" 集英社 ": ["A", " A", "B  C", "none"], "": ["x"], "P": []}')
     rows = lookups.publisher_magazines(lookups.read_map_text(spark, str(tmp_path / "p.json")))
-    assert [(r.publisher, r.rank, r.magazine) for r in rows.orderBy("rank").collect()] == [("集英社", 0, "A"), ("集英社", 1, "B C")]
+    assert [(r.publisher, r.rank, r.magazine) for r in rows.orderBy("rank").collect()] == [("集英社", 0, "A"), ("集英社", 1, "B C"), ("集英社", 2, "none")]
     (tmp_path / "b.json").write_text('{"c1": {"J": "one", "K": "k"}, "c2": {"J": "two"}}')
     rows = lookups.brand_magazines(lookups.read_map_text(spark, str(tmp_path / "b.json")))
     assert {(r.key, r.value) for r in rows.collect()} == {("J", "two"), ("K", "k")}
@@ -119,3 +119,17 @@ def test_payloads(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(b"\x00\x01" * 100)
     r = C.read_payloads(spark, str(tmp_path)).first()
     assert r["size"] == 200 and r.success and len(r.data) == 268
+
+
+def test_mapping_inside_one_file(spark):
+    texts = spark.createDataFrame([(1, '{"A ": ["x"], "A": ["y", 5, null, " y "], "B": "no list", "C": ["Unknown"]}'), (2, '{"C": []}')], "pos int, text string")
+    assert {tuple(r) for r in lookups.publisher_magazines(texts).collect()} == {("A", 0, "y"), ("C", 0, "Unknown")}
+
+
+def test_cells_written_as_literals(spark):
+    cells_ = ["3D", "5f", "1e3", ".5", "{'a': 1, 'b': None}", "['a', None]", "[1, 'it\\'s', \"None\"]", "{'q': 'say \"x\"'}", "[broken", "NaN"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells_)], "i int, c string")
+    got = {r.i: r.v for r in df.select("i", cells.typed_cell("c").alias("v")).collect()}
+    assert [got[i].kind for i in range(10)] == ["text", "text", "float", "float", "object", "list", "list", "object", "text", "float"]
+    assert got[4].text == '{"a": 1, "b": null}' and got[5]["items"] == ["a", None] and got[6]["items"] == ["1", "it's", "None"]
+    assert got[7].text == '{"q": "say \\"x\\""}'

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfgraph.functions.vectors import vector_literal
-from shelfgraph.graph import Graph
+from shelfgraph.graph import Graph, edge_id
 from shelfgraph.operators import quality as Q, ttl, upsert as U, vector as Ve
 from shelfgraph.plans.vector_queries import length_model
 from shelfgraph.streaming import incremental as I
@@ -113,14 +113,37 @@ def vectors(spark):
 
 def test_nearest(vectors):
     col = "embedding_title_en"
-    assert [r.id for r in Ve.similar_works(vectors, [1.0, 0.0], col, 5, 0.5).collect()] == ["w1"]
-    assert [r.id for r in Ve.similar_works(vectors, [1.0, 0.0], col, 5, 0.5, None).collect()] == ["w1", "w2"]
-    assert [r.id for r in Ve.nearest(vectors, [0.0, 1.0], col, 1, mode="postfilter").collect()] == ["w3"]
+    works = vectors.drop(col)
+    assert [r.id for r in Ve.similar_works(vectors, works, [1.0, 0.0], col, 5, 0.5).collect()] == ["w1"]
+    assert [r.id for r in Ve.similar_works(vectors, works, [1.0, 0.0], col, 5, 0.5, None).collect()] == ["w1", "w2"]
+    assert [r.id for r in Ve.nearest(vectors, works, [0.9, 0.1], col, 1).collect()] == ["w1"]  # the nearest has the excluded genre
+    assert [r.id for r in Ve.nearest(vectors, works.filter("id <> 'w3'"), [0.0, 1.0], col, 1, None, None).collect()] == ["w2"]  # no work, no hit
     assert [r.id for r in Ve.nearest_to_work(vectors, "w3", col, 2).collect()] == ["w3", "w2"]
     with pytest.raises(ValueError):
-        Ve.similar_works(vectors, [1.0], "title")
+        Ve.similar_works(vectors, works, [1.0], "title")
     with pytest.raises(ValueError):
-        Ve.similar_works_multi(vectors, [1.0, 0.0], ["x"])
+        Ve.similar_works_multi(vectors, works, [1.0, 0.0], ["x"])
+
+
+def test_two_columns_with_their_own_vectors(vectors):
+    both = vectors.withColumn("embedding_title_ja", F.reverse("embedding_title_en"))
+    found = Ve.similar_works_multi(both, vectors.drop("embedding_title_en"), {"embedding_title_en": [1.0, 0.0], "embedding_title_ja": [1.0, 0.0]},
+                                   ["embedding_title_en", "embedding_title_ja"], 5, 0.95, None)
+    assert {r.id: round(r.similarity_score, 6) for r in found.collect()} == {"w1": 1.0, "w2": 0.993884, "w3": 1.0}
+
+
+def test_vectors_are_not_shuffled(spark, vectors, tmp_path):
+    col = "embedding_title_en"
+    vectors.select("id", col).write.parquet(str(tmp_path / "v"))
+    vectors.drop(col).write.parquet(str(tmp_path / "w"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = Ve.similar_works(spark.read.parquet(str(tmp_path / "v")), spark.read.parquet(str(tmp_path / "w")), [1.0, 0.0], col, 5, 0.5)
+        plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    inputs = [part.split("\n")[1] for part in plan.split("\n\n") if ") Exchange" in part.split("\n")[0]]
+    assert inputs and not any(col in line for line in inputs)
 
 
 def test_hybrid(spark):
@@ -190,3 +213,14 @@ def test_upsert_stream(spark, tmp_path):
 
 def test_vector_literal(spark):
     assert spark.range(1).select(vector_literal([1, 2.5]).alias("v")).first().v == [1.0, 2.5]
+
+
+def test_copies_of_different_types_stay_apart(spark):
+    nodes = spark.createDataFrame([("1", "work", "Jump", None), ("2", "magazine", "Jump", None), ("3", "work", "Jump", "k"), ("4", "work", "Jump", None)],
+                                  "id string, type string, name string, k string")
+    edges = spark.createDataFrame([("old", "4", "2", "T"), ("kept", "1", "2", "U")], "id string, src string, dst string, type string")
+    g = Q.dedupe_graph(Graph(nodes, edges), ["name"], rewire=True, only_without="k")
+    assert [r.id for r in g.nodes.orderBy("id").collect()] == ["1", "2", "3"]
+    ids = {r.type: r.id for r in g.edges.collect()}
+    assert ids["U"] == "kept" and ids["T"] == spark.range(1).select(edge_id(F.lit("1"), F.lit("T"), F.lit("2"))).first()[0]
+    assert [tuple(r) for r in Q.duplicate_report(nodes, ["name"]).collect()] == [("work", "Jump", 3)]
