@@ -157,17 +157,18 @@ def missing_embedding(works: DataFrame, column: str) -> DataFrame:
     )
 
 
-def embed(df: DataFrame, text: str, out: str, dims: int, model: Callable[[], Callable] | None = None) -> DataFrame:
+def embed(df: DataFrame, text: str, out: str, dims: int, model: Callable[[], Callable] | None = None, method: str | None = None) -> DataFrame:
     """Add an embedding of a text column; blank and null texts give null.
 
     Without a model the native hash embedding is used. ``model`` is a loader: each Python worker
     calls it once and then encodes Arrow batches. A model that fails to load, or a batch it fails
-    on, falls back to the hash embedding.
+    on, falls back to the hash embedding; ``method`` names a column that says which made each vector: model or hash.
     """
     clean = F.when(F.trim(F.coalesce(col(text), F.lit(""))) != "", col(text))
     fallback = hash_embedding(clean, dims)
     if model is None:
-        return df.withColumn(out, fallback)
+        made = df.withColumn(out, fallback)
+        return made.withColumn(method, F.when(F.col(out).isNotNull(), F.lit("hash"))) if method else made
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -188,30 +189,35 @@ def embed(df: DataFrame, text: str, out: str, dims: int, model: Callable[[], Cal
 
     coded = df.withColumn("_text", clean).withColumn("_raw", encode("_text"))
     made = F.when(F.col("_raw").isNotNull(), fit("_raw", dims)).otherwise(hash_embedding("_text", dims))
-    return coded.withColumn(out, F.when(F.col("_text").isNotNull(), made)).drop("_text", "_raw")
+    done = coded.withColumn(out, F.when(F.col("_text").isNotNull(), made))
+    if method:
+        by = F.when(F.col("_raw").isNotNull(), F.lit("model")).otherwise(F.lit("hash"))
+        done = done.withColumn(method, F.when(F.col(out).isNotNull(), by))
+    return done.drop("_text", "_raw")
 
 
 def backfill_embeddings(rows: DataFrame, column: str, dims: int, title: str, genre: str | None = None,
                         model: Callable[[], Callable] | None = None) -> DataFrame:
     """Rows with every missing embedding computed; rows without a text stay as they are.
 
-    The new vectors are made in place, so no join is needed; ``status`` counts them.
+    The new vectors are made in place, so no join is needed; ``status`` counts them, and ``method`` says what made them.
     """
     wanted = F.col(column).isNull() & F.col(title).isNotNull()
     text = embedding_text(title, F.col(genre) if genre else F.lit(None).cast("string"))
-    made = embed(rows.withColumn("_t", F.when(wanted, text)), "_t", "_new", dims, model)
+    made = embed(rows.withColumn("_t", F.when(wanted, text)), "_t", "_new", dims, model, method="method")
+    fell_back = (F.col("method") == "hash") & F.lit(model is not None)
     return (
-        made.withColumn("status", F.when(~wanted, "kept").when(F.col("_new").isNotNull(), "added").otherwise("failed"))
+        made.withColumn("status", F.when(~wanted, "kept").when(fell_back, "fallback").when(F.col("_new").isNotNull(), "added").otherwise("failed"))
         .withColumn(column, F.coalesce(F.col(column).cast("array<double>"), "_new")).drop("_t", "_new")
     )
 
 
 def backfill_counts(backfilled: DataFrame) -> DataFrame:
-    """Processed, successful and failed rows of a back-fill."""
+    """Processed, successful and failed rows of a back-fill, and those a failing model left to the hash embedding."""
     status = F.col("status")
     return backfilled.agg(
         F.count_if(status != "kept").alias("processed"), F.count_if(status == "added").alias("success"),
-        F.count_if(status == "failed").alias("failed"),
+        F.count_if(status == "failed").alias("failed"), F.count_if(status == "fallback").alias("fallbacks"),
     )
 
 

@@ -11,7 +11,7 @@ from shelfgraph.plans import source_binding as B
 from shelfgraph.plans.binding import CREDITS_SQL, EDGES_SQL, GRAPH_SQL, WORKS_SQL, catalogue, titles, with_sql
 from shelfgraph.plans.graph_queries import _NEW_EDGES, customer_edges
 from shelfgraph.plans.registry import query, table
-from shelfgraph.session import spread, staged, work_dir
+from shelfgraph.session import work_dir
 from shelfgraph.sources import api_json, cells, jsonld
 from shelfgraph.streaming import incremental as I
 
@@ -109,16 +109,16 @@ def j4(spark, sf):
 
 @query("j5_series_contained", with_sql(_BOOKS, _SERIES, select="SELECT series_id, work_key FROM matched WHERE match = 'contained'"))
 def j5(spark, sf):
-    works_, series = staged(_work_keys(spark, sf), "keys"), staged(_series(spark, sf)[0], "series")
+    works_, series = _work_keys(spark, sf).persist(), _series(spark, sf)[0].persist()
     return L.match_series(series, works_).filter("match = 'contained'").select("series_id", "work_key")
 
 
 @query("a7_work_magazines", with_sql(_BOOKS, _SERIES, select="SELECT DISTINCT work_key, n_name AS magazine FROM books UNION SELECT work_key, magazine FROM matched"))
 def a7(spark, sf):
-    rows = staged(Bu.series_rows(B.typed_series(spark, sf)).select("id", "names", "brands"), "series")
+    rows = Bu.series_rows(B.typed_series(spark, sf)).select("id", "names", "brands").persist()
     magazines = Bu.series_brands(rows, B.brand_lookup(spark, sf))
     keys = Bu.series_keys(rows, magazines)
-    books = staged(_books(spark, sf).select("work_key", "description", "ord"), "books")
+    books = _books(spark, sf).select("work_key", "description", "ord").persist()
     return Bu.work_magazine_names(books, keys, magazines, books.groupBy("work_key").agg(F.min("ord").alias("ord")))
 
 
@@ -129,7 +129,7 @@ def a8(spark, sf):
 
 def _volumes(spark, sf):
     """Lines as volumes: the title ends in the line number, some rows carry a count already."""
-    lines = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus").repartition("l_partkey")
     rows = lines.join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return rows.select(
         F.concat_ws("-", F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")).alias("id"),
@@ -522,12 +522,12 @@ def k11(spark, sf):
 
 
 def _media(spark, sf):
-    """Every part once as a manga row and once as an anime row, parsed from its record and stored."""
+    """Every part once as a manga row and once as an anime row, parsed from its record once."""
     manga = api_json.manga_works(api_json.parse_records(B.api_records(spark, sf)))
     anime = api_json.anime_works(api_json.parse_records(B.api_records(spark, sf)))
     cols = ["id", "related_manga", "related_anime"]
     both = manga.select(*cols, "authors", "serialization").unionByName(anime.select(*cols, "studios"), allowMissingColumns=True)
-    return staged(both, "media")
+    return both.persist()
 
 
 @query("r13_related_works", """
@@ -557,7 +557,7 @@ ids AS (SELECT work_key, 'work:' || id AS id FROM grouped)"""
   UNION ALL SELECT DISTINCT 'publisher:' || lower(p), 'publisher', p FROM (SELECT n_name AS p FROM books UNION SELECT r_name FROM region JOIN nation ON n_regionkey = r_regionkey)
   UNION ALL SELECT 'magazine:' || lower(n_name), 'magazine', n_name FROM nation"""))
 def r15_nodes(spark, sf):
-    return Bu.build_graph(staged(B.typed(spark, sf), "items"), B.brand_lookup(spark, sf)).node_rows()
+    return Bu.build_graph(B.typed(spark, sf).persist(), B.brand_lookup(spark, sf)).node_rows()
 
 
 @query("r15_build_edges", with_sql(_BOOKS, _SERIES, _R15, select="""
@@ -566,7 +566,7 @@ def r15_nodes(spark, sf):
     FROM (SELECT work_key, n_name AS magazine FROM books UNION SELECT work_key, magazine FROM matched) m JOIN ids i USING (work_key) WHERE m.magazine IN (SELECT n_name FROM nation)
   UNION ALL SELECT 'magazine:' || lower(n_name), 'publisher:' || lower(r_name), 'PUBLISHED_BY' FROM nation JOIN region ON n_regionkey = r_regionkey"""))
 def r15_edges(spark, sf):
-    return Bu.build_graph(staged(B.typed(spark, sf), "items"), B.brand_lookup(spark, sf)).edge_rows()
+    return Bu.build_graph(B.typed(spark, sf).persist(), B.brand_lookup(spark, sf)).edge_rows()
 
 
 @query("r16_media_edges", """
@@ -634,4 +634,4 @@ def i3(spark, sf):
     q.awaitTermination()
     last.append(I.last_version(q))
     start().awaitTermination()
-    return spark.read.parquet(U.version_path(target, last[0])).select("user_id", "value", "event_type")
+    return I.read_table(spark, target, last[0]).select("user_id", "value", "event_type")

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfgraph.plans.registry import table
-from shelfgraph.session import spread
 from shelfgraph.sources.jsonld import items_of, typed_items
 
 
@@ -39,7 +38,7 @@ def book_texts(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate")
     rows = (
-        spread(lines).join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        lines.repartition("l_partkey").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     )

@@ -12,7 +12,6 @@ from shelfgraph.operators import quality as Q, search as S, vector as Ve
 from shelfgraph.operators.limits import top_rows
 from shelfgraph.plans.binding import CREDITS_SQL, EXPAND_SQL, GRAPH_SQL, WORKS_SQL, catalogue, credits, embedded_titles, titles, vectors, with_sql, works
 from shelfgraph.plans.registry import query, table
-from shelfgraph.session import spread
 
 TITLE, DESCRIPTION = "embedding_title_en", "embedding_description"
 _QUERY = 17
@@ -150,7 +149,7 @@ parts AS (SELECT id, i, (strpos('0123456789abcdef', substr(h, (i % 384)::INTEGER
 @query("v11_hash_embedding", with_sql(
     _HASHED.format(key="doc_id", t="text", src="documents", n=16), select="SELECT id AS doc_id, i AS position, round(x, 9) AS x FROM parts"))
 def v11(spark, sf):
-    v = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", V.hash_embedding("text", 16).alias("v"))
+    v = table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", V.hash_embedding("text", 16).alias("v"))
     return v.select("doc_id", F.posexplode("v").alias("position", "x")).select(
         "doc_id", F.col("position").cast("bigint").alias("position"), F.round("x", 9).alias("x"))
 
@@ -195,7 +194,7 @@ def v15(spark, sf):
         "id", F.col("position").cast("bigint").alias("position"), F.round("x", 9).alias("x"))
 
 
-@query("v15_backfill_counts", "SELECT count(*) AS processed, count(*) AS success, CAST(0 AS BIGINT) AS failed FROM part WHERE p_partkey NOT IN (SELECT vec_id FROM embeddings)")
+@query("v15_backfill_counts", "SELECT count(*) AS processed, count(*) AS success, CAST(0 AS BIGINT) AS failed, CAST(0 AS BIGINT) AS fallbacks FROM part WHERE p_partkey NOT IN (SELECT vec_id FROM embeddings)")
 def v15_counts(spark, sf):
     return Ve.backfill_counts(_backfilled(spark, sf))
 

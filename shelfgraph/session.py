@@ -42,13 +42,3 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     path = work_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Deal the rows of a bare scan to all cores when its files give fewer tasks than there are cores.
-
-    For work that costs much per row (parsing, hashing, many patterns) on a few files that cannot be
-    split. A scan with tasks enough, as any large table has, is returned as it is, without a shuffle.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

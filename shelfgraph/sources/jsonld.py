@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfgraph.functions.text import col, strip
-from shelfgraph.session import spread
 
 # Vocabulary of the dumps (fixed values).
 BOOK = ("class:MangaBook", "マンガ単行本")
@@ -15,16 +14,24 @@ MAGAZINE_GENRES = ["マンガ雑誌", "雑誌", "雑誌全号まとめ"]
 MAGAZINE_MARK = "Magazine"
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
+def scan(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """All ``@graph`` items of the files at ``path`` as (file, pos, item).
 
-    One JSON document cannot be split, so a file is one task that only cuts it into items; the items
-    are then dealt to all cores for parsing. Text that is no JSON gives a null item. Write the result
-    to Parquet once and work from there.
+    One JSON document cannot be split, so a file is one task that only cuts it into items; with ``partitions`` the items
+    are dealt out before they are parsed, for a few large files. Text that is no JSON gives a null item. Write the result
+    to Parquet once and work from there; a dump with one item a line (``scan_lines``) is split by itself.
     """
     docs = spark.read.schema("`@graph` array<string>").option("multiLine", True).json(path)
     texts = docs.select(F.col("_metadata.file_path").alias("file"), F.posexplode("@graph").alias("pos", "text"))
-    return spread(texts).select("file", "pos", F.try_parse_json("text").alias("item"))
+    dealt = texts if partitions is None else texts.repartition(partitions)
+    return dealt.select("file", "pos", F.try_parse_json("text").alias("item"))
+
+
+def scan_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same of files with one item a line, which are split at any size; ``pos`` is the byte block and place in it."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                        F.monotonically_increasing_id().alias("pos"), F.try_parse_json("value").alias("item"))
 
 
 def items_of(texts: DataFrame) -> DataFrame:

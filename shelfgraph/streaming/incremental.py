@@ -10,6 +10,9 @@ from shelfgraph.operators.limits import first_per_key
 from shelfgraph.operators.upsert import publish, upsert_merge, version_path
 
 
+BUCKETS = 64
+
+
 def read_files(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
     """A stream over the files of a folder, new ones included."""
     reader = spark.readStream.format(fmt).schema(schema)
@@ -18,20 +21,31 @@ def read_files(spark: SparkSession, path: str, schema, fmt: str = "parquet", fil
     return reader.load(path)
 
 
+def _bucket(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def _touched(rows: DataFrame) -> list[int]:
+    """The buckets that rows fall in: at most BUCKETS numbers."""
+    return sorted(r[0] for r in rows.select("bucket").distinct().collect())
+
+
 def append_new(stream: DataFrame, key: str, order: list[str], target: str, checkpoint: str) -> StreamingQuery:
     """Append rows whose key is not in the target yet, the first row per key within a batch.
 
     The batch number is a folder of the target, and a repeated batch leaves its own folder out of
     the comparison and overwrites it. So a lost driver or executor changes nothing in the result, and
-    the stream itself keeps no growing state.
+    the stream itself keeps no growing state. Below it, rows lie by a hash of their key: a batch reads earlier keys of its own buckets only.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        first = first_per_key(batch, [key], [F.col(c) for c in order])
+        first = first_per_key(batch, [key], [F.col(c) for c in order]).withColumn("bucket", _bucket(key))
         if batch_id > 0:
-            seen = spark.read.parquet(target)
-            first = first.join(seen.filter(F.col("batch") < batch_id).select(key), key, "left_anti")
-        first.select(*batch.columns).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+            kind = batch.schema[key].dataType.simpleString()
+            stored = spark.read.schema(f"`{key}` {kind}, batch int, bucket int").parquet(target)
+            seen = stored.filter((F.col("batch") < batch_id) & F.col("bucket").isin(_touched(first)))
+            first = first.join(seen.select(key), key, "left_anti")
+        first.select(*batch.columns, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/batch={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -42,8 +56,9 @@ def upsert_stream(stream: DataFrame, key: str, order: list[str], target: str, ch
                   start: DataFrame | None = None) -> StreamingQuery:
     """Keyed upsert of every batch: version N is version N-1 merged with batch N.
 
-    A repeated batch reads the same old version and overwrites its own, so the result is the same.
-    ``start`` is the table before the first batch.
+    Rows lie by a hash of their key. A batch reads and writes the buckets its keys fall in; a small manifest names the version that
+    holds each bucket, so the others stay where they are. A repeated batch reads the same old manifest and overwrites
+    its own folders, so the result is the same. ``start`` is the table before the first batch. ``read_table`` reads a version.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -51,14 +66,40 @@ def upsert_stream(stream: DataFrame, key: str, order: list[str], target: str, ch
         rest = [c for c in batch.columns if c != key]
         rank = F.struct(*order)
         source = batch.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), rank)).alias(c) for c in rest])
-        old = spark.read.parquet(version_path(target, batch_id - 1)) if batch_id > 0 else start
-        publish(source if old is None else upsert_merge(old, source, key), target, batch_id)
+        held = manifest(spark, target, batch_id - 1) if batch_id > 0 else {}
+        if batch_id == 0 and start is not None:
+            merged = upsert_merge(start, source, key)
+            touched = list(range(BUCKETS))
+        else:
+            touched = _touched(source.select(_bucket(key).alias("bucket")))
+            old = _read_buckets(spark, target, {b: v for b, v in held.items() if b in touched})
+            merged = source if old is None else upsert_merge(old, source, key)
+        merged.withColumn("bucket", _bucket(key)).write.mode("overwrite").partitionBy("bucket").parquet(version_path(f"{target}/data", batch_id))
+        written = {r[0] for r in spark.read.schema("bucket int").parquet(version_path(f"{target}/data", batch_id)).distinct().collect()}
+        rows = sorted((held | {b: batch_id for b in touched if b in written}).items())
+        publish(spark.createDataFrame(rows, "bucket int, version int").coalesce(1), f"{target}/manifest", batch_id)
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def manifest(spark: SparkSession, target: str, version: int) -> dict[int, int]:
+    """Which version holds each bucket (at most BUCKETS entries)."""
+    rows = spark.read.schema("bucket int, version int").parquet(version_path(f"{target}/manifest", version)).collect()
+    return {r.bucket: r.version for r in rows}
+
+
+def _read_buckets(spark: SparkSession, target: str, held: dict[int, int]) -> DataFrame | None:
+    paths = [f"{version_path(f'{target}/data', v)}/bucket={b}" for b, v in sorted(held.items())]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def read_table(spark: SparkSession, target: str, version: int) -> DataFrame | None:
+    """One version of a table kept by ``upsert_stream``; None while it has no rows."""
+    return _read_buckets(spark, target, manifest(spark, target, version))
+
+
 def last_version(query: StreamingQuery) -> int | None:
     """Number of the last batch a finished query wrote."""
     progress = query.lastProgress

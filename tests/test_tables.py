@@ -174,7 +174,13 @@ def test_backfill(spark):
     df = spark.createDataFrame([("1", "A", "g", [1.0]), ("2", "B", "", None), ("3", None, "g", None)], "id string, title string, genre string, e array<double>")
     out = Ve.backfill_embeddings(df, "e", 4, "title", "genre")
     assert {r.id: r.status for r in out.collect()} == {"1": "kept", "2": "added", "3": "kept"}
-    assert rows(Ve.backfill_counts(out)) == [(1, 1, 0)]
+    assert rows(Ve.backfill_counts(out)) == [(1, 1, 0, 0)]
+
+    def broken():
+        raise RuntimeError("no such model")
+
+    out = Ve.backfill_embeddings(df, "e", 4, "title", "genre", broken)
+    assert rows(Ve.backfill_counts(out)) == [(1, 0, 0, 1)] and {r.method for r in out.collect()} == {None, "hash"}
 
 
 def test_resume(spark, tmp_path):
@@ -205,10 +211,15 @@ def test_upsert_stream(spark, tmp_path):
         spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(source)
         q = I.upsert_stream(I.read_files(spark, source, schema), "id", ["ord"], target, check, start)
         q.awaitTermination()
-        return rows(spark.read.parquet(U.version_path(target, I.last_version(q))).select("id", "v"))
+        return rows(I.read_table(spark, target, I.last_version(q)).select("id", "v"))
 
     assert run([(1, 1, "a"), (1, 2, None)]) == [(1, "a"), (9, "keep")]
     assert run([(2, 3, "b"), (1, 4, "c")]) == [(1, "c"), (2, "b"), (9, "keep")]
+    first, second = (I.manifest(spark, target, v) for v in (0, 1))
+    untouched = {b for b in first if second[b] == first[b]}
+    assert len(untouched) == len(first) - 1 and len(second) == len(first) + 1  # the bucket of 9 is neither read nor written again
+    batch = spark.createDataFrame([(2, 3, "b"), (1, 4, "c")], schema)
+    assert sorted(second.items()) == sorted((first | dict.fromkeys(I._touched(batch.select(I._bucket("id").alias("bucket"))), 1)).items())
 
 
 def test_vector_literal(spark):
