@@ -47,9 +47,10 @@ def components(edges: DataFrame, purpose: str = "components", edges_per_task: in
     Each round writes its labels to the shared folder, so that lineage stays short and a lost executor costs one round. Nothing is
     collected, and no task holds more than its share of the edges.
     """
-    pairs = staged(edges.select("a", "b").filter(F.col("a") != F.col("b")), purpose)
+    kind = edges.schema["a"].dataType.simpleString()
+    own = edges.select("a", "b").filter(F.col("a") != F.col("b")).mapInArrow(_stars, f"a {kind}, b {kind}")
+    pairs = staged(own.filter(F.col("a") != F.col("b")), purpose)
     tasks = -(-pairs.count() // edges_per_task) or 1
-    kind = pairs.schema["a"].dataType.simpleString()
     stars = staged(pairs.repartition(tasks).mapInArrow(_stars, f"a {kind}, b {kind}"), purpose)
     if tasks == 1:
         return stars.select(F.col("b").alias("node"), F.col("a").alias("component"))

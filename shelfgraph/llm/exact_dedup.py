@@ -184,11 +184,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns."""
-    keep = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col("id").alias("_keep_id"), F.col("digest").alias("_keep_digest"))
+    name = lambda id_, digest: F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("null")), F.lower(F.hex(digest)))
+    keep = exact_duplicates(docs, id_col, text_col).filter("kept").select(name(F.col("id"), F.col("digest")).alias("_keep"))
     whole = docs.select(F.struct("*").alias("_row"))
     text = F.coalesce(F.col(f"_row.`{text_col}`").cast("string"), F.lit(""))
-    key = whole.withColumn("_id", F.col(f"_row.`{id_col}`").cast("long")).withColumn(
-        "_digest", F.unhex(F.sha2(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)))
-    found = key.join(keep, F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_digest") == F.col("_keep_digest")))
-    one = Window.partitionBy("_id", "_digest").orderBy(F.xxhash64("_row"))
+    digest = F.unhex(F.sha2(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256))
+    found = whole.withColumn("_name", name(F.col(f"_row.`{id_col}`").cast("long"), digest)).join(keep, F.col("_name") == F.col("_keep"))
+    one = Window.partitionBy("_name").orderBy(F.xxhash64("_row"))  # the join has dealt the rows by this name
     return found.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select("_row.*")

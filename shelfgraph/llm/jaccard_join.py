@@ -34,6 +34,8 @@ from shelfgraph.session import staged
 
 BLOCK_KEYS = 4_000_000
 SEEN = 1_000_000
+NODE_BITS = 1 << 26
+PIECE_BYTES = 4096  # of bitmap_construct_agg
 _U = np.uint64
 
 
@@ -79,24 +81,29 @@ class Range(NamedTuple):
 
 
 class Signatures:
-    """Which parts of a set are hashed, for similarities of ``percent`` or more."""
+    """Which parts of a set are hashed, for similarities of ``percent`` or more.
+
+    Sizes are cut into ranges by the ratio 1.6. A set is compared in its own range, and with smaller sets of the range below if its size
+    is not beyond what similarity to one of those allows. Pairs whose smaller set has v keys differ in (1 - t) v / t keys at most.
+    """
 
     def __init__(self, percent: int):
         self.percent, self.bounds = percent, [1]
 
     def _range(self, number: int) -> Range | None:
-        """Pairs with the smaller size in this range. They differ in d keys at most; with no difference allowed there is nothing to do."""
+        """The parts for pairs with the smaller size in this range; with no difference allowed there is nothing to do."""
         d = (100 - self.percent) * (self.bounds[number + 1] - 1) // self.percent
-        spare = 1 + d // 10
+        spare = 1 + d // (12 if self.percent < 85 else 30)
         return Range(number, d + 1 + spare, spare) if d else None
 
     def of(self, keys: np.ndarray, mixed: np.ndarray) -> np.ndarray:
         """Signatures of one sorted set; ``mixed`` are its mixed keys."""
         n, out = len(keys), []
         while self.bounds[-1] <= n or len(self.bounds) < 3:
-            self.bounds.append(self.bounds[-1] * 100 // self.percent + 1)
+            self.bounds.append(max(self.bounds[-1] * 100 // self.percent, self.bounds[-1] * 8 // 5) + 1)
         own = int(np.searchsorted(self.bounds, n, "right")) - 1
-        for number in (own, own - 1):
+        below = n * self.percent <= (self.bounds[own] - 1) * 100  # similar to a set of the range below
+        for number in (own, own - 1) if below else (own,):
             found = self._range(number) if n and number >= 0 else None
             if found is None:
                 continue
@@ -111,68 +118,97 @@ class Signatures:
         return np.concatenate(out) if out else np.zeros(0, _U)
 
 
-_SCHEMA = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("name", pa.binary()),
-                     ("signatures", pa.list_(pa.int64())), ("near", pa.list_(pa.int64()))])
-
+def _once(found: list[np.ndarray], nodes: np.ndarray) -> pa.RecordBatch:
+    """Each signature with the first node of a batch that has it; the others get that node as a neighbour instead, once."""
+    flat, owner = np.concatenate([*found, np.zeros(0, _U)]), np.repeat(np.arange(len(found)), [len(f) for f in found])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    first = owner[new][np.cumsum(new) - 1]
+    node, near = nodes[owner[~new]], nodes[first[~new]]
+    by_node = np.lexsort((near, node))
+    node, near = node[by_node], near[by_node]
+    distinct = np.ones(len(node), bool)
+    distinct[1:] = (node[1:] != node[:-1]) | (near[1:] != near[:-1])
+    node, near = node[distinct], near[distinct]
+    alone = int(new.sum())
+    return pa.record_batch([
+        pa.array(np.concatenate([flat[new].view(np.int64), node])),  # rows with a neighbour may lie anywhere
+        pa.array(np.concatenate([nodes[owner[new]], node])),
+        pa.array(np.concatenate([np.zeros(alone, np.int64), near]), mask=np.arange(alone + len(near)) < alone),
+    ], ["signature", "node", "near"])
+
+
+def _nodes(names: list[bytes]) -> np.ndarray:
+    """64 bits of the names: enough to bring sets together, and a clash only brings more together."""
+    return np.frombuffer(b"".join(n[:8] for n in names), "<i8").astype(np.int64)
+
+
+def _set_rows(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, sizes = [], []
+            for chunk in chunks(batch.column(2)):
+                sets, first = shingle_sets(chunk, k)
+                names += set_names(sets, first)
+                sizes.append(np.diff(first))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.concatenate([*sizes, np.zeros(0, np.int64)])), pa.array(_nodes(names)),
+                                   pa.array(names, pa.binary())], ["id", "text_key", "n_shingles", "node", "name"])
 
-def _lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
-    """The values of each of n rows; they come in row order."""
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]), pa.int32()), pa.array(values.view(np.int64)))
+    return run
 
 
-def _once(found: list[np.ndarray], nodes: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
-    """Each signature for the first row of a batch that has it; the others get that row's node as a neighbour instead."""
-    n = len(found)
-    flat, owner = np.concatenate([*found, np.zeros(0, _U)]), np.repeat(np.arange(n), [len(f) for f in found])
-    order = np.argsort(flat, kind="stable")
-    new = np.ones(len(flat), bool)
-    new[1:] = flat[order][1:] != flat[order][:-1]
-    keep = np.zeros(len(flat), bool)
-    keep[order[new]] = True
-    first = owner[order[new]][np.cumsum(new) - 1]
-    row, other = owner[order[~new]], nodes[first[~new]]
-    by_row = np.lexsort((other, row))
-    row, other = row[by_row], other[by_row]
-    distinct = np.ones(len(row), bool)
-    distinct[1:] = (row[1:] != row[:-1]) | (other[1:] != other[:-1])
-    return _lists(owner[keep], flat[keep], n), _lists(row[distinct], other[distinct], n)
-
-
-def _set_rows(k: int, percent: int):
+def _signature_rows(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signatures, seen = Signatures(percent), set()
         for batch in batches:
-            names, sizes, found = [], [], []
-            for chunk in chunks(batch.column(2)):
+            names, found = [], []
+            for chunk in chunks(batch.column(0)):
                 sets, first = shingle_sets(chunk, k)
                 mixed, cut = mix(sets), first.tolist()
                 for name, a, b in zip(set_names(sets, first), cut, cut[1:]):
-                    new = name not in seen  # copies met again in this task need no signatures
-                    seen.add(name)
-                    names.append(name)
-                    found.append(signatures.of(sets[a:b], mixed[a:b]) if new else np.zeros(0, _U))
-                sizes.append(np.diff(first))
+                    if name not in seen:  # copies met again in this task need no signatures
+                        seen.add(name)
+                        names.append(name)
+                        found.append(signatures.of(sets[a:b], mixed[a:b]))
                 if len(seen) > SEEN:
                     seen.clear()
-            nodes = np.array([int.from_bytes(x[:8], "little", signed=True) for x in names], np.int64)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.concatenate([*sizes, np.zeros(0, np.int64)])), pa.array(nodes),
-                                   pa.array(names, pa.binary()), *_once(found, nodes)], schema=_SCHEMA)
+            yield _once(found, _nodes(names))
 
     return run
 
 
-def _member_rows(k: int):
-    """The sets of documents asked for; another row with the same id is told apart by its set's name."""
+def node_bits(nodes: DataFrame) -> bytes:
+    """Which of NODE_BITS hashed places the nodes take: a bitmap of bounded size, put together from the tasks' pieces."""
+    place = F.pmod("node", F.lit(NODE_BITS))
+    bit = place.bitwiseAND(8 * PIECE_BYTES - 1)
+    pieces = nodes.select(F.floor(place / (8 * PIECE_BYTES)).alias("piece"), bit.alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    whole = bytearray(NODE_BITS // 8)
+    for row in pieces.collect():  # NODE_BITS / 8 bytes at most
+        whole[row.piece * PIECE_BYTES:(row.piece + 1) * PIECE_BYTES] = row.bits
+    return bytes(whole)
+
+
+def _member_rows(k: int, bits: bytes):
+    """The sets of the documents whose node is in the bitmap, once a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, seen = np.frombuffer(bits, np.uint8), set()
         for batch in batches:
             for chunk in chunks(batch.column(0)):
                 sets, first = shingle_sets(chunk, k)
-                part, cut = batch.slice(chunk.first, chunk.n), first.tolist()
-                names = set_names(sets, first)
-                right = [i for i, (a, b) in enumerate(zip(names, part.column(1).to_pylist(), strict=True)) if a == b]
-                part = part.take(pa.array(right, pa.int64()))
-                yield pa.record_batch([*part.columns[1:], pa.array([sets[cut[i]:cut[i + 1]].tobytes() for i in right], pa.binary())],
-                                      ["name", "block", "copies", "chunks", "keys"])
+                names, cut = set_names(sets, first), first.tolist()
+                place = np.mod(_nodes(names), NODE_BITS)
+                likely = np.flatnonzero((table[place >> 3] >> (place & 7)) & 1)
+                rows = []
+                for i in likely.tolist():
+                    if names[i] not in seen:
+                        seen.add(names[i])
+                        rows.append(i)
+                if len(seen) > SEEN:
+                    seen.clear()
+                if rows:
+                    yield pa.record_batch([pa.array([names[i] for i in rows], pa.binary()), pa.array([sets[cut[i]:cut[i + 1]].tobytes() for i in rows], pa.binary())], ["set_name", "keys"])
 
     return run
 
@@ -299,21 +335,18 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("text_key"), "text")
-    kinds = "id long, text_key long, n_shingles long, node long, name binary, signatures array<long>, near array<long>"
-    sets = staged(rows.mapInArrow(_set_rows(k, percent), kinds), "shingle-sets")
-    named = sets.select("node", F.explode("signatures").alias("signature"))
+    sets = staged(rows.mapInArrow(_set_rows(k), "id long, text_key long, n_shingles long, node long, name binary"), "shingle-sets")
+    named = rows.select("text").mapInArrow(_signature_rows(k, percent), "signature long, node long, near long")
     least = F.min("node").over(Window.partitionBy("signature").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    pairs = named.withColumn("a", least).filter("a <> node").select("a", F.col("node").alias("b")).distinct()
-    pairs = pairs.union(sets.select(F.explode("near").alias("a"), F.col("node").alias("b")))
+    pairs = named.withColumn("a", F.coalesce("near", least)).filter("a <> node").select("a", F.col("node").alias("b"))
     blocks = components(pairs, "blocks").select(F.col("node").alias("member"), F.col("component").alias("block"))
 
-    classes = sets.filter("n_shingles > 0").groupBy("name").agg(
-        F.min("node").alias("node"), F.min("id").alias("id"), F.min("n_shingles").alias("n"), F.count("*").alias("copies"))
-    members = staged(classes.join(blocks, F.col("node") == F.col("member")).select("name", "id", "n", "copies", "block"), "members")
+    classes = sets.filter("n_shingles > 0").groupBy("name").agg(F.min("node").alias("node"), F.min("n_shingles").alias("n"), F.count("*").alias("copies"))
+    members = staged(classes.join(blocks, F.col("node") == F.col("member")).select("name", "node", "n", "copies", "block"), "members")
     weights = members.groupBy("block").agg(F.ceil(F.sum("n") / block_keys).cast("int").alias("chunks")).withColumnRenamed("block", "b")
-    asked = members.join(weights, F.col("block") == F.col("b")).select(F.col("id").alias("i"), "name", "block", "copies", "chunks")
-    texts = rows.join(asked, F.col("id").eqNullSafe(F.col("i"))).select("text", "name", "block", "copies", "chunks")
-    loaded = texts.mapInArrow(_member_rows(k), "name binary, block long, copies long, chunks int, keys binary")
+    asked = members.join(weights, F.col("block") == F.col("b")).select("name", "block", "copies", "chunks")
+    loaded = rows.select("text").mapInArrow(_member_rows(k, node_bits(members)), "set_name binary, keys binary")
+    loaded = loaded.join(asked, F.col("set_name") == F.col("name")).select("name", "block", "copies", "chunks", "keys")
     own = F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int")
     tasks = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("one"), F.greatest(F.col("own"), j).alias("two")))
     dealt = loaded.withColumn("own", own).withColumn("task", F.explode(tasks)).select("block", "task.one", "task.two", "name", "copies", "own", "keys")
@@ -342,9 +375,12 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col:
     groups = staged(jaccard_groups(docs, k, percent, id_col, text_col), "groups")
     first = groups.filter("component is not null").groupBy("component").agg(F.min(F.struct("id", "text_key")).alias("m")).select("m.*", F.lit(1).alias("rows"))
     bare = groups.filter("component is null").groupBy("id", "text_key").agg(F.count("*").cast("int").alias("rows"))
-    stay = first.union(bare).select(F.col("id").alias("_stay"), F.col("text_key").alias("_stay_key"), "rows")
+    stay = first.union(bare)
+    key = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("text_key"))
+    stay = stay.select(key.alias("_stay"), "rows")
     whole = docs.select(F.struct("*").alias("_row"))
-    whole = whole.withColumn("_id", F.col(f"_row.`{id_col}`").cast("long")).withColumn("_key", F.xxhash64(F.coalesce(F.col(f"_row.`{text_col}`").cast("string"), F.lit(""))))
-    found = whole.join(stay, F.col("_id").eqNullSafe(F.col("_stay")) & (F.col("_key") == F.col("_stay_key")))
-    turn = Window.partitionBy("_id", "_key").orderBy(F.xxhash64("_row"))
+    text_key = F.xxhash64(F.coalesce(F.col(f"_row.`{text_col}`").cast("string"), F.lit("")))
+    whole = whole.withColumn("_key", F.concat_ws(":", F.coalesce(F.col(f"_row.`{id_col}`").cast("long").cast("string"), F.lit("null")), text_key))
+    found = whole.join(stay, F.col("_key") == F.col("_stay"))
+    turn = Window.partitionBy("_key").orderBy(F.xxhash64("_row"))  # the join has dealt the rows by this key
     return found.withColumn("_n", F.row_number().over(turn)).filter("_n <= rows").select("_row.*")
