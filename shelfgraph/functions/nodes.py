@@ -114,6 +114,36 @@ def output_edge_id(src, type_, dst) -> Column:
     return F.concat_ws("-", col(src), col(type_), col(dst))
 
 
+def output_nodes(nodes: DataFrame, source: str = STORE_SOURCE) -> DataFrame:
+    """Nodes that are no works in the delivery form: (id, label, type, properties); properties is JSON text.
+
+    Authors, magazines and publishers have their label as name; publications their title, date, genre and lists, with defaults.
+    """
+    def text(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit("")) if name in nodes.columns else F.lit("")
+
+    def names(name: str) -> Column:
+        none = F.array().cast("array<string>")
+        return F.coalesce(F.col(name), none) if name in nodes.columns else none
+
+    title = F.coalesce("title", "label") if "title" in nodes.columns else F.col("label")
+    named = F.to_json(F.struct(F.lit(source).alias("source"), F.col("label").alias("name")))
+    publication = F.to_json(F.struct(
+        F.lit(source).alias("source"), title.alias("title"), text("publication_date").alias("publication_date"), text("genre").alias("genre"),
+        names("creators").alias("creators"), names("magazines").alias("magazines")))
+    other = F.to_json(F.struct(F.lit(source).alias("source")))
+    properties = F.when(F.col("type").isin("author", "publisher", "magazine"), named).when(F.col("type") == "publication", publication).otherwise(other)
+    return nodes.filter(F.col("type") != "work").select("id", "label", "type", properties.alias("properties"))
+
+
+def output_edges(edges: DataFrame, source: str = STORE_SOURCE) -> DataFrame:
+    """Edges in the delivery form: (id, source, target, type, properties); an edge without an id gets one from its ends."""
+    made = output_edge_id("src", "type", "dst")
+    id_ = F.coalesce("id", made) if "id" in edges.columns else made
+    return edges.select(id_.alias("id"), F.col("src").alias("source"), F.col("dst").alias("target"), "type",
+                        F.to_json(F.struct(F.lit(source).alias("source"))).alias("properties"))
+
+
 # Placeholder covers: publisher mark in the name -> file (fixed values).
 PLACEHOLDERS = "/static/images/placeholders/"
 PUBLISHER_COVERS = {"集英社": "shueisha", "講談社": "kodansha", "小学館": "shogakukan"}

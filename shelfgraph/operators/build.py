@@ -10,7 +10,6 @@ from shelfgraph.functions import titles as Ti
 from shelfgraph.graph import CREATED_BY, PRODUCED_BY, PUBLISHED_BY, PUBLISHED_IN, RELATED_TO, Graph, edge_id
 from shelfgraph.operators.limits import first_per_key
 from shelfgraph.operators.linkage import match_series
-from shelfgraph.operators.upsert import merge_edges
 
 
 def with_work_keys(books: DataFrame) -> DataFrame:
@@ -229,8 +228,36 @@ def media_edges(works: DataFrame) -> DataFrame:
     )
 
 
-def add_edges(graph: Graph, new: DataFrame) -> Graph:
-    return Graph(graph.nodes, merge_edges(graph.edges, new, graph.nodes))
+def media_nodes(works: DataFrame) -> DataFrame:
+    """(id, type, label, name) of the authors, magazines and studios that ``media_edges`` leads to."""
+    anime = F.col("id").startswith("anime_")
+
+    def named(rows: DataFrame, column: str, node_type: str) -> DataFrame:
+        names = rows.select(F.explode(column).alias("name")).filter(F.coalesce("name", F.lit("")) != "").distinct()
+        return names.select(F.concat(F.lit(node_type + ":"), "name").alias("id"), F.lit(node_type).alias("type"), F.col("name").alias("label"), "name")
+
+    manga = works.filter(~anime)
+    return named(manga, "authors", "author").unionByName(named(manga, "serialization", "magazine")).unionByName(
+        named(works.filter(anime), "studios", "studio"))
+
+
+def details_authors(details: DataFrame) -> DataFrame:
+    """Author nodes of ``details(mal_id, authors)``, one per name with the fields of its entry with the greatest ``mal_id``.
+
+    They are meant for ``insert_missing``: an author already stored keeps its fields.
+    """
+    entries = details.select("mal_id", F.posexplode("authors").alias("pos", "a"))
+    last = entries.groupBy(F.col("a.name").alias("name")).agg(F.max_by("a", F.struct("mal_id", "pos")).alias("a"))
+    return last.select(F.concat(F.lit("author:"), "name").alias("id"), F.lit("author").alias("type"), F.col("name").alias("label"), "name",
+                       F.col("a.id").alias("mal_id"), "a.first_name", "a.last_name")
+
+
+def details_edges(details: DataFrame, works: DataFrame) -> DataFrame:
+    """CREATED_BY edges with ``role`` from works of the same ``mal_id`` to the named authors; the first role of a pair stays."""
+    entries = details.select("mal_id", F.posexplode("authors").alias("pos", "a"))
+    found = entries.join(works.select("mal_id", F.col("id").alias("src")), "mal_id")
+    pairs = found.groupBy("src", F.concat(F.lit("author:"), "a.name").alias("dst")).agg(F.min_by("a.role", "pos").alias("role"))
+    return pairs.select(edge_id(F.col("src"), F.lit(CREATED_BY), F.col("dst")).alias("id"), "src", "dst", F.lit(CREATED_BY).alias("type"), "role")
 
 
 # Volumes ---------------------------------------------------------------------------------------

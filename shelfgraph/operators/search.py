@@ -211,3 +211,14 @@ def text_search(works: DataFrame, credits: DataFrame, term: str, limit: int) ->
     )
     hit = works.join(by_creator, "id", "left").filter(title_matches(term) | F.col("_credited"))
     return top_rows(hit.drop("_credited"), limit, *by_members())
+
+
+def with_credits(hits: DataFrame, credits: DataFrame) -> DataFrame:
+    """Rows of a limited result with their ``creators``, ``publishers`` and ``magazines`` as sorted lists, empty where there are none."""
+    kinds = {"creators": "creator", "publishers": "publisher", "magazines": "magazine"}
+    own = credits.join(hits.select(F.col("id").alias("work_id")), "work_id", "left_semi")
+    lists = own.groupBy("work_id").agg(*[
+        F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("name")))).alias(name) for name, kind in kinds.items()])
+    none = F.array().cast("array<string>")
+    joined = hits.join(lists.withColumnRenamed("work_id", "id"), "id", "left")
+    return joined.withColumns({name: F.coalesce(name, none) for name in kinds})

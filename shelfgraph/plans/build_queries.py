@@ -577,6 +577,42 @@ def r16(spark, sf):
     return Bu.media_edges(_media(spark, sf)).select("src", "dst", "type")
 
 
+@query("r16_media_nodes", """
+  SELECT DISTINCT 'author:' || p_name AS id, 'author' AS type, p_name AS name FROM part
+  UNION ALL SELECT DISTINCT 'magazine:' || p_brand, 'magazine', p_brand FROM part
+  UNION ALL SELECT DISTINCT 'studio:' || p_brand, 'studio', p_brand FROM part""")
+def r16_nodes(spark, sf):
+    return Bu.media_nodes(_media(spark, sf)).select("id", "type", "name")
+
+
+def _details(spark, sf):
+    """Details of every part: an author with a role, and one without."""
+    record = F.concat(F.lit('{"authors":[{"node":{"id":'), "p_partkey", F.lit(',"first_name":"A","last_name":"'), "p_brand", F.lit('"},"role":"'), "p_type",
+                      F.lit('"},"'), "p_type", F.lit('"]}'))
+    item = table(spark, sf, "part").select(F.col("p_partkey").alias("mal_id"), F.parse_json(record).alias("item"))
+    return item.select("mal_id", api_json.author_entries("item").alias("authors"))
+
+
+@query("k5_details_authors", """
+  SELECT 'author:A ' || p_brand AS id, max(p_partkey) AS mal_id, 'A' AS first_name, p_brand AS last_name FROM part GROUP BY p_brand
+  UNION ALL SELECT DISTINCT 'author:' || p_type, NULL, '', '' FROM part WHERE p_type <> 'PROMO'
+  UNION ALL SELECT 'author:PROMO', NULL, 'kept', NULL""")
+def k5_details_authors(spark, sf):
+    """Authors of details are inserted; one that is stored keeps its fields."""
+    new = Bu.details_authors(_details(spark, sf)).select("id", "mal_id", "first_name", "last_name")
+    stored = spark.range(1).select(F.lit("author:PROMO").alias("id"), F.lit(None).cast("bigint").alias("mal_id"), F.lit("kept").alias("first_name"),
+                                   F.lit(None).cast("string").alias("last_name"))
+    return U.insert_missing(stored, new, "id")
+
+
+@query("k5_details_edges", """
+  SELECT 'work:' || p_partkey AS src, 'author:A ' || p_brand AS dst, 'CREATED_BY' AS type, p_type AS role FROM part WHERE p_partkey % 2 = 0
+  UNION ALL SELECT 'work:' || p_partkey, 'author:' || p_type, 'CREATED_BY', '' FROM part WHERE p_partkey % 2 = 0""")
+def k5_details_edges(spark, sf):
+    stored = table(spark, sf, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("mal_id"), F.concat(F.lit("work:"), "p_partkey").alias("id"))
+    return Bu.details_edges(_details(spark, sf), stored).select("src", "dst", "type", "role")
+
+
 # Incremental ingest --------------------------------------------------------------------------
 
 

@@ -302,6 +302,24 @@ def n31(spark, sf):
                       F.array_join("publishers", "|").alias("publishers"), "source", "date_range")
 
 
+@query("n31_output_nodes", with_sql(GRAPH_SQL, select="""
+  SELECT id, label, type, '{"source":"neo4j","name":"' || label || '"}' AS properties FROM nodes WHERE type IN ('author', 'magazine', 'publisher')
+  UNION ALL SELECT 'publication:' || p_partkey, p_name, 'publication',
+    '{"source":"neo4j","title":"' || p_name || '","publication_date":"","genre":"' || p_type || '","creators":["' || p_brand || '"],"magazines":[]}' FROM part"""))
+def n31_nodes(spark, sf):
+    publications = _part(spark, sf).select(
+        F.concat(F.lit("publication:"), "p_partkey").alias("id"), F.col("p_name").alias("label"), F.lit("publication").alias("type"),
+        F.col("p_type").alias("genre"), F.array("p_brand").alias("creators"))
+    rows = catalogue(spark, sf).nodes.select("id", "label", "type").unionByName(publications, allowMissingColumns=True)
+    return Nd.output_nodes(rows)
+
+
+@query("n31_output_edges", with_sql(GRAPH_SQL, select="""
+  SELECT src || '-' || type || '-' || dst AS id, src AS source, dst AS target, type, '{"source":"neo4j"}' AS properties FROM edges"""))
+def n31_edges(spark, sf):
+    return Nd.output_edges(catalogue(spark, sf).edges.withColumn("id", F.lit(None).cast("string")))
+
+
 @query("n32_strip_embeddings", "SELECT vec_id, label FROM embeddings")
 def n32(spark, sf):
     e = table(spark, sf, "embeddings").withColumnRenamed("embedding", "embedding_title_en")

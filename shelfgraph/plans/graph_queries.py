@@ -304,6 +304,19 @@ def q12(spark, sf):
     return S.text_search(works(spark, sf), credits(spark, sf), "07", 40).select("id", "title_name")
 
 
+@query("q12_text_search_credits", with_sql(WORKS_SQL, CREDITS_SQL, """
+hits AS (SELECT id FROM works WHERE contains(title_name, '07') OR contains(english_name, '07')
+         OR id IN (SELECT work_id FROM credits WHERE kind = 'creator' AND contains(name, '07')) ORDER BY members DESC, p_partkey LIMIT 40)""", select="""
+  SELECT id, coalesce(string_agg(name, '|' ORDER BY name) FILTER (WHERE kind = 'creator'), '') AS creators,
+         coalesce(string_agg(name, '|' ORDER BY name) FILTER (WHERE kind = 'publisher'), '') AS publishers,
+         coalesce(string_agg(name, '|' ORDER BY name) FILTER (WHERE kind = 'magazine'), '') AS magazines
+  FROM hits LEFT JOIN credits ON work_id = id GROUP BY id"""))
+def q12_credits(spark, sf):
+    names = credits(spark, sf)
+    found = S.with_credits(S.text_search(works(spark, sf), names, "07", 40), names)
+    return found.select("id", *[F.array_join(c, "|").alias(c) for c in ("creators", "publishers", "magazines")])
+
+
 # Expansion and joins ---------------------------------------------------------------------------
 
 
