@@ -163,6 +163,7 @@ def search_with_related(rows: DataFrame, term: str, limit: int, overlapping: Dat
         raise ValueError("per_title is needed with fallback titles")
     near, found = overlapping.persist(), rows_by_title(rows, term, limit).persist()
     graph = append_related(works_and_authors(found), near, "overlap_period")
+    held = [near, found]
     if when_at_most is not None:
         few = graph.nodes.select(F.count("*") <= when_at_most).scalar()
     for title in fallback_titles:
@@ -170,5 +171,7 @@ def search_with_related(rows: DataFrame, term: str, limit: int, overlapping: Dat
             more = rows_by_title(rows, title, per_title)
             if when_at_most is not None:
                 more = more.withColumn("_few", few).filter("_few").drop("_few")
+            more = more.persist()
+            held.append(more)
             graph = append_related(graph, more, "same_publisher")
-    return Graph(graph.nodes, graph.edges, held=(near, found))
+    return Graph(graph.nodes, graph.edges, held=tuple(held))

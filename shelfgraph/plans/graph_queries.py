@@ -496,6 +496,15 @@ def r2(spark, sf):
     return X.merge_graphs(first, g).nodes.select("id", "label")
 
 
+@query("r2_merge_graph_edges", with_sql(GRAPH_SQL, select="""
+  SELECT src, dst, type, type = 'CREATED_BY' AS from_first FROM edges"""))
+def r2_edges(spark, sf):
+    g = catalogue(spark, sf)
+    first = Graph(g.of_type("author"), g.edges_of("CREATED_BY").withColumn("from_first", F.lit(True)))
+    second = Graph(g.nodes, g.edges.withColumn("from_first", F.lit(False)))
+    return X.merge_graphs(first, second).edges.select("src", "dst", "type", "from_first")
+
+
 _ROWS = """
 rows AS (
   SELECT id AS uri, title_name AS title, genre, first_published AS published_date, c.name AS creator_name, 'creator:' || c.name AS creator_uri
@@ -635,6 +644,20 @@ def r9(spark, sf):
     return Tb.search_with_related(rows, TERM, 20, overlapping, ["blue"], per_title=2, when_at_most=2).nodes.select("id", "type")
 
 
+@query("r9_search_with_related_edges", with_sql(WORKS_SQL, CREDITS_SQL, _ROWS, """
+base AS (SELECT * FROM rows WHERE contains(title, 'red') ORDER BY uri, creator_uri LIMIT 20),
+kept AS (SELECT * FROM base QUALIFY row_number() OVER (PARTITION BY title ORDER BY uri, creator_uri) = 1),
+overlapping AS (
+  SELECT w.id FROM works w, (SELECT * FROM works WHERE id = 'work:11') a WHERE w.id <> a.id AND least(w.last_year, a.last_year) >= greatest(w.first_year, a.first_year)
+  ORDER BY least(w.last_year, a.last_year) - greatest(w.first_year, a.first_year) DESC, w.id LIMIT 15),
+more AS (SELECT * FROM rows WHERE uri IN (SELECT id FROM overlapping))""", select="""
+  SELECT creator_uri AS src, uri AS dst, 'created' AS type FROM kept UNION SELECT creator_uri, uri, 'created' FROM more"""))
+def r9_edges(spark, sf):
+    rows = _rows(spark, sf)
+    found = R.overlap_period_works(catalogue(spark, sf), "work:11").select(F.col("id").alias("uri"))
+    return Tb.search_with_related(rows, TERM, 20, rows.join(found, "uri", "left_semi")).edge_rows()
+
+
 @query("r9_search_with_fallback", with_sql(WORKS_SQL, CREDITS_SQL, _ROWS, """
 more AS (
   (SELECT * FROM rows WHERE contains(title, 'blue') ORDER BY uri, creator_uri LIMIT 2)
@@ -657,6 +680,27 @@ def r11(spark, sf):
     return R.tag_parts(parts)[0].select("id", "part")
 
 
+@query("r11_related_graphs_edges", with_sql(
+    GRAPH_SQL, _scores("work:7"), f"""
+a AS (SELECT w.id FROM works w JOIN edges e ON e.src = w.id WHERE e.type = 'CREATED_BY' AND e.dst = 'author:3' ORDER BY lower(title_name), w.id LIMIT 5),
+m AS (SELECT s.id FROM scored s JOIN edges e ON e.src = s.id WHERE e.type = 'PUBLISHED_IN' AND e.dst = 'magazine:4' ORDER BY {_RANK.replace('id', 's.id')} LIMIT 5),
+p AS (SELECT n.id FROM nodes n JOIN edges e ON e.src = n.id WHERE e.type = 'PUBLISHED_BY' AND e.dst = 'publisher:2' ORDER BY lower(label), n.id LIMIT 3)""",
+    select="""SELECT id AS src, 'author:3' AS dst, 'CREATED_BY' AS type, 'author_graph' AS part FROM a
+      UNION ALL SELECT id, 'magazine:4', 'PUBLISHED_IN', 'magazine_graph' FROM m UNION ALL SELECT id, 'publisher:2', 'PUBLISHED_BY', 'publisher_graph' FROM p"""))
+def r11_edges(spark, sf):
+    parts = R.related_graphs(catalogue(spark, sf), "author:3", "magazine:4", "publisher:2", reference_id="work:7", as_of_year=AS_OF_YEAR)
+    return R.tag_parts(parts)[1].select("src", "dst", "type", "part")
+
+
+@query("r12_all_magazines_edges", with_sql(
+    GRAPH_SQL, "scored AS (SELECT id, title_name FROM works)", _per_magazine("true", "lower(title_name), id", 3),
+    select="SELECT id AS src, magazine_id AS dst, 'PUBLISHED_IN' AS type FROM picked"))
+def r12_edges(spark, sf):
+    g = catalogue(spark, sf)
+    best = R.works_per_magazine(g, None, 3).select(F.col("edge_id").alias("id"))
+    return g.edges_of("PUBLISHED_IN").join(best, "id", "left_semi").select("src", "dst", "type")
+
+
 @query("r12_all_magazines_flattened", with_sql(
     GRAPH_SQL, "scored AS (SELECT id, title_name FROM works)", _per_magazine("true", "lower(title_name), id", 3),
     select="SELECT id, type FROM nodes WHERE type = 'magazine' OR id IN (SELECT id FROM picked)"))

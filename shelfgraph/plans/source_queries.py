@@ -26,6 +26,19 @@ def s1(spark, sf):
     return items.select("file", "pos", jsonld.field("item", "@id", "string").alias("id"), jsonld.field("item", "@type", "string").alias("type"))
 
 
+@query("s1_jsonld_items_in_order", """
+  SELECT l_orderkey::VARCHAR AS file, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS pos, 'book:' || l_linenumber AS id
+  FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)""")
+def s1_items(spark, sf):
+    """One document per order with all its lines as items; ids repeat inside a document."""
+    entry = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    one = lambda e: F.concat(F.lit('{"@id":"book:'), e["l_linenumber"].cast("string"), F.lit('"}'))
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(entry)).alias("lines"))
+    texts = lines.select(F.col("l_orderkey").cast("string").alias("file"),
+                         F.concat(F.lit('{"@graph":['), F.array_join(F.transform("lines", one), ","), F.lit("]}")).alias("text"))
+    return jsonld.items_of(texts).select("file", F.col("pos").cast("bigint").alias("pos"), jsonld.field("item", "@id", "string").alias("id"))
+
+
 @query("s2_polymorphic_strings", with_sql(_BOOK, select="""
   SELECT file, p_name || ' ' || l_linenumber AS names, n_name AS publishers, '[著]' || s_name || '|編集部' AS creators,
          'creator:' || l_suppkey AS creator_ids, l_linestatus = 'O' AS one_creator FROM book"""))
@@ -129,7 +142,7 @@ def s9(spark, sf):
 
 @query("s10_label_listing", with_sql(GRAPH_SQL, select="SELECT id, label FROM nodes WHERE type = 'author' ORDER BY id LIMIT 100"))
 def s10(spark, sf):
-    return C.listing(catalogue(spark, sf), "author").select("id", "label")
+    return C.listing(catalogue(spark, sf), "author", 100).select("id", "label")
 
 
 @query("s11_title_filter", "SELECT 'work:' || p_partkey AS id, p_name AS title_name FROM part WHERE contains(lower(p_name), 'ring')")

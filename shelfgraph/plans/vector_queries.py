@@ -36,6 +36,12 @@ def v1(spark, sf):
     return Ve.similar_graph(catalogue(spark, sf), vectors(spark, sf), query_vector(spark, sf), TITLE, 20).node_rows()
 
 
+@query("v1_similar_graph_edges", with_sql(
+    GRAPH_SQL, _COS, "seeds AS (SELECT id FROM sims ORDER BY round(s, 9) DESC, id LIMIT 20)", EXPAND_SQL, select="SELECT src, dst, type FROM out_edges"))
+def v1_edges(spark, sf):
+    return Ve.similar_graph(catalogue(spark, sf), vectors(spark, sf), query_vector(spark, sf), TITLE, 20).edge_rows()
+
+
 @query("v1_similarity_scores", with_sql(_COS, select="SELECT id, round(s, 6) AS similarity_score FROM sims"))
 def v1_scores(spark, sf):
     return Ve.scored(vectors(spark, sf), query_vector(spark, sf), TITLE).select("id", F.round("similarity_score", 6).alias("similarity_score"))

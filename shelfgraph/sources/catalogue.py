@@ -9,11 +9,11 @@ from shelfgraph.functions.text import col, contains_ci
 from shelfgraph.graph import Graph
 from shelfgraph.operators.limits import top_rows
 
-LISTING_LIMIT = 100
 
-
-def listing(graph: Graph, type_: str, limit: int = LISTING_LIMIT) -> DataFrame:
-    return top_rows(graph.of_type(type_), limit, F.col("id"))
+def listing(graph: Graph, type_: str, limit: int | None = None) -> DataFrame:
+    """Nodes of a type in id order, or the first ``limit`` of them."""
+    rows = graph.of_type(type_)
+    return rows.orderBy("id") if limit is None else top_rows(rows, limit, F.col("id"))
 
 
 def works_titled(works: DataFrame, term: str | None = None, limit: int | None = None, title: str = "title") -> DataFrame:
