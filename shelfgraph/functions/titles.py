@@ -64,9 +64,18 @@ _PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaeiouoo"
 _CJK = r"\x{3040}-\x{30ff}\x{3400}-\x{9fff}"
 
 
+def _folded(*cs) -> Column:
+    return F.translate(F.lower(F.concat_ws(" ", *[col(c) for c in cs])), _ACCENTED, _PLAIN)
+
+
+def last_word(c) -> Column:
+    """The folded word that ends a text, '' if a Japanese run does."""
+    return F.regexp_extract(_folded(c), rf"([\p{{L}}\p{{N}}&&[^{_CJK}]]+)[^\p{{L}}\p{{N}}]*$", 1)
+
+
 def search_tokens(*cs) -> Column:
     """Tokens of the given columns together: folded words, and character pairs for Japanese runs."""
-    text = F.translate(F.lower(F.concat_ws(" ", *[col(c) for c in cs])), _ACCENTED, _PLAIN)
+    text = _folded(*cs)
     words = F.regexp_extract_all(text, F.lit(rf"[\p{{L}}\p{{N}}&&[^{_CJK}]]+"), F.lit(0))
     runs = F.regexp_extract_all(text, F.lit(rf"[{_CJK}]+"), F.lit(0))
     pairs = F.transform(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfgraph.functions.nodes import mentions
 from shelfgraph.functions.text import contains_ci
-from shelfgraph.functions.titles import analysed, levenshtein_similarity, search_tokens
+from shelfgraph.functions.titles import analysed, last_word, levenshtein_similarity, search_tokens
 from shelfgraph.graph import Graph, empty_like
 from shelfgraph.operators.expand import expand, incident_edges
 from shelfgraph.operators.filters import ENGLISH, JAPANESE, drop_content, title_matches
@@ -56,6 +56,13 @@ def query_terms(term: str | None) -> list[tuple[str, int]]:
     return [(t, 1 if t == last and not japanese else 0) for t, japanese in dict.fromkeys(tokens)]
 
 
+def term_edits(c) -> Column:
+    """``query_terms`` for a column of terms, as an array of (token, edits); words come before Japanese pairs."""
+    last = last_word(c)
+    edits = lambda t: F.when((t == last) & (F.length(last) > 1), 1).otherwise(0)
+    return F.transform(F.array_distinct(search_tokens(c)), lambda t: F.struct(t.alias("token"), edits(t).alias("edits")))
+
+
 def _matches(token: Column, terms: list[tuple[str, int]]) -> Column:
     test = token.isin([w for w, _ in terms])
     for word, edits in terms:

@@ -174,7 +174,10 @@ def rekey_edges(rows: DataFrame, nodes: DataFrame, order: str) -> tuple[DataFram
         F.col("type").alias("_type"),
         F.when(F.col("type") == "work", F.col("work_id")).otherwise(F.col("name")).alias("_k"), F.col("id").alias("_id"),
     )
-    out = rows
+    # Rows without a key match nothing; in the joins they would all meet in one partition.
+    whole = key("src_").isNotNull() & key("dst_").isNotNull() & F.col("src_type").isNotNull() & F.col("dst_type").isNotNull()
+    keyless = rows.filter(~whole)
+    out = rows.filter(whole)
     for side in ("src", "dst"):
         k = known.select(F.col("_type").alias(f"_{side}_type"), F.col("_k").alias(f"_{side}_k"), F.col("_id").alias(side))
         out = out.join(
@@ -182,7 +185,7 @@ def rekey_edges(rows: DataFrame, nodes: DataFrame, order: str) -> tuple[DataFram
         ).drop(f"_{side}_type", f"_{side}_k")
     failed = F.col("src").isNull() | F.col("dst").isNull()
     edges = first_per_key(out.filter(~failed), ["src", "dst", "type"], [F.col(order).desc()])
-    return edges, out.filter(failed).select(*rows.columns)
+    return edges, out.filter(failed).select(*rows.columns).unionByName(keyless)
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfgraph.functions import names as N, nodes as Nd, scoring as Sc, titles as Ti
 from shelfgraph.operators import ttl
-from shelfgraph.operators.search import query_terms
+from shelfgraph.operators.search import term_edits
 from shelfgraph.plans import source_binding as B
 from shelfgraph.plans.binding import AS_OF_YEAR, GRAPH_SQL, WORKS_SQL, catalogue, with_sql, works
 from shelfgraph.plans.registry import query, table
@@ -391,12 +391,14 @@ def n37(spark, sf):
     return _part(spark, sf).select("p_partkey", F.array_join(cells.split_cell(F.concat("p_brand", F.lit("; "), "p_type", F.lit(", ,"), "p_brand")), "|").alias("entries"))
 
 
-@query("n38_query_terms", "SELECT DISTINCT p_name AS title, 'red:0 rung:1' AS terms FROM part WHERE levenshtein(p_name, 'red rung') <= 2")
+@query("n38_query_terms", """
+  SELECT p_partkey, string_agg(DISTINCT w || ':' || (w = string_split(p_name, ' ')[-1])::INT, ' ' ORDER BY w || ':' || (w = string_split(p_name, ' ')[-1])::INT) AS terms
+  FROM (SELECT p_partkey, p_name, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY p_partkey""")
 def n38(spark, sf):
-    terms = " ".join(f"{w}:{e}" for w, e in query_terms("red  (RUNG)"))
-    text = " ".join(w for w, _ in query_terms("red  (RUNG)"))
-    near = _part(spark, sf).filter(F.levenshtein(F.col("p_name"), F.lit(text)) <= 2)
-    return near.select(F.col("p_name").alias("title"), F.lit(terms).alias("terms")).distinct()
+    """Every part name as a search term, in odd case and with marks that are not searched."""
+    term = F.concat(F.lit(" ("), F.upper(F.replace("p_name", F.lit(" "), F.lit("-"))), F.lit(")! "))
+    shown = F.transform(term_edits(term), lambda t: F.concat_ws(":", t["token"], t["edits"]))
+    return _part(spark, sf).select("p_partkey", F.array_join(F.array_sort(shown), " ").alias("terms"))
 
 
 @query("n39_title_similarity", """

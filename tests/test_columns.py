@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfgraph.functions import names as N, nodes as Nd, scoring as Sc, titles as Ti, vectors as V
-from shelfgraph.operators.search import query_terms
+from shelfgraph.operators.search import query_terms, term_edits
 from shelfgraph.sources import cells
 
 
@@ -184,3 +184,10 @@ def test_vectors(value, spark):
         V.truncate("a", 0)
     with pytest.raises(Exception, match="cannot take 5"):
         value(V.truncate("a", 5), s, [3.0, 4.0], None)
+
+
+def test_terms_of_a_column_equal_those_of_a_text(spark):
+    terms = ["One Piece", "dr.stone", "Café 鋼の", "鋼の x", "x", "ワンピース!!", " ", "a bb bb", "ＡＢ ab", None]
+    rows = spark.createDataFrame([(t,) for t in terms], "t string").select("t", term_edits("t").alias("e")).collect()
+    for r in rows:
+        assert sorted(tuple(e) for e in r.e) == sorted(query_terms(r.t)), r.t
