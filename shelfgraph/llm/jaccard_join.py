@@ -3,7 +3,7 @@
 1. Each text becomes its set of shingle keys (distinct windows of k words, 64-bit). Equal sets are one class from here on.
 2. Classes that can be linked are brought together by signatures: two sets of similarity t differ in at most d keys (d follows
    from their sizes), so if the key space is cut into more than d parts, some parts are equal in both. A signature is the hash of
-   a part. Sizes are cut into ranges by the ratio t; a set takes part in its own range and the one below. Components of "shares a
+   a part; the smallest parts are left out. Sizes are cut into ranges; a set takes part in its own and perhaps the one below. Components of "shares a
    signature" are blocks: no link leaves a block, and texts that merely share a passage rarely share a part. A signature
    leaves each Arrow batch once, so one that very many texts share is a few rows by the time it is shuffled.
 3. Inside a block, a T-occurrence search joins the sets: the inverted lists of a set's keys are split by length, the short ones
@@ -35,6 +35,7 @@ from shelfgraph.session import staged
 BLOCK_KEYS = 4_000_000
 SEEN = 1_000_000
 NODE_BITS = 1 << 26
+SPARE_PERCENT = 35
 PIECE_BYTES = 4096  # of bitmap_construct_agg
 _U = np.uint64
 
@@ -77,7 +78,7 @@ def set_names(sets: np.ndarray, first: np.ndarray) -> list[bytes]:
 class Range(NamedTuple):
     number: int
     parts: int
-    spare: int  # a set with more empty parts than this names its empty parts too
+    spare: int  # how many parts a set may leave out: similar sets have one more in common
 
 
 class Signatures:
@@ -93,7 +94,7 @@ class Signatures:
     def _range(self, number: int) -> Range | None:
         """The parts for pairs with the smaller size in this range; with no difference allowed there is nothing to do."""
         d = (100 - self.percent) * (self.bounds[number + 1] - 1) // self.percent
-        spare = 1 + d // (12 if self.percent < 85 else 30)
+        spare = -(-SPARE_PERCENT * d // 100)
         return Range(number, d + 1 + spare, spare) if d else None
 
     def of(self, keys: np.ndarray, mixed: np.ndarray) -> np.ndarray:
@@ -110,7 +111,14 @@ class Signatures:
             part = ((keys >> _U(32)) * _U(found.parts)) >> _U(32)
             start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             part, sums = part[start], np.add.reduceat(mixed, start)
-            if found.parts - len(part) > found.spare:
+            # The smallest parts are left out, as many as may be: parts of one or two keys are shared by sets that have little in common.
+            # Of two similar sets one leaves out parts of t keys and the other of no more, so an equal part of t keys or more is in both.
+            count = np.diff(np.append(start, n))
+            empty = found.parts - len(part)
+            least = 0 if empty > found.spare else int(np.partition(count, found.spare - empty)[found.spare - empty])
+            if least:
+                part, sums = part[count >= least], sums[count >= least]
+            else:
                 whole = np.zeros(found.parts, _U)
                 whole[part.astype(np.int64)] = sums
                 part, sums = np.arange(found.parts, dtype=_U), whole
