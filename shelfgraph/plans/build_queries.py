@@ -595,13 +595,13 @@ def _details(spark, sf):
 
 @query("k5_details_authors", """
   SELECT 'author:A ' || p_brand AS id, max(p_partkey) AS mal_id, 'A' AS first_name, p_brand AS last_name FROM part GROUP BY p_brand
-  UNION ALL SELECT DISTINCT 'author:' || p_type, NULL, '', '' FROM part WHERE p_type <> 'PROMO'
-  UNION ALL SELECT 'author:PROMO', NULL, 'kept', NULL""")
+  UNION ALL SELECT DISTINCT 'author:' || p_type, NULL, CASE WHEN p_type >= 'P' THEN 'kept' ELSE '' END, CASE WHEN p_type < 'P' THEN '' END FROM part""")
 def k5_details_authors(spark, sf):
     """Authors of details are inserted; one that is stored keeps its fields."""
     new = Bu.details_authors(_details(spark, sf)).select("id", "mal_id", "first_name", "last_name")
-    stored = spark.range(1).select(F.lit("author:PROMO").alias("id"), F.lit(None).cast("bigint").alias("mal_id"), F.lit("kept").alias("first_name"),
-                                   F.lit(None).cast("string").alias("last_name"))
+    known = table(spark, sf, "part").filter(F.col("p_type") >= "P").select("p_type").distinct()
+    stored = known.select(F.concat(F.lit("author:"), "p_type").alias("id"), F.lit(None).cast("bigint").alias("mal_id"), F.lit("kept").alias("first_name"),
+                          F.lit(None).cast("string").alias("last_name"))
     return U.insert_missing(stored, new, "id")
 
 
