@@ -29,8 +29,13 @@ def _edges_at(graph: Graph, end: str, ids: DataFrame | str, type_: str | None =
 def incident_edges(graph: Graph, ids: DataFrame | str) -> DataFrame:
     """Edges touching any of ``ids(id)``, or one known id, with that end in ``end`` and the far one in ``other``.
 
-    Two semi joins, one for each end: an OR join would be a nested loop, and the edge columns stay plain, so that filters reach the scan.
+    Over a stored graph, two semi joins, each on the copy of the edges that lies by its end; the edge columns stay plain, so that filters
+    reach the scans. Edges that are only there once, or computed, are read once: each is offered under both of its ends.
     """
+    if graph.by_src is None and not isinstance(ids, str):
+        both = graph.edges.withColumn("end", F.explode(F.array("src", "dst")))
+        found = both.join(ids.select(F.col("id").alias("end")), "end", "left_semi")
+        return found.withColumn("other", F.when(F.col("end") == F.col("src"), F.col("dst")).otherwise(F.col("src")))
     out = _edges_at(graph, "src", ids).withColumn("end", F.col("src")).withColumn("other", F.col("dst"))
     into = _edges_at(graph, "dst", ids).withColumn("end", F.col("dst")).withColumn("other", F.col("src"))
     return out.unionByName(into)
