@@ -59,10 +59,10 @@ def expand(graph: Graph, seeds: DataFrame, with_publishers: bool = True, known_i
     if known_id is not None:  # an id that is no seed has edges too
         near = near.join(seeds.select(F.col("id").alias("end")), "end", "left_semi")
     near = near.drop("end", "other").distinct().persist()
-    edges = near.unionByName(publisher_hop(graph, near, seeds)).distinct() if with_publishers else near
+    edges = near.unionByName(publisher_hop(graph, near, seeds)).distinct().persist() if with_publishers else near
     ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     neighbours = graph.nodes.join(ends, "id", "left_semi").join(seeds.select("id"), "id", "left_anti")
-    return Graph(seeds.unionByName(neighbours, allowMissingColumns=True), edges, held=(seeds, near))
+    return Graph(seeds.unionByName(neighbours, allowMissingColumns=True), edges, held=(seeds, near, edges))
 
 
 def assemble(node_parts: list[DataFrame], edge_parts: list[DataFrame]) -> Graph:
