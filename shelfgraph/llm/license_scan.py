@@ -5,7 +5,7 @@ than one block). Words are runs of letters and digits, A-Z lower-cased. With A a
 as often as they come, the score is 2 |A & B| / (|A| + |B|). For a score of t it takes |A| t / (2 - t) <= |B| <= |A| (2 - t) / t, which leaves few
 templates a unit, and at least |A| t / (2 - t) bigrams of A must come from some template, which leaves few units; both are counted in numpy.
 
-Defined results: null text has no units. A unit matches its best template; on equal scores the first name wins. Units with fewer
+Defined results: null text has no units. A unit matches its best template (whole texts, headers and notices); on equal scores the first name wins. Units with fewer
 than two words match nothing. Rows that repeat are scanned each. An empty table gives an empty result. Only the named columns are read.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from pkgutil import get_data
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,11 @@ TEMPLATES = {
         "You can obtain one at http://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+# Whole texts and standard headers, a file each in `licences/`.
+FILES = """AGPL-3.0;AGPL-3.0 header;Apache-2.0;Artistic-1.0;BSD-2-Clause;BSD-3-Clause;BSD-3-Clause Regents;CC-BY-4.0;CC-BY-NC-4.0;CC-BY-NC-ND-4.0;CC-BY-NC-SA-4.0;CC-BY-ND-4.0;CC-BY-SA-4.0;CC0-1.0;GFDL-1.2;
+GFDL-1.3;GFDL-1.3 header;GPL-1.0;GPL-2.0;GPL-2.0 header;GPL-3.0;GPL-3.0 header;ISC;LGPL-2.0;LGPL-2.1;LGPL-2.1 header;LGPL-3.0;LGPL-3.0 header;
+MIT;MPL-1.1;MPL-1.1 header;MPL-2.0;NCSA;OFL-1.1;Unlicense;Zlib""".replace("\n", "").split(";")
+TEMPLATES |= {n if n.endswith(" header") else f"{n} full text": " ".join(get_data(__package__, f"licences/{n}.txt").decode().split()) for n in FILES}
 
 
 def _bigrams(chunk: Chunk):
