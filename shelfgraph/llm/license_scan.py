@@ -5,6 +5,11 @@ than one block). Words are runs of letters and digits, A-Z lower-cased. With A a
 as often as they come, the score is 2 |A & B| / (|A| + |B|). For a score of t it takes |A| t / (2 - t) <= |B| <= |A| (2 - t) / t, which leaves few
 templates a unit, and at least |A| t / (2 - t) bigrams of A must come from some template, which leaves few units; both are counted in numpy.
 
+A passage is a run of words anywhere in a text, across lines and blocks: for each template, the run with the best score of all sizes, then the
+next best that does not overlap it, and so on. The best run from one place begins and ends with bigrams of the template, and |B| t / (2 - t) of
+them lie within |B| (2 - t) / t, which leaves few places. A passage is left out if a unit found, or a passage, that shares more bigrams with
+its own template has half of its words, and that template half of the bigrams by which it was found.
+
 Defined results: null text has no units. A unit matches its best template (whole texts, headers and notices); on equal scores the first name wins. Units with fewer
 than two words match nothing. Rows that repeat are scanned each. An empty table gives an empty result. Only the named columns are read.
 """
@@ -14,6 +19,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil, floor
 from pkgutil import get_data
 
 import numpy as np
@@ -93,6 +99,8 @@ class Templates:
         known.sort(key=lambda k: k[:2])
         self.sizes, self.names, self.grams = [k[0] for k in known], [k[1] for k in known], [k[2] for k in known]
         self.all = np.array(sorted({g for c in self.grams for g in c}), _U)
+        self.index = [np.searchsorted(self.all, np.array(sorted(c), _U)) for c in self.grams]
+        self.counts = [np.array([c[g] for g in sorted(c)], np.int32) for c in self.grams]
 
     def best(self, grams: list[int]) -> tuple[str, float] | None:
         """The template most like a unit with these bigrams, if any reaches the threshold."""
@@ -107,6 +115,74 @@ class Templates:
         return top
 
 
+    def counted(self, k: int) -> np.ndarray:
+        """How often template ``k`` has each bigram of ``all``."""
+        out = np.zeros(len(self.all), np.int32)
+        out[self.index[k]] = self.counts[k]
+        return out
+
+    def runs(self, k: int, place: np.ndarray, gram: np.ndarray, row: np.ndarray) -> list[tuple[float, int, int, int]]:
+        """(score, shared, first bigram, one past the last) of the best runs for template ``k`` that do not overlap.
+
+        ``place``, ``gram`` and ``row`` are those of the bigrams of any template in a chunk: where, which of ``all``, in which row.
+        """
+        n, t, often = self.sizes[k], self.threshold, self.counted(k)
+        need, longest = max(1, ceil(n * t / (2 - t) - 1e-9)), floor(n * (2 - t) / t + 1e-9)
+        mine = often[gram] > 0
+        place, gram, row = place[mine], gram[mine], row[mine]
+        first = np.arange(len(place) - need + 1)
+        last = first + need - 1
+        first = first[(place[last] - place[first] < longest) & (row[last] == row[first])] if len(first) else first
+        if not len(first):
+            return []
+        end = np.minimum(np.searchsorted(place, place[first] + longest), np.searchsorted(row, row[first], "right"))
+        # A bigram counts in a run that begins with bigram i if fewer than its count in the template come between; when i leaves, a later one gets its turn.
+        order = np.argsort(gram, kind="stable")
+        group = gram[order]
+        rank = np.arange(len(order)) - np.searchsorted(group, group)
+        after = np.arange(len(order)) + often[group]
+        same = after < len(order)
+        same[same] = group[after[same]] == group[same]
+        turn = np.full(len(order), len(order))
+        turn[order[same]] = order[after[same]]
+        counts = np.zeros(len(order) + 1, np.int32)
+        counts[order] = rank < often[group]
+        found, gone = [], 0
+        for i, j in zip(first.tolist(), end.tolist(), strict=True):
+            counts[turn[gone:i]] = 1
+            gone = i
+            shared = np.cumsum(counts[i:j])
+            score = 2 * shared / (place[i:j] - place[i] + 1 + n)
+            top = int(score.argmax())
+            if score[top] >= t:
+                found.append((float(score[top]), int(shared[top]), int(place[i]), int(place[i + top]) + 1))
+        found.sort(key=lambda r: (-r[0], r[2]))
+        taken, out = np.zeros(int(place[-1]) + 1, bool), []
+        for r in found:
+            if not taken[r[2]:r[3]].any():
+                taken[r[2]:r[3]] = True
+                out.append(r)
+        return out
+
+    def passages(self, place: np.ndarray, gram: np.ndarray, row: np.ndarray, known: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str, float]]:
+        """(first bigram, one past the last, licence, score) of passages, beside the units ``known``: (first, one past the last, shared, licence)."""
+        ranked = [(-shared, 0, 0.0, licence, a, b) for a, b, shared, licence in known]
+        for k, licence in enumerate(self.names):
+            ranked += [(-shared, 1, -score, licence, a, b) for score, shared, a, b in self.runs(k, place, gram, row)]
+        kept, out = [], []
+        at = {licence: k for k, licence in enumerate(self.names)}
+        has = {licence: self.counted(at[licence])[gram] > 0 for licence in {r[3] for r in ranked}}
+        for _, passage, score, licence, a, b in sorted(ranked):
+            if passage:
+                inside = slice(*np.searchsorted(place, [a, b]))
+                mine = has[licence][inside]
+                if any(2 * (min(b, d) - max(a, c)) >= b - a and 2 * np.count_nonzero(mine & has[other][inside]) >= np.count_nonzero(mine) for c, d, other in kept):
+                    continue
+                out.append((a, b, licence, -score))
+            kept.append((a, b, licence))
+        return out
+
+
 def units(chunk: Chunk, first_word: np.ndarray) -> list[tuple[str, np.ndarray, ...]]:
     """(kind, row, first line, last line, first word, one past the last word) of the units; lines count from 1 in each row."""
     start, end = lines(chunk)
@@ -128,8 +204,9 @@ def units(chunk: Chunk, first_word: np.ndarray) -> list[tuple[str, np.ndarray, .
     return out
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, unit, first_line, last_line, licence, score) of each unit that matches a template."""
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text",
+         passages: bool = False) -> DataFrame:
+    """(id, unit, first_line, last_line, licence, score) of each unit that matches a template; with ``passages``, of passages beside them as well."""
     known = Templates(templates or TEMPLATES, threshold)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -140,8 +217,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
                 if not len(grams):
                     continue
                 at = np.minimum(np.searchsorted(known.all, grams), len(known.all) - 1)
-                hits = np.concatenate([[0], np.cumsum(known.all[at] == grams)])
-                out = []
+                hit = known.all[at] == grams
+                hits = np.concatenate([[0], np.cumsum(hit)])
+                out, matched = [], []
                 for kind, row, first, last, a, b in units(chunk, found.start):
                     size = b - a - 1
                     likely = np.flatnonzero((size > 0) & (hits[np.maximum(b - 1, a)] - hits[a] >= size * threshold / (2 - threshold) - 1e-9))
@@ -149,6 +227,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
                         best = known.best(grams[a[u]:b[u] - 1].tolist())
                         if best:
                             out.append((int(row[u]) + chunk.first, kind, int(first[u]), int(last[u]), *best))
+                            n = known.sizes[known.names.index(best[0])]
+                            matched.append((int(a[u]), int(b[u]) - 1, round(best[1] * (int(size[u]) + n) / 2), best[0]))
+                if passages:
+                    place = np.flatnonzero(hit & (found.row[:-1] == found.row[1:]))
+                    begins = lines(chunk)[0]
+                    number = np.searchsorted(begins, found.start, "right") - np.searchsorted(begins, chunk.offsets[:-1])[found.row]
+                    for a, b, name, score in known.passages(place, at[place], found.row[place], matched):
+                        out.append((int(found.row[a]) + chunk.first, "passage", int(number[a]), int(number[b]), name, score))
                 if out:
                     where, kind, first, last, name, score = zip(*out, strict=True)
                     yield pa.record_batch([batch.column(0).take(pa.array(where)), pa.array(kind), pa.array(first, pa.int32()), pa.array(last, pa.int32()),

@@ -144,7 +144,7 @@ scored AS (SELECT *, 2 * shared.n / (shared.size + ts.size) AS score FROM shared
 SELECT doc_id, unit, first_line::INT AS first_line, last_line::INT AS last_line, licence, round(score, 6) AS score FROM scored WHERE score >= 0.7
 QUALIFY row_number() OVER (PARTITION BY doc_id, unit, first_line, last_line ORDER BY score DESC, licence) = 1""")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    found = license_scan.scan(table(spark, sf_dir, "documents"), passages=True)
     return found.withColumnRenamed("id", "doc_id").withColumn("score", F.round("score", 6))
 
 
