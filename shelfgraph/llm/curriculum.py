@@ -5,7 +5,8 @@ W(t) says how much of the source's target is due by t. Its documents, in a fixed
 supply; a document that begins after c of the target words is trained at the time where target * W(t) / W(1) = c
 (a quadratic in one piece of the schedule). A range sort by that time is the training order; no task sees a source whole.
 
-Cumulative supply is a sum in two steps: over 4096 hash slices of each source, then inside one slice.
+Cumulative supply is a sum in two steps: over 4096 hash slices of each source, then inside one slice. A copy's position in the training order
+is counted the same way: over 4096 spans of training time (copies due at time 0 by slice instead), then inside one span.
 
 Defined results: null text has size 0. Sources are ordered by code point, null (a source of its own) last. A document of
 size 0 is taken when it falls inside the target. Equal rows are separate documents. An empty table gives an empty result.
@@ -68,11 +69,12 @@ def due_time(part: Column, knots: Column) -> Column:
     return (piece - 1 + F.least(F.lit(1.0), F.coalesce(x, F.lit(0.0)))) / steps
 
 
-def positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source: str = "source", carry: bool = False, **mix) -> DataFrame:
-    """One row per document: (id, source, size, source_size, target, supplied, copies, times [, row]).
+def positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source: str = "source", carry: bool = False, keyed: bool = False,
+              **mix) -> DataFrame:
+    """One row per document: (id, source, size, source_size, target, supplied, copies, times [, row] [, slice, nth]).
 
     ``supplied`` is how many words of the source come before it in one pass, ``copies`` how often it is taken, ``times`` when.
-    A copy is taken when more than half of it, or exactly half, lies inside the target.
+    A copy is taken when more than half of it, or exactly half, lies inside the target. (source, slice, nth) is a key of the rows.
     """
     order = F.md5(F.concat_ws(":", F.col(source).cast("string"), F.col(id_col).cast("string")))
     rows = docs.select(
@@ -87,18 +89,37 @@ def positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     target = target.select(F.col("source").alias("s"), "source_size", "target", "knots")
     begin = slices.join(target, F.col("source").eqNullSafe(F.col("s"))).select(
         F.col("source").alias("s"), F.col("slice").alias("sl"), "earlier", "source_size", "target", "knots")
-    inside = Window.partitionBy("source", "slice").orderBy("place", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
+    inside = Window.partitionBy("source", "slice").orderBy("place", "id", "size")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumns({"inner": F.coalesce(F.sum("size").over(before), F.lit(0)), "nth": F.row_number().over(inside)}).join(
         begin, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("sl"))).withColumn("supplied", F.col("earlier") + F.col("inner"))
     starts = F.transform(F.sequence(F.lit(0), F.lit(mix.get("epochs", MAX_EPOCHS) - 1)), lambda k: k * F.col("source_size") + F.col("supplied"))
     taken = F.filter(starts, lambda c: 2 * c + F.col("size") <= 2 * F.col("target"))
     times = F.transform(taken, lambda c: due_time(
         F.when(F.col("target") > 0, F.least(F.lit(1.0), c / F.col("target"))).otherwise(F.lit(0.0)), F.col("knots")))
     return placed.select("id", "source", "size", "source_size", "target", "supplied", F.size(taken).alias("copies"), times.alias("times"),
-                         *(["row"] if carry else []))
+                         *(["row"] if carry else []), *(["slice", "nth"] if keyed else []))
+
+
+#: The total order of copies in training.
+ORDER = ("time", "slice", "source", "nth", "copy")
+
+
+def training_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source: str = "source", **mix) -> DataFrame:
+    """One row per document: the columns of ``positions`` and ``ranks``, the positions of its copies in the training order, from 1."""
+    number = F.conv("slice", 16, 10).cast("int")
+    copies = positions(docs, id_col, text_col, source, keyed=True, **mix).select("*", F.posexplode_outer("times").alias("copy", "time")).withColumn(
+        "span", F.when(F.col("time").isNull(), -1 - number).when(F.col("time") == 0, number).otherwise((4096 + F.floor(F.col("time") * 4096)).cast("int")))
+    spans = copies.filter("span >= 0").groupBy("span").agg(F.count("*").alias("n"))
+    spans = spans.select(F.col("span").alias("s"), F.coalesce(F.sum("n").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    ranked = copies.withColumn("rank", F.row_number().over(Window.partitionBy("span").orderBy(*ORDER))).join(spans, F.col("span") == F.col("s"), "left")
+    place = F.when(F.col("time").isNotNull(), F.struct("copy", (F.col("earlier") + F.col("rank")).alias("rank")))
+    kept = ("id", "size", "source_size", "target", "supplied", "copies", "times")
+    return ranked.groupBy("source", "slice", "nth").agg(*(F.first(c).alias(c) for c in kept), F.sort_array(F.collect_list(place)).alias("places")).select(
+        "id", "source", *kept[1:], F.col("places.rank").alias("ranks"))
 
 
 def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source: str = "source", **mix) -> DataFrame:
     """The mix itself: rows of ``docs``, one for each copy taken, range-sorted by training time."""
-    taken = positions(docs, id_col, text_col, source, carry=True, **mix)
-    return taken.select("row", "id", F.explode("times").alias("time")).orderBy("time", "id").select("row.*")
+    taken = positions(docs, id_col, text_col, source, carry=True, keyed=True, **mix)
+    return taken.select("row", "slice", "source", "nth", F.posexplode("times").alias("copy", "time")).orderBy(*ORDER).select("row.*")

@@ -73,6 +73,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= quality_model.THRESHOLD).cast("int").alias("predicted"))
 
 
+@query("op8_curriculum_positions")
+def op8_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of op8_curriculum with the times and positions of each document's copies in the training order."""
+    placed = curriculum.training_positions(table(spark, sf_dir, "documents"))
+    return placed.select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"),
+                         (F.col("size") * F.col("copies")).alias("taken"), "times", F.col("ranks").alias("positions"))
+
+
 @query("op8_curriculum", r"""
 WITH rows AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(concat_ws(':', source, doc_id::VARCHAR)) AS place FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size, (list_value(5.0::DOUBLE, 2.0, 1.0))[1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3] AS w FROM rows GROUP BY source),
