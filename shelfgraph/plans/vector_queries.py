@@ -160,6 +160,21 @@ def v11(spark, sf):
         "doc_id", F.col("position").cast("bigint").alias("position"), F.round("x", 9).alias("x"))
 
 
+# Components are whole multiples of 1/30000, so a digest of these whole numbers compares all of a vector.
+_DIGEST = "SELECT id AS {key}, count(*) AS dims, md5(string_agg(round(x * 30000)::BIGINT::VARCHAR, ',' ORDER BY i)) AS digest FROM parts GROUP BY id"
+
+
+def digested(df, key: str, vector: str):
+    whole = F.transform(vector, lambda x: F.round(x.cast("double") * 30000).cast("bigint").cast("string"))
+    return df.select(key, F.size(vector).cast("bigint").alias("dims"), F.md5(F.array_join(whole, ",")).alias("digest"))
+
+
+@query("v11_hash_embedding_whole", with_sql(_HASHED.format(key="doc_id", t="text", src="documents", n=1536), select=_DIGEST.format(key="doc_id")))
+def v11_whole(spark, sf):
+    v = table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", V.hash_embedding("text").alias("v"))
+    return digested(v, "doc_id", "v")
+
+
 def length_model():
     """A tiny encoder for the model path: text length and vowels."""
     return lambda texts: [[float(len(t)), float(sum(t.count(c) for c in "aeiou"))] for t in texts]
@@ -187,8 +202,8 @@ def v14(spark, sf):
     return table(spark, sf, "part").select("p_partkey", V.embedding_text("p_name", genre).alias("text"))
 
 
-def _backfilled(spark, sf):
-    return Ve.backfill_embeddings(embedded_titles(spark, sf), TITLE, 8, "title_name", "genre")
+def _backfilled(spark, sf, dims=8):
+    return Ve.backfill_embeddings(embedded_titles(spark, sf), TITLE, dims, "title_name", "genre")
 
 
 @query("v15_backfill", with_sql(
@@ -200,6 +215,13 @@ def v15(spark, sf):
         "id", F.col("position").cast("bigint").alias("position"), F.round("x", 9).alias("x"))
 
 
+@query("v15_backfill_whole", with_sql(
+    WORKS_SQL, "lacking AS (SELECT id, title_name || ' ' || genre AS t FROM works WHERE p_partkey NOT IN (SELECT vec_id FROM embeddings))",
+    _HASHED.format(key="id", t="t", src="lacking", n=1536), select=_DIGEST.format(key="id")))
+def v15_whole(spark, sf):
+    return digested(_backfilled(spark, sf, 1536).filter("status = 'added'"), "id", TITLE)
+
+
 @query("v15_backfill_counts", "SELECT count(*) AS processed, count(*) AS success, CAST(0 AS BIGINT) AS failed, CAST(0 AS BIGINT) AS fallbacks FROM part WHERE p_partkey NOT IN (SELECT vec_id FROM embeddings)")
 def v15_counts(spark, sf):
     return Ve.backfill_counts(_backfilled(spark, sf))
@@ -213,12 +235,21 @@ def v16(spark, sf):
     return out.select("id", F.col(TITLE).isNotNull().alias("has_vector"), F.round(F.get(TITLE, F.lit(0)).cast("double"), 6).alias("first"))
 
 
+def _fallen_back(spark, sf, dims):
+    def broken():
+        raise RuntimeError("no such model")
+
+    return Ve.embed(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_name"), "c_name", "v", dims, broken)
+
+
 @query("u1_embedder_fallback", with_sql(
     _HASHED.format(key="c_custkey", t="c_name", src="customer", n=4), select="SELECT id, i AS position, round(x, 9) AS x FROM parts"))
 def u1(spark, sf):
     """A model that cannot be loaded: every row falls back to the hash embedding."""
-    def broken():
-        raise RuntimeError("no such model")
-
-    v = Ve.embed(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_name"), "c_name", "v", 4, broken)
+    v = _fallen_back(spark, sf, 4)
     return v.select("id", F.posexplode("v").alias("position", "x")).select("id", F.col("position").cast("bigint").alias("position"), F.round("x", 9).alias("x"))
+
+
+@query("u1_embedder_fallback_whole", with_sql(_HASHED.format(key="c_custkey", t="c_name", src="customer", n=1536), select=_DIGEST.format(key="id")))
+def u1_whole(spark, sf):
+    return digested(_fallen_back(spark, sf, 1536), "id", "v")
