@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfgraph.llm import curriculum, exact_dedup, host_rules, jaccard_join, license_scan, quality_model, sentence_pieces, suffix_dedup, token_files, warc_zip, winnowing
+from shelfgraph.llm import curriculum, exact_dedup, host_rules, jaccard_join, license_scan, quality_model, sentence_pieces, source_audit, suffix_dedup, token_files, warc_zip, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -178,3 +178,26 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)""")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+@query("op12_source_audit", r"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+tokens AS (SELECT r, lang, source, unnest(ws) AS term FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM tokens GROUP BY ALL),
+kept AS (SELECT lang, term FROM tokens GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN counts USING (lang, source, term)),
+own AS (SELECT lang, source, sum(n) AS total FROM cells GROUP BY ALL),
+shares AS (SELECT lang, source, term, n, (1 + (1000000000::HUGEINT * (n + 1)) // (total + v))::BIGINT AS p FROM cells JOIN own USING (lang, source) JOIN v USING (lang)),
+whole AS (SELECT lang, sum(total) AS total FROM own GROUP BY lang),
+base AS (SELECT lang, term, (1 + (1000000000::HUGEINT * (sum(n) + 1)) // any_value(total + v))::BIGINT AS q FROM cells JOIN whole USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM shares JOIN base USING (lang, term) WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR rank <= 200""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
