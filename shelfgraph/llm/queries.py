@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfgraph.llm import curriculum, exact_dedup, host_rules, jaccard_join, license_scan, quality_model, sentence_pieces, source_audit, suffix_dedup, token_files, warc_zip, winnowing
+from shelfgraph.llm import curriculum, exact_dedup, host_rules, jaccard_join, lexical_search, license_scan, quality_model, sentence_pieces, source_audit, suffix_dedup, token_files, warc_zip, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -201,3 +201,19 @@ SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC
 QUALIFY part = 'pair' OR rank <= 200""")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op11_lexical_search", r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM docs) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+whole AS (SELECT count(*) AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM docs WHERE len(ws) > 0),
+per AS (SELECT r, doc_id, 75 + (25 * len(ws) * n_docs) // n_terms AS m FROM docs, whole WHERE len(ws) > 0),
+asked AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark),
+wanted AS (SELECT item_id, term, count(*) * floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w FROM asked JOIN df USING (term), whole GROUP BY item_id, term, n_docs, df),
+scored AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM wanted JOIN tf USING (term) JOIN per USING (r) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0
+QUALIFY rank <= 20""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+    return found.withColumnRenamed("id", "doc_id")
