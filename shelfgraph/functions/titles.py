@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from itertools import groupby
-from unicodedata import category
+from unicodedata import category, combining, normalize
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,50 +58,68 @@ def levenshtein_similarity(a, b) -> Column:
     return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / F.nullif(longer, F.lit(0)))
 
 
-# Accented Latin letters and their plain forms (fixed values).
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāēīōūŏő"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaeiouoo"
-_CJK = r"\x{3040}-\x{30ff}\x{3400}-\x{9fff}"
+# The analyzer of titles and search terms. ------------------------------------------------------------------------------------
 
+# Unicode blocks (fixed values): characters that are tokens by themselves, Han and hiragana, and katakana, whose runs are tokens.
+_SINGLE = [(0x3005, 0x3005), (0x3007, 0x3007), (0x3021, 0x3029), (0x3041, 0x3096), (0x309D, 0x309F), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+           (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+_KATAKANA = [(0x30A1, 0x30FA), (0x30FC, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F)]
+# Letters without a Unicode decomposition, and what they fold to (fixed values).
+_UNDECOMPOSED = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ø": "o", "đ": "d", "ð": "d", "ħ": "h", "ı": "i", "ł": "l", "ŋ": "n", "ŧ": "t", "ĸ": "q"}
+_FOLDED_BLOCKS = [(0xC0, 0x24F), (0x1E00, 0x1EFF), (0xFB00, 0xFB06), (0xFF10, 0xFF5A)]  # accented Latin, ligatures, full-width forms
+_MARKS = "".join(chr(p) for p in range(0x300, 0x370))  # combining marks, dropped
 
-def _folded(*cs) -> Column:
-    return F.translate(F.lower(F.concat_ws(" ", *[col(c) for c in cs])), _ACCENTED, _PLAIN)
 
+def _folds() -> dict[str, str]:
+    """Lower-case letters of the folded blocks and the ASCII letters and digits left of them without their marks."""
+    folds = dict(_UNDECOMPOSED)
+    for first, last in _FOLDED_BLOCKS:
+        for c in map(chr, range(first, last + 1)):
+            plain = "".join(x for x in normalize("NFKD", c.lower()) if not combining(x))
+            if c == c.lower() and c not in folds and plain != c and plain.isascii() and plain.isalnum():
+                folds[c] = plain
+    return folds
 
-def last_word(c) -> Column:
-    """The folded word that ends a text, '' if a Japanese run does."""
-    return F.regexp_extract(_folded(c), rf"([\p{{L}}\p{{N}}&&[^{_CJK}]]+)[^\p{{L}}\p{{N}}]*$", 1)
+
+_FOLDS = _folds()
+_ONE = {c: f for c, f in _FOLDS.items() if len(f) == 1}
+_MORE = {c: f for c, f in _FOLDS.items() if len(f) > 1}
+
+
+def _java(blocks: list[tuple[int, int]]) -> str:
+    return "".join(rf"\x{{{first:x}}}-\x{{{last:x}}}" for first, last in blocks)
+
+
+_TOKEN = rf"[{_java(_SINGLE)}]|[{_java(_KATAKANA)}]+|[\p{{L}}\p{{N}}\p{{M}}&&[^{_java(_SINGLE + _KATAKANA)}]]+"
+
+
+def folded(c) -> Column:
+    """Lower case, without accents and marks; letters that stand for two, and full-width forms, as ASCII. Kana and Han stay."""
+    low = F.translate(F.lower(F.coalesce(col(c), F.lit(""))), "".join(_ONE) + _MARKS, "".join(_ONE.values()))
+    long = low
+    for letter, plain in _MORE.items():
+        long = F.replace(long, F.lit(letter), F.lit(plain))
+    return F.when(low.rlike(f"[{''.join(_MORE)}]"), long).otherwise(low)
 
 
 def search_tokens(*cs) -> Column:
-    """Tokens of the given columns together: folded words, and character pairs for Japanese runs."""
-    text = _folded(*cs)
-    words = F.regexp_extract_all(text, F.lit(rf"[\p{{L}}\p{{N}}&&[^{_CJK}]]+"), F.lit(0))
-    runs = F.regexp_extract_all(text, F.lit(rf"[{_CJK}]+"), F.lit(0))
-    pairs = F.transform(
-        runs,
-        lambda r: F.when(F.length(r) < 2, F.array(r)).otherwise(
-            F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))
-        ),
-    )
-    return F.concat(words, F.flatten(pairs))
+    """Tokens of the given columns in order: folded words, Han and hiragana characters one by one, katakana runs."""
+    return F.concat(*[F.regexp_extract_all(folded(c), F.lit(_TOKEN), F.lit(0)) for c in cs])
 
 
-def analysed(term: str | None) -> list[tuple[str, bool]]:
-    """The tokens of a search term, as ``search_tokens`` makes them of a title: (token, whether it is Japanese)."""
-    text = (term or "").lower().translate(str.maketrans(_ACCENTED, _PLAIN))
-    tokens: list[tuple[str, bool]] = []
-    for japanese, chars in groupby(text, _token_class):
+def analysed(term: str | None) -> list[str]:
+    """The tokens of a search term, as ``search_tokens`` makes them of a title."""
+    text = (term or "").lower().translate(str.maketrans({c: None for c in _MARKS} | _FOLDS))
+    tokens: list[str] = []
+    for kind, chars in groupby(text, _token_class):
         run = "".join(chars)
-        if japanese:
-            tokens += [(run[i:i + 2], True) for i in range(max(1, len(run) - 1))]
-        elif japanese is False:
-            tokens.append((run, False))
+        tokens += list(run) if kind == "single" else [run] if kind else []
     return tokens
 
 
-def _token_class(char: str) -> bool | None:
-    """True for a Japanese character, False for another letter or number, None for what parts words."""
-    if "\u3040" <= char <= "\u30ff" or "\u3400" <= char <= "\u9fff":
-        return True
-    return False if category(char)[0] in "LN" else None
+def _token_class(char: str) -> str | None:
+    """Whether a character is a token, or part of a katakana run or of a word; None for what parts tokens."""
+    for kind, blocks in (("single", _SINGLE), ("katakana", _KATAKANA)):
+        if any(first <= ord(char) <= last for first, last in blocks):
+            return kind
+    return "word" if category(char)[0] in "LNM" else None

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfgraph.sources.keyed_files import FILE_ROWS, KeyedFiles
+
 # Edge vocabulary of the stored graph (fixed values).
 CREATED_BY = "CREATED_BY"
 PUBLISHED_IN = "PUBLISHED_IN"
@@ -14,8 +16,6 @@ PUBLISHED_BY = "PUBLISHED_BY"
 PRODUCED_BY = "PRODUCED_BY"
 RELATED_TO = "RELATED_TO"
 
-EDGE_BUCKETS = 64
-
 # Column names of the graph-shaped results.
 NODE_KEY = ["id", "type", "label"]
 EDGE_KEY = ["id", "src", "dst", "type"]
@@ -31,15 +31,16 @@ class Graph:
     """``nodes(id, type, label, <property columns>)`` and ``edges(id, src, dst, type, <...>)``.
 
     Properties are plain nullable columns, so column pruning and predicate pushdown reach the files.
-    Both frames stay lazy; counting them is an action of the caller. A stored graph has its edges twice, in folders by a hash
-    of the source and by one of the target (column ``bucket``), so that the edges of few nodes are read from few files.
+    Both frames stay lazy; counting them is an action of the caller. A stored graph also has its nodes by id, and its edges twice, by ranges of
+    the source and of the target, with directories of the files: nodes and edges of few ids are read from the files that hold them.
     """
 
     nodes: DataFrame
     edges: DataFrame
     held: tuple[DataFrame, ...] = ()
-    by_src: DataFrame | None = None
-    by_dst: DataFrame | None = None
+    by_id: KeyedFiles | None = None
+    by_src: KeyedFiles | None = None
+    by_dst: KeyedFiles | None = None
 
     def release(self) -> None:
         """Free all rows an operator kept for reuse (they spill, and are recomputed when lost)."""
@@ -58,22 +59,20 @@ class Graph:
     def edge_rows(self) -> DataFrame:
         return self.edges.select("src", "dst", "type")
 
-    def write(self, path: str) -> None:
-        """Store the graph: nodes by type, edges by type and a bucket of either end, sorted by that end."""
-        self.nodes.write.mode("overwrite").partitionBy("type").parquet(f"{path}/nodes")
-        for end, name in (("src", "edges"), ("dst", "edges_in")):
-            placed = self.edges.withColumn("bucket", bucket(F.col(end))).repartition("type", "bucket").sortWithinPartitions("type", "bucket", end)
-            placed.write.mode("overwrite").partitionBy("type", "bucket").parquet(f"{path}/{name}")
+    def nodes_of(self, ids: DataFrame) -> DataFrame:
+        """The nodes whose id is in ``ids(id)``."""
+        return self.nodes.join(ids, "id", "left_semi") if self.by_id is None else self.by_id.matching(ids)
+
+    def write(self, path: str, file_rows: int = FILE_ROWS) -> None:
+        """Store the graph. Nodes and edges are read several times, so expensive ones should be staged."""
+        KeyedFiles.write(self.nodes, f"{path}/nodes", "id", partition_by="type", file_rows=file_rows)
+        KeyedFiles.write(self.edges, f"{path}/edges", "src", "type", "dst", "id", file_rows=file_rows)
+        KeyedFiles.write(self.edges, f"{path}/edges_in", "dst", "type", "src", "id", file_rows=file_rows)
 
     @staticmethod
     def read(spark, path: str) -> "Graph":
-        by_src, by_dst = spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/edges_in")
-        return Graph(spark.read.parquet(f"{path}/nodes"), by_src.drop("bucket"), by_src=by_src, by_dst=by_dst)
-
-
-def bucket(end: Column) -> Column:
-    """The folder of a node's edges in a stored graph."""
-    return F.pmod(F.xxhash64(end), F.lit(EDGE_BUCKETS)).cast("int")
+        by_id, by_src, by_dst = (KeyedFiles.open(spark, f"{path}/{name}", key) for name, key in (("nodes", "id"), ("edges", "src"), ("edges_in", "dst")))
+        return Graph(by_id.all(), by_src.all(), by_id=by_id, by_src=by_src, by_dst=by_dst)
 
 
 def empty_like(graph: Graph) -> Graph:

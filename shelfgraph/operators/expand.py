@@ -7,30 +7,25 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfgraph.graph import PUBLISHED_BY, PUBLISHED_IN, Graph, bucket
+from shelfgraph.graph import PUBLISHED_BY, PUBLISHED_IN, Graph
 from shelfgraph.operators.limits import first_per_key
 
 
 def _edges_at(graph: Graph, end: str, ids: DataFrame | str, type_: str | None = None) -> DataFrame:
     """Edges whose ``end`` is one of ``ids(id)``, or a known id, from the copy of the edges that lies in order of that end."""
     placed = graph.by_src if end == "src" else graph.by_dst
-    edges = graph.edges if placed is None else placed
-    if type_ is not None:
-        edges = edges.filter(F.col("type") == type_)
-    if isinstance(ids, str):
-        found = edges.filter(F.col(end) == ids)
-        return found if placed is None else found.filter(F.col("bucket") == bucket(F.lit(ids))).drop("bucket")
-    wanted = ids.select(F.col("id").alias(end))
-    if placed is None:
-        return edges.join(wanted, end, "left_semi")
-    return edges.join(wanted.withColumn("bucket", bucket(F.col(end))), ["bucket", end], "left_semi").drop("bucket")
+    if placed is not None:
+        edges = placed.having([ids]) if isinstance(ids, str) else placed.matching(ids.select("id"))
+        return edges if type_ is None else edges.filter(F.col("type") == type_)
+    edges = graph.edges if type_ is None else graph.edges.filter(F.col("type") == type_)
+    return edges.filter(F.col(end) == ids) if isinstance(ids, str) else edges.join(ids.select(F.col("id").alias(end)), end, "left_semi")
 
 
 def incident_edges(graph: Graph, ids: DataFrame | str) -> DataFrame:
     """Edges touching any of ``ids(id)``, or one known id, with that end in ``end`` and the far one in ``other``.
 
-    Over a stored graph, two semi joins, each on the copy of the edges that lies by its end; the edge columns stay plain, so that filters
-    reach the scans. Edges that are only there once, or computed, are read once: each is offered under both of its ends.
+    Over a stored graph, each end's edges come from the copy that lies by that end, out of the files whose range holds an id; a job looks
+    up these files, so the ids should be kept. Edges that are only there once, or computed, are read once: each is offered under both of its ends.
     """
     if graph.by_src is None and not isinstance(ids, str):
         both = graph.edges.withColumn("end", F.explode(F.array("src", "dst")))
@@ -61,7 +56,7 @@ def expand(graph: Graph, seeds: DataFrame, with_publishers: bool = True, known_i
     near = near.drop("end", "other").distinct().persist()
     edges = near.unionByName(publisher_hop(graph, near, seeds)).distinct().persist() if with_publishers else near
     ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    neighbours = graph.nodes.join(ends, "id", "left_semi").join(seeds.select("id"), "id", "left_anti")
+    neighbours = graph.nodes_of(ends).join(seeds.select("id"), "id", "left_anti")
     return Graph(seeds.unionByName(neighbours, allowMissingColumns=True), edges, held=(seeds, near, edges))
 
 
@@ -85,11 +80,12 @@ def merge_graphs(*graphs: Graph) -> Graph:
 
 def linked(graph: Graph, edge_type: str, to_id: str | None = None) -> DataFrame:
     """Edges of one type, optionally only those ending in one node."""
-    e = graph.edges.filter(F.col("type") == edge_type)
-    return e if to_id is None else e.filter(F.col("dst") == to_id)
+    if to_id is None:
+        return graph.edges.filter(F.col("type") == edge_type)
+    return _edges_at(graph, "dst", to_id, edge_type)
 
 
 def sources_of(graph: Graph, edge_type: str, target_id: str, node_type: str) -> DataFrame:
     """Nodes with an edge of this type into one node (author to works, magazine to works, ...)."""
     ends = linked(graph, edge_type, target_id).select(F.col("src").alias("id")).distinct()
-    return graph.of_type(node_type).join(ends, "id", "left_semi")
+    return graph.nodes_of(ends).filter(F.col("type") == node_type)

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from shelfgraph.functions.nodes import mentions
 from shelfgraph.functions.text import contains_ci
-from shelfgraph.functions.titles import analysed, last_word, levenshtein_similarity, search_tokens
+from shelfgraph.functions.titles import analysed, levenshtein_similarity, search_tokens
 from shelfgraph.graph import Graph, empty_like
 from shelfgraph.operators.expand import expand, incident_edges
 from shelfgraph.operators.filters import ENGLISH, JAPANESE, drop_content, title_matches
 from shelfgraph.operators.limits import top_rows
+from shelfgraph.operators.substrings import SubstringIndex, possible
 
 # Defaults (fixed values).
 RANK_THRESHOLD = 0.45
@@ -21,6 +22,7 @@ MODES = ("ranked", "fulltext", "simple")
 LANGUAGES = (JAPANESE, ENGLISH)
 INDEXED = ("title_name", "english_name", "japanese_name", "title")
 EXCLUDED = "hentai"
+COLUMN_GAP = 1 << 16  # between the positions of two title columns
 
 # BM25 parameters (Robertson et al.).
 K1 = 1.2
@@ -41,26 +43,26 @@ def by_title() -> list[Column]:
     return [F.lower(title).asc(), F.col("id").asc()]
 
 
-def simple_hits(works: DataFrame, term: str | None, limit: int, language: str = ENGLISH) -> DataFrame:
-    return top_rows(works.filter(title_matches(term, language)), limit, *by_members())
+def simple_hits(works: DataFrame, term: str | None, limit: int, language: str = ENGLISH, substrings: SubstringIndex | None = None) -> DataFrame:
+    return top_rows(possible(works, term, substrings, "work").filter(title_matches(term, language)), limit, *by_members())
 
 
 def query_terms(term: str | None) -> list[tuple[str, int]]:
-    """Search tokens with the edits each allows, analysed as the titles are: only a last word that is not Japanese is fuzzy, by one edit.
+    """Search tokens with the edits each allows, analysed as the titles are: only the last is fuzzy, by one edit, if it has two characters or more.
 
-    Returns an empty list for no term, which matches everything. A word of one character is not fuzzy: one edit would make it any other.
+    Returns an empty list for no term, which matches everything. One edit would make a token of one character any other; Han and
+    hiragana characters are tokens by themselves, so they are never fuzzy.
     """
     tokens = analysed(term)
-    words = [t for t, japanese in tokens if not japanese]
-    last = words[-1] if tokens and not tokens[-1][1] and len(words[-1]) > 1 else None
-    return [(t, 1 if t == last and not japanese else 0) for t, japanese in dict.fromkeys(tokens)]
+    fuzzy = tokens[-1] if tokens and len(tokens[-1]) > 1 else None
+    return [(t, int(t == fuzzy)) for t in dict.fromkeys(tokens)]
 
 
 def term_edits(c) -> Column:
-    """``query_terms`` for a column of terms, as an array of (token, edits); words come before Japanese pairs."""
-    last = last_word(c)
-    edits = lambda t: F.when((t == last) & (F.length(last) > 1), 1).otherwise(0)
-    return F.transform(F.array_distinct(search_tokens(c)), lambda t: F.struct(t.alias("token"), edits(t).alias("edits")))
+    """``query_terms`` for a column of terms, as an array of (token, edits)."""
+    tokens = search_tokens(c)
+    edits = lambda t: F.when((t == F.get(tokens, F.size(tokens) - 1)) & (F.length(t) > 1), 1).otherwise(0)
+    return F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("token"), edits(t).alias("edits")))
 
 
 def _matches(token: Column, terms: list[tuple[str, int]]) -> Column:
@@ -78,66 +80,118 @@ def _boost(token: Column, terms: list[tuple[str, int]]) -> Column:
     return F.when(token.isin([w for w, _ in terms]), F.lit(1.0)).otherwise(near)
 
 
+def without_one(word: str) -> list[str]:
+    """A word and all that is left of it without one character. Words at most one edit apart share one of these."""
+    return list(dict.fromkeys([word, *(word[:i] + word[i + 1:] for i in range(len(word) if len(word) > 1 else 0))]))
+
+
+def _variants(token: Column) -> Column:
+    """``without_one`` of a column."""
+    places = F.when(F.length(token) > 1, F.sequence(F.lit(1), F.length(token))).otherwise(F.array().cast("array<int>"))
+    left = F.transform(places, lambda i: F.concat(F.substring(token, F.lit(1), i - 1), F.substring(token, i + 1, F.length(token))))
+    return F.array_distinct(F.concat(F.array(token), left))
+
+
 @dataclass(frozen=True)
 class TokenIndex:
-    """Search tokens of works: ``postings(token, id, tf, length, japanese)`` and one row ``totals(docs, tokens)``.
+    """Search tokens of works: ``postings(token, id, tf, positions, length, japanese)`` and one row ``totals(docs, tokens)``.
 
-    Built from works it is lazy, and a search tokenises them. Written once, sorted by token, a search reads the files of its tokens.
+    Built from works it is lazy, and a search tokenises them. Written once, a search reads the files of its tokens: postings are sorted
+    by token, and ``vocabulary(variant, token, df)``, sorted by variant, has each token under itself and under all that is left of it without
+    one character, so that the tokens one edit from a word are found by equality.
     """
 
     postings: DataFrame
     totals: DataFrame
+    vocabulary: DataFrame | None = None
 
     @staticmethod
     def of(works: DataFrame) -> TokenIndex:
-        rows = works.select("id", search_tokens(*INDEXED).alias("_tokens"), (F.coalesce("japanese_name", F.lit("")) != "").alias("japanese"))
-        count = lambda t: F.struct(t.alias("token"), F.size(F.filter("_tokens", lambda x: x == t)).alias("tf"))
+        placed = lambda k: lambda t, i: F.struct(t.alias("token"), (i + k * COLUMN_GAP).alias("at"))
+        tokens = F.concat(*[F.transform(search_tokens(c), placed(k)) for k, c in enumerate(INDEXED)])
+        rows = works.select("id", tokens.alias("_tokens"), (F.coalesce("japanese_name", F.lit("")) != "").alias("japanese"))
         # The explode keeps the tokens from being computed once for each use.
         rows = rows.select("id", "japanese", F.explode(F.array("_tokens")).alias("_tokens")).withColumn("length", F.size("_tokens"))
-        postings = rows.select(F.explode(F.transform(F.array_distinct("_tokens"), count)).alias("t"), "id", "length", "japanese").select("t.*", "id", "length", "japanese")
+        places = lambda t: F.transform(F.filter("_tokens", lambda x: x["token"] == t), lambda x: x["at"])
+        found = F.transform(F.array_distinct(F.transform("_tokens", lambda x: x["token"])), lambda t: F.struct(t.alias("token"), places(t).alias("positions")))
+        postings = rows.select(F.explode(found).alias("t"), "id", "length", "japanese")
+        postings = postings.select("t.token", "id", F.size("t.positions").alias("tf"), "t.positions", "length", "japanese")
         return TokenIndex(postings, rows.agg(F.count("*").alias("docs"), F.sum("length").alias("tokens")))
 
     def write(self, path: str) -> None:
-        self.postings.repartitionByRange("token").sortWithinPartitions("token", "id").write.mode("overwrite").parquet(f"{path}/postings")
+        """Store the index; a common token's postings are dealt out by id too."""
+        self.postings.repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.mode("overwrite").parquet(f"{path}/postings")
         self.totals.write.mode("overwrite").parquet(f"{path}/totals")
+        tokens = self.postings.sparkSession.read.parquet(f"{path}/postings").groupBy("token").agg(F.count("*").alias("df"))
+        near = tokens.select(F.explode(_variants(F.col("token"))).alias("variant"), "token", "df")
+        near.repartitionByRange("variant", "token").sortWithinPartitions("variant", "token").write.mode("overwrite").parquet(f"{path}/vocabulary")
 
     @staticmethod
     def read(spark, path: str) -> TokenIndex:
-        return TokenIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/totals"))
-
-
-def token_scores(index: TokenIndex, terms: list[tuple[str, int]], language: str = ENGLISH) -> DataFrame:
-    """(id, score) by BM25 of the works with a matching token. Only matching postings are shuffled; frequencies count them over all works."""
-    hits = index.postings.filter(_matches(F.col("token"), terms))
-    seen = hits.groupBy("token").agg(F.count("*").alias("df"))
-    totals = index.totals.select(F.struct("docs", "tokens")).scalar()
-    eligible = hits.filter("japanese") if language == JAPANESE else hits
-    rows = eligible.join(seen, "token").withColumn("_t", totals)
+        return TokenIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "totals", "vocabulary")))
+
+    def lookup(self, terms: list[tuple[str, int]]) -> DataFrame:
+        """(token, df) of the stored tokens that match: equality with the variants of a word, then the distance of these few."""
+        keys = sorted({v for word, edits in terms for v in (without_one(word) if edits else [word])})
+        return self.vocabulary.filter(F.col("variant").isin(keys)).filter(_matches(F.col("token"), terms)).select("token", "df").distinct()
+
+    def hits(self, terms: list[tuple[str, int]]) -> DataFrame:
+        """Postings of the matching tokens with the number of works, ``df``, that have the token.
+
+        With a vocabulary the tokens are known before the postings are planned (one small job; a word has few neighbours), so the scan is asked for these.
+        Without one, the matching postings are dealt out by id once, for their frequencies and for the sums that follow.
+        """
+        if self.vocabulary is not None:
+            known = [tuple(r) for r in self.lookup(terms).collect()]
+            tokens = self.postings.sparkSession.createDataFrame(known, "token string, df long")
+            return self.postings.filter(F.col("token").isin([t for t, _ in known])).join(tokens, "token")
+        found = self.postings.filter(_matches(F.col("token"), terms)).repartition("id")
+        return found.join(found.groupBy("token").agg(F.count("*").alias("df")), "token")
+
+
+def phrase_ids(hits: DataFrame, tokens: list[str]) -> DataFrame:
+    """Works that have the tokens one after another in one title column, in the order given."""
+    offsets = F.lit(None)
+    for t in dict.fromkeys(tokens):
+        offsets = F.when(F.col("token") == t, F.array(*[F.lit(i) for i, x in enumerate(tokens) if x == t])).otherwise(offsets)
+    starts = hits.withColumn("offset", F.explode(offsets)).select("id", F.explode("positions").alias("at"), "offset")
+    whole = starts.groupBy("id", (F.col("at") - F.col("offset")).alias("start")).agg(F.count("*").alias("n")).filter(F.col("n") == len(tokens))
+    return whole.select("id").distinct()
+
+
+def token_scores(index: TokenIndex, terms: list[tuple[str, int]], language: str = ENGLISH, phrase: list[str] | None = None) -> DataFrame:
+    """(id, score) by BM25 of the works with a matching token, or only of those with the ``phrase``. Frequencies count all works."""
+    hits = index.hits(terms)
+    rows = (hits.filter("japanese") if language == JAPANESE else hits).withColumn("_t", index.totals.select(F.struct("docs", "tokens")).scalar())
     idf = F.log(1 + (F.col("_t.docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     mean = F.col("_t.tokens") / F.col("_t.docs")
     weight = _boost(F.col("token"), terms) * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    return rows.groupBy("id").agg(F.sum(weight).alias("score"))
+    scores = rows.groupBy("id").agg(F.sum(weight).alias("score"))
+    return scores.join(phrase_ids(hits, phrase), "id", "left_semi") if phrase else scores
+
 
+def fulltext_scores(works: DataFrame, term: str | None, language: str = ENGLISH, index: TokenIndex | None = None, phrase: bool = False) -> DataFrame:
+    """Works that match, with a BM25 ``score`` over their title columns; with no term, all of them with score 1.
 
-def fulltext_scores(works: DataFrame, term: str | None, language: str = ENGLISH, index: TokenIndex | None = None) -> DataFrame:
-    """Works that match, with a BM25 ``score`` over their title columns; with no term, all of them with score 1."""
+    With ``phrase``, only works that have the term's tokens one after another, as written.
+    """
     terms = query_terms(term)
     eligible = works if language != JAPANESE else works.filter(F.coalesce("japanese_name", F.lit("")) != "")
     if not terms:
         return eligible.withColumn("score", F.lit(1.0))
-    return eligible.join(token_scores(index or TokenIndex.of(works), terms, language), "id")
+    return eligible.join(token_scores(index or TokenIndex.of(works), terms, language, analysed(term) if phrase else None), "id")
 
 
 def _best_scores() -> list[Column]:
     return [F.round("score", 9).desc(), F.col("id").asc()]
 
 
-def fulltext_hits(works: DataFrame, term: str | None, limit: int, language: str = ENGLISH, index: TokenIndex | None = None) -> DataFrame:
+def fulltext_hits(works: DataFrame, term: str | None, limit: int, language: str = ENGLISH, index: TokenIndex | None = None, phrase: bool = False) -> DataFrame:
     """The best ``limit`` works by full-text score, scores scaled to at most 1. Works are fetched for the ids left by the limit."""
     terms = query_terms(term)
     if not terms:
         return top_rows(fulltext_scores(works, term, language), limit, *_best_scores())
-    best = top_rows(token_scores(index or TokenIndex.of(works), terms, language), limit, *_best_scores())
+    best = top_rows(token_scores(index or TokenIndex.of(works), terms, language, analysed(term) if phrase else None), limit, *_best_scores())
     share = F.try_divide(F.col("score"), F.max("score").over(Window.partitionBy()))  # over these few rows
     return works.join(best.withColumn("score", share), "id")
 
@@ -145,13 +199,17 @@ def fulltext_hits(works: DataFrame, term: str | None, limit: int, language: str
 def ranked_hits(works: DataFrame, term: str | None, limit: int, language: str = ENGLISH, candidates: int | None = None,
                 threshold: float = RANK_THRESHOLD, index: TokenIndex | None = None) -> DataFrame:
     """Full-text hits re-ranked by half score, half title similarity: all hits, or the best ``candidates`` if a caller asks for that."""
-    scores = fulltext_scores(works, term, language, index)
-    if candidates is not None:
-        scores = top_rows(scores, candidates, *_best_scores())
-    best = scores.select(F.max("score")).scalar()
+    terms = query_terms(term)
+    if terms:
+        scores = token_scores(index or TokenIndex.of(works), terms, language)
+        best = scores.select(F.max("score")).scalar()  # reads the same exchange as the rows do
+        rows = works.join(scores if candidates is None else top_rows(scores, candidates, *_best_scores()), "id")
+    else:
+        rows, best = fulltext_scores(works, term, language), F.lit(1.0)
+        rows = rows if candidates is None else top_rows(rows, candidates, *_best_scores())
     title = F.col("japanese_name") if language == JAPANESE else F.coalesce("title_name", "title", "english_name")
     similarity = levenshtein_similarity(F.lower(F.coalesce(title, F.lit(""))), F.lit((term or "").lower()))
-    final = scores.withColumn("score", F.try_divide(F.col("score"), best)).withColumn("similarity", similarity).withColumn(
+    final = rows.withColumn("score", F.try_divide(F.col("score"), best)).withColumn("similarity", similarity).withColumn(
         "final_score", F.lit(0.5) * F.col("score") + F.lit(0.5) * F.col("similarity")
     )
     return top_rows(
@@ -159,12 +217,13 @@ def ranked_hits(works: DataFrame, term: str | None, limit: int, language: str =
     )
 
 
-def hits_of(graph: Graph, term: str | None, limit: int, language: str, mode: str, index: TokenIndex | None = None) -> DataFrame:
+def hits_of(graph: Graph, term: str | None, limit: int, language: str, mode: str, index: TokenIndex | None = None,
+            substrings: SubstringIndex | None = None) -> DataFrame:
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
     works = graph.of_type("work")
     if not term or mode == "simple":
-        return simple_hits(works, term or None, limit, language)
+        return simple_hits(works, term or None, limit, language, substrings)
     return (fulltext_hits if mode == "fulltext" else ranked_hits)(works, term, limit, language, index=index)
 
 
@@ -174,9 +233,9 @@ def _around(graph: Graph, hits: DataFrame, exclude: str | None) -> Graph:
 
 
 def search(graph: Graph, term: str | None, limit: int = 50, language: str = ENGLISH, mode: str = "simple",
-           exclude: str | None = EXCLUDED, index: TokenIndex | None = None) -> Graph:
+           exclude: str | None = EXCLUDED, index: TokenIndex | None = None, substrings: SubstringIndex | None = None) -> Graph:
     """Matching works with their neighbourhood; works of the excluded content leave after the limit."""
-    return _around(graph, hits_of(graph, term, limit, language, mode, index), exclude)
+    return _around(graph, hits_of(graph, term, limit, language, mode, index, substrings), exclude)
 
 
 def cascade(graph: Graph, term: str | None, limit: int = 3, languages=LANGUAGES, exclude: str | None = EXCLUDED, index: TokenIndex | None = None) -> Graph:
@@ -196,26 +255,32 @@ def cascade(graph: Graph, term: str | None, limit: int = 3, languages=LANGUAGES,
     return empty_like(graph)
 
 
-def name_search(graph: Graph, term: str, node_limit: int, edge_limit: int) -> Graph:
+def name_search(graph: Graph, term: str, node_limit: int, edge_limit: int, substrings: SubstringIndex | None = None) -> Graph:
     """Nodes whose title or name contains the term, with a bounded number of their edges."""
-    named = graph.nodes.filter(contains_ci("title", term) | contains_ci("name", term) | contains_ci("title_name", term))
+    named = possible(graph.nodes, term, substrings).filter(contains_ci("title", term) | contains_ci("name", term) | contains_ci("title_name", term))
     hits = top_rows(named, node_limit, F.col("id")).persist()
     touching = top_rows(incident_edges(graph, hits), edge_limit, F.col("id"), F.col("end")).persist()
     ends = touching.select(F.col("other").alias("id")).distinct()
-    others = graph.nodes.join(ends, "id", "left_semi").join(hits.select("id"), "id", "left_anti")
+    others = graph.nodes_of(ends).join(hits.select("id"), "id", "left_anti")
     edges = touching.drop("other", "end").dropDuplicates(["id"]).withColumn("type", F.lower("type"))
     return Graph(hits.unionByName(others), edges, held=(hits, touching))
 
 
-def text_search(works: DataFrame, credits: DataFrame, term: str, limit: int) -> DataFrame:
+def text_search(works: DataFrame, credits: DataFrame, term: str, limit: int, substrings: SubstringIndex | None = None,
+                names: SubstringIndex | None = None) -> DataFrame:
     """Works whose title, or one of whose creators, contains the term; best known first.
 
-    ``credits(work_id, kind, name)`` is one row per creator, magazine or publisher of a work.
+    ``credits(work_id, kind, name)`` is one row per creator, magazine or publisher of a work; an index of them has these columns too. With
+    both indexes, credits and titles are read for candidates only.
     """
     by_creator = (
-        credits.filter((F.col("kind") == "creator") & contains_ci("name", term))
+        possible(credits, term, names).filter((F.col("kind") == "creator") & contains_ci("name", term))
         .select(F.col("work_id").alias("id")).distinct().withColumn("_credited", F.lit(True))
     )
+    if substrings is not None and names is not None:
+        titled = possible(works, term, substrings, "work").filter(title_matches(term))
+        credited = substrings.rows.matching(by_creator.select("id")).filter(F.col("type") == "work").join(titled.select("id"), "id", "left_anti")
+        return top_rows(titled.unionByName(credited), limit, *by_members())
     hit = works.join(by_creator, "id", "left").filter(title_matches(term) | F.col("_credited"))
     return top_rows(hit.drop("_credited"), limit, *by_members())
 

@@ -9,13 +9,17 @@ brand are RELATED_TO the one with the lowest key. Every definition reads whole t
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfgraph.functions.nodes import derive_label
 from shelfgraph.graph import CREATED_BY, PUBLISHED_BY, PUBLISHED_IN, RELATED_TO, Graph, edge_id
+from shelfgraph.operators.search import TokenIndex
+from shelfgraph.operators.substrings import SubstringIndex
 from shelfgraph.plans.registry import table
+from shelfgraph.session import staged, work_dir
 
 AS_OF_YEAR = 2001
 
@@ -136,6 +140,32 @@ def catalogue(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(nodes(spark, sf_dir), edges(spark, sf_dir))
 
 
+class Stored(NamedTuple):
+    """The catalogue as a service would keep it: a stored graph with its indexes."""
+
+    graph: Graph
+    titles: SubstringIndex
+    credits: SubstringIndex
+    tokens: TokenIndex
+
+
+_STORED: dict[tuple[str, str], Stored] = {}
+
+
+def stored_catalogue(spark: SparkSession, sf_dir: str) -> Stored:
+    """The catalogue of ``sf_dir``, stored under the shared folder once an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = work_dir(spark, "catalogue")
+        Graph(staged(nodes(spark, sf_dir), "nodes"), staged(edges(spark, sf_dir), "edges")).write(path)
+        graph = Graph.read(spark, path)
+        names = credits(spark, sf_dir).withColumn("id", F.concat_ws("\u0001", "work_id", "kind", "name"))
+        TokenIndex.of(graph.of_type("work")).write(f"{path}/tokens")
+        _STORED[key] = Stored(graph, SubstringIndex.write(graph.by_id, f"{path}/titles"), SubstringIndex.write(names, f"{path}/credits"),
+                              TokenIndex.read(spark, f"{path}/tokens"))
+    return _STORED[key]
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, embedding_title_en) of the works that have one: a scan of ids and vectors needs no more."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vec_id"))

@@ -9,7 +9,7 @@ from shelfgraph.operators import expand as X, filters as Fi, related as R, searc
 from shelfgraph.operators.limits import first_per_key, top_rows
 from shelfgraph.operators.upsert import dangling_edges
 from shelfgraph.plans.binding import (
-    AS_OF_YEAR, CREDITS_SQL, EDGES_SQL, EXPAND_SQL, GRAPH_SQL, NODES_SQL, WORKS_SQL, catalogue, credits, titles, with_sql, works,
+    AS_OF_YEAR, CREDITS_SQL, EDGES_SQL, EXPAND_SQL, GRAPH_SQL, NODES_SQL, WORKS_SQL, catalogue, credits, stored_catalogue, titles, with_sql, works,
 )
 from shelfgraph.plans.registry import query, table
 
@@ -39,6 +39,20 @@ def q1_edges(spark, sf):
     return S.search(catalogue(spark, sf), TERM, 20, exclude="promo").edge_rows()
 
 
+# The same over the stored graph and its indexes: candidates by trigram, edges and neighbours from the files that hold them.
+@query("q1_stored_nodes", with_sql(GRAPH_SQL, _SEEDS, EXPAND_SQL, select=f"{_OUT_NODES} WHERE id NOT IN {_PROMO}"))
+def q1_stored(spark, sf):
+    kept = stored_catalogue(spark, sf)
+    return S.search(kept.graph, TERM, 20, exclude="promo", substrings=kept.titles).node_rows()
+
+
+@query("q1_stored_edges", with_sql(
+    GRAPH_SQL, _SEEDS, EXPAND_SQL, select=f"{_OUT_EDGES} WHERE src NOT IN {_PROMO} AND dst NOT IN {_PROMO}"))
+def q1_stored_edges(spark, sf):
+    kept = stored_catalogue(spark, sf)
+    return S.search(kept.graph, TERM, 20, exclude="promo", substrings=kept.titles).edge_rows()
+
+
 # Full text: BM25 over the words of the title columns; the last word may differ by one edit.
 def _bm25(words: list[str], fuzzy: str, limit: int | None, where: str = "true") -> str:
     exact = ", ".join(f"'{w}'" for w in words)
@@ -63,6 +77,13 @@ def q2_hits(spark, sf):
     return hits.select("id", F.round("score", 6).alias("score"))
 
 
+@query("q2_stored_hits", with_sql(WORKS_SQL, _bm25(["red", "rinq"], "rinq", 50), select="SELECT id, round(score, 6) AS score FROM pool"))
+def q2_stored(spark, sf):
+    kept = stored_catalogue(spark, sf)
+    hits = S.fulltext_hits(kept.graph.of_type("work"), "red rinq", 50, index=kept.tokens)
+    return hits.select("id", F.round("score", 6).alias("score"))
+
+
 @query("q2_fulltext_scores_japanese", with_sql(
     WORKS_SQL, _bm25(["redrinq"], "redrinq", 100, "japanese_name <> ''"), select="SELECT id, round(score, 6) AS score FROM scored"))
 def q2_scores(spark, sf):
@@ -75,26 +96,59 @@ def q2_nodes(spark, sf):
     return S.search(catalogue(spark, sf), "red rinq", 20, mode="fulltext").node_rows()
 
 
-# Titles written in katakana, one sign for each letter; the index holds pairs of neighbouring signs.
-_LATIN, _KANA = "abcdefghijklmnopqrstuvwxyz", "アイウエオカキクケコサシスセソタチツテトナニヌネノハ"
-_KANA_TERM = "".join(_KANA[_LATIN.index(c)] for c in "ring")
+def _signs(rows, signs):
+    """Works whose Japanese title is their title with another sign for each letter."""
+    none = F.lit(None).cast("string")
+    return rows.withColumns({"japanese_name": F.translate("title_name", _LATIN, signs), "english_name": none, "title": none}).withColumn("title_name", none)
 
 
-@query("q2_fulltext_katakana", with_sql(WORKS_SQL, f"""
-kana AS (SELECT id, unnest(string_split(translate(p_name, '{_LATIN}', '{_KANA}'), ' ')) AS w FROM works JOIN part USING (p_partkey)),
-pairs AS (SELECT id, CASE WHEN length(w) < 2 THEN w ELSE substr(w, i, 2) END AS t FROM (SELECT id, w, unnest(range(1, greatest(length(w), 2))) AS i FROM kana)),
-lengths AS (SELECT id, count(*) AS dl FROM pairs GROUP BY id),
+def _signs_sql(signs: str, token: str, test: str, boost: str = "1") -> str:
+    """BM25 over the tokens that ``token`` makes of each word of the sign titles."""
+    return with_sql(WORKS_SQL, f"""
+pieces AS (SELECT id, unnest({token}) AS t FROM (SELECT id, unnest(string_split(translate(p_name, '{_LATIN}', '{signs}'), ' ')) AS w FROM works JOIN part USING (p_partkey))),
+lengths AS (SELECT id, count(*) AS dl FROM pieces GROUP BY id),
 corpus AS (SELECT count(*) AS n, avg(dl) AS mean FROM lengths),
-hits AS (SELECT id, t, count(*) AS tf FROM pairs WHERE t IN ({", ".join(f"'{_KANA_TERM[i:i + 2]}'" for i in range(3))}) GROUP BY ALL),
-dfs AS (SELECT t, count(*) AS df FROM hits GROUP BY t)""", select="""
-  SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
-  FROM hits JOIN dfs USING (t) JOIN lengths USING (id), corpus GROUP BY id"""))
+hits AS (SELECT id, t, count(*) AS tf FROM pieces WHERE {test} GROUP BY ALL),
+dfs AS (SELECT t, count(*) AS df FROM hits GROUP BY t)""", select=f"""
+  SELECT id, round(sum({boost} * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+  FROM hits JOIN dfs USING (t) JOIN lengths USING (id), corpus GROUP BY id""")
+
+
+# Titles written in katakana, whose runs are tokens, and in Han characters, which are tokens by themselves.
+_LATIN, _KANA = "abcdefghijklmnopqrstuvwxyz", "アイウエオカキクケコサシスセソタチツテトナニヌネノハ"
+_HAN = "鋼錬金術師進撃巨人海賊王火影忍者東京喰種鬼滅刃呪廻戦銀"
+_in = lambda word, signs: "".join(signs[_LATIN.index(c)] for c in word)
+
+
+# A sign stands for one letter, so the SQL can count edits, which DuckDB counts in bytes, on the letters.
+@query("q2_fulltext_katakana", _signs_sql(
+    _LATIN, "[w]", "levenshtein(t, 'rinq') <= 1", "(CASE WHEN t = 'rinq' THEN 1.0 ELSE 1 - 1.0 / least(length(t), 4) END)"))
 def q2_katakana(spark, sf):
-    rows = titles(spark, sf)
-    kana = F.translate("title_name", _LATIN, _KANA)
+    rows = _signs(titles(spark, sf), _KANA)
+    return S.fulltext_scores(rows, _in("rinq", _KANA), Fi.JAPANESE).select("id", F.round("score", 6).alias("score"))
+
+
+@query("q2_fulltext_han", _signs_sql(_HAN, "string_split(w, '')", f"t IN ('{_HAN[17]}', '{_HAN[8]}')"))
+def q2_han(spark, sf):
+    """A search for two characters finds the titles that hold either, wherever it stands."""
+    rows = _signs(titles(spark, sf), _HAN)
+    return S.fulltext_scores(rows, _in("ri", _HAN), Fi.JAPANESE).select("id", F.round("score", 6).alias("score"))
+
+
+@query("q2_fulltext_han_phrase", f"SELECT 'work:' || p_partkey AS id FROM part WHERE contains(translate(p_name, '{_LATIN}', '{_HAN}'), '{_in('ring', _HAN)}')")
+def q2_phrase(spark, sf):
+    rows = _signs(titles(spark, sf), _HAN)
+    return S.fulltext_scores(rows, _in("ring", _HAN), Fi.JAPANESE, phrase=True).select("id")
+
+
+@query("q2_fulltext_folded", with_sql(WORKS_SQL, _bm25(["goss"], "goss", None), select="SELECT id, round(score, 6) AS score FROM scored")
+       .replace("concat_ws(' ', lower(title_name), lower(english_name), japanese_name)", "replace(lower(title_name), 'ld', 'ss')"))
+def q2_folded(spark, sf):
+    """Titles with \u00df and accents, found by words without them: 'old' stands as 'o\u00df', 'gold' and 'cold' alike."""
     none = F.lit(None).cast("string")
-    rows = rows.withColumns({"japanese_name": kana, "english_name": none, "title": none}).withColumn("title_name", none)
-    return S.fulltext_scores(rows, _KANA_TERM, Fi.JAPANESE).select("id", F.round("score", 6).alias("score"))
+    rows = titles(spark, sf).withColumn("title_name", F.translate(F.replace("title_name", F.lit("ld"), F.lit("\u00df")), "aeo", "\u00e1\u00e8\u014d"))
+    rows = rows.withColumns({"english_name": none, "japanese_name": none, "title": none})
+    return S.fulltext_scores(rows, "goss").select("id", F.round("score", 6).alias("score"))
 
 
 _RANKED = _bm25(["red", "rinq"], "rinq", None) + """,
@@ -110,6 +164,13 @@ def q3_hits(spark, sf):
     return hits.select("id", F.round("final_score", 6).alias("final_score"))
 
 
+@query("q3_stored_hits", with_sql(WORKS_SQL, _RANKED, select="SELECT id, round(final_score, 6) AS final_score FROM ranked"))
+def q3_stored(spark, sf):
+    kept = stored_catalogue(spark, sf)
+    hits = S.ranked_hits(kept.graph.of_type("work"), "red rinq", 50, index=kept.tokens)
+    return hits.select("id", F.round("final_score", 6).alias("final_score"))
+
+
 @query("q3_ranked_graph_edges", with_sql(GRAPH_SQL, _RANKED, "seeds AS (SELECT id FROM ranked)", EXPAND_SQL, select=_OUT_EDGES))
 def q3_edges(spark, sf):
     return S.search(catalogue(spark, sf), "red rinq", 50, mode="ranked").edge_rows()
@@ -153,6 +214,20 @@ def q5_edges(spark, sf):
     return S.name_search(catalogue(spark, sf), "a", 10, 50).edge_rows()
 
 
+@query("q5_stored_nodes", with_sql(
+    GRAPH_SQL, _LEGACY.replace("'a'", "'lier'"), select="SELECT id, type, label FROM nodes WHERE id IN (SELECT id FROM named UNION SELECT other FROM few)"))
+def q5_stored(spark, sf):
+    kept = stored_catalogue(spark, sf)
+    return S.name_search(kept.graph, "lier", 10, 50, kept.titles).node_rows()
+
+
+@query("q6_stored_subgraph", with_sql(
+    GRAPH_SQL, "seeds AS (SELECT 'work:7' AS id)", EXPAND_SQL,
+    select="SELECT id, type, label FROM nodes WHERE id = 'work:7' OR id IN (SELECT other FROM touching)"))
+def q6_stored(spark, sf):
+    return R.work_subgraph(stored_catalogue(spark, sf).graph, "work:7").node_rows()
+
+
 @query("q6_work_subgraph", with_sql(
     GRAPH_SQL, "seeds AS (SELECT 'work:7' AS id)", EXPAND_SQL,
     select="SELECT id, type, label FROM nodes WHERE id = 'work:7' OR id IN (SELECT other FROM touching)"))
@@ -304,6 +379,14 @@ def q12(spark, sf):
     return S.text_search(works(spark, sf), credits(spark, sf), "07", 40).select("id", "title_name")
 
 
+@query("q12_stored_search", with_sql(WORKS_SQL, CREDITS_SQL, select="""
+  SELECT id, title_name FROM works WHERE contains(title_name, '007') OR contains(english_name, '007')
+     OR id IN (SELECT work_id FROM credits WHERE kind = 'creator' AND contains(name, '007')) ORDER BY members DESC, p_partkey LIMIT 40"""))
+def q12_stored(spark, sf):
+    kept = stored_catalogue(spark, sf)
+    return S.text_search(kept.graph.of_type("work"), kept.credits.rows.all(), "007", 40, kept.titles, kept.credits).select("id", "title_name")
+
+
 @query("q12_text_search_credits", with_sql(WORKS_SQL, CREDITS_SQL, """
 hits AS (SELECT id FROM works WHERE contains(title_name, '07') OR contains(english_name, '07')
          OR id IN (SELECT work_id FROM credits WHERE kind = 'creator' AND contains(name, '07')) ORDER BY members DESC, p_partkey LIMIT 40)""", select="""

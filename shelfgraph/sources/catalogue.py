@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfgraph.functions.text import col, contains_ci
 from shelfgraph.graph import Graph
 from shelfgraph.operators.limits import top_rows
+from shelfgraph.operators.substrings import SubstringIndex, possible
 
 
 def listing(graph: Graph, type_: str, limit: int | None = None) -> DataFrame:
@@ -16,9 +17,9 @@ def listing(graph: Graph, type_: str, limit: int | None = None) -> DataFrame:
     return rows.orderBy("id") if limit is None else top_rows(rows, limit, F.col("id"))
 
 
-def works_titled(works: DataFrame, term: str | None = None, limit: int | None = None, title: str = "title") -> DataFrame:
+def works_titled(works: DataFrame, term: str | None = None, limit: int | None = None, title: str = "title", substrings: SubstringIndex | None = None) -> DataFrame:
     """Works whose title contains the term; all of them without one."""
-    found = works.filter(contains_ci(title, term)) if term else works
+    found = possible(works, term, substrings, "work").filter(contains_ci(title, term)) if term else works
     return top_rows(found, limit, F.col("id")) if limit else found
 
 

@@ -161,7 +161,9 @@ def test_similarity(value):
 
 def test_tokens(value):
     assert one(value, Ti.search_tokens, "Pokémon: Ōban 2") == ["pokemon", "oban", "2"]
-    assert one(value, Ti.search_tokens, "進撃の巨人 x") == ["x", "進撃", "撃の", "の巨", "巨人"]
+    assert one(value, Ti.search_tokens, "進撃の巨人 x ワンピース3") == ["進", "撃", "の", "巨", "人", "x", "ワンピース", "3"]
+    assert one(value, Ti.search_tokens, "Strauß ﬁn ＡＢ１ Ấn e\u0301t œuvre Łódź ĳ 々𠀋") == [
+        "strauss", "fin", "ab1", "an", "et", "oeuvre", "lodz", "ij", "々", "𠀋"]
     assert one(value, Ti.search_tokens, "猫") == ["猫"]
     assert one(value, Ti.search_tokens, None) == []
 
@@ -187,7 +189,8 @@ def test_vectors(value, spark):
 
 
 def test_terms_of_a_column_equal_those_of_a_text(spark):
-    terms = ["One Piece", "dr.stone", "Café 鋼の", "鋼の x", "x", "ワンピース!!", " ", "a bb bb", "ＡＢ ab", None]
+    terms = ["One Piece", "dr.stone", "Café 鋼の", "鋼の x", "x", "ワンピース!!", " ", "a bb bb", "ＡＢ ab", None, "İstanbul Strauß", "らーめん ｶﾅ", "한국 1",
+             "กขค ab", "e\u0301t", "ẞ", "\U0002000b々〇 ﬀ"]
     rows = spark.createDataFrame([(t,) for t in terms], "t string").select("t", term_edits("t").alias("e")).collect()
     for r in rows:
         assert sorted(tuple(e) for e in r.e) == sorted(query_terms(r.t)), r.t

@@ -166,23 +166,67 @@ def test_round_trip(graph, tmp_path, spark):
 
 def test_query_and_titles_share_one_analyzer(graph):
     works = graph.of_type("work")
-    assert S.query_terms("dr.stone") == [("dr", 0), ("stone", 1)] and S.query_terms("Café 鋼の") == [("cafe", 0), ("鋼の", 0)]
+    assert S.query_terms("dr.stone") == [("dr", 0), ("stone", 1)] and S.query_terms("Café 鋼の") == [("cafe", 0), ("鋼", 0), ("の", 0)]
     assert S.query_terms("x") == [("x", 0)] and S.query_terms(" ") == [] and S.query_terms(None) == []
-    for term in ("ワンピース", "ピース", "one.piece", "ONE-PIECÉ"):
+    for term in ("ワンピース", "ワンピーズ", "one.piece", "ONE-PIECÉ"):
         assert ids(S.fulltext_hits(works, term, 1)) == ["w1"], term
     assert ids(S.fulltext_hits(works, "鋼", 5)) == [] and ids(S.fulltext_hits(works, "y", 5)) == []
     assert ids(S.ranked_hits(works, "ワンピース", 5, "japanese")) == ["w1"]
 
 
+def test_short_and_folded_words_are_found(graph, spark, tmp_path):
+    rows = [("a", "鋼の錬金術師", None), ("b", "Strauß", "錬金"), ("c", "金の錬", None), ("d", "Strausz", None), ("e", "ワンピース", None)]
+    works = spark.createDataFrame([(i, t, j, None, None) for i, t, j in rows], "id string, title_name string, japanese_name string, english_name string, title string")
+    S.TokenIndex.of(works).write(str(tmp_path))
+    for index in (None, S.TokenIndex.read(spark, str(tmp_path))):
+        found = lambda term, **k: ids(S.fulltext_hits(works, term, 9, index=index, **k))
+        assert found("鋼") == ["a"] and found("の") == ["a", "c"]
+        assert found("strauss") == ["b", "d"] and found("STRAUẞ x") == ["b"]
+        assert found("錬金") == ["a", "b", "c"] and found("錬金", phrase=True) == ["a", "b"]
+        assert found("ß", phrase=True) == [] and found("鋼の錬金術師", phrase=True) == ["a"] and found("師錬", phrase=True) == []
+        assert found("ワンピーズ") == ["e"] and found("zzz") == []
+
+
+def test_words_one_edit_apart_share_a_variant():
+    import random
+    rng = random.Random(2)
+    words = list({"".join(rng.choice("abc鋼") for _ in range(rng.randint(1, 5))) for _ in range(150)})
+
+    def near(a, b):
+        if abs(len(a) - len(b)) > 1:
+            return False
+        a, b = sorted((a, b), key=len)
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) <= 1
+        return any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+    for a in words:
+        for b in words:
+            if len(a) > 1 and len(b) > 1 and near(a, b):
+                assert set(S.without_one(a)) & set(S.without_one(b)), (a, b)
+
+
 def test_stored_tokens_give_the_same_scores(graph, spark, tmp_path):
     works = graph.of_type("work")
     S.TokenIndex.of(works).write(str(tmp_path))
     index = S.TokenIndex.read(spark, str(tmp_path))
-    for term in ("one pieca", "ワンピース", "naruto"):
+    for term in ("one pieca", "ワンピース", "naruto", "nsruto", "x", "on", "oen"):
         plain, stored = (sorted((r.id, round(r.score, 9)) for r in S.fulltext_scores(works, term, index=i).collect()) for i in (None, index))
-        assert plain == stored and plain
-    plan = S.token_scores(index, S.query_terms("naruto x"))._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [" in plan
+        assert plain == stored, term
+        a, b = (sorted((r.id, round(r.final_score, 9)) for r in S.ranked_hits(works, term, 9, index=i).collect()) for i in (None, index))
+        assert a == b, term
+    plan = S.token_scores(index, S.query_terms("x narutoo"))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(token,naruto)" in plan or "In(token, [" in plan
+    plan = index.lookup(S.query_terms("x narutoo"))._jdf.queryExecution().executedPlan().toString()
+    assert "In(variant, [" in plan
+
+
+def test_lazy_index_reads_the_titles_once(graph):
+    """Hits, their frequencies and the best score come out of one exchange of matching postings."""
+    hits = S.ranked_hits(graph.of_type("work"), "one piece", 5)
+    hits.collect()
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("ReusedExchange") >= 1
 
 
 def test_release_frees_everything(graph, spark):
@@ -201,14 +245,66 @@ def test_release_frees_everything(graph, spark):
 
 
 def test_stored_edges_are_read_by_either_end(graph, spark, tmp_path):
-    graph.write(str(tmp_path))
+    graph.write(str(tmp_path), file_rows=2)
     stored = Graph.read(spark, str(tmp_path))
-    for make in (lambda g: R.work_subgraph(g, "w1"), lambda g: R.work_subgraph(g, "a1"), lambda g: S.search(g, "one", 5, exclude=None), lambda g: S.name_search(g, "jump", 10, 50)):
+    for make in (lambda g: R.work_subgraph(g, "w1"), lambda g: R.work_subgraph(g, "a1"), lambda g: S.search(g, "one", 5, exclude=None), lambda g: S.name_search(g, "jump", 10, 50),
+                 lambda g: R.author_works(g, "a1"), lambda g: R.magazine_works(g, "m1", 5), lambda g: R.work_subgraph(g, "nope")):
         a, b = make(graph), make(stored)
         assert ids(a.nodes) == ids(b.nodes)
         assert sorted(r.id for r in a.edges.collect()) == sorted(r.id for r in b.edges.collect())
-    plan = X.incident_edges(stored, "w1")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("PartitionFilters: [isnotnull(bucket") == 2 and "EqualTo(src,w1)" in plan and "EqualTo(dst,w1)" in plan
+
+
+def test_few_seeds_open_few_files(spark, tmp_path):
+    """A graph with a hub: no file holds more than its share, and 50 seeds are read from the files whose range holds them."""
+    links = [(f"w{i:05d}", "PUBLISHED_IN", "m1" if i % 3 else f"m{i}") for i in range(20_000)]
+    edges = spark.createDataFrame(links, "src string, type string, dst string").withColumn("id", edge_id(F.col("src"), F.col("type"), F.col("dst")))
+    kinds = edges.select(F.col("src").alias("id"), F.lit("work").alias("type")).union(edges.select("dst", F.lit("magazine")).distinct())
+    Graph(kinds.withColumn("label", F.col("id")), edges.select("id", "src", "dst", "type")).write(str(tmp_path), file_rows=500)
+    stored = Graph.read(spark, str(tmp_path))
+    per_file = spark.read.parquet(f"{tmp_path}/edges_in/files").collect()
+    assert max(r.rows for r in per_file) <= 500 and sum(r.rows for r in per_file) == 20_000
+    assert sum(r.lo == r.hi == "m1" for r in per_file) > 20  # the hub is spread over many files
+    seeds = [f"w{i:05d}" for i in range(0, 500, 10)]
+    files = stored.by_src.files_of(seeds)
+    assert 1 <= len(files) <= 3 and stored.by_src.files_of(["v", "x", "w00000x"]) == []
+    found = X.incident_edges(stored, spark.createDataFrame([(s,) for s in seeds], "id string"))
+    assert found.count() == 50 and len(found.filter("end = src").inputFiles()) <= 3
+    assert X.incident_edges(stored, "m1").count() == sum(1 for x in links if x[2] == "m1")
+
+
+def test_keyed_files_join_many_keys(spark, tmp_path, monkeypatch):
+    from shelfgraph.sources import keyed_files as K
+    rows = spark.createDataFrame([(f"k{i % 300}", i) for i in range(3000)], "k string, v int")
+    stored = K.KeyedFiles.write(rows, str(tmp_path), "k", "v", file_rows=100)
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(290, 310)] + [(None,)], "id string")
+    want = sorted(tuple(r) for r in rows.collect() if r.k in {f"k{i}" for i in range(290, 310)})
+    assert sorted(tuple(r) for r in stored.matching(keys).collect()) == want
+    monkeypatch.setattr(K, "MOST_KEYS", 5)
+    assert sorted(tuple(r) for r in stored.matching(keys).collect()) == want
+    assert stored.having([]).count() == 0 and K.KeyedFiles.open(spark, str(tmp_path), "k").having(["k7"]).count() == 10
+    assert K.KeyedFiles.write(rows.limit(0), f"{tmp_path}/none", "k").having(["k7"]).count() == 0
+
+
+def test_substring_index_finds_what_the_scan_finds(graph, spark, tmp_path):
+    from shelfgraph.operators.substrings import SubstringIndex
+    graph.write(f"{tmp_path}/g", file_rows=2)
+    stored = Graph.read(spark, f"{tmp_path}/g")
+    index = SubstringIndex.write(stored.by_id, f"{tmp_path}/titles")
+    works = graph.of_type("work")
+    for term in ("one", "ONE P", "punch", "ンピース", "ピ", "e", "zzz", "one piece", "pie ce", "Naruto!", ""):
+        for language in ("english", "japanese"):
+            assert ids(S.simple_hits(works, term, 9, language)) == ids(S.simple_hits(stored.of_type("work"), term, 9, language, index)), term
+        assert ids(S.name_search(graph, term, 10, 50).nodes) == ids(S.name_search(stored, term, 10, 50, index).nodes), term
+    assert ids(S.simple_hits(works, None, 9)) == ids(S.simple_hits(works, None, 9, substrings=index))
+    again = SubstringIndex.open(spark, f"{tmp_path}/titles", stored.by_id)
+    assert ids(again.holding("punch")) == ["w2"] and len(again.holding("punch").inputFiles()) == 1
+    assert again.candidates("pu") is None and again.candidates("zzz").count() == 0
+
+
+def test_trigrams(spark):
+    from shelfgraph.operators.substrings import trigrams
+    got = spark.createDataFrame([("AbCa",), ("aaaa",), ("ab",), ("",), (None,), ("鋼の錬金",)], "t string").select(trigrams("t").alias("g")).collect()
+    assert [r.g for r in got] == [["abc", "bca"], ["aaa"], [], [], [], ["鋼の錬", "の錬金"]]
 
 
 def test_same_publisher_search_options(graph):
