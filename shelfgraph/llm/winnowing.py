@@ -128,8 +128,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     met = texts.join(other, (F.col("size") == F.col("size2")) & (F.col("hash") == F.col("hash2")))
     before, reach = span - k, 2 * span - k
     same = [F.coalesce(F.get("around", F.lit(j)) == F.get("around2", F.lit(j)), F.lit(False)) for j in range(reach)]
-    left = before - 1 - F.greatest(F.lit(-1), *[F.when(~same[j], F.lit(j)).otherwise(-1) for j in range(before)])
-    right = F.least(F.lit(reach), *[F.when(~same[j], F.lit(j)).otherwise(reach) for j in range(before + k, reach)]) - before - k
+    left = before - 1 - F.greatest(F.lit(-1), F.lit(-1), *[F.when(~same[j], F.lit(j)).otherwise(-1) for j in range(before)])
+    right = F.least(F.lit(reach), F.lit(reach), *[F.when(~same[j], F.lit(j)).otherwise(reach) for j in range(before + k, reach)]) - before - k
     core = same[before]
     for j in range(before + 1, before + k):
         core = core & same[j]
