@@ -38,6 +38,7 @@ from shelfgraph.session import staged
 
 SCALE = 1_000_000_000
 TREE_CELLS = 400_000  # of the matrix of paths that a task looks at together
+PIECE = 1 << 21       # bytes of text counted together
 OUTSIDE = np.ones(256, bool)
 OUTSIDE[65:91] = OUTSIDE[97:123] = OUTSIDE[128:] = False
 
@@ -54,7 +55,7 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen[pair] = len(names)
                 names.append(pair)
             group[i] = seen[pair]
-        for chunk in chunks(batch.column(2)):
+        for chunk in chunks(batch.column(2), PIECE):
             low = chunk._replace(data=LOWER[chunk.data])
             found = words(low, OUTSIDE)
             if not len(found.start):
@@ -188,7 +189,9 @@ def audit(docs: DataFrame, least_docs: int = 3, term_ranks: int = 200, text_col:
 
     nodes = F.array_sort(F.collect_list(F.struct("source", "n", "p", "p0")))  # at most the language's sources
     paths = shares.groupBy("lang", "term").agg(nodes.alias("path")).groupBy("lang", "path").agg(F.count("*").alias("times"))
-    paths = paths.filter(F.size("path") > 1).repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
+    # Ranges by the first nodes keep what begins alike together; the hash parts very common beginnings. The sample for the ranges is of these short keys.
+    ranges = ["lang", F.slice("path", 1, 2), F.xxhash64("path")]
+    paths = paths.filter(F.size("path") > 1).repartitionByRange(*ranges).sortWithinPartitions("lang", "path")
     both = paths.mapInArrow(_tree_rows, "lang string, g string, h string, amount long")
 
     amount = lambda c: c.cast("decimal(38,0)")
