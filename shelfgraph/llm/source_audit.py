@@ -44,39 +44,36 @@ OUTSIDE[65:91] = OUTSIDE[97:123] = OUTSIDE[128:] = False
 
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, n, docs) of each batch: occurrences, and documents that hold the term."""
+    """(g, term, n, docs) of each batch of (g, text): occurrences in the rows of a group, and rows that hold the term."""
     for batch in batches:
-        groups = pa.table([batch.column(0), batch.column(1)], ["lang", "source"])
-        group = np.zeros(batch.num_rows, np.int64)
-        names: list[tuple[str, str]] = []
-        seen: dict[tuple[str, str], int] = {}
-        for i, pair in enumerate(zip(groups["lang"].to_pylist(), groups["source"].to_pylist())):
-            if pair not in seen:
-                seen[pair] = len(names)
-                names.append(pair)
-            group[i] = seen[pair]
-        for chunk in chunks(batch.column(2), PIECE):
+        names, group = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+        for chunk in chunks(batch.column(1), PIECE):
             low = chunk._replace(data=LOWER[chunk.data])
             found = words(low, OUTSIDE)
             if not len(found.start):
                 continue
             _, first, number = np.unique(RangeKeys(low.data)(found.start, found.end), return_index=True, return_inverse=True)
-            terms = [low.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(found.start[first].tolist(), found.end[first].tolist())]
+            terms = pa.array([low.data[a:b].tobytes() for a, b in zip(found.start[first].tolist(), found.end[first].tolist())], pa.binary())
             by_doc, n = np.unique(found.row * len(first) + number, return_counts=True)
             own = group[chunk.first + by_doc // len(first)] * len(first) + by_doc % len(first)
-            keys, back = np.unique(own, return_inverse=True)
-            sums, docs = np.zeros(len(keys), np.int64), np.bincount(back)
-            np.add.at(sums, back, n)
-            places = (keys // len(first)).tolist()
-            yield pa.record_batch([pa.array([names[g][0] for g in places], pa.string()), pa.array([names[g][1] for g in places], pa.string()),
-                                   pa.array(terms, pa.string()).take(pa.array(keys % len(first))), pa.array(sums), pa.array(docs, pa.int64())],
-                                  ["lang", "source", "term", "n", "docs"])
+            order = np.argsort(own, kind="stable")
+            own, n = own[order], n[order]
+            cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            keys = own[cut]
+            yield pa.record_batch([pa.array(names[keys // len(first)]), terms.take(pa.array(keys % len(first))), pa.array(np.add.reduceat(n, cut)),
+                                   pa.array(np.diff(np.append(cut, len(own))))], ["g", "term", "n", "docs"])
 
 
 def term_counts(docs: DataFrame, least_docs: int) -> DataFrame:
-    """(lang, source, term, n, whole, first) of the kept terms; ``whole`` sums over the language, ``first`` marks one row of each term."""
-    counts = docs.mapInArrow(_count_rows, "lang string, source string, term string, n long, docs long")
-    counts = counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    """(lang, source, term, n, whole, first) of the kept terms; ``whole`` sums over the language, ``first`` marks one row of each term.
+
+    Groups are named by a 64-bit hash until their counts are summed.
+    """
+    g = F.xxhash64("lang", "source")
+    counts = docs.select(g.alias("g"), "text").mapInArrow(_count_rows, "g long, term binary, n long, docs long")
+    counts = counts.groupBy("g", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    names = docs.select(g.alias("g2"), "lang", "source").distinct()
+    counts = counts.join(names, F.col("g") == F.col("g2")).select("lang", "source", F.col("term").cast("string").alias("term"), "n", "docs")
     term = Window.partitionBy("lang", "term")
     turn = F.row_number().over(term.orderBy("source"))
     kept = counts.withColumns({"whole": F.sum("n").over(term), "all": F.sum("docs").over(term), "first": (turn == 1).cast("long")})
@@ -84,10 +81,11 @@ def term_counts(docs: DataFrame, least_docs: int) -> DataFrame:
 
 
 def share(count, total: Column, kept: Column) -> Column:
-    """1 + floor(SCALE * (count + 1) / (total + kept)), exactly; null without kept terms."""
+    """1 + floor(SCALE * (count + 1) / (total + kept)), exactly: in decimals where the product has more than 64 bits. Null without kept terms."""
     part = (count + F.lit(1)).cast("decimal(19,0)") * F.lit(SCALE).cast("decimal(10,0)")
-    whole = F.nullif((total + kept).cast("decimal(19,0)"), F.lit(0).cast("decimal(19,0)"))
-    return F.lit(1).cast("long") + F.call_function("div", part, whole)
+    whole = F.nullif(total + kept, F.lit(0).cast("long"))
+    small = F.call_function("div", (count + F.lit(1)) * F.lit(SCALE).cast("long"), whole)
+    return F.lit(1).cast("long") + F.when(count < 9 * SCALE, small).otherwise(F.call_function("div", part, whole.cast("decimal(19,0)")))
 
 
 def divergence(p: str, q: str) -> Column:
