@@ -18,6 +18,7 @@ from shelfgraph.operators.expand import expand
 from shelfgraph.operators.filters import without_genre
 from shelfgraph.operators.limits import first_per_key, top_rows
 from shelfgraph.operators.upsert import update_existing
+from shelfgraph.operators.vector_cells import VectorCells
 
 # Named embedding columns a search may use (fixed values).
 EMBEDDINGS = ("embedding_title_en", "embedding_title_ja", "embedding_description")
@@ -47,14 +48,18 @@ def by_similarity() -> list[Column]:
     return [F.round("similarity_score", 9).desc(), F.col("id").asc()]
 
 
-def nearest(vectors: DataFrame, works: DataFrame, query, column: str, limit: int, threshold: float | None = None,
+def nearest(vectors: DataFrame | VectorCells, works: DataFrame, query, column: str, limit: int, threshold: float | None = None,
             exclude_genre: str | None = EXCLUDED_GENRE) -> DataFrame:
-    """The ``limit`` most similar works, from ``vectors(id, <columns>)`` and node rows.
+    """The ``limit`` most similar works, from ``vectors(id, <columns>)``, or an index of them, and node rows.
 
     Vectors are only scanned: ids and scores go on, ids of works that may not appear leave, the limit is taken, and the works of these few
     rows are fetched. A threshold drops rows from the end of the list, so it can wait until after the limit.
     """
     eligible = without_genre(works, exclude_genre) if exclude_genre else works
+    if isinstance(vectors, VectorCells):
+        if vectors.column != column:
+            raise ValueError(f"the index is of {vectors.column}")
+        vectors = vectors.near(query, limit, eligible)
     hits = scored(vectors.select("id", column), query, column).drop(column)
     best = top_rows(hits.join(eligible.select("id"), "id", "left_semi"), limit, *by_similarity())
     if threshold is not None:
@@ -62,7 +67,7 @@ def nearest(vectors: DataFrame, works: DataFrame, query, column: str, limit: int
     return top_rows(works.join(best, "id"), limit, *by_similarity())
 
 
-def similar_works(vectors: DataFrame, works: DataFrame, query, column: str, limit: int = 5, threshold: float = 0.5,
+def similar_works(vectors: DataFrame | VectorCells, works: DataFrame, query, column: str, limit: int = 5, threshold: float = 0.5,
                   exclude_genre: str | None = EXCLUDED_GENRE) -> DataFrame:
     """The result list of a similarity search."""
     return nearest(vectors, works, query, _check(column), limit, threshold, exclude_genre).select(
@@ -89,19 +94,27 @@ def similar_works_multi(vectors: DataFrame, works: DataFrame, query, columns: li
     return top_rows(best, limit, *by_similarity())
 
 
-def similar_graph(graph: Graph, vectors: DataFrame, query, column: str, limit: int = 20) -> Graph:
+def similar_graph(graph: Graph, vectors: DataFrame | VectorCells, query, column: str, limit: int = 20) -> Graph:
     """Similar works as seeds of a neighbourhood."""
     return expand(graph, nearest(vectors, graph.of_type("work"), query, _check(column), limit, exclude_genre=None))
 
 
-def nearest_to_work(works: DataFrame, node_id: str, column: str, limit: int) -> DataFrame:
-    """Works nearest to a stored work, which stays in the list. Its vector comes as a scalar subquery."""
+def nearest_to_work(works: DataFrame, node_id: str, column: str, limit: int, cells: VectorCells | None = None) -> DataFrame:
+    """Works nearest to a stored work, which stays in the list. Its vector comes as a scalar subquery.
+
+    With an index of the works' vectors the vector is fetched first, and the scores come from the cells that can hold the nearest.
+    """
+    if cells is not None:
+        own = works.filter(F.col("id") == node_id).select(F.col(column)).first()
+        query = [float(x) for x in own[0]] if own and own[0] else [0.0] * cells.cells[1].shape[1]
+        best = top_rows(scored(cells.near(query, limit, works), query, column).drop(column).join(works.select("id"), "id", "left_semi"), limit, *by_similarity())
+        return top_rows(works.join(best, "id"), limit, *by_similarity())
     own = works.filter(F.col("id") == node_id).select(F.col(column)).scalar()
     with_query = works.withColumn("_q", own)
     return top_rows(scored(with_query, F.col("_q"), column).drop("_q"), limit, *by_similarity())
 
 
-def similar_titles(vectors: DataFrame, works: DataFrame, query, column: str, limit: int = 5, threshold: float = 0.8) -> DataFrame:
+def similar_titles(vectors: DataFrame | VectorCells, works: DataFrame, query, column: str, limit: int = 5, threshold: float = 0.8) -> DataFrame:
     hits = nearest(vectors, works, query, column, limit, threshold, exclude_genre=None)
     return hits.select(F.coalesce("title_name", "title", "english_name").alias("title"), "similarity_score")
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from shelfgraph.functions import vectors as V
 from shelfgraph.operators import quality as Q, search as S, vector as Ve
 from shelfgraph.operators.limits import top_rows
-from shelfgraph.plans.binding import CREDITS_SQL, EXPAND_SQL, GRAPH_SQL, WORKS_SQL, catalogue, credits, embedded_titles, titles, vectors, with_sql, works
+from shelfgraph.operators.vector_cells import VectorCells
+from shelfgraph.plans.binding import CREDITS_SQL, EXPAND_SQL, GRAPH_SQL, WORKS_SQL, catalogue, credits, embedded_titles, stored_catalogue, titles, vectors, with_sql, works
 from shelfgraph.plans.registry import query, table
+from shelfgraph.session import work_dir
 
 TITLE, DESCRIPTION = "embedding_title_en", "embedding_description"
 _QUERY = 17
@@ -64,6 +66,31 @@ def v2_post(spark, sf):
     return hits.select("id", F.round("similarity_score", 6).alias("similarity_score"))
 
 
+_CELLS: dict[tuple[str, str], VectorCells] = {}
+
+
+def vector_cells(spark, sf):
+    """The index of the works' vectors, written under the shared folder once an application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CELLS:
+        _CELLS[key] = VectorCells.write(vectors(spark, sf), work_dir(spark, "vector-cells"), TITLE)
+    return _CELLS[key]
+
+
+@query("v1_cells_graph_nodes", with_sql(
+    GRAPH_SQL, _COS, "seeds AS (SELECT id FROM sims ORDER BY round(s, 9) DESC, id LIMIT 20)", EXPAND_SQL, select="SELECT id, type, label FROM out_nodes"))
+def v1_cells(spark, sf):
+    return Ve.similar_graph(stored_catalogue(spark, sf).graph, vector_cells(spark, sf), query_vector(spark, sf), TITLE, 20).node_rows()
+
+
+@query("v2_cells_similar_works", with_sql(WORKS_SQL, _COS, select="""
+  SELECT s.id, title_name AS title_en, round(s, 6) AS similarity_score FROM sims s JOIN works w ON w.id = s.id
+  WHERE s >= 0.1 AND genre <> 'PROMO' ORDER BY round(s, 9) DESC, s.id LIMIT 30"""))
+def v2_cells(spark, sf):
+    hits = Ve.similar_works(vector_cells(spark, sf), titles(spark, sf), query_vector(spark, sf), TITLE, 30, 0.1, "PROMO")
+    return hits.select("id", "title_en", F.round("similarity_score", 6).alias("similarity_score"))
+
+
 @query("v3_multi_column", with_sql(_COS, select="""
   SELECT id, round(max(s), 6) AS similarity_score FROM (
     (SELECT id, s FROM sims WHERE s >= 0.1 ORDER BY round(s, 9) DESC, id LIMIT 20) UNION ALL

@@ -235,3 +235,56 @@ def test_copies_of_different_types_stay_apart(spark):
     ids = {r.type: r.id for r in g.edges.collect()}
     assert ids["U"] == "kept" and ids["T"] == spark.range(1).select(edge_id(F.lit("1"), F.lit("T"), F.lit("2"))).first()[0]
     assert [tuple(r) for r in Q.duplicate_report(nodes, ["name"]).collect()] == [("work", "Jump", 3)]
+
+
+def test_vector_cells_equal_the_scan(spark, tmp_path, monkeypatch):
+    """Every tenth vector as a query, plus odd ones; far less than all cells are read, and no exchange carries a vector."""
+    import numpy as np
+
+    from shelfgraph.operators import vector_cells as C
+    monkeypatch.setattr(C, "FIRST_ROWS", 40)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16))
+    rows = [(f"w{i:04d}", (centres[i % 12] + 0.15 * rng.normal(size=16)).tolist()) for i in range(600)]
+    rows += [("same1", rows[0][1]), ("same2", rows[0][1]), ("zero", [0.0] * 16), ("none", None), ("short", [1.0])]
+    col = "embedding_title_en"
+    vectors = spark.createDataFrame(rows, f"id string, {col} array<float>")
+    works = vectors.select("id", F.when(F.col("id") < "w0003", "Hentai").alias("genre"), F.array().cast("array<string>").alias("genres")).filter("id <> 'w0050'").persist()
+    cells = C.VectorCells.write(vectors, str(tmp_path), col)
+    assert cells.all().count() == 602 and cells.cells[3].sum() == 602
+    share = []
+    cells = C.VectorCells.open(spark, str(tmp_path), col)
+    for i in range(0, 600, 10):
+        query = [float(x) for x in rows[i][1]]
+        read = cells.cells_to_read(query, 5)
+        share.append(len(read) / len(cells.cells[0]))
+        if i % 150 == 0:
+            for genre in (None, "Hentai"):
+                a, b = ([(r.id, r.similarity_score) for r in Ve.nearest(v, works, query, col, 5, None, genre).collect()] for v in (vectors, cells))
+                assert a == b
+        plain = np.array([r[1] for r in rows[:600]]) @ np.array(query)
+        best = np.argsort(-plain / np.linalg.norm([r[1] for r in rows[:600]], axis=1))[:5]
+        held = {r.id for r in cells.all().filter(F.col("cell").isin(read)).select("id").collect()} if i % 100 == 0 else None
+        assert held is None or {rows[k][0] for k in best} <= held
+    assert np.mean(share) < 0.35, np.mean(share)
+    far = [float(x) for x in rng.normal(size=16)]
+    a, b = ([(r.id, r.similarity_score) for r in Ve.nearest(v, works, far, col, 700, None, None).collect()] for v in (vectors, cells))
+    assert a == b and len(a) == 601
+    plan = Ve.nearest(cells, works, far, col, 5)._jdf.queryExecution().executedPlan().toString()
+    assert all("vector" not in line for line in plan.splitlines() if "Exchange" in line)
+    with pytest.raises(ValueError):
+        cells.near([1.0], 5)
+    assert cells.near([0.0] * 16, 5).count() == 0
+    nothing = C.VectorCells.write(vectors.limit(0), f"{tmp_path}/none", col)
+    assert nothing.near(far, 5).count() == 0
+
+
+def test_nearest_to_work_by_cells(spark, tmp_path):
+    from shelfgraph.operators.vector_cells import VectorCells
+    col = "embedding_title_en"
+    works = spark.createDataFrame([(f"w{i}", [float(i % 7), 1.0, float(i % 5)]) for i in range(60)] + [("x", None)], f"id string, {col} array<float>")
+    cells = VectorCells.write(works, str(tmp_path), col)
+    for id_ in ("w3", "w41"):
+        a, b = ([(r.id, round(r.similarity_score, 9)) for r in Ve.nearest_to_work(works, id_, col, 9, c).collect()] for c in (None, cells))
+        assert a == b and len(a) == 9
+    assert Ve.nearest_to_work(works, "x", col, 9, cells).count() == Ve.nearest_to_work(works, "nope", col, 9, cells).count() == 0
