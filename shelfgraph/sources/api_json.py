@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfgraph.functions.text import blank_to_null, strip
 from shelfgraph.operators.limits import first_per_key
+from shelfgraph.sources import json_cut
 from shelfgraph.sources.jsonld import _kind
 
 _NODE = "struct<id:bigint,title:string>"
@@ -43,6 +44,16 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return records_of(texts.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
 
 
+def scan_split(spark: SparkSession, path: str) -> DataFrame:
+    """The same of large dumps, each read by many tasks. Of a dump with records under both keys those under ``manga`` count."""
+    parts = json_cut.cut(spark, path, ["manga", "anime", ""])
+    own = parts.groupBy(F.col("file").alias("f")).agg(F.max("key").alias("k"))
+    rows = parts.join(own, (F.col("file") == F.col("f")) & (F.col("key") == F.col("k")))
+    rows = rows.select("file", F.col("pos").cast("int").alias("pos"), json_cut.element_text("text").alias("record"))
+    keyed = rows.withColumn("id", F.get_json_object("record", "$.id")).filter(F.col("id").isNotNull())
+    return first_per_key(keyed, ["id"], [F.col("file"), F.col("pos")])
+
+
 def records_of(texts: DataFrame) -> DataFrame:
     """The same for documents held as rows ``(file, text)``."""
     wrapped = F.from_json("text", "struct<manga:array<string>,anime:array<string>>")

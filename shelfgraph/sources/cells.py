@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfgraph.functions.text import blank_to_null, col, collapse_spaces, strip
+from shelfgraph.functions.text import ascii_digits, blank_to_null, col, collapse_spaces, strip
 from shelfgraph.functions.titles import linkage_title
 
 # Fixed values.
@@ -69,12 +69,13 @@ def loose_list_cell(c) -> Column:
 
 
 def number_cell(c) -> tuple[Column, Column]:
-    """A cell as whole number and as any number; null where it is none."""
-    text = cell(c)
+    """A cell as whole number and as any number; null where it is none. Full-width digits count, and single underscores between the digits of a float."""
+    text = ascii_digits(cell(c))
     whole = F.when(text.rlike(r"^-?\d+$"), text.try_cast("bigint"))
     # The cast alone would also take the suffixes of number literals, as in 3D and 5f.
-    written = text.rlike(r"(?i)^[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity|nan)$")
-    return whole, F.when(written, text.try_cast("double"))
+    digits = r"\d+(_\d+)*"
+    written = text.rlike(rf"(?i)^[+-]?({digits}\.?({digits})?(e[+-]?{digits})?|\.{digits}(e[+-]?{digits})?|inf|infinity|nan)$")
+    return whole, F.when(written, F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def typed_cell(c) -> Column:

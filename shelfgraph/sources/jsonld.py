@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfgraph.functions.text import col, strip
+from shelfgraph.sources import json_cut
 
 # Vocabulary of the dumps (fixed values).
 BOOK = ("class:MangaBook", "マンガ単行本")
@@ -27,6 +28,12 @@ def scan(spark: SparkSession, path: str, partitions: int | None = None) -> DataF
     return dealt.select("file", "pos", F.try_parse_json("text").alias("item"))
 
 
+def scan_split(spark: SparkSession, path: str) -> DataFrame:
+    """The same of large documents, each read by many tasks: a document is cut into its items where it lies (see ``json_cut``)."""
+    parts = json_cut.cut(spark, path, ["@graph"])
+    return parts.select("file", F.col("pos").cast("int").alias("pos"), F.try_parse_json(json_cut.element_text("text")).alias("item"))
+
+
 def scan_lines(spark: SparkSession, path: str) -> DataFrame:
     """The same of files with one item a line, which are split at any size; ``pos`` is the byte block and place in it."""
     lines = spark.read.text(path).filter(F.trim("value") != "")
@@ -115,6 +122,3 @@ def name_probe(items: DataFrame, term: str) -> DataFrame:
     names = as_strings(field("item", "schema:name"))
     return items.filter(F.exists(names, lambda n: F.upper(n).contains(term.upper())))
 
-
-def clean_strings(values) -> Column:
-    return F.filter(F.transform(values, strip), lambda s: s != "")

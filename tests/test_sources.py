@@ -1,13 +1,14 @@
 """File sources end to end."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from shelfgraph.operators import build as Bu
 from shelfgraph.session import staged
-from shelfgraph.sources import api_json, catalogue as C, cells, jsonld, lookups
+from shelfgraph.sources import api_json, catalogue as C, cells, json_cut, jsonld, lookups
 
 
 @pytest.fixture
@@ -133,3 +134,72 @@ def test_cells_written_as_literals(spark):
     assert [got[i].kind for i in range(10)] == ["text", "text", "float", "float", "object", "list", "list", "object", "text", "float"]
     assert got[4].text == '{"a": 1, "b": null}' and got[5]["items"] == ["a", None] and got[6]["items"] == ["1", "it's", "None"]
     assert got[7].text == '{"q": "say \\"x\\""}'
+
+
+@pytest.fixture
+def small_blocks(spark):
+    """Files read in blocks of some hundred bytes."""
+    names = {"spark.sql.files.maxPartitionBytes": "150b", "spark.sql.files.openCostInBytes": "0b"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def _nasty(rng, depth=0):
+    if depth == 3 or rng.random() < 0.4:
+        words = ['}', '{', '[', ']', ',', '"', '\\', '\\"', '":[', 'a', 'é', '鋼', ' ', '}}', '\n', '"@graph":[', '\\\\']
+        return rng.choice([rng.randint(-9, 9), None, True, 1.5, "".join(rng.choice(words) for _ in range(rng.randint(0, 30)))])
+    if rng.random() < 0.5:
+        return [_nasty(rng, depth + 1) for _ in range(rng.randint(0, 4))]
+    return {rng.choice(['a', '}', '"', '@graph', '[']) + str(i): _nasty(rng, depth + 1) for i in range(rng.randint(0, 4))}
+
+
+def test_documents_cut_by_many_tasks(spark, tmp_path, small_blocks):
+    """Documents with brackets, quotes and backslashes in strings, in blocks that begin anywhere: the same items as a parser finds."""
+    rng = random.Random(11)
+    want = {}
+    for i in range(14):
+        items = [_nasty(rng) for _ in range(rng.randint(0, 25))]
+        doc = [{"@graph": items}, {"x": _nasty(rng), "@graph": items, "y}": [1, {"@graph": [2]}]}, {"@context": {"@graph": [1]}, "z": "}", "@graph": items}, {"manga": items}][i % 4]
+        (tmp_path / f"{i}.json").write_text(json.dumps(doc, ensure_ascii=i % 3 == 0, indent=rng.choice([None, 1])) + rng.choice(["", "\n"]), encoding="utf-8")
+        want[f"{i}.json"] = items if i % 4 < 3 else []
+    (tmp_path / "list.json").write_text(json.dumps([{"@graph": [1]}, []]))
+    (tmp_path / "empty.json").write_text("")
+    parts = json_cut.cut(spark, f"{tmp_path}/*.json", ["@graph"])
+    got = {}
+    for r in parts.orderBy("file", "pos").collect():
+        got.setdefault(r.file.rsplit("/", 1)[1], []).append((r.pos, json.loads(r.text)))
+    assert got == {k: list(enumerate(v)) for k, v in want.items() if v}
+    assert [(r.pos, json.loads(r.text)) for r in json_cut.cut(spark, f"{tmp_path}/list.json", [""]).orderBy("pos").collect()] == [(0, {"@graph": [1]}), (1, [])]
+
+
+def test_split_scan_equals_the_scan(spark, dump, tmp_path_factory, small_blocks):
+    rows = lambda df: sorted((r.file, r.pos, r.item.toPython() if r.item is not None else None) for r in df.collect())
+    key = lambda rs: [(f, p, json.dumps(i, sort_keys=True, ensure_ascii=False)) for f, p, i in rs]
+    assert key(rows(jsonld.scan_split(spark, dump + "/*.json"))) == key(rows(jsonld.scan(spark, dump + "/*.json")))
+    folder = tmp_path_factory.mktemp("big")
+    (folder / "big.json").write_text(json.dumps({"@context": {}, "@graph": [{"@id": f"b{i}", "schema:name": "}" * (i % 7)} for i in range(3000)]}))
+    pieces = spark.read.option("lineSep", "}").text(str(folder))
+    assert pieces.rdd.getNumPartitions() > 200  # many tasks read the one document
+    split, plain = jsonld.scan_split(spark, str(folder)), jsonld.scan(spark, str(folder))
+    ids = lambda df: sorted((r.pos, r.id) for r in df.select("pos", jsonld.field("item", "@id", "string").alias("id")).collect())
+    assert ids(split) == ids(plain) and len(ids(split)) == 3000
+
+
+def test_split_api_dump(spark, tmp_path, small_blocks):
+    (tmp_path / "manga_1.json").write_text(json.dumps({"metadata": {"manga": [1]}, "anime": [{"id": 77}], "manga": [{"id": i, "t": "]}"} for i in range(40)]}))
+    (tmp_path / "manga_2.json").write_text(json.dumps([{"id": 1, "title": "later"}, {"title": "no id"}, {"id": 99}]))
+    (tmp_path / "anime_1.json").write_text(json.dumps({"anime": [{"id": 7, "x": "y"}, {"id": 100}]}))
+    rows = lambda df: sorted((r.file, r.pos, r.id, json.dumps(json.loads(r.record))) for r in df.collect())
+    assert rows(api_json.scan_split(spark, str(tmp_path))) == rows(api_json.scan(spark, str(tmp_path)))
+
+
+def test_numbers_as_the_importer_reads_them(spark):
+    cells_ = ["１２", "-３", "1_000", "1_000.5e1_0", "1__0", "_1", "１.５", "+5", "1e", "12 "]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells_)], "i int, c string")
+    got = [(r.v.kind, r.v.number) for r in df.orderBy("i").select(cells.typed_cell("c").alias("v")).collect()]
+    assert got == [("int", 12.0), ("int", -3.0), ("float", 1000.0), ("float", 1000.5e10), ("text", None), ("text", None), ("float", 1.5), ("float", 5.0), ("text", None),
+                   ("int", 12.0)]
