@@ -34,6 +34,9 @@ from shelfgraph.llm.text import Chunk, RangeKeys, chunks, mix
 from shelfgraph.llm.word_cache import WordCache, per_row
 
 BLANK = "▁"
+CHUNK = 1 << 21    # bytes of text encoded together
+LONG = 48          # words of more characters are cut between characters that no piece has side by side
+MEMORY = 1 << 20   # slots for decided pairs of pieces
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 _BLANK_BYTES = BLANK.encode()
@@ -126,6 +129,32 @@ def _lookup(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+class PieceKeys:
+    """Sorted keys that are found by their leading 20 bits: one look at the first key with these bits, and at the few after it."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.append(keys, _U(0))
+        lead = (keys >> _U(44)).astype(np.int64)
+        self.first = np.full(1 << 20, len(keys), np.int32)
+        self.first[lead[::-1]] = np.arange(len(keys) - 1, -1, -1)
+        self.most = int(np.unique(lead, return_counts=True)[1].max(initial=0))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys, -1 where absent."""
+        out = np.full(len(keys), -1)
+        at = self.first[(keys >> _U(44)).astype(np.int64)]
+        open_ = np.flatnonzero(at < len(self.keys) - 1)
+        at, wanted = at[open_], keys[open_]
+        for _ in range(self.most):
+            hit = self.keys[at] == wanted
+            out[open_[hit]] = at[hit]
+            rest = ~hit & (self.keys[at] < wanted) & (at < len(self.keys) - 2)
+            if not rest.any():
+                break
+            open_, at, wanted = open_[rest], at[rest] + 1, wanted[rest]
+        return out
+
+
 class Pieces:
     """Lookup tables of a model, plain arrays that travel with a task."""
 
@@ -147,8 +176,7 @@ class Pieces:
         keys, ids = np.concatenate([*keys, np.zeros(0, _U)]), np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], ids[order]
-        self.leads = np.zeros(1 << 20, bool)
-        self.leads[(self.keys >> _U(44)).astype(np.int64)] = True
+        self.table = PieceKeys(self.keys)
         self.scores = np.array(model.scores, np.float32)
         self.outside = np.float32(min((model.scores[i] for i in texts.values()), default=0.0) - 10)
         #: Pairs of ASCII characters (a blank stands for U+2581) that stand side by side in some piece; texts can be cut between others.
@@ -161,6 +189,8 @@ class Pieces:
         self.beside[32, 32] = True
         if self.bytes is None:  # a run of unknown characters is one id
             self.beside[:] = True
+        #: The same for all characters, as sorted pairs of code points; a blank may stand beside anything.
+        self.beside_pairs = np.unique(np.array([ord(a) << 21 | ord(b) for p in texts for a, b in zip(p, p[1:])], np.int64))
         self.decoded = [self._surface(p, k) for p, k in zip(model.pieces, model.kinds, strict=True)]
         if self.algorithm == BPE:
             self._merges(texts, model)
@@ -202,6 +232,21 @@ class Pieces:
             self.whole[i] = parts == [i]
 
     def separable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``decided`` for pairs that were not met before; a memory of fixed size keeps what was found out."""
+        pair = a * len(self.rank) + b
+        slot = (mix(pair.astype(_U)) >> _U(44)).astype(np.int64)
+        if not hasattr(self, "memory"):
+            self.memory, self.answers = np.full(MEMORY, -(1 << 62)), np.zeros(MEMORY, bool)
+        out = self.answers[slot]
+        new = np.flatnonzero(self.memory[slot] != pair)
+        if len(new):
+            _, first, back = np.unique(pair[new], return_index=True, return_inverse=True)
+            fine = self.decided(a[new[first]], b[new[first]])
+            out[new] = fine[back]
+            self.memory[slot[new[first]]], self.answers[slot[new[first]]] = pair[new[first]], fine
+        return out
+
+    def decided(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the characters of piece a followed by those of b ends in just (a, b); -1 is an unknown character.
 
         Both pieces are taken apart from the border outwards, the later merge first. A pair of parts that could merge across the
@@ -228,13 +273,9 @@ class Pieces:
         return fine
 
     def _probe(self, sums: np.ndarray, downs: np.ndarray, end: int, size: int) -> np.ndarray:
-        """Ids of the substrings that end at ``end``, -1 if no piece; a table of leading key bits spares most searches."""
-        keys = mix((sums[:, end] - sums[:, end - size]) * downs[end - size] + _U(size))
-        out = np.full(len(keys), -1)
-        likely = np.flatnonzero(self.leads[(keys >> _U(44)).astype(np.int64)])
-        at = _lookup(self.keys, keys[likely])
-        out[likely] = np.where(at >= 0, self.ids[at], -1)
-        return out
+        """Ids of the substrings that end at ``end``, -1 if no piece."""
+        at = self.table.find(mix((sums[:, end] - sums[:, end - size]) * downs[end - size] + _U(size)))
+        return np.where(at >= 0, self.ids[at], -1)
 
     def _advance(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Last piece and its length at each end position of words of one length: rows x (length + 1)."""
@@ -361,13 +402,25 @@ class PieceEncoder:
         self.cache = WordCache(self._encode)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Words may hold U+2581 inside; they are cut there."""
-        if not any(BLANK in w.lstrip(BLANK) for w in words):
+        """Words may hold U+2581 inside; they are cut there, and long ones between characters that no piece has side by side."""
+        if not any(len(w) > LONG or BLANK in w.lstrip(BLANK) for w in words):
             return self.pieces.encode_words(words)
-        cut = [self._join([BLANK + p if k else p for k, p in enumerate(w.split(BLANK))]) for w in words]
+        cut = [[x for p in self._join([BLANK + p if k else p for k, p in enumerate(w.split(BLANK))]) for x in self._apart(p)] for w in words]
         ids, sizes = self.pieces.encode_words([p for parts in cut for p in parts])
         return ids, per_row(sizes, np.cumsum([0, *(len(c) for c in cut)]))
 
+    def _apart(self, word: str) -> list[str]:
+        if len(word) <= LONG or self.pieces.bytes is None:
+            return [word]
+        codes = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.int64)
+        pairs = codes[:-1] << 21 | codes[1:]
+        known = self.pieces.beside_pairs
+        at = np.minimum(np.searchsorted(known, pairs), len(known) - 1) if len(known) else np.zeros(len(pairs), np.int64)
+        joined = (known[at] == pairs) if len(known) else np.zeros(len(pairs), bool)
+        joined |= codes[:-1] == ord(BLANK)
+        cuts = [0, *(np.flatnonzero(~joined) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:])]
+
     @staticmethod
     def _join(parts: list[str]) -> list[str]:
         """Runs of blanks go with the word after them."""
@@ -443,7 +496,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = _worker(pieces)
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
+            for chunk in chunks(batch.column(1), CHUNK):
                 ids, sizes = encoder.encode(chunk)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.record_batch([batch.column(0).slice(chunk.first, chunk.n), lists], ["id", "ids"])
@@ -477,7 +530,7 @@ def round_trip(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = _worker(pieces)
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
+            for chunk in chunks(batch.column(1), CHUNK):
                 ids, sizes = encoder.encode(chunk)
                 texts = decoder.decode(ids, sizes)
                 raw, at = chunk.data.tobytes(), chunk.offsets.tolist()

@@ -181,3 +181,33 @@ def test_packages(spark):
         assert all(gzip.decompress(archive[x["offset"]:x["offset"] + x["length"]]).startswith(b"WARC/1.1\r\n") for x in index)
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc_zip.read_records(warc_zip.write_packages(empty)).count() == 0
+
+
+def test_long_unbroken_words_are_cut_where_no_piece_reaches():
+    """Han characters without pieces, Japanese, accents and emoji, in words of thousands of characters: the library's ids, and no step for each character."""
+    import random
+    import time
+
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+    import sentencepiece
+
+    from shelfgraph.llm import sentence_pieces
+    from shelfgraph.llm.text import chunks
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(6)
+    pools = [[chr(c) for c in range(0x4E00, 0x9FFF)], list("進撃の巨人ワンピース鋼のーａ々"), list("abcéñö😀日の"), list("the and ing"), ["▁", " ", "鋼", "a"]]
+    texts = ["".join(rng.choice(pool) for _ in range(n)) for pool in pools for n in (1, 47, 48, 49, 50, 700)]
+    encoder = sentence_pieces.PieceEncoder(sentence_pieces.load(path))
+    for chunk in chunks(pa.array(texts)):
+        ids, sizes = encoder.encode(chunk)
+        cuts = np.cumsum([0, *sizes.tolist()])
+        for k in range(chunk.n):
+            assert ids[cuts[k]:cuts[k + 1]].tolist() == library.encode(texts[chunk.first + k]), texts[chunk.first + k][:60]
+    long = "".join(rng.choice(pools[0]) for _ in range(32_000))
+    began = time.process_time()
+    [chunk] = chunks(pa.array([long]))
+    ids, _ = encoder.encode(chunk)
+    assert time.process_time() - began < 5 and ids.tolist() == library.encode(long)
