@@ -1,11 +1,11 @@
 """Jaccard similarity join of documents on word n-grams: exact groups of linked documents and their numbers of links.
 
 1. Each text becomes its set of shingle keys (distinct windows of k words, 64-bit). Equal sets are one class from here on.
-2. Classes that can be linked are brought together by signatures: two sets of similarity t differ in at most d keys (d follows
-   from their sizes), so if the key space is cut into more than d parts, some parts are equal in both. A signature is the hash of
-   a part; the smallest parts are left out. Sizes are cut into ranges; a set takes part in its own and perhaps the one below. Components of "shares a
-   signature" are blocks: no link leaves a block, and texts that merely share a passage rarely share a part. A signature
-   leaves each Arrow batch once, so one that very many texts share is a few rows by the time it is shuffled.
+2. Classes that can be linked are brought together by their prefixes: a set of n keys has at least t n of them in common with a set of
+   similarity t, so if all keys are put in one order, the first n - ceil(t n) + 1 keys of two similar sets share one. The order is by frequency,
+   rarest first, so prefixes are made of keys that nobody else has, unless a set is close to others: passages that many texts
+   share come last. Frequencies are exact, and only those of the keys in the lowest part of the key space are needed, as a prefix
+   ends there (the few sets with too little in that part go on in order of key). Components of "shares a prefix key" are blocks: no link leaves one.
 3. Inside a block, a T-occurrence search joins the sets: the inverted lists of a set's keys are split by length, the short ones
    are merged and counted, and sets that may still reach the required overlap are probed in the long ones (DivideSkip). Every pair in a
    block that reaches the overlap is counted; only the edges of a spanning forest leave a task.
@@ -35,7 +35,7 @@ from shelfgraph.session import staged
 BLOCK_KEYS = 4_000_000
 SEEN = 1_000_000
 NODE_BITS = 1 << 26
-SPARE_PERCENT = 35
+SPACE_PERCENT = 125
 PIECE_BYTES = 4096  # of bitmap_construct_agg
 _U = np.uint64
 
@@ -75,77 +75,14 @@ def set_names(sets: np.ndarray, first: np.ndarray) -> list[bytes]:
     return [r.tobytes() for r in both]
 
 
-class Range(NamedTuple):
-    number: int
-    parts: int
-    spare: int  # how many parts a set may leave out: similar sets have one more in common
+def prefix_length(n, percent: int):
+    """How many keys of a set of n, first in order, must meet one of a similar set's: n - ceil(t n) + 1."""
+    return n + (-percent * n) // 100 + 1
 
 
-class Signatures:
-    """Which parts of a set are hashed, for similarities of ``percent`` or more.
-
-    Sizes are cut into ranges by the ratio 1.6. A set is compared in its own range, and with smaller sets of the range below if its size
-    is not beyond what similarity to one of those allows. Pairs whose smaller set has v keys differ in (1 - t) v / t keys at most.
-    """
-
-    def __init__(self, percent: int):
-        self.percent, self.bounds = percent, [1]
-
-    def _range(self, number: int) -> Range | None:
-        """The parts for pairs with the smaller size in this range; with no difference allowed there is nothing to do."""
-        d = (100 - self.percent) * (self.bounds[number + 1] - 1) // self.percent
-        spare = -(-SPARE_PERCENT * d // 100)
-        return Range(number, d + 1 + spare, spare) if d else None
-
-    def of(self, keys: np.ndarray, mixed: np.ndarray) -> np.ndarray:
-        """Signatures of one sorted set; ``mixed`` are its mixed keys."""
-        n, out = len(keys), []
-        while self.bounds[-1] <= n or len(self.bounds) < 3:
-            self.bounds.append(max(self.bounds[-1] * 100 // self.percent, self.bounds[-1] * 8 // 5) + 1)
-        own = int(np.searchsorted(self.bounds, n, "right")) - 1
-        below = n * self.percent <= (self.bounds[own] - 1) * 100  # similar to a set of the range below
-        for number in (own, own - 1) if below else (own,):
-            found = self._range(number) if n and number >= 0 else None
-            if found is None:
-                continue
-            part = ((keys >> _U(32)) * _U(found.parts)) >> _U(32)
-            start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            part, sums = part[start], np.add.reduceat(mixed, start)
-            # The smallest parts are left out, as many as may be: parts of one or two keys are shared by sets that have little in common.
-            # Of two similar sets one leaves out parts of t keys and the other of no more, so an equal part of t keys or more is in both.
-            count = np.diff(np.append(start, n))
-            empty = found.parts - len(part)
-            least = 0 if empty > found.spare else int(np.partition(count, found.spare - empty)[found.spare - empty])
-            if least:
-                part, sums = part[count >= least], sums[count >= least]
-            else:
-                whole = np.zeros(found.parts, _U)
-                whole[part.astype(np.int64)] = sums
-                part, sums = np.arange(found.parts, dtype=_U), whole
-            out.append(mix(sums + mix(part + _U(number << 32))))
-        return np.concatenate(out) if out else np.zeros(0, _U)
-
-
-def _once(found: list[np.ndarray], nodes: np.ndarray) -> pa.RecordBatch:
-    """Each signature with the first node of a batch that has it; the others get that node as a neighbour instead, once."""
-    flat, owner = np.concatenate([*found, np.zeros(0, _U)]), np.repeat(np.arange(len(found)), [len(f) for f in found])
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    new = np.ones(len(flat), bool)
-    new[1:] = flat[1:] != flat[:-1]
-    first = owner[new][np.cumsum(new) - 1]
-    node, near = nodes[owner[~new]], nodes[first[~new]]
-    by_node = np.lexsort((near, node))
-    node, near = node[by_node], near[by_node]
-    distinct = np.ones(len(node), bool)
-    distinct[1:] = (node[1:] != node[:-1]) | (near[1:] != near[:-1])
-    node, near = node[distinct], near[distinct]
-    alone = int(new.sum())
-    return pa.record_batch([
-        pa.array(np.concatenate([flat[new].view(np.int64), node])),  # rows with a neighbour may lie anywhere
-        pa.array(np.concatenate([nodes[owner[new]], node])),
-        pa.array(np.concatenate([np.zeros(alone, np.int64), near]), mask=np.arange(alone + len(near)) < alone),
-    ], ["signature", "node", "near"])
+def space(percent: int) -> int:
+    """Where the part of the key space ends whose frequencies are counted: a quarter more than a prefix needs."""
+    return min((1 << 64) - 1, (100 - percent) * (1 << 64) * SPACE_PERCENT // 10_000)
 
 
 def _nodes(names: list[bytes]) -> np.ndarray:
@@ -153,40 +90,67 @@ def _nodes(names: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(n[:8] for n in names), "<i8").astype(np.int64)
 
 
-def _set_rows(k: int):
+def _set_rows(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = _U(space(percent))
         for batch in batches:
-            names, sizes = [], []
+            names, sizes, low = [], [], []
             for chunk in chunks(batch.column(2)):
                 sets, first = shingle_sets(chunk, k)
                 names += set_names(sets, first)
                 sizes.append(np.diff(first))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.concatenate([*sizes, np.zeros(0, np.int64)])), pa.array(_nodes(names)),
-                                   pa.array(names, pa.binary())], ["id", "text_key", "n_shingles", "node", "name"])
+                below = np.concatenate([[0], np.cumsum(sets < end)])
+                low.append(below[first[1:]] - below[first[:-1]])
+            both = [pa.array(np.concatenate([*x, np.zeros(0, np.int64)])) for x in (sizes, low)]
+            yield pa.record_batch([batch.column(0), batch.column(1), *both, pa.array(_nodes(names)), pa.array(names, pa.binary())],
+                                  ["id", "text_key", "n_shingles", "n_low", "node", "name"])
 
     return run
 
 
-def _signature_rows(k: int, percent: int):
+def _key_rows(k: int, percent: int):
+    """(key, node) of the keys that a prefix can hold: those in the counted part of the key space, or the lowest if these are too few. Copies met in a task count once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signatures, seen = Signatures(percent), set()
+        end, seen = _U(space(percent)), set()
         for batch in batches:
-            names, found = [], []
             for chunk in chunks(batch.column(0)):
                 sets, first = shingle_sets(chunk, k)
-                mixed, cut = mix(sets), first.tolist()
-                for name, a, b in zip(set_names(sets, first), cut, cut[1:]):
-                    if name not in seen:  # copies met again in this task need no signatures
+                names, found, rows = set_names(sets, first), [np.zeros(0, _U)], []
+                cut = first.tolist()
+                for i, name in enumerate(names):
+                    if name not in seen and cut[i + 1] > cut[i]:
                         seen.add(name)
-                        names.append(name)
-                        found.append(signatures.of(sets[a:b], mixed[a:b]))
+                        own = sets[cut[i]:cut[i + 1]]
+                        found.append(own[:max(int(np.searchsorted(own, end)), prefix_length(len(own), percent))])
+                        rows.append(i)
                 if len(seen) > SEEN:
                     seen.clear()
-            yield _once(found, _nodes(names))
+                nodes = np.repeat(_nodes(names)[rows], [len(f) for f in found[1:]])
+                yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(nodes)], ["key", "node"])
 
     return run
 
 
+def prefix_keys(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """(key, node) of the keys in the sets' prefixes that some other set has too.
+
+    Keys that one set has come first in its prefix, and only their number matters; the others are ranked by frequency and key. The join with the
+    frequencies can be split where a key is very common.
+    """
+    rows = texts.mapInArrow(_key_rows(k, percent), "key long, node long")
+    counts = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").withColumnRenamed("key", "k")
+    shared = rows.join(counts, F.col("key") == F.col("k")).select("key", "node", "c").distinct()
+    about = sets.filter("n_shingles > 0").groupBy("node").agg(F.max("n_shingles").alias("n"), F.min("n_low").alias("low")).withColumnRenamed("node", "o")
+    end = space(percent) - (1 << 64) if space(percent) >= 1 << 63 else space(percent)
+    inside = F.when(F.col("key") < 0, F.lit(end < 0) & (F.col("key") < end)).otherwise(F.lit(end < 0) | (F.col("key") < end))  # as unsigned numbers
+    shared = shared.join(about, F.col("node") == F.col("o")).withColumn("inside", inside)
+    order = Window.partitionBy("node", "inside").orderBy("c", "key")
+    known = F.count("*").over(Window.partitionBy("node", "inside"))
+    ranked = shared.withColumns({"place": F.row_number().over(order), "known": known})
+    length = F.col("n") + F.expr(f"-(({percent} * n + 99) div 100)") + 1
+    return ranked.filter(~F.col("inside") | (F.col("low") - F.col("known") + F.col("place") <= length)).select("key", "node")
+
+
 def node_bits(nodes: DataFrame) -> bytes:
     """Which of NODE_BITS hashed places the nodes take: a bitmap of bounded size, put together from the tasks' pieces."""
     place = F.pmod("node", F.lit(NODE_BITS))
@@ -343,10 +307,10 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("text_key"), "text")
-    sets = staged(rows.mapInArrow(_set_rows(k), "id long, text_key long, n_shingles long, node long, name binary"), "shingle-sets")
-    named = rows.select("text").mapInArrow(_signature_rows(k, percent), "signature long, node long, near long")
-    least = F.min("node").over(Window.partitionBy("signature").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    pairs = named.withColumn("a", F.coalesce("near", least)).filter("a <> node").select("a", F.col("node").alias("b"))
+    sets = staged(rows.mapInArrow(_set_rows(k, percent), "id long, text_key long, n_shingles long, n_low long, node long, name binary"), "shingle-sets")
+    keys = staged(prefix_keys(rows.select("text"), sets, k, percent), "prefixes")
+    least = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select(F.col("key").alias("k"), "a")
+    pairs = keys.join(least, F.col("key") == F.col("k")).filter("a <> node").select("a", F.col("node").alias("b"))
     blocks = components(pairs, "blocks").select(F.col("node").alias("member"), F.col("component").alias("block"))
 
     classes = sets.filter("n_shingles > 0").groupBy("name").agg(F.min("node").alias("node"), F.min("n_shingles").alias("n"), F.count("*").alias("copies"))
