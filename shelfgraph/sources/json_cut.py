@@ -39,7 +39,7 @@ class Marks:
         self.sum = int(self.step.sum())
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[bytes]]]:
+def runs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[bytes]]]:
     """Runs of rows of one block, with the columns beside the text."""
     for batch in batches:
         names = [n for n in batch.schema.names if n != "value"]
@@ -59,7 +59,7 @@ def _bytes(values: list[bytes]) -> np.ndarray:
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(file, block, odd, outside, inside, first): quotes, change of depth under either assumption, and the first bracket of a block."""
     state: dict[tuple[str, int], list] = {}
-    for about, values in _blocks(batches):
+    for about, values in runs_of_blocks(batches):
         own = state.setdefault((about["file"], about["block"]), [0, 0, 0, None])
         data = _bytes(values)
         marks = [Marks(data, bool((own[0] + side) % 2)) for side in (0, 1)]
@@ -127,7 +127,7 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["file", "block", "header", "opens", "element", "left", "right", "text"]
     rows: list[tuple] = []
     cutter = None
-    for about, values in _blocks(batches):
+    for about, values in runs_of_blocks(batches):
         if cutter is None or cutter.about != about:
             if cutter is not None:
                 cutter.finish()
@@ -142,7 +142,7 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
-def _joined(parts: DataFrame, *keys: str) -> DataFrame:
+def put_together(parts: DataFrame, *keys: str) -> DataFrame:
     """The parts of a text that reaches over several blocks, put together in order."""
     ordered = F.array_sort(F.collect_list(F.struct("block", "text")))
     return parts.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "").alias("text"))
@@ -170,7 +170,7 @@ def cut(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     opened = parts.groupBy("file", "block").agg(F.max("opens").alias("n")).withColumn("n", before("n"))
     opened = opened.select(F.col("file").alias("f"), F.col("block").alias("b"), "n")
     numbered = parts.join(opened, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b"))).drop("f", "b")
-    headers = _joined(numbered.filter("header").withColumn("array", F.col("n") + F.col("opens")), "file", "array")
+    headers = put_together(numbered.filter("header").withColumn("array", F.col("n") + F.col("opens")), "file", "array")
     named = F.regexp_extract("text", r'("(?:[^"\\]|\\.)*")\s*:\s*\[$', 1)
     key = F.when(named != "", F.get(F.from_json(F.concat(F.lit("["), named, F.lit("]")), "array<string>"), F.lit(0))).when(F.trim(F.regexp_replace("text", r"[\s\x{FEFF}]+", "")) == "[", "")
     arrays = headers.select("file", "array", key.alias("key")).filter(F.col("key").isin(keys)).groupBy("file", "key").agg(F.max("array").alias("array"))
@@ -183,7 +183,7 @@ def cut(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     items = items.join(passed, (F.col("file") == F.col("f")) & (F.col("array") == F.col("a")) & (F.col("block") == F.col("b")))
     items = items.select("file", "key", (F.col("passed") + F.col("element")).alias("pos"), "block", "left", "right", "text")
     whole = items.filter("not left and not right").select("file", "key", "pos", "text")
-    found = whole.unionByName(_joined(items.filter("left or right"), "file", "key", "pos"))
+    found = whole.unionByName(put_together(items.filter("left or right"), "file", "key", "pos"))
     return found.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", "")).filter("text <> ''")
 
 

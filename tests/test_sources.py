@@ -203,3 +203,40 @@ def test_numbers_as_the_importer_reads_them(spark):
     got = [(r.v.kind, r.v.number) for r in df.orderBy("i").select(cells.typed_cell("c").alias("v")).collect()]
     assert got == [("int", 12.0), ("int", -3.0), ("float", 1000.0), ("float", 1000.5e10), ("text", None), ("text", None), ("float", 1.5), ("float", 5.0), ("text", None),
                    ("int", 12.0)]
+
+
+def test_csv_cut_by_many_tasks(spark, tmp_path, small_blocks):
+    """Cells with commas, doubled quotes, stray quotes and line breaks, in blocks that begin anywhere: the rows of the one-task reader."""
+    import csv
+
+    from shelfgraph.sources import csv_cut
+    rng = random.Random(3)
+    words = ["a", 'q"', '"', "\n", ",", "\n\n", "é", "鋼", " x", '""', "end"]
+    for k in range(4):
+        with open(tmp_path / f"{k}.csv", "w", newline="", encoding="utf-8") as file:
+            writer = csv.writer(file, lineterminator="\n")
+            writer.writerow(["id", "title, full", "text"])
+            for i in range(120):
+                cells_ = ["".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(2)]
+                writer.writerow([f"{k}-{i}", *cells_])
+                if i % 17 == 0:
+                    file.write('\n' + f"{k}-stray{i}" + ',5" disk,x"y\n')
+    rows = lambda df: sorted(tuple(r) for r in df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("<null>")) for c in df.columns]).collect())
+    split, plain = csv_cut.read_csv(spark, str(tmp_path)), cells.read_text_csv(spark, str(tmp_path))
+    assert split.columns == plain.columns == ["id", "title, full", "text"]
+    got, want = rows(split), rows(plain)
+    assert len(want) == 4 * 128 and got == want
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 40
+    empty = tmp_path / "none"
+    empty.mkdir()
+    (empty / "x.csv").write_text("")
+    assert csv_cut.read_csv(spark, str(empty)).count() == 0
+
+
+def test_state_at_a_line_end():
+    from shelfgraph.sources.csv_cut import ends_inside
+    cases = {b'a,"b': (True, False), b'a,b"c': (False, False), b'"a""b",c': (False, True), b'x"': (False, False), b'x","y': (True, False), b'': (False, True),
+             b'"': (True, False), b'""': (False, True), b'"a",b",c': (False, False)}
+    for line, (outside, inside) in cases.items():
+        assert ends_inside(line, False) == outside, line
+    assert ends_inside(b'b",c', True) is False and ends_inside(b'b""c', True) is True and ends_inside(b'b","d', True) is True and ends_inside(b'b', True) is True
