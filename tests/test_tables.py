@@ -215,11 +215,37 @@ def test_upsert_stream(spark, tmp_path):
 
     assert run([(1, 1, "a"), (1, 2, None)]) == [(1, "a"), (9, "keep")]
     assert run([(2, 3, "b"), (1, 4, "c")]) == [(1, "c"), (2, "b"), (9, "keep")]
-    first, second = (I.manifest(spark, target, v) for v in (0, 1))
-    untouched = {b for b in first if second[b] == first[b]}
-    assert len(untouched) == len(first) - 1 and len(second) == len(first) + 1  # the bucket of 9 is neither read nor written again
-    batch = spark.createDataFrame([(2, 3, "b"), (1, 4, "c")], schema)
-    assert sorted(second.items()) == sorted((first | dict.fromkeys(I._touched(batch.select(I._bucket("id").alias("bucket"))), 1)).items())
+
+
+def test_buckets_split_and_few_are_rewritten(spark, tmp_path):
+    """Ten keys of a table of a thousand buckets rewrite the buckets they lie in; versions stay readable until they are vacuumed."""
+    source, target, check = (str(tmp_path / d) for d in ("in", "out", "ck"))
+    schema = "id bigint, ord bigint, v string"
+
+    def run(df, files=1):
+        df.coalesce(files).write.mode("append").parquet(source)
+        q = I.upsert_stream(I.read_files(spark, source, schema), "id", ["ord"], target, check, bucket_rows=40)
+        q.awaitTermination()
+        return I.last_version(q)
+
+    held = lambda v: {r.bucket: (r.held, r.rows) for r in I.manifest(spark, target, v).collect()}
+    assert run(spark.range(500).selectExpr("id", "0L AS ord", "'a' AS v")) == 0
+    assert run(spark.range(300, 2000).selectExpr("id", "1L AS ord", "'b' AS v")) == 1
+    first, second = held(0), held(1)
+    assert len(first) == 16 and len(second) > len(first) and max(n for _, n in second.values()) < 90 and sum(n for _, n in second.values()) == 2000
+    few = spark.createDataFrame([(i, 2, "c") for i in range(1990, 2010)], schema)
+    assert run(few) == 2
+    third = held(2)
+    same = [b for b in second if third.get(b) == second[b]]
+    assert len(same) >= len(second) - 20 and sum(n for _, n in third.values()) == 2010
+    want = {i: "a" for i in range(300)} | {i: "b" for i in range(300, 1990)} | {i: "c" for i in range(1990, 2010)}
+    read = lambda v: {r.id: r.v for r in I.read_table(spark, target, v).collect()}
+    assert read(2) == want and len(read(1)) == 2000 and len(read(0)) == 500
+    assert run(few) == 3 and read(3) == want  # the same rows again change nothing
+    assert I.vacuum(spark, target, 3) > 10 and read(3) == want
+    assert I.vacuum(spark, target, 3) == 0
+    files = {p.parent.name for p in (tmp_path / "out" / "data").rglob("*.parquet")}
+    assert len(list((tmp_path / "out" / "data").rglob("bucket=*"))) == len([1 for v, n in held(3).values() if n]) and files
 
 
 def test_vector_literal(spark):
