@@ -138,7 +138,8 @@ def prefix_keys(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> Data
     frequencies can be split where a key is very common.
     """
     rows = texts.mapInArrow(_key_rows(k, percent), "key long, node long")
-    counts = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").withColumnRenamed("key", "k")
+    counts = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    counts = counts.filter("lo < hi").select(F.col("key").alias("k"), "c")  # copies of one set in several tasks are still one set
     shared = rows.join(counts, F.col("key") == F.col("k")).select("key", "node", "c").distinct()
     about = sets.filter("n_shingles > 0").groupBy("node").agg(F.max("n_shingles").alias("n"), F.min("n_low").alias("low")).withColumnRenamed("node", "o")
     end = space(percent) - (1 << 64) if space(percent) >= 1 << 63 else space(percent)
