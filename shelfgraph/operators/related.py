@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from shelfgraph.functions.scoring import (
     demographic_score, end_year, overlap_years, period_gap, period_jaccard, start_year, themes_overlap, themes_ratio,
 )
+from shelfgraph.functions.text import col
 from shelfgraph.graph import CREATED_BY, PUBLISHED_BY, PUBLISHED_IN, Graph, empty_like
 from shelfgraph.operators.expand import expand, linked, sources_of
 from shelfgraph.operators.filters import min_volumes
 from shelfgraph.operators.limits import top_per_key, top_rows
 from shelfgraph.operators.search import by_title
 
+YEAR_BUCKET = 5
 SCORES = ["demo_score", "themes_score", "themes_ratio", "date_jaccard"]
 
 
@@ -205,6 +207,70 @@ def same_publisher_other_magazines(graph: Graph, anchor_id: str, year_window: in
                     F.col("overlap_years").desc(), F.col("period_gap"), F.col("id"))
 
 
+def _year_buckets(first, last, window: int = 0) -> Column:
+    """The buckets of ``YEAR_BUCKET`` years that a period, widened by ``window`` years on both sides, reaches."""
+    number = lambda year: F.floor((col(year) + 100_000) / YEAR_BUCKET).cast("int")  # a bucket starts at a multiple, before Christ too
+    return F.sequence(number(F.expr(f"{first} - {window}")), number(F.expr(f"{last} + {window}")))
+
+
+def period_pairs(anchors: DataFrame, works: DataFrame, window: int = 0, on: str | None = None) -> DataFrame:
+    """(anchor_id, id) of all pairs whose periods overlap or lie at most ``window`` years apart, and that share a value of ``on`` if one is named.
+
+    An equality join on year buckets: periods that meet share a bucket, and a pair counts in the first one it shares only, so it occurs once.
+    Both sides have ``id``, ``first_year`` and ``last_year``; periods that end before they begin meet nothing.
+    """
+    side = lambda df, p, w: df.filter(F.col("first_year") <= F.col("last_year")).select(
+        F.col("id").alias(f"{p}id"), F.col("first_year").alias(f"{p}first"), F.col("last_year").alias(f"{p}last"),
+        F.explode(_year_buckets("first_year", "last_year", w)).alias(f"{p}bucket"), *([F.col(on).alias(f"{p}on")] if on else []))
+    a, b = side(anchors, "a_", window), side(works, "b_", 0)
+    keys = (F.col("a_bucket") == F.col("b_bucket")) & ((F.col("a_on") == F.col("b_on")) if on else F.lit(True))
+    first_shared = F.floor((F.greatest(F.col("a_first") - window, F.col("b_first")) + 100_000) / YEAR_BUCKET)
+    met = a.join(b, keys).filter((F.col("a_bucket") == first_shared) & (F.col("a_id") != F.col("b_id"))
+                                 & (F.col("b_last") >= F.col("a_first") - window) & (F.col("b_first") <= F.col("a_last") + window))
+    pairs = met.select(F.col("a_id").alias("anchor_id"), F.col("b_id").alias("id"))
+    return pairs.distinct() if on else pairs
+
+
+def _with_periods(pairs: DataFrame, works: DataFrame) -> DataFrame:
+    own = works.select(F.col("id").alias("anchor_id"), F.col("first_year").alias("_first"), F.col("last_year").alias("_last"))
+    rows = pairs.join(own, "anchor_id").join(works.select("id", "first_year", "last_year"), "id")
+    a = (F.col("_first"), F.col("_last"), "first_year", "last_year")
+    return rows.withColumns({"overlap_years": overlap_years(*a), "period_gap": period_gap(*a), "jaccard_similarity": period_jaccard(*a)}).drop("_first", "_last")
+
+
+def same_publisher_pairs(graph: Graph, anchors: DataFrame, year_window: int = 2, k: int | None = None) -> DataFrame:
+    """``same_publisher_other_magazines`` for a table of anchors ``(id)``: (anchor_id, id, magazine_id, publisher_id, scores), the ``k`` best of each if asked.
+
+    Candidates share a publisher through another magazine and lie within the window. They meet in an equality join on publisher and year bucket.
+    """
+    works = _period(graph.of_type("work"))
+    by = linked(graph, PUBLISHED_BY).select(F.col("src").alias("magazine_id"), F.col("dst").alias("publisher_id")).distinct()
+    placed = linked(graph, PUBLISHED_IN).select(F.col("src").alias("id"), F.col("dst").alias("magazine_id")).distinct().join(by, "magazine_id")
+    periods = works.select("id", "first_year", "last_year")
+    own = placed.join(anchors.select("id").distinct(), "id", "left_semi")
+    pairs = period_pairs(periods.join(own.select("id", "publisher_id").distinct(), "id"), periods.join(placed.select("id", "publisher_id").distinct(), "id"), year_window, on="publisher_id")
+    # The magazine that counts: the smallest of the candidate's at a publisher of the anchor's that is none of the anchor's magazines.
+    mine = own.select(F.col("id").alias("anchor_id"), F.col("publisher_id"), "magazine_id").distinct()
+    publishers = mine.select("anchor_id", "publisher_id").distinct()
+    theirs = pairs.join(placed, "id").join(publishers, ["anchor_id", "publisher_id"]).join(mine.select("anchor_id", "magazine_id").distinct(), ["anchor_id", "magazine_id"], "left_anti")
+    chosen = theirs.groupBy("anchor_id", "id").agg(F.min(F.struct("magazine_id", "publisher_id")).alias("_m")).select("anchor_id", "id", "_m.*")
+    rows = _with_periods(chosen, works)
+    made = linked(graph, CREATED_BY).select("src", "dst").distinct()
+    shared = chosen.select("anchor_id", "id").join(made.select(F.col("src").alias("anchor_id"), "dst"), "anchor_id").join(made.withColumnRenamed("src", "id"), ["id", "dst"])
+    rows = rows.join(shared.select("anchor_id", "id").distinct().withColumn("same_author", F.lit(True)), ["anchor_id", "id"], "left")
+    rows = rows.withColumn("same_author", F.coalesce("same_author", F.lit(False)))
+    order = [F.col("same_author"), F.col("jaccard_similarity").desc(), F.col("overlap_years").desc(), F.col("period_gap"), F.col("id")]
+    return rows if k is None else top_per_key(rows, ["anchor_id"], order, k)
+
+
+def overlap_period_pairs(works: DataFrame, anchors: DataFrame, k: int | None = None) -> DataFrame:
+    """``overlap_period_works`` for a table of anchors ``(id)``: (anchor_id, id, overlap_years), the ``k`` with the most years for each if asked."""
+    known = _period(works).select("id", "first_year", "last_year")
+    rows = _with_periods(period_pairs(known.join(anchors.select("id").distinct(), "id", "left_semi"), known), known).filter(F.col("overlap_years") > 0)
+    rows = rows.select("anchor_id", "id", "overlap_years")
+    return rows if k is None else top_per_key(rows, ["anchor_id"], [F.col("overlap_years").desc(), F.col("id")], k)
+
+
 def overlap_period_works(graph: Graph, anchor_id: str, limit: int = 15) -> DataFrame:
     """Works sharing the most years with the anchor."""
     works = _period(graph.of_type("work"))

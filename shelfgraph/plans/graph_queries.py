@@ -345,6 +345,30 @@ def j8_top(spark, sf):
     return R.same_publisher_other_magazines(catalogue(spark, sf), "work:11", 2, limit=5).select("id", "overlap_years")
 
 
+# Every fiftieth work as an anchor, against all works.
+@query("j8_pairs_of_anchors", with_sql(GRAPH_SQL, """
+placed AS (SELECT e.src AS id, e.dst AS magazine_id, p.dst AS publisher_id FROM edges e JOIN edges p ON p.src = e.dst AND p.type = 'PUBLISHED_BY' WHERE e.type = 'PUBLISHED_IN'),
+own AS (SELECT * FROM placed WHERE id IN (SELECT id FROM works WHERE p_partkey % 50 = 0)),
+theirs AS (SELECT DISTINCT o.id AS anchor_id, t.id, t.magazine_id FROM own o JOIN placed t ON o.publisher_id = t.publisher_id AND t.id <> o.id),
+chosen AS (SELECT anchor_id, id, min(magazine_id) AS magazine_id FROM theirs WHERE (anchor_id, magazine_id) NOT IN (SELECT (id, magazine_id) FROM own) GROUP BY anchor_id, id)""", select="""
+  SELECT anchor_id, c.id, magazine_id, greatest(0, least(w.last_year, a.last_year) - greatest(w.first_year, a.first_year) + 1)::INT AS overlap_years
+  FROM chosen c JOIN works a ON a.id = anchor_id JOIN works w ON w.id = c.id WHERE w.last_year >= a.first_year - 2 AND w.first_year <= a.last_year + 2"""))
+def j8_pairs(spark, sf):
+    g = catalogue(spark, sf)
+    anchors = g.of_type("work").filter(F.col("work_id").cast("bigint") % 50 == 0)
+    return R.same_publisher_pairs(g, anchors, 2).select("anchor_id", "id", "magazine_id", F.col("overlap_years").cast("int").alias("overlap_years"))
+
+
+@query("j9_pairs_of_anchors", with_sql(WORKS_SQL, select="""
+  SELECT a.id AS anchor_id, w.id, (least(w.last_year, a.last_year) - greatest(w.first_year, a.first_year) + 1)::INT AS overlap_years
+  FROM works a JOIN works w ON w.id <> a.id AND least(w.last_year, a.last_year) >= greatest(w.first_year, a.first_year) WHERE a.p_partkey % 50 = 0
+  QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY overlap_years DESC, w.id) <= 15"""))
+def j9_pairs(spark, sf):
+    rows = works(spark, sf)
+    anchors = rows.filter(F.col("work_id").cast("bigint") % 50 == 0)
+    return R.overlap_period_pairs(rows, anchors, 15).select("anchor_id", "id", F.col("overlap_years").cast("int").alias("overlap_years"))
+
+
 @query("j9_overlap_period", with_sql(WORKS_SQL, select="""
   SELECT w.id, least(w.last_year, a.last_year) - greatest(w.first_year, a.first_year) + 1 AS overlap_years FROM works w, (SELECT * FROM works WHERE id = 'work:11') a
   WHERE w.id <> a.id AND least(w.last_year, a.last_year) >= greatest(w.first_year, a.first_year) ORDER BY overlap_years DESC, w.id LIMIT 15"""))

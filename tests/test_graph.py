@@ -314,3 +314,33 @@ def test_same_publisher_search_options(graph):
     assert found(sort_total_volumes="desc") == ["w4", "w3", "w1"] and found(sort_total_volumes="asc", min_total_volumes=3) == ["w3", "w4"]
     with pytest.raises(ValueError):
         found(sort_total_volumes="up")
+
+
+def test_pairs_of_all_works_as_anchors(spark):
+    """Interval-bucket joins: each pair once, as brute force and as the search for one anchor find it, without a nested loop."""
+    import random
+    rng = random.Random(9)
+    years = {f"w{i}": (y := rng.choice([-3, 0, 1979, 1989, 1995, 2000]) + rng.randint(0, 6), y + rng.choice([0, 1, 4, 5, 17])) for i in range(60)} | {"w60": (None, 1990), "w61": (1990, None)}
+    nodes = spark.createDataFrame([(i, "work", a, b) for i, (a, b) in years.items()], "id string, type string, first_year int, last_year int")
+    links = {(w, "PUBLISHED_IN", f"m{rng.randint(0, 7)}") for w in years for _ in range(2)} | {(f"m{i}", "PUBLISHED_BY", f"p{i % 3}") for i in range(8)} | {("m1", "PUBLISHED_BY", "p0")}
+    links |= {(w, "CREATED_BY", f"a{rng.randint(0, 20)}") for w in years}
+    edges = spark.createDataFrame(sorted(links), "src string, type string, dst string").withColumn("id", edge_id(F.col("src"), F.col("type"), F.col("dst")))
+    g = Graph(nodes, edges)
+    full = {w: y for w, y in years.items() if None not in y}
+    for window in (0, 2):
+        want = sorted((a, b) for a, (f, l) in full.items() for b, (x, y) in full.items() if a != b and y >= f - window and x <= l + window)
+        pairs = R.period_pairs(nodes, nodes, window)
+        assert sorted((r.anchor_id, r.id) for r in pairs.collect()) == want
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    columns = ["id", "magazine_id", "publisher_id", "overlap_years", "period_gap", "jaccard_similarity", "same_author"]
+    got = {}
+    for r in R.same_publisher_pairs(g, nodes, 2).collect():
+        got.setdefault(r.anchor_id, []).append(tuple(r[c] for c in columns))
+    for anchor in ("w0", "w7", "w13", "w60"):
+        one = sorted(tuple(r[c] for c in columns) for r in R.same_publisher_other_magazines(g, anchor, 2).collect())
+        assert sorted(got.get(anchor, [])) == one
+    best = {(r.anchor_id, r.id) for r in R.same_publisher_pairs(g, nodes, 2, k=3).collect()}
+    assert {b for a, b in best if a == "w7"} == {r.id for r in R.same_publisher_other_magazines(g, "w7", 2, limit=3).collect()}
+    most = {r.id: r.overlap_years for r in R.overlap_period_pairs(nodes, nodes, 4).filter("anchor_id = 'w3'").collect()}
+    assert most == {r.id: r.overlap_years for r in R.overlap_period_works(g, "w3", 4).collect()}
