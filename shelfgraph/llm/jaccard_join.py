@@ -5,7 +5,8 @@
    similarity t, so if all keys are put in one order, the first n - ceil(t n) + 1 keys of two similar sets share one. The order is by frequency,
    rarest first, so prefixes are made of keys that nobody else has, unless a set is close to others: passages that many texts
    share come last. Frequencies are exact, and only those of the keys in the lowest part of the key space are needed, as a prefix
-   ends there (the few sets with too little in that part go on in order of key). Components of "shares a prefix key" are blocks: no link leaves one.
+   ends there; sets with too little in that part, small ones mostly, go on with their other keys, by frequency among such sets.
+   Components of "shares a prefix key" are blocks: no link leaves one.
 3. Inside a block, a T-occurrence search joins the sets: the inverted lists of a set's keys are split by length, the short ones
    are merged and counted, and sets that may still reach the required overlap are probed in the long ones (DivideSkip). Every pair in a
    block that reaches the overlap is counted; only the edges of a spanning forest leave a task.
@@ -35,7 +36,7 @@ from shelfgraph.session import staged
 BLOCK_KEYS = 4_000_000
 SEEN = 1_000_000
 NODE_BITS = 1 << 26
-SPACE_PERCENT = 125
+SPACE_PERCENT = 160
 PIECE_BYTES = 4096  # of bitmap_construct_agg
 _U = np.uint64
 
@@ -81,7 +82,7 @@ def prefix_length(n, percent: int):
 
 
 def space(percent: int) -> int:
-    """Where the part of the key space ends whose frequencies are counted: a quarter more than a prefix needs."""
+    """Where the part of the key space ends whose frequencies are counted: SPACE_PERCENT of what a prefix needs."""
     return min((1 << 64) - 1, (100 - percent) * (1 << 64) * SPACE_PERCENT // 10_000)
 
 
@@ -109,7 +110,7 @@ def _set_rows(k: int, percent: int):
 
 
 def _key_rows(k: int, percent: int):
-    """(key, node) of the keys that a prefix can hold: those in the counted part of the key space, or the lowest if these are too few. Copies met in a task count once."""
+    """(key, node) of the keys that a prefix can hold: those in the counted part of the key space, or all if these are too few. Copies met in a task count once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end, seen = _U(space(percent)), set()
         for batch in batches:
@@ -121,7 +122,8 @@ def _key_rows(k: int, percent: int):
                     if name not in seen and cut[i + 1] > cut[i]:
                         seen.add(name)
                         own = sets[cut[i]:cut[i + 1]]
-                        found.append(own[:max(int(np.searchsorted(own, end)), prefix_length(len(own), percent))])
+                        low = int(np.searchsorted(own, end))
+                        found.append(own[:low] if low >= prefix_length(len(own), percent) else own)
                         rows.append(i)
                 if len(seen) > SEEN:
                     seen.clear()
@@ -149,7 +151,8 @@ def prefix_keys(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> Data
     known = F.count("*").over(Window.partitionBy("node", "inside"))
     ranked = shared.withColumns({"place": F.row_number().over(order), "known": known})
     length = F.col("n") + F.expr(f"-(({percent} * n + 99) div 100)") + 1
-    return ranked.filter(~F.col("inside") | (F.col("low") - F.col("known") + F.col("place") <= length)).select("key", "node")
+    own = F.when(F.col("inside"), F.col("low")).otherwise(F.col("n"))  # keys of the set up to here; those that no other set has come first
+    return ranked.filter(own - F.col("known") + F.col("place") <= length).select("key", "node")
 
 
 def node_bits(nodes: DataFrame) -> bytes:
