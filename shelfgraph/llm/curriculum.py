@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
+BLANKS = r"[\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 #: Weight over training time, by turns: falling, even, rising.
 SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
@@ -27,7 +27,8 @@ MAX_EPOCHS = 2
 
 
 def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """Words of a text, 0 for null. Splitting takes time in proportion to the text; counting the matches of a pattern extracts them all, which does not."""
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")).cast("long")
 
 
 def shares(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = MAX_EPOCHS, schedules=SCHEDULES) -> DataFrame:
