@@ -89,6 +89,22 @@ def test_jaccard_groups(spark, k, percent, block_keys):
     assert rows_of(jaccard_join.component_ids(got)) == linked(rows, k, percent)
 
 
+def test_near_duplicates_kept_at_five_words_and_0_8(spark):
+    """The rows that stay, against all pairs: clusters with edits, small texts, passages that many texts share, texts without words."""
+    rng = np.random.default_rng(80)
+    passage = " ".join(f"p{i}" for i in range(40))
+    base = [[f"w{x}" for x in rng.integers(0, 3000, rng.integers(1, 90))] for _ in range(60)]
+    rows = []
+    for i in range(300):
+        w = list(base[int(rng.integers(len(base)))])
+        for _ in range(int(rng.integers(0, 4))):
+            w[int(rng.integers(len(w)))] = f"x{rng.integers(1000)}"
+        rows.append((i, " ".join(w) + (" " + passage if i % 3 == 0 else "")))
+    rows += [(400, None), (401, ""), (402, PROSE), (403, PROSE.upper()), (404, " \n")]
+    kept = jaccard_join.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, n, least, _ in linked(rows, 5, 80) if i == least or not n)
+
+
 def test_t_occurrence_with_long_lists():
     rng = np.random.default_rng(5)
     shared = np.arange(1, 40, dtype=np.uint64)  # keys of all sets: lists much longer than the others
