@@ -1,9 +1,12 @@
-"""Vector columns, all as native array expressions."""
+"""Vector columns as native array expressions; the components of hash embeddings are made by NumPy."""
 
-from __future__ import annotations
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfgraph.functions.text import col
 
@@ -53,19 +56,33 @@ def fit(v, dims: int) -> Column:
     return F.slice(F.concat(as_doubles(v), F.array_repeat(F.lit(0.0), dims)), 1, dims)
 
 
-def hash_embedding(text, dims: int = 1536) -> Column:
-    """Deterministic vector of a text from the hex digits of six SHA-256 digests, used in a cycle; null for null."""
-    digests = F.concat(*[F.sha2(F.concat(col(text), F.lit(str(i))), 256) for i in range(6)])
+HASH_ROWS = 1_000  # vectors that a task hands over at a time
 
-    def vector(digits: Column) -> Column:
-        def component(i: Column) -> Column:
-            value = (F.instr(F.lit("0123456789abcdef"), F.substring(digits, i % 384 + 1, F.lit(1))) - 1) / F.lit(15.0)
-            return value - 0.5 + ((i % 100) / F.lit(10000.0) - 0.005)
 
-        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), component)
+def hash_embedding(text, dims: int = 1536) -> Column:
+    """Deterministic vector of a text from the hex digits of six SHA-256 digests, used in a cycle; null for null.
 
-    # The digests are a lambda argument, so each text is hashed once and not once per component.
-    return F.when(col(text).isNotNull(), F.get(F.transform(F.array(digests), vector), F.lit(0)))
+    Spark makes the digests; the components are made of them a batch at a time, as array lambdas would be evaluated one by one.
+    """
+    digests = F.concat(*[F.sha2(F.concat(col(text), F.lit(str(i))), 256) for i in range(6)])
+    place = np.arange(dims)
+    values = np.full(128, np.nan)
+    values[np.frombuffer(b"0123456789abcdef", np.uint8)] = np.arange(16) / 15.0
+
+    def vectors(digits: pa.Array) -> pa.Array:
+        known = digits.drop_null()
+        codes = np.frombuffer("".join(known.to_pylist()).encode(), np.uint8).reshape(len(known), -1)
+        rows = values[codes[:, place % 384]] - 0.5 + ((place % 100) / 10000.0 - 0.005) if len(known) else np.zeros((0, dims))
+        ends = np.concatenate([[0], np.cumsum(digits.is_valid().to_numpy(zero_copy_only=False))]) * dims
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rows.ravel()), mask=digits.is_null())
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def components(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for digits in batches:
+            for at in range(0, len(digits), HASH_ROWS):
+                yield vectors(digits.slice(at, HASH_ROWS))
+
+    return components(digests)
 
 
 def embedding_text(title, genre) -> Column:

@@ -181,7 +181,7 @@ def embed(df: DataFrame, text: str, out: str, dims: int, model: Callable[[], Cal
     fallback = hash_embedding(clean, dims)
     if model is None:
         made = df.withColumn(out, fallback)
-        return made.withColumn(method, F.when(F.col(out).isNotNull(), F.lit("hash"))) if method else made
+        return made.withColumn(method, F.when(clean.isNotNull(), F.lit("hash"))) if method else made
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -201,11 +201,11 @@ def embed(df: DataFrame, text: str, out: str, dims: int, model: Callable[[], Cal
             yield vectors
 
     coded = df.withColumn("_text", clean).withColumn("_raw", encode("_text"))
-    made = F.when(F.col("_raw").isNotNull(), fit("_raw", dims)).otherwise(hash_embedding("_text", dims))
+    made = F.when(F.col("_raw").isNotNull(), fit("_raw", dims)).otherwise(hash_embedding(F.when(F.col("_raw").isNull(), F.col("_text")), dims))
     done = coded.withColumn(out, F.when(F.col("_text").isNotNull(), made))
     if method:
         by = F.when(F.col("_raw").isNotNull(), F.lit("model")).otherwise(F.lit("hash"))
-        done = done.withColumn(method, F.when(F.col(out).isNotNull(), by))
+        done = done.withColumn(method, F.when(F.col("_text").isNotNull(), by))
     return done.drop("_text", "_raw")
 
 
@@ -220,7 +220,7 @@ def backfill_embeddings(rows: DataFrame, column: str, dims: int, title: str, gen
     made = embed(rows.withColumn("_t", F.when(wanted, text)), "_t", "_new", dims, model, method="method")
     fell_back = (F.col("method") == "hash") & F.lit(model is not None)
     return (
-        made.withColumn("status", F.when(~wanted, "kept").when(fell_back, "fallback").when(F.col("_new").isNotNull(), "added").otherwise("failed"))
+        made.withColumn("status", F.when(~wanted, "kept").when(fell_back, "fallback").when(F.col("method").isNotNull(), "added").otherwise("failed"))
         .withColumn(column, F.coalesce(F.col(column).cast("array<double>"), "_new")).drop("_t", "_new")
     )
 

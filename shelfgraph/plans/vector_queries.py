@@ -13,7 +13,7 @@ from shelfgraph.operators.limits import top_rows
 from shelfgraph.operators.vector_cells import VectorCells
 from shelfgraph.plans.binding import CREDITS_SQL, EXPAND_SQL, GRAPH_SQL, WORKS_SQL, catalogue, credits, embedded_titles, stored_catalogue, titles, vectors, with_sql, works
 from shelfgraph.plans.registry import query, table
-from shelfgraph.session import work_dir
+from shelfgraph.session import spread, work_dir
 
 TITLE, DESCRIPTION = "embedding_title_en", "embedding_description"
 _QUERY = 17
@@ -192,13 +192,13 @@ _DIGEST = "SELECT id AS {key}, count(*) AS dims, md5(string_agg(round(x * 30000)
 
 
 def digested(df, key: str, vector: str):
-    whole = F.transform(vector, lambda x: F.round(x.cast("double") * 30000).cast("bigint").cast("string"))
+    whole = F.transform(vector, lambda x: F.floor(x.cast("double") * 30000 + 0.5).cast("string"))
     return df.select(key, F.size(vector).cast("bigint").alias("dims"), F.md5(F.array_join(whole, ",")).alias("digest"))
 
 
 @query("v11_hash_embedding_whole", with_sql(_HASHED.format(key="doc_id", t="text", src="documents", n=1536), select=_DIGEST.format(key="doc_id")))
 def v11_whole(spark, sf):
-    v = table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", V.hash_embedding("text").alias("v"))
+    v = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", V.hash_embedding("text").alias("v"))
     return digested(v, "doc_id", "v")
 
 
@@ -230,7 +230,7 @@ def v14(spark, sf):
 
 
 def _backfilled(spark, sf, dims=8):
-    return Ve.backfill_embeddings(embedded_titles(spark, sf), TITLE, dims, "title_name", "genre")
+    return Ve.backfill_embeddings(spread(embedded_titles(spark, sf), "id"), TITLE, dims, "title_name", "genre")
 
 
 @query("v15_backfill", with_sql(
@@ -266,7 +266,8 @@ def _fallen_back(spark, sf, dims):
     def broken():
         raise RuntimeError("no such model")
 
-    return Ve.embed(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_name"), "c_name", "v", dims, broken)
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_name")
+    return Ve.embed(spread(rows, "id"), "c_name", "v", dims, broken)
 
 
 @query("u1_embedder_fallback", with_sql(
