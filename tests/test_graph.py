@@ -344,3 +344,38 @@ def test_pairs_of_all_works_as_anchors(spark):
     assert {b for a, b in best if a == "w7"} == {r.id for r in R.same_publisher_other_magazines(g, "w7", 2, limit=3).collect()}
     most = {r.id: r.overlap_years for r in R.overlap_period_pairs(nodes, nodes, 4).filter("anchor_id = 'w3'").collect()}
     assert most == {r.id: r.overlap_years for r in R.overlap_period_works(g, "w3", 4).collect()}
+
+
+def test_best_overlaps_meet_by_period(spark):
+    """The works with the most shared years come from the first ids of each period; no pair of works is made before the cut."""
+    import random
+    rng = random.Random(4)
+    years = {f"w{i:04d}": (y := rng.randint(1990, 1996), y + rng.randint(0, 3)) for i in range(400)} | {"gone": (1999, 1990), "open": (1991, None)}
+    nodes = spark.createDataFrame([(i, "work", a, b) for i, (a, b) in years.items()], "id string, type string, first_year int, last_year int")
+    found = R.overlap_period_pairs(nodes, nodes.filter("id <= 'w0050' or id = 'gone'"), 3)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.anchor_id, []).append((-r.overlap_years, r.id))
+    full = {w: y for w, y in years.items() if None not in y and y[0] <= y[1]}
+    want = {}
+    for a in [w for w in full if w <= "w0050"]:
+        shared = sorted((-(min(full[a][1], y[1]) - max(full[a][0], y[0]) + 1), w) for w, y in full.items() if w != a)
+        want[a] = [s for s in shared if s[0] < 0][:3]
+    assert {a: sorted(v) for a, v in got.items()} == want
+    assert "Join Inner, ((first_year" in found._jdf.queryExecution().optimizedPlan().toString()  # anchors meet the best of their period
+
+
+def test_pairs_at_a_publisher_are_not_shuffled(spark):
+    """Each pair of works is told from the two lists: a pair at several publishers counts once, and no exchange or distinct follows the join."""
+    rows = [(f"w{i}", "work", 1990, 1991) for i in range(12)]
+    nodes = spark.createDataFrame(rows, "id string, type string, first_year int, last_year int")
+    links = [(f"w{i}", "PUBLISHED_IN", f"m{j}") for i in range(12) for j in range(6) if (i + j) % 4] + [(f"m{j}", "PUBLISHED_BY", f"p{j % 3}") for j in range(6)]
+    edges = spark.createDataFrame(links, "src string, type string, dst string").withColumn("id", edge_id(F.col("src"), F.col("type"), F.col("dst")))
+    pairs = R.same_publisher_pairs(Graph(nodes, edges), nodes, 0).select("anchor_id", "id", "magazine_id")
+    mags = {w: {d for s, t, d in links if s == w and t == "PUBLISHED_IN"} for w, *_ in rows}
+    by = {s: d for s, t, d in links if t == "PUBLISHED_BY"}
+    want = {(a, b): min(c) for a in mags for b in mags if a != b and (c := {m for m in mags[b] - mags[a] if by[m] in {by[x] for x in mags[a]}})}
+    got = pairs.collect()
+    assert len(got) == len(want) and {(r.anchor_id, r.id): r.magazine_id for r in got} == want
+    top = pairs._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "Aggregate" not in top and "Sort" not in top
