@@ -24,17 +24,25 @@ def trigrams(c) -> Column:
 
 @dataclass(frozen=True)
 class SubstringIndex:
-    """``postings(gram, id)`` by gram, ``grams(gram, df)``, and the indexed rows themselves by id."""
+    """``postings(gram, id)`` by gram, ``grams(gram, df)``, and the indexed rows themselves by id, or by the text that is their key."""
 
     postings: KeyedFiles
     grams: KeyedFiles
     rows: KeyedFiles
 
     @staticmethod
-    def write(rows: DataFrame | KeyedFiles, path: str, columns: tuple[str, ...] = INDEXED) -> SubstringIndex:
-        """Index the text columns of rows with an ``id``, which are stored by id unless they are already. Columns that the rows lack are passed over."""
-        stored = rows if isinstance(rows, KeyedFiles) else KeyedFiles.write(staged(rows, "indexed-rows"), f"{path}/rows", "id")
-        rows = stored.all()
+    def write(rows: DataFrame | KeyedFiles, path: str, columns: tuple[str, ...] = INDEXED, by_text: str | None = None) -> SubstringIndex:
+        """Index the text columns of rows with an ``id``, which are stored by id unless they are already. Columns that the rows lack are passed over.
+
+        Where few texts stand in many rows, ``by_text`` names their column: rows are stored by it, and each text is indexed once, however many rows have it.
+        """
+        if by_text is not None:
+            others = [c for c in rows.columns if c != by_text]
+            stored = KeyedFiles.write(staged(rows, "indexed-rows"), f"{path}/rows", by_text, *others)
+            rows, columns = stored.all().select(by_text, F.col(by_text).alias("id")).filter(F.col(by_text).isNotNull()).distinct(), (by_text,)
+        else:
+            stored = rows if isinstance(rows, KeyedFiles) else KeyedFiles.write(staged(rows, "indexed-rows"), f"{path}/rows", "id")
+            rows = stored.all()
         own = F.array_distinct(F.flatten(F.array(*[trigrams(c) for c in columns if c in rows.columns])))
         postings = staged(rows.select(F.explode(own).alias("gram"), "id"), "postings")
         return SubstringIndex(
@@ -42,9 +50,9 @@ class SubstringIndex:
             KeyedFiles.write(postings.groupBy("gram").agg(F.count("*").alias("df")), f"{path}/grams", "gram"), stored)
 
     @staticmethod
-    def open(spark: SparkSession, path: str, rows: KeyedFiles | None = None) -> SubstringIndex:
+    def open(spark: SparkSession, path: str, rows: KeyedFiles | None = None, by_text: str | None = None) -> SubstringIndex:
         postings, grams = (KeyedFiles.open(spark, f"{path}/{name}", "gram") for name in ("postings", "grams"))
-        return SubstringIndex(postings, grams, rows or KeyedFiles.open(spark, f"{path}/rows", "id"))
+        return SubstringIndex(postings, grams, rows or KeyedFiles.open(spark, f"{path}/rows", by_text or "id"))
 
     def candidates(self, term: str) -> DataFrame | None:
         """Ids of the rows that have the rarest trigrams of a term; None for a term without trigrams, which any row may hold."""

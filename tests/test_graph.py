@@ -379,3 +379,38 @@ def test_pairs_at_a_publisher_are_not_shuffled(spark):
     assert len(got) == len(want) and {(r.anchor_id, r.id): r.magazine_id for r in got} == want
     top = pairs._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
     assert "Aggregate" not in top and "Sort" not in top
+
+
+def test_stored_edges_leave_out_made_ids(spark, tmp_path):
+    """An id that is its edge's digest is not stored; other ids, null ones too, come back as they were."""
+    rows = [("w1", "CREATED_BY", "a1", None), ("w1", "CREATED_BY", "a2", "own"), ("w2", "PUBLISHED_IN", "m1", "made"), (None, "CREATED_BY", "a3", "made")]
+    edges = spark.createDataFrame(rows, "src string, type string, dst string, id string")
+    edges = edges.withColumn("id", F.when(F.col("id") == "made", edge_id("src", "type", "dst")).otherwise(F.col("id")))
+    nodes = spark.createDataFrame([("w1", "work", "x")], "id string, type string, label string")
+    Graph(nodes, edges).write(str(tmp_path))
+    key = lambda df: sorted(map(str, df.select("src", "type", "dst", "id").collect()))
+    stored = Graph.read(spark, str(tmp_path))
+    assert key(stored.edges) == key(edges) == key(stored.by_dst.all())
+    assert stored.edges.columns == edges.columns
+    for name in ("edges", "edges_in"):
+        assert {r.id for r in spark.read.parquet(f"{tmp_path}/{name}/rows").collect()} == {None, "own"}
+
+
+def test_texts_of_many_rows_are_indexed_once(spark, tmp_path):
+    from shelfgraph.operators.substrings import SubstringIndex
+    rows = spark.createDataFrame([(f"work:{i}", kind, f"Name {i % 3}") for i in range(300) for kind in ("creator", "magazine")] + [("work:x", "creator", None)],
+                                 "work_id string, kind string, name string")
+    index = SubstringIndex.write(rows, str(tmp_path), by_text="name")
+    assert index.postings.all().count() == 3 * 4  # four trigrams of three names
+    found = SubstringIndex.open(spark, str(tmp_path), by_text="name").holding("ame 1")
+    assert sorted(map(tuple, found.select("work_id", "kind", "name").collect())) == sorted(tuple(r) for r in rows.filter("name = 'Name 1'").collect())
+    assert index.holding("zzz").count() == 0 and index.holding("1").count() == 601
+
+
+def test_queries_store_only_what_they_read(spark, monkeypatch):
+    from shelfgraph.plans import binding, all_queries
+    monkeypatch.setattr(binding, "_STORED", {})
+    sf = "/root/testdata/sf0.001"
+    all_queries().QUERIES["q2_stored_hits"](spark, sf).collect()
+    kept = binding.stored_catalogue(spark, sf)
+    assert {"nodes", "tokens"} <= set(vars(kept)) and not {"graph", "titles", "credits"} & set(vars(kept))
