@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfgraph.plans.registry import table
+from shelfgraph.session import spread
 from shelfgraph.sources.jsonld import items_of, typed_items
 
 
@@ -62,7 +63,7 @@ def series_texts(spark: SparkSession, sf: str) -> DataFrame:
     name = F.when(F.col("p_size") > 25, F.col("p_name")).otherwise(F.substring_index("p_name", " ", 1))
     key = F.col("p_partkey").cast("string")
     brand = F.concat(F.lit('["'), F.col("p_brand"), F.lit(' = x"]'))
-    return table(spark, sf, "part").select(F.concat(F.lit("s"), key).alias("file"), _doc(
+    return spread(table(spark, sf, "part"), "p_partkey").select(F.concat(F.lit("s"), key).alias("file"), _doc(
         _text("@id", F.concat(F.lit("series:"), key)), _text("@type", F.lit("class:MangaBookSeries")),
         _text("schema:genre", F.lit("マンガ単行本シリーズ")), _text("schema:name", name), _field("schema:brand", brand),
     ).alias("text"))
@@ -132,5 +133,5 @@ def api_records(spark: SparkSession, sf: str) -> DataFrame:
     )
     bare = F.to_json(node)
     wrapped = F.to_json(F.struct(node.alias("node"), F.struct(F.col("p_size").alias("rank")).alias("ranking")))
-    return table(spark, sf, "part").select(
+    return spread(table(spark, sf, "part"), "p_partkey").select(
         F.col("p_partkey").alias("key"), F.when(F.col("p_size") > 40, wrapped).otherwise(bare).alias("record"))

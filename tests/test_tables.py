@@ -314,3 +314,12 @@ def test_nearest_to_work_by_cells(spark, tmp_path):
         a, b = ([(r.id, round(r.similarity_score, 9)) for r in Ve.nearest_to_work(works, id_, col, 9, c).collect()] for c in (None, cells))
         assert a == b and len(a) == 9
     assert Ve.nearest_to_work(works, "x", col, 9, cells).count() == Ve.nearest_to_work(works, "nope", col, 9, cells).count() == 0
+
+
+def test_rows_of_one_small_file_are_dealt_out(spark, tmp_path):
+    """Records of a table in one file are parsed by as many tasks as a shuffle has, not by one."""
+    from shelfgraph.plans import source_binding
+    rows = spark.range(40).selectExpr("id AS p_partkey", "'red ring' AS p_name", "'Brand#1' AS p_brand", "'PROMO' AS p_type", "int(id) AS p_size", "9.0D AS p_retailprice")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for made in (source_binding.api_records(spark, str(tmp_path)), source_binding.series_texts(spark, str(tmp_path))):
+        assert made.count() == 40 and made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
