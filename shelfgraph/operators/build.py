@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfgraph.functions import names as N
@@ -66,12 +66,16 @@ def author_names(items: DataFrame) -> DataFrame:
     book = (F.col("kind") == "book") & F.col("one_creator")
     series = F.col("kind") == "series"
     rows = items.filter(book | series)
-    ids = rows.select(F.explode("creator_ids").alias("author_id")).distinct()
-    named = (
-        rows.select(F.get("creator_ids", F.lit(0)).alias("author_id"), F.explode("creator_names").alias("name"))
-        .filter(F.col("author_id").isNotNull() & ~N.is_editorial("name")).distinct()
-    )
-    return ids.join(named, "author_id", "left")
+    # Ids and names come out of one pass: items are read, and parsed where they are derived, once.
+    entry = lambda author_id, name, named: F.struct(author_id.alias("author_id"), name.alias("name"), F.lit(named).alias("named"))
+    first = F.get("creator_ids", F.lit(0))
+    ids = F.transform("creator_ids", lambda i: entry(i, F.lit(None).cast("string"), False))
+    names = F.when(first.isNotNull(), F.transform(F.filter("creator_names", lambda n: ~N.is_editorial(n)), lambda n: entry(first, n, True)))
+    none = F.array().cast("array<struct<author_id: string, name: string, named: boolean>>")
+    entries = rows.select(F.explode(F.concat(F.coalesce(ids, none), F.coalesce(names, none))).alias("e"))
+    found = entries.select("e.*").distinct()
+    any_named = F.max("named").over(Window.partitionBy("author_id"))
+    return found.withColumn("_any", any_named).filter(F.col("named") | ~F.col("_any")).select("author_id", "name")
 
 
 def best_author_names(names: DataFrame) -> DataFrame:

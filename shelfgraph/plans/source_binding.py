@@ -39,7 +39,7 @@ def book_texts(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate")
     rows = (
-        lines.repartition("l_partkey").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        spread(lines, "l_partkey").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     )

@@ -61,24 +61,43 @@ def as_strings(value, keys=("@value", "name"), single_object: bool = True) -> Co
     An object gives its first present key. ``single_object=False`` ignores a bare object.
     """
     v = col(value)
+    shape = F.schema_of_variant(v)
 
     def text(e: Column) -> Column:
         inner = F.coalesce(*[F.try_variant_get(e, f"$['{k}']", "variant") for k in keys])
         plain = lambda x: F.when(_kind(x) == "STRING", F.try_variant_get(x, "$", "string"))
         return F.when(_kind(e) == "OBJECT", plain(inner)).otherwise(plain(e))
 
-    accepted = F.lit(True) if single_object else _kind(v) != "OBJECT"
-    elements = F.when(_kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>")).when(accepted, F.array(v))
-    found = F.filter(F.transform(elements, text), lambda s: F.coalesce(s, F.lit("")) != "")
-    return F.coalesce(found, F.array().cast("array<string>"))
+    accepted = F.lit(True) if single_object else ~shape.startswith("OBJECT")
+    elements = F.when(shape.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).when(accepted, F.array(v))
+    filled = lambda texts: F.filter(texts, lambda s: F.coalesce(s, F.lit("")) != "")
+    one = lambda s: F.when(s != "", F.array(s)).otherwise(none)
+    none = F.array().cast("array<string>")
+    # The usual shapes are told from the whole value, outside of functions over elements, which are interpreted and share no results.
+    found = F.when(shape == "STRING", one(F.try_variant_get(v, "$", "string")))
+    if single_object:
+        found = found.when(shape == _object_of(keys[0]), one(F.try_variant_get(v, f"$['{keys[0]}']", "string")))
+    found = found.when(shape == "ARRAY<STRING>", filled(F.try_variant_get(v, "$", "array<string>")))
+    return F.coalesce(found.otherwise(filled(F.transform(elements, text))), none)
+
+
+def _object_of(key: str) -> str:
+    """The shape of an object whose only field is a string."""
+    return f"OBJECT<{key if key.isidentifier() else f'`{key}`'}: STRING>"
 
 
 def as_ids(value) -> Column:
     """``@id`` of an object or of each object in a list."""
     v = col(value)
-    elements = F.when(_kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
-    ids = F.transform(elements, lambda e: F.when(_kind(e) == "OBJECT", F.try_variant_get(e, "$['@id']", "string")))
-    return F.coalesce(F.filter(ids, lambda i: i.isNotNull()), F.array().cast("array<string>"))
+    shape = F.schema_of_variant(v)
+    elements = F.when(shape.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+    each = F.transform(elements, lambda e: F.when(_kind(e) == "OBJECT", F.try_variant_get(e, "$['@id']", "string")))
+    present, none = lambda ids: F.filter(ids, lambda i: i.isNotNull()), F.array().cast("array<string>")
+    one = F.try_variant_get(v, "$['@id']", "string")
+    # An object, and a list of nothing else, need no look at each element.
+    found = F.when(shape.startswith("OBJECT"), F.when(one.isNotNull(), F.array(one)).otherwise(none))
+    found = found.when(shape.startswith("ARRAY<OBJECT"), present(F.try_variant_get(v, "$", "array<struct<`@id`: string>>")["@id"]))
+    return F.coalesce(found.otherwise(present(each)), none)
 
 
 def classify(type_, genre) -> Column:

@@ -240,3 +240,46 @@ def test_state_at_a_line_end():
     for line, (outside, inside) in cases.items():
         assert ends_inside(line, False) == outside, line
     assert ends_inside(b'b",c', True) is False and ends_inside(b'b""c', True) is True and ends_inside(b'b","d', True) is True and ends_inside(b'b', True) is True
+
+
+def test_usual_shapes_are_told_from_the_whole_value(spark):
+    """Strings, objects and lists of either, next to shapes that are looked at element by element."""
+    cases = [
+        ('"a"', ["a"], []), ('""', [], []), ("null", [], []), ("1", [], []), ('{"@value":"v"}', ["v"], []), ('{"name":"n"}', ["n"], []),
+        ('{"@value":"","name":"n"}', [], []), ('{"@value":1}', [], []), ('["a",null,"","b"]', ["a", "b"], []), ('["a",1,{"@value":"c"}]', ["a", "c"], []),
+        ('{"@id":"i"}', [], ["i"]), ('[{"@id":"i"},null,{"@id":3},{"x":1}]', [], ["i", "3"]), ('[{"@id":"i"},"a"]', ["a"], ["i"]), ("[]", [], []), ("no json", [], []),
+    ]
+    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string").withColumn("v", F.try_parse_json("t"))
+    made = rows.select("i", jsonld.as_strings("v").alias("s"), jsonld.as_ids("v").alias("ids"), jsonld.as_strings("v", single_object=False).alias("m"))
+    found = {r.i: r for r in made.collect()}
+    for i, (text, strings, ids) in enumerate(cases):
+        assert (found[i].s, found[i].ids) == (strings, ids), text
+        assert found[i].m == ([] if text.startswith("{") else strings), text
+    plan = rows.select(jsonld.as_strings("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "= STRING" in plan.split("lambda")[0]  # told before any function over elements
+
+
+def test_lines_are_dealt_out_before_they_are_parsed(spark, tmp_path):
+    """The number of tasks that parse books is that of a shuffle, whatever the bytes of the lines."""
+    from shelfgraph.plans import source_binding as B
+
+    rows = spark.range(40).selectExpr("id l_orderkey", "id l_partkey", "1L l_suppkey", "1 l_linenumber", "'R' l_returnflag", "'O' l_linestatus",
+                                      "timestamp_ntz'1995-01-01' l_shipdate")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(40).selectExpr("id p_partkey", "'a b' p_name").write.parquet(f"{tmp_path}/part.parquet")
+    spark.sql("select 1L s_suppkey, 'S' s_name, 0 s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.sql("select 0 n_nationkey, 'N' n_name, 0 n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    books = B.typed_books(spark, str(tmp_path))
+    assert books.count() == 40
+    assert "REPARTITION_BY_NUM" in books._jdf.queryExecution().executedPlan().toString()
+
+
+def test_author_names_read_the_items_once(spark):
+    rows = [("book", True, ["a"], ["x", "編集部"]), ("book", True, ["b"], ["編集部"]), ("book", False, ["c"], ["y"]), ("series", False, ["d", "e"], ["z", None]),
+            ("series", False, [], ["q"]), ("series", True, None, ["q"]), ("series", True, [None, "g"], ["q"]), ("magazine", True, ["h"], ["i"]),
+            ("book", True, ["a"], ["w"]), ("book", None, ["k"], ["w"]), ("series", True, ["m"], None), ("series", True, ["d"], ["z"])]
+    items = spark.createDataFrame(rows, "kind string, one_creator boolean, creator_ids array<string>, creator_names array<string>")
+    names = Bu.author_names(items.repartition(3))
+    assert sorted(map(str, map(tuple, names.collect()))) == sorted(map(str, [
+        ("a", "w"), ("a", "x"), ("b", None), ("d", "z"), ("d", None), ("e", None), ("g", None), ("m", None), (None, None)]))
+    assert names._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
