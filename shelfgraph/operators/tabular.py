@@ -7,6 +7,9 @@ lower-case edge types that point from the maker to the work.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +40,31 @@ def catalogue_rows(works: DataFrame, credits: DataFrame) -> DataFrame:
     )
 
 
-def rows_by_title(rows: DataFrame, term: str, limit: int) -> DataFrame:
+@dataclass(frozen=True)
+class CatalogueView:
+    """The denormalised view of works and credits that are made on request, all of them or those of few works ``ids(id)``.
+
+    A limited lookup finds its works first, so the lines behind works and credits are grouped and joined for these only.
+    """
+
+    works: Callable[[DataFrame | None], DataFrame]
+    credits: Callable[[DataFrame | None], DataFrame]
+
+    def rows(self) -> DataFrame:
+        return catalogue_rows(self.works(None), self.credits(None))
+
+    def rows_of(self, ids: DataFrame) -> DataFrame:
+        return catalogue_rows(self.works(ids), self.credits(ids))
+
+
+def rows_by_title(rows: DataFrame | CatalogueView, term: str, limit: int) -> DataFrame:
+    """The first rows by uri and creator whose title contains the term.
+
+    Every work has a row, so in a view they are rows of the first works found. ``distinct`` lets Spark leave out what else works are joined with.
+    """
+    if isinstance(rows, CatalogueView):
+        titled = rows.works(None).filter(contains_ci("title_name", term)).select("id").distinct()
+        rows = rows.rows_of(top_rows(titled, limit, F.col("id")))
     return top_rows(rows.filter(contains_ci("title", term)), limit, F.col("uri"), F.col("creator_uri"))
 
 
@@ -152,7 +179,7 @@ def append_related(graph: Graph, rows: DataFrame, relation: str) -> Graph:
     return Graph(graph.nodes.unionByName(added, allowMissingColumns=True), graph.edges.unionByName(more, allowMissingColumns=True))
 
 
-def search_with_related(rows: DataFrame, term: str, limit: int, overlapping: DataFrame, fallback_titles: list[str] = (),
+def search_with_related(rows: DataFrame | CatalogueView, term: str, limit: int, overlapping: DataFrame, fallback_titles: list[str] = (),
                         per_title: int | None = None, when_at_most: int | None = None) -> Graph:
     """Title search with the works that overlap its period and, where asked for, works of given titles.
 

@@ -9,7 +9,7 @@ from shelfgraph.operators import expand as X, filters as Fi, related as R, searc
 from shelfgraph.operators.limits import first_per_key, top_rows
 from shelfgraph.operators.upsert import dangling_edges
 from shelfgraph.plans.binding import (
-    AS_OF_YEAR, CREDITS_SQL, EDGES_SQL, EXPAND_SQL, GRAPH_SQL, NODES_SQL, WORKS_SQL, catalogue, credits, stored_catalogue, titles, with_sql, works,
+    AS_OF_YEAR, CREDITS_SQL, EDGES_SQL, EXPAND_SQL, GRAPH_SQL, NODES_SQL, WORKS_SQL, catalogue, catalogue_view, credits, stored_catalogue, titles, with_sql, works,
 )
 from shelfgraph.plans.registry import query, table
 
@@ -630,12 +630,12 @@ kept AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY title ORDER
 @query("r3_works_and_authors", with_sql(WORKS_SQL, CREDITS_SQL, _R3, select="""
   SELECT DISTINCT uri AS id, 'work' AS type, title AS label FROM kept UNION ALL SELECT DISTINCT creator_uri, 'author', creator_name FROM kept"""))
 def r3(spark, sf):
-    return Tb.works_and_authors(Tb.rows_by_title(_rows(spark, sf), TERM, 200)).node_rows()
+    return Tb.works_and_authors(Tb.rows_by_title(catalogue_view(spark, sf), TERM, 200)).node_rows()
 
 
 @query("r3_works_and_authors_edges", with_sql(WORKS_SQL, CREDITS_SQL, _R3, select="SELECT creator_uri || '-created-' || uri AS id FROM kept"))
 def r3_edges(spark, sf):
-    return Tb.works_and_authors(Tb.rows_by_title(_rows(spark, sf), TERM, 200)).edges.select("id")
+    return Tb.works_and_authors(Tb.rows_by_title(catalogue_view(spark, sf), TERM, 200)).edges.select("id")
 
 
 @query("r4_creator_works", with_sql(WORKS_SQL, CREDITS_SQL, _ROWS, """
@@ -722,7 +722,7 @@ more AS (SELECT r.*, publisher FROM (SELECT * FROM rows WHERE contains(title, 'b
   SELECT DISTINCT uri AS id, 'work' AS type FROM kept UNION SELECT creator_uri, 'author' FROM kept
   UNION SELECT uri, 'work' FROM more UNION SELECT creator_uri, 'author' FROM more UNION SELECT 'publisher_' || sha256(publisher), 'publisher' FROM more"""))
 def r8(spark, sf):
-    rows = _rows(spark, sf)
+    rows = catalogue_view(spark, sf)
     base = Tb.works_and_authors(Tb.rows_by_title(rows, TERM, 40))
     return Tb.append_related(base, Tb.rows_by_title(rows, "blue", 40), "published_by").nodes.select("id", "type")
 
@@ -731,7 +731,7 @@ def r8(spark, sf):
   SELECT creator_uri || '-created-' || uri AS id FROM kept UNION SELECT creator_uri || '-created-' || uri FROM more
   UNION SELECT 'publisher_' || sha256(publisher) || '-publishes-' || uri FROM more"""))
 def r8_edges(spark, sf):
-    rows = _rows(spark, sf)
+    rows = catalogue_view(spark, sf)
     base = Tb.works_and_authors(Tb.rows_by_title(rows, TERM, 40))
     return Tb.append_related(base, Tb.rows_by_title(rows, "blue", 40), "published_by").edges.select("id")
 
@@ -745,9 +745,8 @@ overlapping AS (
 more AS (SELECT * FROM rows WHERE uri IN (SELECT id FROM overlapping))""", select="""
   SELECT DISTINCT uri AS id, 'work' AS type FROM kept UNION SELECT creator_uri, 'author' FROM kept UNION SELECT uri, 'work' FROM more UNION SELECT creator_uri, 'author' FROM more"""))
 def r9(spark, sf):
-    rows = _rows(spark, sf)
-    found = R.overlap_period_works(catalogue(spark, sf), "work:11").select(F.col("id").alias("uri"))
-    overlapping = rows.join(found, "uri", "left_semi")
+    rows = catalogue_view(spark, sf)
+    overlapping = rows.rows_of(R.overlap_period_works(catalogue(spark, sf), "work:11").select("id").persist())
     return Tb.search_with_related(rows, TERM, 20, overlapping, ["blue"], per_title=2, when_at_most=2).nodes.select("id", "type")
 
 
@@ -760,9 +759,9 @@ overlapping AS (
 more AS (SELECT * FROM rows WHERE uri IN (SELECT id FROM overlapping))""", select="""
   SELECT creator_uri AS src, uri AS dst, 'created' AS type FROM kept UNION SELECT creator_uri, uri, 'created' FROM more"""))
 def r9_edges(spark, sf):
-    rows = _rows(spark, sf)
-    found = R.overlap_period_works(catalogue(spark, sf), "work:11").select(F.col("id").alias("uri"))
-    return Tb.search_with_related(rows, TERM, 20, rows.join(found, "uri", "left_semi")).edge_rows()
+    rows = catalogue_view(spark, sf)
+    overlapping = rows.rows_of(R.overlap_period_works(catalogue(spark, sf), "work:11").select("id").persist())
+    return Tb.search_with_related(rows, TERM, 20, overlapping).edge_rows()
 
 
 @query("r9_search_with_fallback", with_sql(WORKS_SQL, CREDITS_SQL, _ROWS, """
@@ -771,8 +770,8 @@ more AS (
   UNION ALL (SELECT * FROM rows WHERE contains(title, 'ring') ORDER BY uri, creator_uri LIMIT 2))""", select="""
   SELECT DISTINCT uri AS id, 'work' AS type FROM more UNION SELECT creator_uri, 'author' FROM more"""))
 def r9_fallback(spark, sf):
-    rows = _rows(spark, sf)
-    return Tb.search_with_related(rows, "nothing", 20, rows.filter(F.lit(False)), ["blue", "ring"], per_title=2, when_at_most=2).nodes.select("id", "type")
+    rows = catalogue_view(spark, sf)
+    return Tb.search_with_related(rows, "nothing", 20, rows.rows().filter(F.lit(False)), ["blue", "ring"], per_title=2, when_at_most=2).nodes.select("id", "type")
 
 
 @query("r11_related_graphs_nodes", with_sql(

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfgraph.operators.tabular import catalogue_rows, rows_by_title
+from shelfgraph.operators.tabular import rows_by_title
 from shelfgraph.plans import source_binding as B
-from shelfgraph.plans.binding import CREDITS_SQL, GRAPH_SQL, WORKS_SQL, catalogue, credits, titles, with_sql, works
+from shelfgraph.plans.binding import CREDITS_SQL, GRAPH_SQL, WORKS_SQL, catalogue, catalogue_view, titles, with_sql
 from shelfgraph.plans.registry import query, table
 from shelfgraph.sources import api_json, catalogue as C, cells, jsonld, lookups
 
@@ -196,4 +196,4 @@ def s16(spark, sf):
   FROM works LEFT JOIN (SELECT * FROM credits WHERE kind = 'creator') c ON c.work_id = id
   WHERE contains(lower(title_name), 'red') ORDER BY uri, creator_uri LIMIT 50"""))
 def s17(spark, sf):
-    return rows_by_title(catalogue_rows(works(spark, sf), credits(spark, sf)), "red", 50)
+    return rows_by_title(catalogue_view(spark, sf), "red", 50)

@@ -416,3 +416,45 @@ def test_queries_store_only_what_they_read(spark, monkeypatch):
     all_queries().QUERIES["q2_stored_hits"](spark, sf).collect()
     kept = binding.stored_catalogue(spark, sf)
     assert {"nodes", "tokens"} <= set(vars(kept)) and not {"graph", "titles", "credits"} & set(vars(kept))
+
+
+def test_view_finds_its_works_first(spark):
+    """A limited lookup of the view gives the rows of the whole table, and asks works and credits for few ids; ids repeat and are null."""
+    works = spark.createDataFrame([(None if i == 3 else f"w{i % 50:02d}", f"red {i % 7}" if i % 3 else "blue", "g", "1999-01-01") for i in range(60)],
+                                  "id string, title_name string, genre string, first_published string")
+    credits = spark.createDataFrame([(f"w{i % 50:02d}", kind, f"{kind} {i}") for i in range(100) for kind in ("creator", "publisher")], "work_id string, kind string, name string")
+    asked = []
+
+    def of(rows, key):
+        def made(ids):
+            asked.append(ids)
+            return rows if ids is None else rows.join(ids.select(F.col("id").alias("_id")), F.col(key).eqNullSafe(F.col("_id")), "left_semi")
+        return made
+
+    view = Tb.CatalogueView(of(works, "id"), of(credits, "work_id"))
+    for limit in (1, 7, 25, 500):
+        asked.clear()
+        found = Tb.rows_by_title(view, "RED", limit)
+        key = lambda df: sorted(map(str, df.select("uri", "creator_uri", "publisher").collect()))
+        assert key(found) == key(Tb.rows_by_title(Tb.catalogue_rows(works, credits), "RED", limit))
+        assert [a is None for a in asked] == [True, False, False] and asked[1].count() <= limit
+    assert key(view.rows()) == key(Tb.catalogue_rows(works, credits))
+
+
+def test_bound_works_and_credits_of_few_ids(spark, tmp_path):
+    """Rows of asked works are those of the whole tables, and lines of other works leave before they are grouped."""
+    from shelfgraph.plans import binding as Bi
+
+    sf = str(tmp_path)
+    spark.range(40).selectExpr("id l_orderkey", "id % 13 l_partkey", "id % 3 l_suppkey", "double(id) l_extendedprice", "timestamp_ntz'1995-01-01' l_shipdate").write.parquet(f"{sf}/lineitem.parquet")
+    spark.range(20).selectExpr("id p_partkey", "'red ring' p_name", "'B' p_brand", "'PROMO' p_type", "1 p_size", "9.0D p_retailprice").write.parquet(f"{sf}/part.parquet")
+    spark.range(3).selectExpr("id s_suppkey", "concat('S', id) s_name", "int(id) s_nationkey").write.parquet(f"{sf}/supplier.parquet")
+    spark.range(3).selectExpr("int(id) n_nationkey", "concat('N', id) n_name", "0 n_regionkey").write.parquet(f"{sf}/nation.parquet")
+    spark.sql("select 0 r_regionkey, 'R' r_name").write.parquet(f"{sf}/region.parquet")
+    ids = spark.createDataFrame([("work:7",), ("work:11",), ("work:none",)], "id string")
+    for made, key in ((Bi.works, "id"), (Bi.credits, "work_id")):
+        few, whole = made(spark, sf, ids), made(spark, sf)
+        want = whole.filter(F.col(key).isin("work:7", "work:11"))
+        assert sorted(map(str, few.collect())) == sorted(map(str, want.collect())) != []
+    plan = Bi.works(spark, sf, ids)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate") < plan.rindex("LeftSemi")
