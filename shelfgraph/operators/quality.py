@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfgraph.functions.names import script_priority
 from shelfgraph.graph import Graph, edge_id
-from shelfgraph.operators.limits import first_per_key, top_rows
+from shelfgraph.operators.limits import first_per_key, look_up, top_rows
 from shelfgraph.operators.upsert import without_ends
 
 # Import stages in order (fixed values).
@@ -100,11 +100,14 @@ def dedupe_graph(graph: Graph, keys: list[str], rewire: bool = False, only_witho
     nodes = graph.nodes.join(renamed.select("id"), "id", "left_anti")
     if not rewire:
         return Graph(nodes, without_ends(graph.edges, renamed.select("id")))
-    edges = graph.edges.withColumn("_moved", F.lit(False))
-    for end in ("src", "dst"):
+    # An id that is the digest of its edge does not pack: it stays behind and is worked out again from the old ends.
+    old = {"_src": F.col("src"), "_dst": F.col("dst"), "_made": F.col("id").eqNullSafe(edge_id("src", "type", "dst"))}
+    edges = graph.edges.withColumns({**old, "_moved": F.lit(False)}).withColumn("id", F.when(~F.col("_made"), F.col("id")))
+    for end, other in (("src", "dst"), ("dst", "src")):
         to = renamed.select(F.col("id").alias(end), F.col("_keep").alias("_to"))
-        edges = edges.join(to, end, "left").withColumn("_moved", F.col("_moved") | F.col("_to").isNotNull())
+        edges = look_up(edges, end, other, to).withColumn("_moved", F.col("_moved") | F.col("_to").isNotNull())
         edges = edges.withColumn(end, F.coalesce("_to", end)).drop("_to")
+    edges = edges.withColumn("id", F.when(F.col("_made"), edge_id("_src", "type", "_dst")).otherwise(F.col("id"))).drop("_src", "_dst", "_made")
     first = first_per_key(edges, ["src", "dst", "type"], [F.col("id").asc_nulls_last(), F.col("_moved")])
     moved = first.withColumn("id", F.when(F.col("_moved"), edge_id("src", "type", "dst")).otherwise(F.col("id")))
     return Graph(nodes, moved.select(*graph.edges.columns))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfgraph.graph import Graph, edge_id
-from shelfgraph.operators.limits import first_per_key
+from shelfgraph.operators.limits import first_per_key, look_up
 
 
 def last_filled_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -151,9 +151,9 @@ def copy_graph(graph: Graph, new_id: Column, skip_prefix: str = "embedding_") ->
     nodes = renamed.select(new_id.alias("id"), "_migration_id", *keep)
     ids = nodes.select("_migration_id", F.col("id").alias("_to"))
     mapped = graph.edges
-    for end in ("src", "dst"):
+    for end, other in (("src", "dst"), ("dst", "src")):
         side = ids.select(F.col("_migration_id").alias(end), F.col("_to").alias("_" + end))
-        mapped = mapped.join(side, end, "left")
+        mapped = look_up(mapped, end, other, side)
     lost = F.col("_src").isNull() | F.col("_dst").isNull()
     rest = [c for c in graph.edges.columns if c not in ("id", "src", "dst")]
     edges = mapped.filter(~lost).select(edge_id("_src", "type", "_dst").alias("id"), *rest, F.col("_src").alias("src"), F.col("_dst").alias("dst"))

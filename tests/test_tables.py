@@ -323,3 +323,28 @@ def test_rows_of_one_small_file_are_dealt_out(spark, tmp_path):
     rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     for made in (source_binding.api_records(spark, str(tmp_path)), source_binding.series_texts(spark, str(tmp_path))):
         assert made.count() == 40 and made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_rows_of_a_hub_are_looked_up_apart(spark):
+    """The rows of one key meet their value in many tasks, and no side is broadcast; repeated, missing and null keys are those of a left join."""
+    from shelfgraph.operators.limits import look_up
+
+    rows = spark.range(400).selectExpr("if(id < 300, 'hub', if(id < 310, null, concat('k', id))) AS dst", "concat('w', id) AS src")
+    values = spark.createDataFrame([("hub", 1), ("k311", 2), ("k311", 3), (None, 4), ("other", 5)], "dst string, v int")
+    found = look_up(rows, "dst", "src", values)
+    assert sorted(map(str, found.select("src", "dst", "v").collect())) == sorted(map(str, rows.join(values, "dst", "left").select("src", "dst", "v").collect()))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString().split("== Initial")[0]
+    at = found.filter("dst = 'hub'").groupBy(F.spark_partition_id()).count().count()
+    assert at > 1
+
+
+def test_rewired_edges_shuffle_no_digest(spark):
+    nodes = spark.createDataFrame([("a", "work", "x"), ("b", "work", "x"), ("c", "work", "y"), ("m", "magazine", None)], "id string, type string, title string")
+    edges = spark.createDataFrame([("a", "m"), ("b", "m"), ("c", "m"), (None, "m")], "src string, dst string").withColumn("type", F.lit("IN")).withColumn("id", edge_id("src", "type", "dst"))
+    edges = edges.unionByName(spark.createDataFrame([("own", "c", "c", "IN")], "id string, src string, dst string, type string"))
+    found = Q.dedupe_graph(Graph(nodes, edges), ["title"], rewire=True).edges
+    digest = lambda *ends: spark.range(1).select(edge_id(F.lit(ends[0]).cast("string"), F.lit("IN"), F.lit(ends[1]))).first()[0]
+    want = [(digest("a", "m"), "a", "m"), (digest("c", "m"), "c", "m"), (digest(None, "m"), None, "m"), ("own", "c", "c")]
+    assert sorted(map(str, [(r.id, r.src, r.dst) for r in found.collect()])) == sorted(map(str, want))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_made" in plan and plan.index("sha2") < plan.rindex("RepartitionByExpression")
