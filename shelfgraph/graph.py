@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -42,6 +43,7 @@ class Graph:
     by_id: KeyedFiles | None = None
     by_src: KeyedFiles | None = None
     by_dst: KeyedFiles | None = None
+    few: Callable[[DataFrame], DataFrame] | None = None
 
     def release(self) -> None:
         """Free all rows an operator kept for reuse (they spill, and are recomputed when lost)."""
@@ -64,6 +66,10 @@ class Graph:
         """The nodes whose id is in ``ids(id)``."""
         return self.nodes.join(ids, "id", "left_semi") if self.by_id is None else self.by_id.matching(ids)
 
+    def few_nodes(self, ids: DataFrame) -> DataFrame:
+        """The same for the few ids of a limited result: a derived graph (``few``) makes these nodes only."""
+        return self.nodes_of(ids) if self.few is None else self.few(ids)
+
     def write(self, path: str, file_rows: int = FILE_ROWS) -> None:
         """Store the graph. Nodes are read several times, so expensive ones should be staged."""
         write_nodes(self.nodes, path, file_rows)

@@ -15,7 +15,7 @@ from shelfgraph.graph import CREATED_BY, PUBLISHED_BY, PUBLISHED_IN, Graph, empt
 from shelfgraph.operators.expand import expand, linked, sources_of
 from shelfgraph.operators.filters import min_volumes
 from shelfgraph.operators.limits import top_per_key, top_rows
-from shelfgraph.operators.search import by_title
+from shelfgraph.operators.search import TITLES, by_title
 from shelfgraph.session import spread
 
 YEAR_BUCKET = 5
@@ -42,7 +42,10 @@ def _star(graph: Graph, rows: DataFrame, edge_type: str, centre_id: str, centre_
 
 
 def author_works(graph: Graph, author_id: str, limit: int = 50) -> Graph:
-    hits = top_rows(sources_of(graph, CREATED_BY, author_id, "work"), limit, *by_title())
+    # First the ids, out of titles alone (``distinct`` lets Spark leave out what else works are joined with), then the rows of these works.
+    titled = sources_of(graph, CREATED_BY, author_id, "work").select("id", *TITLES).distinct()
+    works = graph.few_nodes(top_rows(titled, limit, *by_title()).select("id")).filter(F.col("type") == "work")
+    hits = top_rows(works, limit, *by_title())
     return _star(graph, hits, CREATED_BY, author_id, "author")
 
 

@@ -15,6 +15,7 @@ from shelfgraph.operators.expand import expand, incident_edges
 from shelfgraph.operators.filters import ENGLISH, JAPANESE, drop_content, title_matches
 from shelfgraph.operators.limits import top_rows
 from shelfgraph.operators.substrings import SubstringIndex, possible
+from shelfgraph.session import spread
 
 # Defaults (fixed values).
 RANK_THRESHOLD = 0.45
@@ -38,8 +39,11 @@ def by_members() -> list[Column]:
     ]
 
 
+TITLES = ("title_name", "english_name", "title", "work_id")
+
+
 def by_title() -> list[Column]:
-    title = F.coalesce("title_name", "english_name", "title", "work_id", F.lit(""))
+    title = F.coalesce(*TITLES, F.lit(""))
     return [F.lower(title).asc(), F.col("id").asc()]
 
 
@@ -109,7 +113,8 @@ class TokenIndex:
     def of(works: DataFrame) -> TokenIndex:
         placed = lambda k: lambda t, i: F.struct(t.alias("token"), (i + k * COLUMN_GAP).alias("at"))
         tokens = F.concat(*[F.transform(search_tokens(c), placed(k)) for k, c in enumerate(INDEXED)])
-        rows = works.select("id", tokens.alias("_tokens"), (F.coalesce("japanese_name", F.lit("")) != "").alias("japanese"))
+        # Titles of one small file are dealt out: they are few bytes, and much work each.
+        rows = spread(works.select("id", *INDEXED), "id").select("id", tokens.alias("_tokens"), (F.coalesce("japanese_name", F.lit("")) != "").alias("japanese"))
         # The explode keeps the tokens from being computed once for each use.
         rows = rows.select("id", "japanese", F.explode(F.array("_tokens")).alias("_tokens")).withColumn("length", F.size("_tokens"))
         places = lambda t: F.transform(F.filter("_tokens", lambda x: x["token"] == t), lambda x: x["at"])

@@ -458,3 +458,39 @@ def test_bound_works_and_credits_of_few_ids(spark, tmp_path):
         assert sorted(map(str, few.collect())) == sorted(map(str, want.collect())) != []
     plan = Bi.works(spark, sf, ids)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rindex("Aggregate") < plan.rindex("LeftSemi")
+
+
+def test_merged_edges_keep_their_ids(spark):
+    """Ids that are digests are left out of the shuffle and come back; own ids, repeated ids and null ends stay as they are."""
+    rows = [("w1", "a1", "CREATED_BY"), ("w2", "a1", "CREATED_BY"), (None, "a2", "CREATED_BY"), ("w3", None, "X")]
+    made = spark.createDataFrame(rows, "src string, dst string, type string").withColumn("id", edge_id("src", "type", "dst"))
+    own = spark.createDataFrame([("e1", "w9", "a9", "X"), ("e1", "w8", "a8", "X"), ("e2", "w1", "a1", "CREATED_BY"), (None, "w1", "a1", "CREATED_BY")], "id string, src string, dst string, type string")
+    moved = made.filter("src = 'w1'").withColumn("src", F.lit("w5"))  # another edge under the id of w1's
+    none = spark.createDataFrame([("n", "work", "l")], "id string, type string, label string")
+    first = moved.withColumn("part", F.lit("first"))
+    found = X.assemble([none], [first, made.unionByName(own).withColumn("part", F.lit("second"))]).edges
+    ids = {r.src: r.id for r in made.collect()}
+    want = [(ids["w1"], "w5", "a1", "first"), (ids["w2"], "w2", "a1", "second"), (ids[None], None, "a2", "second"), (ids["w3"], "w3", None, "second"),
+            ("e1", "w8", "a8", "second"), ("e2", "w1", "a1", "second"), (None, "w1", "a1", "second")]
+    assert sorted(map(str, [(r.id, r.src, r.dst, r.part) for r in found.collect()])) == sorted(map(str, want))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan[plan.index("RepartitionByExpression"):]  # the id is taken off below the shuffle
+
+
+def test_author_works_group_the_lines_of_few_works(graph):
+    """Titles are ranked without the columns that works are joined for; a derived graph makes the found nodes only."""
+    asked = []
+
+    def few(ids):
+        asked.append(ids.count())
+        return graph.nodes.join(ids, "id", "left_semi")
+
+    author = graph.edges.filter("type = 'CREATED_BY'").first()["dst"]
+    plain = R.author_works(graph, author, 1)
+    derived = R.author_works(Graph(graph.nodes, graph.edges, few=few), author, 1)
+    assert sorted(map(str, derived.nodes.collect())) == sorted(map(str, plain.nodes.collect())) != []
+    assert asked == [1]
+
+
+def test_titles_are_dealt_out_before_they_are_analysed(graph):
+    assert "RepartitionByExpression" in S.TokenIndex.of(graph.of_type("work")).postings._jdf.queryExecution().optimizedPlan().toString()
