@@ -71,7 +71,7 @@ def hash_embedding(text, dims: int = 1536) -> Column:
 
     def vectors(digits: pa.Array) -> pa.Array:
         known = digits.drop_null()
-        codes = np.frombuffer("".join(known.to_pylist()).encode(), np.uint8).reshape(len(known), -1)
+        codes = np.frombuffer("".join(known.to_pylist()).encode(), np.uint8).reshape(len(known), 384)
         rows = values[codes[:, place % 384]] - 0.5 + ((place % 100) / 10000.0 - 0.005) if len(known) else np.zeros((0, dims))
         ends = np.concatenate([[0], np.cumsum(digits.is_valid().to_numpy(zero_copy_only=False))]) * dims
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rows.ravel()), mask=digits.is_null())
