@@ -2,11 +2,12 @@
 
 1. Each text becomes its set of shingle keys (distinct windows of k words, 64-bit). Equal sets are one class from here on.
 2. Classes that can be linked are brought together by their prefixes: a set of n keys has at least t n of them in common with a set of
-   similarity t, so if all keys are put in one order, the first n - ceil(t n) + 1 keys of two similar sets share one. The order is by frequency,
+   similarity t, so if all keys are put in one order, the first n - ceil(t n) + l keys of two similar sets share l. The order is by frequency,
    rarest first, so prefixes are made of keys that nobody else has, unless a set is close to others: passages that many texts
    share come last. Frequencies are exact, and only those of the keys in the lowest part of the key space are needed, as a prefix
    ends there; sets with too little in that part, small ones mostly, go on with their other keys, by frequency among such sets.
-   Components of "shares a prefix key" are blocks: no link leaves one.
+   Components of "may be similar, as far as prefixes and sizes tell" are blocks: no link leaves one. In a large corpus rare keys too meet
+   by chance, so one shared key alone would bring most texts into one block.
 3. Inside a block, a T-occurrence search joins the sets: the inverted lists of a set's keys are split by length, the short ones
    are merged and counted, and sets that may still reach the required overlap are probed in the long ones (DivideSkip). Every pair in a
    block that reaches the overlap is counted; only the edges of a spanning forest leave a task.
@@ -21,12 +22,13 @@ ids are separate rows. An empty table gives an empty result. Only the id and tex
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfgraph.llm.components import components
@@ -37,6 +39,8 @@ BLOCK_KEYS = 4_000_000
 SEEN = 1_000_000
 NODE_BITS = 1 << 26
 SPACE_PERCENT = 160
+SHARED, SHARED_STEP = 4, 24  # keys that prefixes must share at most; one more for each so many keys of a set
+LISTED = 64  # sets of a key whose pairs are counted
 PIECE_BYTES = 4096  # of bitmap_construct_agg
 _U = np.uint64
 
@@ -76,9 +80,14 @@ def set_names(sets: np.ndarray, first: np.ndarray) -> list[bytes]:
     return [r.tobytes() for r in both]
 
 
+def needed(n):
+    """How many keys the prefix of a set of n shares with that of a similar set, if not fewer are needed for that one."""
+    return np.minimum(SHARED, 1 + n // SHARED_STEP)
+
+
 def prefix_length(n, percent: int):
-    """How many keys of a set of n, first in order, must meet one of a similar set's: n - ceil(t n) + 1."""
-    return n + (-percent * n) // 100 + 1
+    """How many keys of a set of n, first in order, hold ``needed(n)`` of those shared with a similar set: n - ceil(t n) + needed."""
+    return n + (-percent * n) // 100 + needed(n)
 
 
 def space(percent: int) -> int:
@@ -134,15 +143,15 @@ def _key_rows(k: int, percent: int):
 
 
 def prefix_keys(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """(key, node) of the keys in the sets' prefixes that some other set has too.
+    """(key, node, n) of the keys in the sets' prefixes that some other set has too, with the sets' sizes.
 
-    Keys that one set has come first in its prefix, and only their number matters; the others are ranked by frequency and key. The join with the
-    frequencies can be split where a key is very common.
+    Keys that one set has come first in its prefix, and only their number matters; the others are ranked by frequency and key. The rows of a key
+    meet in one task, each set's once a task that read it; what does not fit there goes to disk.
     """
     rows = texts.mapInArrow(_key_rows(k, percent), "key long, node long")
-    counts = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-    counts = counts.filter("lo < hi").select(F.col("key").alias("k"), "c")  # copies of one set in several tasks are still one set
-    shared = rows.join(counts, F.col("key") == F.col("k")).select("key", "node", "c").distinct()
+    of_key = Window.partitionBy("key")
+    rows = rows.withColumns({"c": F.count("*").over(of_key), "lo": F.min("node").over(of_key), "hi": F.max("node").over(of_key)})
+    shared = rows.filter("lo < hi").select("key", "node", "c").distinct()  # copies of one set in several tasks are still one set
     about = sets.filter("n_shingles > 0").groupBy("node").agg(F.max("n_shingles").alias("n"), F.min("n_low").alias("low")).withColumnRenamed("node", "o")
     end = space(percent) - (1 << 64) if space(percent) >= 1 << 63 else space(percent)
     inside = F.when(F.col("key") < 0, F.lit(end < 0) & (F.col("key") < end)).otherwise(F.lit(end < 0) | (F.col("key") < end))  # as unsigned numbers
@@ -150,9 +159,40 @@ def prefix_keys(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> Data
     order = Window.partitionBy("node", "inside").orderBy("c", "key")
     known = F.count("*").over(Window.partitionBy("node", "inside"))
     ranked = shared.withColumns({"place": F.row_number().over(order), "known": known})
-    length = F.col("n") + F.expr(f"-(({percent} * n + 99) div 100)") + 1
+    length = F.col("n") + F.expr(f"-(({percent} * n + 99) div 100) + least({SHARED}, 1 + n div {SHARED_STEP})")
     own = F.when(F.col("inside"), F.col("low")).otherwise(F.col("n"))  # keys of the set up to here; those that no other set has come first
-    return ranked.filter(own - F.col("known") + F.col("place") <= length).select("key", "node")
+    return ranked.filter(own - F.col("known") + F.col("place") <= length).select("key", "node", "n")
+
+
+def _size_class(percent: int) -> Column:
+    """Sets of similar size are in the same class or in neighbouring ones; rounding moves no two of them further apart."""
+    return F.col("n") if percent == 100 else F.floor(F.ln("n") * ((1 - 1e-9) / math.log(100 / percent)))
+
+
+def likely_pairs(keys: DataFrame, percent: int) -> DataFrame:
+    """(a, b): edges whose components hold all sets that can be linked, out of the ``keys(key, node, n)`` of the prefixes.
+
+    Of two sets, that whose prefix ends first in the order of keys can have no more in common with the other than the keys both prefixes
+    have and all its keys after its prefix. So the keys that two prefixes have are counted and held against the overlap that is needed. Pairs are listed at
+    keys that at most ``LISTED`` sets have. At other keys, the sets of a size class are joined without counting, and with those of the next class.
+    """
+    counts = keys.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1").withColumnRenamed("key", "k")
+    held = lambda which: keys.join(counts.filter(which), F.col("key") == F.col("k")).select("key", "node", "n")
+    few = held(f"sets <= {LISTED}").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "node"))).alias("own"))
+    larger = lambda x, i: F.struct(x.alias("x"), F.filter("own", lambda y, j: (j > i) & (100 * x["n"] >= percent * y["n"])).alias("ys"))
+    listed = few.select(F.explode(F.transform("own", larger)).alias("p")).select("p.x", F.explode("p.ys").alias("y"))
+    met = listed.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(
+        F.count("*").alias("met"), F.min("x.n").alias("n"), F.max("y.n").alias("m"))
+    after = lambda n: f"({percent} * {n} + 99) div 100 - least({SHARED}, 1 + {n} div {SHARED_STEP})"  # keys after the prefix
+    overlap = f"({percent} * (n + m) + {99 + percent}) div {100 + percent}"
+    counted = met.filter(f"met + greatest({after('n')}, {after('m')}, 0) >= {overlap}").select("a", "b")
+    classed = held(f"sets > {LISTED}").withColumn("class", _size_class(percent))
+    least = classed.groupBy("key", "class").agg(F.min("node").alias("a"))
+    by_class = Window.partitionBy("key").orderBy("class")
+    next_class = least.withColumns({"b": F.lead("a").over(by_class), "next": F.lead("class").over(by_class)}).filter("next = class + 1").select("a", "b")
+    least = least.select(F.col("key").alias("k"), F.col("class").alias("c"), "a")
+    joined = classed.join(least, (F.col("key") == F.col("k")) & (F.col("class") == F.col("c"))).filter("a <> node").select("a", F.col("node").alias("b"))
+    return counted.union(joined).union(next_class)
 
 
 def node_bits(nodes: DataFrame) -> bytes:
@@ -313,16 +353,14 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     rows = rows.select("id", F.xxhash64("text").alias("text_key"), "text")
     sets = staged(rows.mapInArrow(_set_rows(k, percent), "id long, text_key long, n_shingles long, n_low long, node long, name binary"), "shingle-sets")
     keys = staged(prefix_keys(rows.select("text"), sets, k, percent), "prefixes")
-    least = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select(F.col("key").alias("k"), "a")
-    pairs = keys.join(least, F.col("key") == F.col("k")).filter("a <> node").select("a", F.col("node").alias("b"))
-    blocks = components(pairs, "blocks").select(F.col("node").alias("member"), F.col("component").alias("block"))
+    blocks = components(likely_pairs(keys, percent), "blocks").select(F.col("node").alias("member"), F.col("component").alias("block"))
 
     classes = sets.filter("n_shingles > 0").groupBy("name").agg(F.min("node").alias("node"), F.min("n_shingles").alias("n"), F.count("*").alias("copies"))
     members = staged(classes.join(blocks, F.col("node") == F.col("member")).select("name", "node", "n", "copies", "block"), "members")
     weights = members.groupBy("block").agg(F.ceil(F.sum("n") / block_keys).cast("int").alias("chunks")).withColumnRenamed("block", "b")
     asked = members.join(weights, F.col("block") == F.col("b")).select("name", "block", "copies", "chunks")
     loaded = rows.select("text").mapInArrow(_member_rows(k, node_bits(members)), "set_name binary, keys binary")
-    loaded = loaded.join(asked, F.col("set_name") == F.col("name")).select("name", "block", "copies", "chunks", "keys")
+    loaded = loaded.join(asked, F.col("set_name") == F.col("name")).select("name", "block", "copies", "chunks", "keys").dropDuplicates(["name"])
     own = F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int")
     tasks = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("one"), F.greatest(F.col("own"), j).alias("two")))
     dealt = loaded.withColumn("own", own).withColumn("task", F.explode(tasks)).select("block", "task.one", "task.two", "name", "copies", "own", "keys")

@@ -89,6 +89,39 @@ def test_jaccard_groups(spark, k, percent, block_keys):
     assert rows_of(jaccard_join.component_ids(got)) == linked(rows, k, percent)
 
 
+@pytest.mark.parametrize(("k", "percent", "listed"), [(3, 90, 64), (3, 90, 2), (5, 80, 2), (1, 50, 64), (1, 50, 2), (2, 100, 2)])
+def test_jaccard_groups_of_cut_copies(spark, monkeypatch, k, percent, listed):
+    """Copies that are cut to sizes about the least that can be similar, small and large, at keys whose pairs are listed and at keys of many sets."""
+    monkeypatch.setattr(jaccard_join, "LISTED", listed)
+    rng = np.random.default_rng(percent + listed)
+    rows = []
+    for size in (1, 2, 4, 8, 9, 10, 16, 20, 25, 40, 81, 90, 100, 200):
+        base = [f"w{x}" for x in rng.integers(0, 4000, size)]
+        for i in range(8):
+            cut = base[: max(1, size - int(rng.integers(0, 2 + size * (100 - percent) // 100)))]
+            rows.append((len(rows), " ".join(cut if i % 2 else cut[::-1][:-1][::-1] + ["end"])))
+    got = jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), k, percent)
+    assert rows_of(jaccard_join.component_ids(got)) == linked(rows, k, percent)
+
+
+def test_a_shared_passage_alone_makes_no_block(spark):
+    """A chain of texts, each with a passage of the one before, and a near copy of every tenth: only the copies are looked at together."""
+    texts = []
+    for i in range(40):
+        own = [f"t{i}w{j}" for j in range(120)]
+        own[20:28], own[60:68] = [f"p{i}v{j}" for j in range(8)], [f"p{i + 1}v{j}" for j in range(8)]
+        texts += [" ".join(own)] + [" ".join([*own[:119], "end"])] * (i % 10 == 0)
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "id long, text_key long, text string")
+    schema = "id long, text_key long, n_shingles long, n_low long, node long, name binary"
+    sets = rows.mapInArrow(jaccard_join._set_rows(3, 90), schema).persist()
+    keys = jaccard_join.prefix_keys(rows.select("text"), sets, 3, 90).persist()
+    assert keys.groupBy("key").count().filter("count > 1").count() > 40  # the passages are in the prefixes
+    ids = {r.node: r.id for r in sets.collect()}
+    found = {tuple(sorted((ids[r.a], ids[r.b]))) for r in jaccard_join.likely_pairs(keys, 90).collect()}
+    copies = [i for i, t in enumerate(texts) if t.endswith(" end")]
+    assert found == {(i - 1, i) for i in copies}
+
+
 def test_near_duplicates_kept_at_five_words_and_0_8(spark):
     """The rows that stay, against all pairs: clusters with edits, small texts, passages that many texts share, texts without words."""
     rng = np.random.default_rng(80)
